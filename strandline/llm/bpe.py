@@ -26,7 +26,7 @@ from strandline.llm import common
 from strandline.llm.pretokens import WHITE, PieceCache, cut
 
 #: Entries of each of a worker's caches; a full cache is emptied.
-CACHE = 600_000
+CACHE = 300_000
 
 
 class RankEncoder:

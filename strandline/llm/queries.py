@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, tokenfiles
+from strandline.llm import bpe, mixing, shingle_join, tokenfiles
 
 QUERIES = {
     "op2_token_files": tokenfiles.query,
+    "op3_source_mix": mixing.query,
     "op4_byte_bpe": bpe.query,
+    "op9_shingle_join": shingle_join.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mix": mixing.SQL,
+}
