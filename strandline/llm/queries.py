@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, mixing, shingle_join, tokenfiles
+from strandline.llm import bpe, mixing, quality, shingle_join, surrogates, tokenfiles
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_token_files": tokenfiles.query,
     "op3_source_mix": mixing.query,
     "op4_byte_bpe": bpe.query,
+    "op6_surrogates": surrogates.query,
     "op9_shingle_join": shingle_join.query,
 }
 
