@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, mixing, quality, shingle_join, surrogates, tokenfiles
+from strandline.llm import audio, bpe, hnsw, mixing, quality, shingle_join, surrogates, tokenfiles
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_source_mix": mixing.query,
     "op4_byte_bpe": bpe.query,
     "op6_surrogates": surrogates.query,
+    "op7_hnsw": hnsw.query,
+    "op8_audio": audio.query,
     "op9_shingle_join": shingle_join.query,
 }
 
