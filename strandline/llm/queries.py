@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import audio, bpe, hnsw, mixing, quality, shingle_join, surrogates, tokenfiles
+from strandline.llm import audio, bpe, hnsw, mixing, quality, shingle_join, surrogates, tokenfiles, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_token_files": tokenfiles.query,
     "op3_source_mix": mixing.query,
     "op4_byte_bpe": bpe.query,
+    "op5_warc": warc.query,
     "op6_surrogates": surrogates.query,
     "op7_hnsw": hnsw.query,
     "op8_audio": audio.query,
