@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import audio, bpe, hnsw, mixing, quality, shingle_join, surrogates, tokenfiles, warc
+from strandline.llm import audio, bpe, hnsw, lm, mixing, quality, shingle_join, surrogates, tokenfiles, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_hnsw": hnsw.query,
     "op8_audio": audio.query,
     "op9_shingle_join": shingle_join.query,
+    "op10_gru_lm": lm.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
