@@ -19,6 +19,7 @@ of the input are not stored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 from strandline.llm.pretokens import PieceCache, cut
 
-CACHE = 600_000
+CACHE = 1_200_000
+_SPACE = re.compile(r"\s")
 _MANIFEST = "part int, path string, docs long, ids long, width int"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -46,8 +48,9 @@ class FileEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.first = PieceCache(self.one, "", CACHE // 4)
+        self.first = PieceCache(self.one, "", CACHE // 8)
         self.later = PieceCache(self.one, " ", CACHE)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -55,14 +58,64 @@ class FileEncoder:
     def one(self, text: str) -> bytes:
         return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each after a space.
+
+        Pieces without white space go to the library line by line, many in one text: a line's end is
+        a token of its own there, and parts the answers. Two words around one line end are put
+        together from theirs.
+        """
+        plain, broken, out = set(), {}, {}
+        for p in new:
+            if not p:
+                out[p] = self.one(" ")
+            elif not _SPACE.search(p):
+                plain.add(p)
+            elif (at := p.find("\n")) > 0 and at + 1 < len(p) and not _SPACE.search(p, at + 1) and not _SPACE.search(p, 0, at):
+                broken[p] = at
+                plain.add(p[:at])
+            else:
+                out[p] = self.one(" " + p)
+        plain = list(plain)
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + p for p in some])], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(self.line) != 1 or len(ends) != len(some):
+                out |= {p: self.one(" " + p) for p in some}
+                continue
+            flat, a = ids.tobytes(), 0
+            for p, b in zip(some, (ends * self.width).tolist()):
+                out[p] = flat[a:b]
+                a = b + self.width
+        line = self.raw(self.line)
+        for p, at in broken.items():
+            out[p] = out[p[:at]] + line + self.first[p[at + 1 :]]
+        return out
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The texts' ids. Pieces not seen yet go to the library in one call."""
-        later, cuts = self.later, [cut(t) for t in texts]
-        seen = set().union(*[c[1:] for c in cuts if c])
-        new = [p for p in seen if p not in later and p not in later.old]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)):
-            later.keep(p, self.raw(e.ids))
-        return [self.one(t) if c is None else self.first[c[0]] + b"".join([later[p] for p in c[1:]]) for t, c in zip(texts, cuts)]
+        """The texts' ids. Pieces that are not in the cache go to the library together."""
+        get, old = self.later.get, self.later.old
+        rows, gaps = [], {}
+        for t in texts:
+            words = cut(t)
+            if words is None:
+                rows.append([self.one(t)])
+                continue
+            parts = list(map(get, words))
+            parts[0] = self.first[words[0]]
+            if None in parts:
+                for k, part in enumerate(parts):
+                    if part is None:
+                        gaps.setdefault(words[k], []).append((parts, k))
+            rows.append(parts)
+        known = {p: old[p] for p in gaps if p in old}
+        known |= self.pieces([p for p in gaps if p not in known])
+        for p, ids in known.items():
+            self.later.keep(p, ids)
+            for parts, k in gaps.get(p, ()):
+                parts[k] = ids
+        return [b"".join(parts) for parts in rows]
 
 
 @lru_cache(maxsize=2)
