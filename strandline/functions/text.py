@@ -136,19 +136,18 @@ def punctuation_ratio(c: Column) -> Column:
     return count_of(c, CLAUSES) / F.greatest(F.length(c), F.lit(1))
 
 
-def tokens(c: Column) -> Column:
-    """Array of (word, start, end), end exclusive: letters, digits, connectors and inner apostrophes."""
-    w = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
-    word = rf"{w}(?:[\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}']*{w})?"
-    parts = F.regexp_extract_all(c, F.lit(rf"(?s){word}|[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+"), F.lit(0))
-    start = F.struct(F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+#: A word: letters, digits and connectors, with apostrophes inside.
+_W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
+
+
+def token_pieces(c: Column) -> Column:
+    """The text as alternating words and gaps, nothing left out."""
+    word = rf"{_W}(?:[\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}']*{_W})?"
+    return F.regexp_extract_all(c, F.lit(rf"(?s){word}|[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+"), F.lit(0))
 
-    def add(s: Column, p: Column) -> Column:
-        end = s["at"] + F.length(p)
-        one = F.array(F.struct(p.alias("word"), s["at"].alias("start"), end.alias("end")))
-        return F.struct(F.when(p.rlike(f"^{w}"), F.concat(s["out"], one)).otherwise(s["out"]).alias("out"), end.alias("at"))
 
-    return F.aggregate(parts, start, add, lambda s: s["out"])
+def is_word(piece: Column) -> Column:
+    return piece.rlike(f"^{_W}")
 
 
 def head_rest(c: Column) -> tuple[Column, Column]:

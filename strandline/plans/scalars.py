@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import binary, text
+from strandline.operators import lexicon
 from strandline.plans.base import Registry, table
 
 R = Registry()
@@ -198,7 +199,7 @@ _TOKENS = rf"""SELECT doc_id, word, (e - length(word))::INT AS start_pos, e::INT
 
 
 def token_rows(df):
-    return df.select("doc_id", F.explode(text.tokens(_T)).alias("t")).select("doc_id", "t.word", F.col("t.start").alias("start_pos"), F.col("t.end").alias("end_pos"))
+    return lexicon.tokens(df, "doc_id")
 
 
 @R.add("T10_tokens", _TOKENS.replace("SRC", "(SELECT item_id AS doc_id, text FROM benchmark)"))
