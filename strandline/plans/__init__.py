@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "segments", "align", "catalogue", "signal", "lexicon", "streams")
+MODULES = ("scalars", "segments", "align", "catalogue", "signal", "lexicon", "streams", "io", "surface")
 
 
 def collected() -> tuple[dict, dict]:

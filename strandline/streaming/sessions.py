@@ -72,20 +72,19 @@ def session_windows(df: DataFrame, group: str, ts: str, idle: str = "30 minutes"
     return out.select(group, F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "n")
 
 
-def assembly_stream(frames: DataFrame, idle: str = "30 minutes"):
+def assembly_stream(frames: DataFrame, idle_minutes: int | None = None):
     """Decoded frames (session, seq, ts, event, payload) as a stream of finished sessions.
 
     Chunks wait in keyed state. A session is given once: at its end event (152, 52), at a failure, or
-    when nothing came for `idle`; late ends of one that was given are dropped.
+    when nothing came for idle_minutes, if that is set (a stream that runs on); what comes for a session that
+    was given is dropped.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    minutes = int(idle.split()[0])
-
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        held, last, done = state.get if state.exists else ([], 0, False)
+        held, done = state.get if state.exists else ([], False)
         held = [tuple(h) for h in held]
         if state.hasTimedOut:
             state.remove()
@@ -95,6 +94,8 @@ def assembly_stream(frames: DataFrame, idle: str = "30 minutes"):
         final = None
         for pdf in batches:
             for seq, event, payload in zip(pdf["seq"], pdf["event"], pdf["payload"]):
+                if done:
+                    continue
                 if event == 352 and payload is not None:
                     held.append((int(seq), bytes(payload)))
                 elif event in (152, 52):
@@ -104,11 +105,13 @@ def assembly_stream(frames: DataFrame, idle: str = "30 minutes"):
         if final and not done:
             yield _row(pd, key[0], final, held)
             held, done = [], True
-        state.update((held, last, done))
-        state.setTimeoutDuration(minutes * 60_000)
+        state.update((held, done))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
 
-    kind = "held array<struct<seq:long,payload:binary>>, last long, done boolean"
-    return frames.groupBy("session").applyInPandasWithState(step, _STATE, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = "held array<struct<seq:long,payload:binary>>, done boolean"
+    timeout = GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    return frames.groupBy("session").applyInPandasWithState(step, _STATE, kind, "append", timeout)
 
 
 def _row(pd, session: str, state: str, held: list[tuple[int, bytes]]):
