@@ -4,13 +4,14 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two do
 their sets' Jaccard similarity reaches the threshold. Steps:
 
 1. One pass over the texts gives each document's set id and size, and counts all shingles in a
-   table of fixed size (2**SKETCH_BITS cells). Equal sets are one class from here on.
+   table of fixed size (2**SKETCH_BITS bytes). Equal sets are one class from here on.
 2. A second pass orders each set rare-first (by that count, then by hash) and deals out its prefix:
    as many shingles as two linked sets cannot both miss. Each task sends a class once.
 3. Shingles that two classes share in their prefixes are the postings. Every class is first paired
    with one class of each posting (a star), under length and positional filters; pairs are made
-   distinct, filtered by suffix histograms and verified once. That joins groups of copies, large
-   ones too, by few pairs.
+   distinct, filtered by suffix histograms and verified once. Further rounds do so with other
+   centres, for classes not yet in the centre's component. That joins groups of copies, large ones
+   too, by few pairs.
 4. Then all pairs of a posting that lie in different components so far, under the same filters and
    without those verified already. Pairs inside a component cannot change it. So the components
    are those of all links, and no group is paired with itself in full.
@@ -22,6 +23,7 @@ doc_id (null doc_ids are smallest only among themselves); other columns of the i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +35,24 @@ from strandline.llm import common
 from strandline.llm.components import components
 from strandline.llm.shingles import mix, shingle_sets
 
-#: Cells of the count table: 2**SKETCH_BITS of 4 bytes, whatever the input's size.
-SKETCH_BITS = 21
+#: Cells of the count table: 2**SKETCH_BITS, each one byte when it is sent to the tasks, whatever the
+#: input's size. A cell holds eight times the logarithm (base 2) of its count plus one.
+SKETCH_BITS = 24
 SLICES = 64
+#: Bits of the table that says which texts to hash again: 2**FILTER_BITS, whatever the input's size.
+FILTER_BITS = 26
+#: As many doc_ids are broadcast at most (16 bytes each); beyond that the bit table is.
+BROADCAST_KEYS = 500_000
 #: Bins of the suffix filter's histograms.
 BINS = 128
+#: Classes of a block that are verified against another block's.
+BLOCK = 128
 #: Postings of a bucket's task, about.
 POSTINGS_EACH = 1_000_000
+#: Rounds that pair each posting's classes with one of another component, before all such pairs.
+CENTRE_ROUNDS = 1
+#: Shingles of a class that show whether a pair was met before.
+EARLY = 32
 
 _POSTING = np.dtype([("h", "<u4"), ("sid", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -54,42 +67,41 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, sid, n) of every row, written, and the counts of all shingles."""
+    """(doc_id, sid, n) of every row, written, and the levels of the counts of all shingles."""
     spark, shift, each = docs.sparkSession, np.uint64(64 - SKETCH_BITS), (1 << SKETCH_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = np.zeros(1 << SKETCH_BITS, np.int64), False
+        counts, held = np.zeros(1 << SKETCH_BITS, np.uint16), False
         for b in batches:
-            sids, sizes = [], []
-            cells = []
-            for s in shingle_sets(b.column("text")):
-                sids.append(_set_id(s))
-                sizes.append(len(s))
-                cells.append(s >> shift)
-            counts += np.bincount(np.concatenate(cells or [np.empty(0, np.uint64)]).astype(np.int64), minlength=len(counts))
-            held = True
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(sids), pa.int32()), pa.nulls(len(sids), pa.binary())], names)
+            for k in range(0, b.num_rows, 2000):
+                sets = list(shingle_sets(b.column("text").slice(k, 2000)))
+                cells, n = np.unique(np.concatenate([s >> shift for s in sets]), return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + n, 65_535)
+                held, none = True, len(sets)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 2000), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
         if held:
-            dtype = "<u2" if counts.max() < 1 << 16 else "<i8"
-            parts = [p.astype(dtype).tobytes() for p in counts.reshape(SLICES, each)]
+            parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(SLICES, each)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, p in zip(b.column("slice").to_pylist(), b.column("counts")):
-                raw = p.as_py()
-                part = np.frombuffer(raw, "<u2" if len(raw) == 2 * each else "<i8").astype(np.int64)
-                total[k] = total[k] + part if k in total else part
+                part = np.frombuffer(zlib.decompress(p.as_py()), np.uint16)
+                if k in total:
+                    total[k] += part
+                else:
+                    total[k] = part.astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, (1 << 32) - 1).astype("<u4").tobytes() for v in total.values()], pa.binary())], ["slice", "counts"])
+            level = [np.minimum(255, 8 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], ["slice", "counts"])
 
     names = ["doc_id", "sid", "n", "slice", "counts"]
     both = common.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, n int, slice int, counts binary"), "shingle-survey")
     sums = both.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
-    counts = np.zeros((SLICES, each), np.uint32)
+    counts = np.zeros((SLICES, each), np.uint8)
     for row in sums.collect():  # SLICES rows, of a fixed size together
-        counts[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+        counts[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
     return both.filter("slice is null").select("doc_id", "sid", "n"), counts.ravel()
 
 
@@ -173,46 +185,159 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int, percent: int) ->
     return common.written(dealt.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, sid long, n int, pos int, centre long"), "postings")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those that link: written, with intersection and union."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    keys = members.join(ids, "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("key"))
-    keys = keys.select("key").distinct()
+def _filter_bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash cell that a key (column key) falls into: 2**FILTER_BITS bits."""
+    width = 1 << (FILTER_BITS - 6)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            for k in np.unique(cell // width).tolist():
+                bits.setdefault(k, np.zeros(width, bool))[cell[cell // width == k] % width] = True
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], ["slice", "bits"])
+
+    cells = keys.select(F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).alias("cell")).withColumn("slice", F.floor(F.col("cell") / width))
+    out = np.zeros((64, width // 8), np.uint8)
+    for row in cells.repartition(64, "slice").select("cell").mapInArrow(mark, "slice long, bits binary").collect():
+        out[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def sets_of(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the classes in ids (sid): sid, hashes (ascending, 64 bits each); written.
+
+    Texts are hashed where they are read, without a shuffle. Up to BROADCAST_KEYS doc_ids are sent out
+    to choose them; beyond, a bit table of fixed size is. What passes by chance goes by the exact join.
+    """
+    ids = common.written(ids.distinct(), "classes")
+    keys = members.join(ids, "sid", "left_semi").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(-1).cast("long")).alias("key"))
+    keys = common.written(keys.select("key").distinct(), "keys")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        texts = docs.select(key.alias("key"), "text").join(F.broadcast(keys), "key", "left_semi").select(F.lit(0).cast("long").alias("cell"), "text")
+        table = np.full(1, 255, np.uint8)
+    else:
+        texts = docs.select(F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).alias("cell"), "text")
+        table = _filter_bits(keys)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cell = b.column("cell").to_numpy()
+            b = b.filter(pa.array((bits.value[cell >> 3] >> (7 - (cell & 7))) & 1 == 1))
             for k in range(0, b.num_rows, 500):
                 sets = [s for s in shingle_sets(b.column("text").slice(k, 500)) if len(s)]
-                bins = [np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4") for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in bins], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["sid", "bins", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["sid", "hashes"])
+
+    made = texts.mapInArrow(hashed, "sid long, hashes binary")
+    sets = common.written(made.join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "shingle-sets")
+    common.drop_written(ids)
+    common.drop_written(keys)
+    return sets
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"), "text").join(keys, "key", "left_semi")
-    sets = common.written(texts.select("text").mapInArrow(hashed, "sid long, bins binary, hashes binary").dropDuplicates(["sid"]), "shingle-sets")
-    left = sets.select(F.col("sid").alias("a"), F.col("bins").alias("bins_a"), F.col("hashes").alias("set_a"))
-    right = sets.select(F.col("sid").alias("b"), F.col("bins").alias("bins_b"), F.col("hashes").alias("set_b"))
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) of classes, those that link: written, with intersection and union.
+
+    Classes with a common partner are put into blocks of about BLOCK, and pairs into pairs of blocks:
+    a set goes out once for each pair of blocks, not for each pair of classes, and a task holds the
+    sets of two blocks at a time.
+    """
+    spark = pairs.sparkSession
+    low = F.least("a", "b").alias("low")
+    ends = pairs.select(F.col("a").alias("sid"), low).union(pairs.select(F.col("b").alias("sid"), low)).groupBy("sid").agg(F.min("low").alias("low"))
+    sizes = ends.groupBy("low").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = ends.join(sizes, "low").select("sid", F.xxhash64("low", F.pmod(F.xxhash64("sid"), F.col("blocks"))).alias("block"))
+    block = common.written(block, "blocks")
+    placed = pairs.join(block.select(F.col("sid").alias("a"), F.col("block").alias("x")), "a").join(block.select(F.col("sid").alias("b"), F.col("block").alias("y")), "b")
+    placed = common.written(placed.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("met")), "placed")
+    sets = sets_of(docs, members, block.select("sid"))
+    wanted = placed.select("met", F.col("a").alias("sid")).union(placed.select("met", F.col("b").alias("sid"))).distinct()
+    none = F.lit(None).cast("long")
+    rows = wanted.join(sets, "sid").select("met", F.lit(0).alias("kind"), "sid", none.alias("b"), "hashes")
+    rows = rows.union(placed.select("met", F.lit(1), F.col("a"), F.col("b"), F.lit(None).cast("binary")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = [np.array([len(x.as_buffer()) // 8 for x in b.column(c)], np.int64) for c in ("set_a", "set_b")]
-            need = _needed(*size, percent)
-            ha, hb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, BINS) for c in ("bins_a", "bins_b"))
-            likely = np.flatnonzero(np.minimum(ha, hb).sum(1) >= need)  # suffix filter
-            out = []
-            for k in likely.tolist():
-                x, y = (np.frombuffer(b.column(c)[k].as_buffer(), "<u8") for c in ("set_a", "set_b"))
+        now, held, bins, out = None, {}, {}, []
+        for r in batches:
+            for met, kind, a, b, hashes in zip(*(r.column(c).to_pylist() for c in ("met", "kind", "sid", "b")), r.column("hashes")):
+                if met != now:
+                    now, held, bins = met, {}, {}
+                if kind == 0:
+                    x = np.frombuffer(hashes.as_py(), "<u8")
+                    held[a], bins[a] = x, np.bincount((mix(x) >> np.uint64(57)).astype(np.int64), minlength=BINS)
+                    continue
+                x, y = held[a], held[b]
+                need = _needed(len(x), len(y), percent)
+                if np.minimum(bins[a], bins[b]).sum() < need:  # suffix filter
+                    continue
                 both = np.concatenate([x, y])
                 both.sort()
-                common_ = int(np.count_nonzero(both[1:] == both[:-1]))
-                if common_ >= need[k]:
-                    out.append((k, common_, len(both) - common_))
-            if out:
-                at = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], ["a", "b", "shared", "united"])
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if shared >= need:
+                    out.append((a, b, shared, len(both) - shared))
+            if len(out) >= 10_000:
+                yield result(out)
+                out = []
+        if out:
+            yield result(out)
+
+    def result(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "shared", "united"])
+
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "met").sortWithinPartitions("met", "kind")
+    links = common.written(dealt.mapInArrow(check, "a long, b long, shared long, united long"), "links")
+    for used in (block, placed, sets):
+        common.drop_written(used)
+    return links
+
+
+def _parted(postings_: DataFrame, part: DataFrame) -> DataFrame:
+    """Postings with their classes' components so far, of the tokens that lie in several; written."""
+    named = postings_.select("token", "sid", "n", "pos").join(part.withColumnRenamed("node", "sid"), "sid", "left")
+    named = named.select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("part"))
+    mixed = named.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
+    return common.written(named.join(mixed, "token", "left_semi"), "postings")
+
+
+def _fits(percent: int, n: str, m: str, at: str, at2: str) -> str:
+    """SQL: the length filter and the positional filter."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({n} - {at}, {m} - {at2}) * {100 + percent} >= {percent} * ({n} + {m})"
+
+
+def _centred(named: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs of each posting's classes with one of them, of another component.
 
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "bins_a", "bins_b", "set_a", "set_b")
-    out = common.written(met.mapInArrow(check, "a long, b long, shared long, united long"), "links")
-    common.drop_written(sets)
-    return out
+    In the first turn that is the class whose shingles are shared most, as an original's are; then
+    one by hash, another for each token.
+    """
+    if turn == 0:
+        common_ = named.groupBy("token").agg(F.count("*").alias("many"))
+        weight = named.join(common_, "token").groupBy("sid").agg(F.sum("many").alias("weight"))
+        named = named.join(weight, "sid")
+    else:
+        named = named.withColumn("weight", F.xxhash64("token", "sid", F.lit(turn)))
+    centre = named.groupBy("token").agg(F.max(F.struct("weight", "sid", "n", "pos", "part")).alias("c"))
+    met = named.join(centre, "token").filter("part <> c.part and " + _fits(percent, "n", "c.n", "pos", "c.pos"))
+    return met.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+
+
+def _crossed(named: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of each posting's classes from different components.
+
+    A pair is met at the first shingle it shares: each row carries its class's shingles before its
+    own, the first EARLY of them (pairs that share none of those may be met more often).
+    """
+    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.hash(x["token"])), 1, EARLY)
+    rows = named.join(named.groupBy("sid").agg(first.alias("first")), "sid")
+    place = F.array_position("first", F.hash("token")).cast("int")
+    rows = rows.withColumn("early", F.slice("first", F.lit(1), F.when(place > 0, place - 1).otherwise(EARLY))).drop("first")
+    right = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "part", "early")])
+    met = rows.join(right, "token").filter("sid < sid2 and part <> part2 and " + _fits(percent, "n", "n2", "pos", "pos2") + " and not arrays_overlap(early, early2)")
+    return met.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
 
 
 def link(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -225,17 +350,18 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = common.written(posted.filter("centre is not null").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
     links = verified(stars, docs, members, percent)
 
-    part = components(links)
-    named = posted.join(part.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("part"))
-    named = common.written(named, "postings-parts")
-    mixed = named.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    left = named.join(mixed, "token", "left_semi")
-    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "part")])
-    fits = "sid < sid2 and part <> part2 and 100 * least(n, n2) >= {p} * greatest(n, n2) and least(n - pos, n2 - pos2) * {q} >= {p} * (n + n2)".format(p=percent, q=100 + percent)
-    rest = left.join(right, "token").filter(fits).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-    rest = common.written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, docs, members, percent)
-    whole = components(links.select("a", "b").union(more.select("a", "b")))
+    tried, rest = stars, posted.select("token", "sid", "n", "pos")
+    old = posted
+    for turn in range(CENTRE_ROUNDS + 1):
+        rest = _parted(rest, components(links))
+        common.drop_written(old)
+        old = rest
+        pairs = _centred(rest, turn, percent) if turn < CENTRE_ROUNDS else _crossed(rest, percent)
+        pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = links.union(verified(pairs, docs, members, percent))
+        tried = tried.union(pairs)
+    whole = components(links)
 
     classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     placed = classes.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
