@@ -9,7 +9,6 @@ from strandline.operators import lexicon
 from strandline.plans.base import Registry, table
 
 R = Registry()
-_T = F.col("text")
 _NORM = r"trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g'))"
 _STRIP = r"regexp_replace({}, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')"
 _STRIPPED = _STRIP.format("text")
@@ -28,13 +27,13 @@ def _exploded(df, pieces):
 
 
 def sentence_rows(spark, d):
-    return _exploded(_docs(spark, d), text.sentences(_T))
+    return _exploded(_docs(spark, d), text.sentences(F.col("text")))
 
 
 @R.add("P01_required", f"""SELECT lang, count(*) FILTER (coalesce({_STRIPPED}, '') <> '' AND coalesce(source, '') <> '') AS kept,
     count(*) FILTER (NOT (coalesce({_STRIPPED}, '') <> '' AND coalesce(source, '') <> '')) AS dropped FROM documents GROUP BY lang""")
 def required(spark, d):
-    ok = ~text.is_blank(_T) & ~text.is_blank(F.col("source"))
+    ok = ~text.is_blank(F.col("text")) & ~text.is_blank(F.col("source"))
     return _docs(spark, d).groupBy("lang").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
@@ -73,7 +72,7 @@ _N_END = "(length(text) - length(translate(text, '.!?;。！？；', '')))"
 @R.add("P06_splittable", f"""SELECT doc_id, {_STRIPPED} <> '' AND length(text) >= 16 AND {_N_END} > 0
     AND NOT ({_N_END} = 1 AND regexp_matches({_STRIPPED}, '[.!?;。！？；]$')) AS splittable FROM documents""")
 def splittable(spark, d):
-    return _docs(spark, d).select("doc_id", text.splittable(_T).alias("splittable"))
+    return _docs(spark, d).select("doc_id", text.splittable(F.col("text")).alias("splittable"))
 
 
 @R.add("P07_routes", f"SELECT page_id, CASE WHEN {_EXT} = '.mp4' THEN 'head' WHEN {_EXT} IN ('.mp3', '.jpg') THEN 'full' ELSE 'copy' END AS route FROM pages")
@@ -106,13 +105,13 @@ _SAFE = "replace(CASE WHEN trim(left(trim(regexp_replace({0}, '[^a-zA-Z0-9 _-]',
 
 @R.add("P10_names", f"SELECT doc_id, lpad((doc_id % 1000)::VARCHAR, 3, '0') || '_' || {_SAFE.format('text')} || '.wav' AS file, 'ID_' || doc_id AS folder FROM documents")
 def names(spark, d):
-    name = F.concat(F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("_"), text.file_name(_T), F.lit(".wav"))
+    name = F.concat(F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("_"), text.file_name(F.col("text")), F.lit(".wav"))
     return _docs(spark, d).select("doc_id", name.alias("file"), F.concat(F.lit("ID_"), F.col("doc_id").cast("string")).alias("folder"))
 
 
 @R.add("P11_previews", "SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS preview, left(text, 40) || '...' AS always FROM documents")
 def previews(spark, d):
-    return _docs(spark, d).select("doc_id", text.preview(_T).alias("preview"), F.concat(F.left(_T, F.lit(40)), F.lit("...")).alias("always"))
+    return _docs(spark, d).select("doc_id", text.preview(F.col("text")).alias("preview"), F.concat(F.left(F.col("text"), F.lit(40)), F.lit("...")).alias("always"))
 
 
 @R.add("P12_formats", """SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand IS NOT DISTINCT FROM b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type
@@ -138,7 +137,7 @@ def labels(spark, d):
 
 @R.add("T01_normalise", f"SELECT doc_id, {_NORM} AS text FROM documents")
 def normalised(spark, d):
-    return _docs(spark, d).select("doc_id", text.normalise(_T).alias("text"))
+    return _docs(spark, d).select("doc_id", text.normalise(F.col("text")).alias("text"))
 
 
 R.add("T02_sentences", _SENTENCES)(sentence_rows)
@@ -147,23 +146,23 @@ R.add("T02_sentences", _SENTENCES)(sentence_rows)
 @R.add("T03_secondary", f"""SELECT doc_id, seg_no, unnest(range(len(p))) AS part_no, unnest(p) AS part FROM (SELECT doc_id, seg_no,
     CASE WHEN length(text) > 80 THEN list_filter(list_transform(regexp_extract_all(text, '(?s)[^,:;]*[,:;]+|[^,:;]+$'), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 0) ELSE [text] END AS p FROM ({_SENTENCES}))""")
 def secondary(spark, d):
-    return sentence_rows(spark, d).select("doc_id", "seg_no", F.posexplode(text.secondary(_T)).alias("part_no", "part")).withColumn("part_no", F.col("part_no").cast("long"))
+    return sentence_rows(spark, d).select("doc_id", "seg_no", F.posexplode(text.secondary(F.col("text"))).alias("part_no", "part")).withColumn("part_no", F.col("part_no").cast("long"))
 
 
 @R.add("T04_packed")
 def packed(spark, d):
-    return _exploded(_docs(spark, d), text.packed(text.normalise(_T)))
+    return _exploded(_docs(spark, d), text.packed(text.normalise(F.col("text"))))
 
 
 @R.add("T05_clauses", rf"""SELECT doc_id, unnest(range(len(l))) AS seg_no, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(
     regexp_extract_all(text, '(?s)[^,.!?;。！？；]*[,.!?;。！？；]|[^,.!?;。！？；]+$'), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 0) AS l FROM documents)""")
 def clauses(spark, d):
-    return _exploded(_docs(spark, d), text.clauses(_T))
+    return _exploded(_docs(spark, d), text.clauses(F.col("text")))
 
 
 @R.add("T06_positioned")
 def positioned(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.posexplode(text.positioned(_T)).alias("seg_no", "s"))
+    rows = _docs(spark, d).select("doc_id", F.posexplode(text.positioned(F.col("text"))).alias("seg_no", "s"))
     return rows.select("doc_id", "seg_no", "s.*")
 
 
@@ -173,12 +172,12 @@ _EXTRA = "((CASE WHEN regexp_matches(text, '[!?！？]$') THEN 50000 ELSE 0 END)
 
 @R.add("T07_features", f"SELECT doc_id, seg_no, {_FEATURES} AS features, {_EXTRA} AS extra_us FROM ({_SENTENCES})")
 def features(spark, d):
-    return sentence_rows(spark, d).select("doc_id", "seg_no", F.array_join(text.features(_T), ",").alias("features"), text.extra_time_us(_T).alias("extra_us"))
+    return sentence_rows(spark, d).select("doc_id", "seg_no", F.array_join(text.features(F.col("text")), ",").alias("features"), text.extra_time_us(F.col("text")).alias("extra_us"))
 
 
 @R.add("T08_breaks", r"SELECT doc_id, regexp_matches(text, '[.!?;。！？；][ \t\r\n\f]*$') AS natural FROM documents")
 def breaks(spark, d):
-    return _docs(spark, d).select("doc_id", text.natural_break(_T).alias("natural"))
+    return _docs(spark, d).select("doc_id", text.natural_break(F.col("text")).alias("natural"))
 
 
 _RATIO = "((length(text) - length(translate(text, ',.!?;。！？；', '')))::DOUBLE / greatest(length(text), 1))"
@@ -186,7 +185,7 @@ _RATIO = "((length(text) - length(translate(text, ',.!?;。！？；', '')))::DO
 
 @R.add("T09_punctuation", f"SELECT doc_id, round({_RATIO}, 6) AS ratio, {_RATIO} < 0.02 AS low FROM documents")
 def punctuation(spark, d):
-    r = text.punctuation_ratio(_T)
+    r = text.punctuation_ratio(F.col("text"))
     return _docs(spark, d).select("doc_id", F.round(r, 6).alias("ratio"), (r < 0.02).alias("low"))
 
 
@@ -211,7 +210,7 @@ _LINES = r"SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FR
 
 
 def line_rows(spark, d):
-    lines = F.filter(F.split(_T, r"[\r\n]+"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.col("text"), r"[\r\n]+"), lambda x: F.trim(x) != "")
     return _docs(spark, d).select("doc_id", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
@@ -226,7 +225,7 @@ def head_rest(spark, d):
 
 @R.add("T12_file_names", f"SELECT doc_id, {_SAFE.format('text')} AS name FROM documents")
 def file_names(spark, d):
-    return _docs(spark, d).select("doc_id", text.file_name(_T).alias("name"))
+    return _docs(spark, d).select("doc_id", text.file_name(F.col("text")).alias("name"))
 
 
 @R.add("T13_directories", r"""SELECT page_id, regexp_replace(left(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), 50), '^[_. ]+|[_. ]+$', '', 'g') AS name FROM pages""")
@@ -236,13 +235,13 @@ def directories(spark, d):
 
 @R.add("T14_hex", "SELECT doc_id, hex(encode(text)) AS hexed, text AS back FROM documents")
 def hexed(spark, d):
-    h = F.hex(F.encode(_T, "UTF-8"))
+    h = F.hex(F.encode(F.col("text"), "UTF-8"))
     return _docs(spark, d).select("doc_id", h.alias("hexed")).withColumn("back", F.decode(binary.from_hex(F.col("hexed")), "UTF-8"))
 
 
 @R.add("T15_base64", "SELECT doc_id, base64(encode(text)) AS coded FROM documents")
 def base64(spark, d):
-    return _docs(spark, d).select("doc_id", F.replace(F.base64(F.encode(_T, "UTF-8")), F.lit("\r\n"), F.lit("")).alias("coded"))
+    return _docs(spark, d).select("doc_id", F.replace(F.base64(F.encode(F.col("text"), "UTF-8")), F.lit("\r\n"), F.lit("")).alias("coded"))
 
 
 @R.add("T16_requests", """SELECT conv_id, turn, '{"user":{"uid":"' || conv_id || '"},"request":{"turn":' || turn || ',"role":"' || role || '","size":' || length(text) || '}}' AS body FROM conversations""")
@@ -262,19 +261,19 @@ _KEY = "0123456789abcdef0123456789abcdef"
 
 @R.add("T18_encrypt_text", "SELECT doc_id, text, (length(encode(text)) // 16 + 1) * 32 AS hex_length FROM documents".replace("length(encode(text))", "octet_length(encode(text))"))
 def encrypt_text(spark, d):
-    out = _docs(spark, d).select("doc_id", F.hex(binary.encrypt(F.encode(_T, "UTF-8"), _KEY, True)).alias("code"))
+    out = _docs(spark, d).select("doc_id", F.hex(binary.encrypt(F.encode(F.col("text"), "UTF-8"), _KEY, True)).alias("code"))
     return out.select("doc_id", F.decode(binary.decrypt(F.unhex("code"), _KEY, True), "UTF-8").alias("text"), F.length("code").cast("long").alias("hex_length"))
 
 
 @R.add("T19_encrypt_blobs", "SELECT doc_id, sha256(encode(text)) AS digest FROM documents")
 def encrypt_blobs(spark, d):
-    blob = binary.decrypt(binary.encrypt(F.encode(_T, "UTF-8"), _KEY), _KEY)
+    blob = binary.decrypt(binary.encrypt(F.encode(F.col("text"), "UTF-8"), _KEY), _KEY)
     return _docs(spark, d).select("doc_id", F.sha2(blob, 256).alias("digest"))
 
 
 @R.add("T20_encrypt_heads", "SELECT doc_id, octet_length(encode(text)) + 16 AS stored, sha256(encode(text)) AS digest FROM documents WHERE octet_length(encode(text)) >= 16")
 def encrypt_heads(spark, d):
-    out = _docs(spark, d).select("doc_id", binary.encrypt_head(F.encode(_T, "UTF-8"), _KEY).alias("b")).filter("b is not null")
+    out = _docs(spark, d).select("doc_id", binary.encrypt_head(F.encode(F.col("text"), "UTF-8"), _KEY).alias("b")).filter("b is not null")
     return out.select("doc_id", F.length("b").cast("long").alias("stored"), F.sha2(binary.decrypt_head(F.col("b"), _KEY), 256).alias("digest"))
 
 
@@ -298,7 +297,7 @@ def integers(spark, d):
 
 @R.add("T24_slices", f"SELECT doc_id, array_to_string(string_split({_NORM}, ' ')[4:10], ' ') AS words FROM documents")
 def slices(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(F.slice(F.split(text.normalise(_T), " "), 4, 7), " ").alias("words"))
+    return _docs(spark, d).select("doc_id", F.array_join(F.slice(F.split(text.normalise(F.col("text")), " "), 4, 7), " ").alias("words"))
 
 
 @R.add("T25_lists", f"SELECT page_id % 5 AS grp, array_to_string(list_sort(list_distinct(list(upper(ltrim({_EXT}, '.'))))), ', ') AS formats FROM pages GROUP BY 1")
