@@ -50,7 +50,7 @@ BLOCK = 128
 #: Postings of a bucket's task, about.
 POSTINGS_EACH = 1_000_000
 #: Rounds that pair each posting's classes with one of another component, before all such pairs.
-CENTRE_ROUNDS = 1
+CENTRE_ROUNDS = 2
 #: Shingles of a class that show whether a pair was met before.
 EARLY = 32
 
