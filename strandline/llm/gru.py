@@ -119,7 +119,9 @@ def _gradients(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.n
     g["rec"] = befores.T @ du.reshape(-1, 3 * HIDDEN)
     da = da.reshape(-1, 3 * HIDDEN)
     g["bias"], g["inp"] = da.sum(0), emb.T @ da
-    np.add.at(g["embed"], x.ravel(), da @ w["inp"].T)
+    order = np.argsort(x, axis=None, kind="stable")
+    used, at = np.unique(x.ravel()[order], return_index=True)
+    g["embed"][used] = np.add.reduceat((da @ w["inp"].T)[order], at)
     size = np.float32(max(1, use.sum()))
     return {k: v / size for k, v in g.items()}, last
 
@@ -160,24 +162,48 @@ def streams(docs: list[np.ndarray], lanes: int, steps: int, shuffled: bool = Fal
         yield xs[s : s + steps, :n], ys[s : s + steps, :n], first[s : s + steps, :n], of[s : s + steps, :n]
 
 
-def train(docs: list[np.ndarray], symbols: int, counts: np.ndarray, epochs: int = 1) -> dict[str, np.ndarray]:
-    """Weights after truncated backpropagation over the documents (symbols, with their end), by Adam."""
-    w = fresh(symbols, counts)
-    m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
-    updates = max(1, epochs * sum(map(len, docs)) // (LANES * STEPS))
-    for _ in range(epochs if docs else 0):
+def begun(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights with Adam's two means of each (names with m. and v. before them) and its number of steps."""
+    means = {f"{p}.{k}": np.zeros_like(a) for p in "mv" for k, a in w.items()}
+    return {**w, **means, "steps": np.zeros(1, np.float32)}
+
+
+def lanes_for(tokens: int) -> int:
+    """Lanes for so many tokens: LANES, up to eight times as many where enough updates remain."""
+    return int(min(8 * LANES, max(LANES, tokens // 16_384)))
+
+
+def learn(state: dict[str, np.ndarray], chunks, tokens: int, lanes: int, begin: float = 0.0, end: float = 1.0) -> None:
+    """Truncated backpropagation by Adam over lists of documents (symbols, with their end), changing state.
+
+    The rate falls as from `begin` to `end` of a training; tokens is about their number in all chunks.
+    """
+    names = [k for k in state if k[:2] not in ("m.", "v.") and k != "steps"]
+    w = {k: state[k] for k in names}
+    updates, done = max(1, tokens // (lanes * STEPS)), 0
+    for docs in chunks:
         h = None
-        for x, y, first, of in streams(docs, LANES, STEPS, True):
+        for x, y, first, of in streams(docs, lanes, STEPS, True):
             h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
             g, h = _gradients(w, x, y, first, h, of >= 0)
-            step += 1
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            done += 1
+            state["steps"] += 1
+            step = float(state["steps"][0])
+            norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
             scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            for k in w:
-                a = g[k] * scale
-                m[k] += 0.1 * (a - m[k])
-                v[k] += 0.01 * (a * a - v[k])
-                w[k] -= np.float32(RATE * max(0.1, 1 - step / updates)) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+            rate = np.float32(RATE * max(0.1, 1 - begin - (end - begin) * min(1.0, done / updates)))
+            for k in names:
+                a, m, v = g[k] * scale, state["m." + k], state["v." + k]
+                m += np.float32(0.1) * (a - m)
+                v += np.float32(0.01) * (a * a - v)
+                w[k] -= rate * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+
+
+def train(docs: list[np.ndarray], symbols: int, counts: np.ndarray, epochs: int = 1) -> dict[str, np.ndarray]:
+    """Weights after truncated backpropagation over the documents, in one task."""
+    w = fresh(symbols, counts)
+    if docs:
+        learn(begun(w), [docs] * epochs, epochs * sum(map(len, docs)), LANES)
     return w
 
 

@@ -6,12 +6,13 @@ own words, and its list of words, with their counts, goes out by word hash into
 its words' counts over all blocks and sends each block the totals of that block's words. Words and
 numbers travel as packed arrays.
 
-The model's symbols are the HEAD most frequent words, the end, and one for all other words. Its softmax
-is factored by classes of frequency; within the class of all other words a word has its share of the
+The model's symbols are the most frequent words (head_size(), which grows with the tokens), the end, and
+one for all other words. Its softmax is factored by classes of frequency; within the class of all other words a word has its share of the
 base probability, so the model gives every token a probability, and these sum to one. It is trained by
-truncated backpropagation on training documents drawn by a hash of doc_id until about TRAIN_TOKENS
-tokens are expected (a bounded sample), in one task. Scoring runs over every token of every document;
-the state is carried across windows.
+truncated backpropagation, once over every token of every training document: their symbols are written
+as a table that is dealt over rounds; in a round each task goes over its documents from the common weights,
+and the tasks' weights are averaged by tokens. Scoring runs over every token of every document; the state is
+carried across windows.
 
 Defined results: null or blank text is just the end token; a null doc_id is hashed as an empty string;
 repeated rows are all scored and counted; without training documents every score is the base score of
@@ -20,6 +21,7 @@ an empty vocabulary; further columns of the input play no part.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,12 +35,25 @@ from pyspark.sql import functions as F
 from strandline.llm import common, gru
 
 HEAD = 2046
-TRAIN_TOKENS = 600_000
+#: Tokens of a task from which on training is spread over several; then rounds of a task, and the tokens in one.
+TASK_TOKENS = 1_000_000
+ROUNDS = (4, 16)
+ROUND_TOKENS = 2_000_000
 BLOCK_TOKENS = 2_000_000
 _END = b""
 
 _BLOCKS = "block long, bucket int, doc_id long, held boolean, ids binary, words binary, counts binary"
-_TOTALS = "block long, ids binary, counts binary, word binary, total long, tokens long, distinct long"
+_TOTALS = "block long, ids binary, counts binary, words binary, totals binary, levels binary, ends long, tokens long, distinct long"
+_LEVELS = 512
+
+
+def head_size(tokens: int) -> int:
+    """Number of words that are symbols of their own, by the number of training tokens."""
+    return HEAD + math.isqrt(tokens) // 4
+
+
+def _level(totals: np.ndarray) -> np.ndarray:
+    return (8 * np.log2(totals)).astype(np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -106,8 +121,8 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def totals(made: DataFrame, buckets: int) -> DataFrame:
-    """Of each block's words their counts in all training documents; each bucket's figures and most
-    frequent words; written."""
+    """Of each block's words their counts in all training documents; each bucket's figures, its words by
+    count in one row, and how many have each level of count; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -132,38 +147,111 @@ def totals(made: DataFrame, buckets: int) -> DataFrame:
             yield _batch(_TOTALS, block=[r["block"] for r in part], ids=[r["ids"] for r in part], counts=[np.fromiter(map(total.__getitem__, r["words"]), "<i8", len(r["words"])).tobytes() for r in part])
         known = [(-c, w) for w, c in total.items() if c]
         yield _batch(_TOTALS, tokens=[-sum(c for c, _ in known)], distinct=[len(known)])
-        top = sorted(x for x in known if x[1] != _END)[:HEAD] if len(known) > HEAD else [x for x in known if x[1] != _END]
+        top = sorted(x for x in known if x[1] != _END)
         if top:
-            yield _batch(_TOTALS, word=[w for _, w in top], total=[-c for c, _ in top])
+            most = np.array([-c for c, _ in top], "<i8")
+            levels = np.bincount(_level(most), minlength=_LEVELS).astype("<i8")
+            yield _batch(_TOTALS, words=[b" ".join(w for _, w in top)], totals=[most.tobytes()], levels=[levels.tobytes()])
         if total.get(_END):
-            yield _batch(_TOTALS, word=[_END], total=[total[_END]])
+            yield _batch(_TOTALS, ends=[total[_END]])
 
     each = made.filter("bucket is not null").select("block", "bucket", "ids", "words", "counts")
     return common.written(each.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _TOTALS), "lm-counts")
 
 
-def fit(docs: DataFrame, head: dict[bytes, int], symbols: int, counts: np.ndarray, share: float) -> dict[str, np.ndarray]:
-    """The model, trained in one task on a share of the training documents."""
+def most_frequent(counted: DataFrame, size: int) -> list[tuple[bytes, int]]:
+    """The `size` words with the highest counts, then by word: those at or above a level of count are sent on."""
+    levels = np.zeros(_LEVELS, np.int64)
+    for r in counted.filter("levels is not null").select("levels").collect():  # a row a bucket, of a fixed size
+        levels += np.frombuffer(r["levels"], "<i8")
+    above = np.cumsum(levels[::-1])[::-1]
+    least = int(np.flatnonzero(above >= size).max(initial=0))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, totals_ in zip(b.column("words"), b.column("totals").to_pylist()):
+                n = np.frombuffer(totals_, "<i8")
+                k = int((_level(n) >= least).sum())  # in order of count
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.as_py().split(b" ")[:k], pa.binary()), pa.array(n[:k])], ["word", "total"])
+
+    top = counted.filter("words is not null").select("words", "totals").mapInArrow(chosen, "word binary, total long")
+    return [(bytes(r["word"]), r["total"]) for r in top.orderBy(F.desc("total"), "word").limit(size).collect()]
+
+
+def coded(docs: DataFrame, head: dict[bytes, int], symbols: int, rounds: int) -> DataFrame:
+    """All training documents as symbols, dealt over rounds; written by round."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(head)  # HEAD words at most
+    known, kind = spark.sparkContext.broadcast(head), "<u2" if symbols <= 65_536 else "<u4"
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, turn = known.value.get, count()
         for b in batches:
-            ids = [None if held_out(d) else np.array([get(w, symbols - 1) for w in words_of(t)] + [0], "<i4").tobytes() for d, t in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]).filter(pa.array([i is not None for i in ids]))
+            ids = [np.array([get(w, symbols - 1) for w in words_of(t.as_py())] + [0], kind).tobytes() for d, t in zip(b.column("doc_id").to_pylist(), b.column("raw")) if not held_out(d)]
+            yield pa.RecordBatch.from_arrays([pa.array([next(turn) % rounds for _ in ids], pa.int32()), pa.array(ids, pa.binary())], ["round", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("raw"))
+    path = common.scratch_path(spark, "lm-ids")
+    rows.mapInArrow(run, "round int, ids binary").write.option("compression", "zstd").partitionBy("round").parquet(path)
+    out = spark.read.schema("ids binary, round int").parquet(path)
+    out._scratch = path
+    return out
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [np.frombuffer(x, "<i4") for b in batches for x in b.column("ids").to_pylist()]
-        weights = gru.train(texts, symbols, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(list(weights)), pa.array([v.tobytes() for v in weights.values()], pa.binary())], ["name", "data"])
 
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("raw")).filter(turn < share * 1_000_000)
-    sample = some.mapInArrow(coded, "doc_id long, ids binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "ids")
-    shapes = {k: v.shape for k, v in gru.fresh(symbols, counts).items()}
-    got = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32) for r in common.written(sample.mapInArrow(learn, "name string, data binary"), "lm-model").collect()}
-    return {k: got[k].reshape(s) if k in got else gru.fresh(symbols, counts)[k] for k, s in shapes.items()}
+def fit(docs: DataFrame, head: dict[bytes, int], symbols: int, counts: np.ndarray, tokens: int) -> tuple[dict[str, np.ndarray], int]:
+    """The model after one pass over all training documents, and the number of tokens it learned from."""
+    spark = docs.sparkSession
+    weights, learned = gru.fresh(symbols, counts), 0
+    if not tokens:
+        return weights, learned
+    tasks = int(min(spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)))
+    rounds = 1 if tasks == 1 else int(min(max(-(-tokens // (tasks * ROUND_TOKENS)), ROUNDS[0]), ROUNDS[1]))
+    table, kind = coded(docs, head, symbols, rounds), "<u2" if symbols <= 65_536 else "<u4"
+    state = gru.begun(weights)
+    each = tokens // (tasks * rounds)  # of a task in a round, about
+
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(state)
+
+        def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            own, total = {k: v.copy() for k, v in shared.value.items()}, 0
+
+            def chunks() -> Iterator[list[np.ndarray]]:
+                nonlocal total
+                texts, size = [], 0
+                for b in batches:
+                    for x in b.column("ids"):
+                        texts.append(np.frombuffer(x.as_py(), kind).astype("<i4"))
+                        size += len(texts[-1])
+                        if size >= ROUND_TOKENS:
+                            total += size
+                            yield texts
+                            texts, size = [], 0
+                if texts:
+                    total += size
+                    yield texts
+
+            gru.learn(own, chunks(), each, gru.lanes_for(each), turn / rounds, (turn + 1) / rounds)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([total] * len(own), pa.int64()), pa.array([v.tobytes() for v in own.values()], pa.binary())], ["name", "tokens", "data"])
+
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict = {}
+            for b in batches:
+                for name, n, data in zip(b.column("name").to_pylist(), b.column("tokens").to_pylist(), b.column("data").to_pylist()):
+                    part = np.frombuffer(data, np.float32) * float(n)
+                    sums[name] = (sums[name][0] + n, sums[name][1] + part) if name in sums else (n, part.astype(float))
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(s / n).astype(np.float32).tobytes() for n, s in sums.values()], pa.binary())], ["name", "tokens", "data"])
+
+        part = table.filter(F.col("round") == turn).select("ids").coalesce(tasks)
+        got = part.mapInArrow(learn, "name string, tokens long, data binary").repartition(8, "name").mapInArrow(mean, "name string, tokens long, data binary").collect()
+        if got:  # one model
+            learned += got[0]["tokens"]
+            state = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(state[r["name"]].shape) for r in got}
+        shared.unpersist()
+    common.drop_written(table)
+    return {k: state[k] for k in weights}, learned
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -174,15 +262,17 @@ def score(docs: DataFrame) -> DataFrame:
     counted = totals(made, buckets)
     row = counted.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = row.n or 0, row.v or 0
-    top = counted.filter("word is not null and length(word) > 0").orderBy(F.desc("total"), "word").limit(HEAD).select("word", "total").collect()
-    end = counted.filter("word is not null and length(word) = 0").agg(F.sum("total")).first()[0] or 0
-    head = {bytes(r["word"]): k for k, r in enumerate(top, 1)}
+    top = most_frequent(counted, head_size(n))
+    end = counted.agg(F.sum("ends")).first()[0] or 0
+    head = {w: k for k, (w, _) in enumerate(top, 1)}
     symbols = len(head) + 2
-    frequent = np.array([end] + [r["total"] for r in top], float)
+    frequent = np.array([end] + [c for _, c in top], float)
     of_all = n + 0.5 * (v + 1)
     rest = max(1.0 - float(((frequent + 0.5) / of_all).sum()), 1e-12) if n else 1.0
     counts = np.append(frequent, max(n - frequent.sum(), 0.5))
-    weights = fit(docs, head, symbols, counts, min(1.0, TRAIN_TOKENS / max(n, 1)))
+    weights, learned = fit(docs, head, symbols, counts, n)
+    if learned != n:
+        raise RuntimeError(f"the model learned from {learned} of {n} training tokens")
     shared = spark.sparkContext.broadcast((weights, head | {_END: 0}))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,6 +155,16 @@ def test_lm(spark, awkward, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_learns_from_every_training_token(spark, awkward, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 1000)  # several tasks and rounds
+    trained = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: trained.append(fit(*a)) or trained[-1])
+    rows = lm.score(awkward).collect()
+    assert trained[0][1] == rows[0].train_tokens == sum(r.n_tokens for r in rows if not r.held_out)
+    assert lm.head_size(5_000_000_000) > 4 * lm.head_size(1_000_000)
+
+
 def test_gru_probabilities_sum_to_one():
     n = 150
     w = gru.fresh(n, np.arange(n, 0, -1).astype(float))
