@@ -7,14 +7,12 @@ their sets' Jaccard similarity reaches the threshold. Steps:
    table of fixed size (2**SKETCH_BITS bytes). Equal sets are one class from here on.
 2. A second pass orders each set rare-first (by that count, then by hash) and deals out its prefix:
    as many shingles as two linked sets cannot both miss. Each task sends a class once.
-3. Shingles that two classes share in their prefixes are the postings. Every class is first paired
-   with one class of each posting (a star), under length and positional filters; pairs are made
-   distinct, filtered by suffix histograms and verified once. Further rounds do so with other
-   centres, for classes not yet in the centre's component. That joins groups of copies, large ones
-   too, by few pairs.
-4. Then all pairs of a posting that lie in different components so far, under the same filters and
-   without those verified already. Pairs inside a component cannot change it. So the components
-   are those of all links, and no group is paired with itself in full.
+3. Shingles that two classes share in their prefixes are the postings. All pairs of a posting are
+   met under length and positional filters, at the first shingle they share; large postings are cut
+   into chunks, and pairs of chunks are met apart. Pairs are filtered by suffix histograms and verified
+   once. So every link between two different sets is found, however large its group.
+4. Components are those of all links. pairs() gives the links themselves, link() the membership of
+   every row with its class's number of links.
 
 Defined results: null or blank text has no shingles, is its own component and links with nothing;
 fewer than five words are one shingle; repeated rows are all kept; a component's id is its smallest
@@ -49,8 +47,8 @@ BINS = 128
 BLOCK = 128
 #: Postings of a bucket's task, about.
 POSTINGS_EACH = 1_000_000
-#: Rounds that pair each posting's classes with one of another component, before all such pairs.
-CENTRE_ROUNDS = 2
+#: Classes of a posting that are met in one chunk, about.
+CHUNK = 512
 #: Shingles of a class that show whether a pair was met before.
 EARLY = 32
 
@@ -106,7 +104,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, buckets: int, percent: int) -> DataFrame:
-    """Prefix shingles that at least two classes share: token, sid, n, pos, and the star's centre."""
+    """Prefix shingles that at least two classes share: token, sid, n, pos; written."""
     spark = docs.sparkSession
     shared, shift = spark.sparkContext.broadcast(counts), np.uint64(64 - SKETCH_BITS)
 
@@ -167,22 +165,17 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int, percent: int) ->
         p = p[new]  # a class once, whatever the number of tasks that sent it
         first = np.ones(len(p), bool)
         first[1:] = p["h"][1:] != p["h"][:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))
         many = ~first
         many[:-1] |= ~first[1:]
-        c = p[lead]
-        n, m = p["n"].astype(np.int64), c["n"].astype(np.int64)
-        room = np.minimum(n - p["pos"], m - c["pos"])  # shingles not before the shared one
-        star = ~first & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (room >= _needed(n, m, percent))
         token = (np.int64(bucket) << 32) | p["h"].astype(np.int64)
         for k in range(0, len(p), 200_000):
             q = slice(k, k + 200_000)
             w = np.flatnonzero(many[q]) + k
             if len(w):
-                yield pa.RecordBatch.from_arrays([pa.array(token[w]), pa.array(p["sid"][w]), pa.array(p["n"][w].astype(np.int32)), pa.array(p["pos"][w].astype(np.int32)), pa.array(c["sid"][w], mask=~star[w])], ["token", "sid", "n", "pos", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[w]), pa.array(p["sid"][w]), pa.array(p["n"][w].astype(np.int32)), pa.array(p["pos"][w].astype(np.int32))], ["token", "sid", "n", "pos"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, data binary")
-    return common.written(dealt.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, sid long, n int, pos int, centre long"), "postings")
+    return common.written(dealt.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, sid long, n int, pos int"), "postings")
 
 
 def _filter_bits(keys: DataFrame) -> np.ndarray:
@@ -295,83 +288,68 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int
     return links
 
 
-def _parted(postings_: DataFrame, part: DataFrame) -> DataFrame:
-    """Postings with their classes' components so far, of the tokens that lie in several; written."""
-    named = postings_.select("token", "sid", "n", "pos").join(part.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("part"))
-    mixed = named.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    return common.written(named.join(mixed, "token", "left_semi"), "postings")
-
-
 def _fits(percent: int, n: str, m: str, at: str, at2: str) -> str:
     """SQL: the length filter and the positional filter."""
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({n} - {at}, {m} - {at2}) * {100 + percent} >= {percent} * ({n} + {m})"
 
 
-def _centred(named: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Distinct pairs of each posting's classes with one of them, of another component.
-
-    In the first turn that is the class whose shingles are shared most, as an original's are; then
-    one by hash, another for each token.
-    """
-    if turn == 0:
-        common_ = named.groupBy("token").agg(F.count("*").alias("many"))
-        weight = named.join(common_, "token").groupBy("sid").agg(F.sum("many").alias("weight"))
-        named = named.join(weight, "sid")
-    else:
-        named = named.withColumn("weight", F.xxhash64("token", "sid", F.lit(turn)))
-    centre = named.groupBy("token").agg(F.max(F.struct("weight", "sid", "n", "pos", "part")).alias("c"))
-    met = named.join(centre, "token").filter("part <> c.part and " + _fits(percent, "n", "c.n", "pos", "c.pos"))
-    return met.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-
-
-def _crossed(named: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of each posting's classes from different components.
+def _met(posted: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share a posting and pass the filters.
 
     A pair is met at the first shingle it shares: each row carries its class's shingles before its
     own, the first EARLY of them (pairs that share none of those may be met more often).
     """
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.hash(x["token"])), 1, EARLY)
-    rows = named.join(named.groupBy("sid").agg(first.alias("first")), "sid")
-    place = F.array_position("first", F.hash("token")).cast("int")
+    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, EARLY)
+    rows = posted.join(posted.groupBy("sid").agg(first.alias("first")), "sid")
+    place = F.array_position("first", F.col("token")).cast("int")
     rows = rows.withColumn("early", F.slice("first", F.lit(1), F.when(place > 0, place - 1).otherwise(EARLY))).drop("first")
-    right = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "part", "early")])
-    met = rows.join(right, "token").filter("sid < sid2 and part <> part2 and " + _fits(percent, "n", "n2", "pos", "pos2") + " and not arrays_overlap(early, early2)")
-    return met.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-
-
-def link(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, class_id (equal for equal sets), component_id of every row of docs."""
+    chunks = posted.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(chunks, "token").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    # a chunk meets itself and every other one: once for each pair of chunks
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("chunks", "other")
+    right = rows.select("token", "low", "high", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "early", "chunk")])
+    once = "(low = high and sid < sid2 or low < high and chunk < chunk2)"
+    met = rows.join(right, ["token", "low", "high"]).filter(once + " and " + _fits(percent, "n", "n2", "pos", "pos2") + " and not arrays_overlap(early, early2)")
+    return met.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid, n) of every row, and all links between classes; both written."""
     spark = docs.sparkSession
     members, counts = survey(docs)
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = 8 * common.partitions_for(spark, total * (100 - percent) / 100, POSTINGS_EACH)
     posted = postings(docs, counts, buckets, percent)
-    stars = common.written(posted.filter("centre is not null").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    links = verified(stars, docs, members, percent)
-
-    tried, rest = stars, posted.select("token", "sid", "n", "pos")
-    old = posted
-    for turn in range(CENTRE_ROUNDS + 1):
-        rest = _parted(rest, components(links))
-        common.drop_written(old)
-        old = rest
-        pairs = _centred(rest, turn, percent) if turn < CENTRE_ROUNDS else _crossed(rest, percent)
-        pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = links.union(verified(pairs, docs, members, percent))
-        tried = tried.union(pairs)
+    met = common.written(_met(posted, percent), "pairs")
+    common.drop_written(posted)
+    links = verified(met, docs, members, percent)
+    common.drop_written(met)
+    return members, links
+
+
+def pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """All links between different sets: class_a < class_b, and the sizes of intersection and union."""
+    return _linked(docs, percent)[1].select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "united")
+
+
+def link(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, class_id (equal for equal sets), component_id of every row of docs, and n_links,
+    the number of other classes that its class links with (rows of one class all link with each other)."""
+    members, links = _linked(docs, percent)
     whole = components(links)
 
+    ends = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     placed = classes.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
     lows = placed.groupBy("part").agg(F.min("low").alias("component_id"))
-    of_class = placed.select("sid", "part").join(lows, "part").select("sid", "component_id")
-    found = members.filter("n > 0").join(of_class, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("class_id"), "component_id")
-    blank = members.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
+    of_class = placed.join(ends, "sid", "left").select("sid", "part", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    of_class = of_class.join(lows, "part").select("sid", "component_id", "n_links")
+    found = members.filter("n > 0").join(of_class, "sid").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("sid").alias("class_id"), "component_id", "n_links")
+    blank = members.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return found.union(blank)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: every document with its number of shingles and its component."""
-    return link(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    """op9: every document with its number of shingles, its class and number of links, and its component."""
+    return link(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

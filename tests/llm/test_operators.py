@@ -67,6 +67,21 @@ def test_near_copies_against_brute_force(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in shingle_join.link(df).collect()) == components(docs)
 
 
+def test_every_link_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "CHUNK", 7)  # postings in several chunks
+    base = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*base[: 60 - k % 20], f"x{k}"])) for k in range(40)] + [(90, " ".join(base)), (91, " ".join(base))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sets = {d: shingles(t) for d, t in docs if d != 91}
+    want = Counter()
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if 100 * len(x & y) >= 75 * len(x | y):
+            want.update((a, b))
+    got = shingle_join.link(df).collect()
+    assert {r.doc_id: r.n_links for r in got} == {**{d: want[d] for d in sets}, 91: want[90]}
+    assert shingle_join.pairs(df).count() == sum(want.values()) / 2
+
+
 def test_bpe_equals_tiktoken(spark, awkward, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     e = bpe.encoder(path, P.PATTERN)
