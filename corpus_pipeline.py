@@ -19,18 +19,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id; one of its repeated rows.
+    """Of each group of linked rows one: that with the smallest doc_id (null last), then by its text's hash.
 
-    Texts without words are no group. Rows without a doc_id go if they link with one that has one.
+    Rows are told apart by a number of their own, not by doc_id, so null or repeated ids with other texts
+    lose nothing. Texts without words are no group.
     """
-    linked = common.written(shingle_join.link(docs).select("doc_id", "component_id"), "linked")
-    gone = linked.filter("not (doc_id <=> component_id)").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("gone__"), F.col("doc_id").isNull().alias("null__")).agg(F.count("*").alias("n__"))
-    same = (F.coalesce(F.col("doc_id"), F.lit(-1)) == F.col("gone__")) & (F.col("doc_id").isNull() == F.col("null__"))
-    left = docs.join(gone, same, "left_anti")
-    again = linked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("again__")).count().filter("count > 1").select("again__")
-    once = left.join(again, F.col("doc_id") == F.col("again__"), "left_anti")
-    repeated = left.join(again, F.col("doc_id") == F.col("again__"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).select(*docs.columns)
+    rows = common.written(docs.withColumn("row__", F.monotonically_increasing_id()), "rows")
+    linked = shingle_join.link(rows.select(F.col("row__").alias("doc_id"), "text"))
+    groups = common.written(linked.select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__")), "linked")
+    many = groups.groupBy("group__").agg(F.count("*").alias("n__")).filter("n__ > 1").select("group__")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row__")
+    placed = groups.join(many, "group__").join(rows.select("row__", rank.alias("rank__")), "row__")
+    best = placed.groupBy("group__").agg(F.min("rank__").alias("best__"))
+    gone = placed.join(best, "group__").filter("row__ <> best__.row__").select("row__")
+    return rows.join(gone, "row__", "left_anti").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,3 +254,13 @@ def test_pipeline(spark, awkward):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     last = c.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count()
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    import corpus_pipeline as c
+
+    a, b, d, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abde")
+    rows = [(None, a), (None, b), (None, d), (None, d), (3, a), (7, b + " more"), (7, e), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in c.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b + " more"), (None, d), (7, e), (8, None), (8, None)], key=str)
