@@ -10,6 +10,9 @@ from a keyed digest of that, so that all its spellings and mentions agree (coref
   top-level domains, country codes and key prefixes stay; hexadecimal stays hexadecimal;
 * a name keeps its title; given names and surnames get invented ones of the title's gender and script.
 
+Secrets, keys and hexadecimal strings reach to the end of their token, however long. Names found with a
+title are replaced in the rest of the same text too, where a capitalised word is one of their parts.
+
 Collision checks: two entities of a kind never share a surrogate, and no surrogate is itself an entity
 of the tables; whoever fails takes the next attempt, until none fails (or ATTEMPTS are used up, which
 only a kind whose whole format space is taken can do: that raises an error).
@@ -35,18 +38,20 @@ _TITLES = {
     "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа",
     "n": "Dr|Prof",
 }
-_NAME = r"\p{Lu}[\p{L}'-]{1,30}"
+_NAME = r"\p{Lu}(?=[\p{L}'-])\p{L}*+(?:['-](?!s(?!\p{L}))\p{L}++)*+"
+#: Words in which names are looked up that were found with a title elsewhere in the text.
+_WORD = r"\p{L}++(?:['-]\p{L}++)*+"
 #: Kinds in the order in which they are tried; each pattern starts where no letter or digit precedes.
 KINDS = {
-    "secret": _SECRET + r"""(?=[^\s"']{0,127}[0-9])[^\s"']{6,128}""",
+    "secret": _SECRET + r"""[^\s"']{6,}+""",
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,4}\.\p{L}{2,24}",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])|(?:ghp|gho|sk|pk|xoxb|xoxp)[_-][0-9A-Za-z_-]{16,64}",
-    "hex": r"(?=[0-9a-fA-F]{0,63}[0-9])[0-9a-fA-F]{16,64}(?![\p{L}\p{N}])",
+    "key": r"(?:AKIA|ASIA)[0-9A-Z]{16,}+(?![\p{L}\p{N}])|(?:ghp|gho|sk|pk|xoxb|xoxp)[_-][0-9A-Za-z_-]{16,}+",
+    "hex": r"(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{16,}+(?![\p{L}\p{N}])",
     "name": rf"(?:{'|'.join(_TITLES.values())})\.? {_NAME}(?: {_NAME})?",
 }
 ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
@@ -82,7 +87,7 @@ def _byte(k: str) -> str:
 
 def _each(text: str, first: str) -> str:
     """SQL: `text` with every letter and digit from position `first` on exchanged."""
-    old = f"transform(sequence(1, length({text})), i -> struct(substring({text}, i, 1) as c, {_byte('i')} as b, i as i))"
+    old = f"transform(regexp_extract_all({text}, '(?s).', 0), (c, k) -> struct(c as c, {_byte('(k + 1)')} as b, k + 1 as i))"
     new = """case when length(x.c) = 0 or x.i < {first} then x.c
         when x.c rlike '[0-9]' then cast(pmod(x.b, 10) as string)
         when kind in ('hex', 'hexsecret') and x.c rlike '[a-f]' then substring('abcdef', pmod(x.b, 6) + 1, 1)
@@ -170,14 +175,35 @@ def assign(norms: DataFrame, key: str) -> DataFrame:
 
 def _filled() -> str:
     """SQL over body, kind and surrogate: the surrogate in the body's format and case."""
-    plain = r"regexp_replace(surrogate, '[^\\p{L}\\p{N}]', '')"
-    old = r"transform(sequence(1, length(body)), i -> struct(substring(body, i, 1) as c, length(regexp_replace(substring(body, 1, i), '[^\\p{L}\\p{N}]', '')) as k))"
-    new = r"case when not x.c rlike '[\\p{L}\\p{N}]' then x.c when x.c <> lower(x.c) then upper(substring(" + plain + ", x.k, 1)) else substring(" + plain + ", x.k, 1) end"
-    shaped = f"array_join(transform({old}, x -> {new}), '')"
+    runs = r"regexp_extract_all(body, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+', 0)"
+    plain = r"regexp_extract_all(regexp_replace(surrogate, '[^\\p{L}\\p{N}]', ''), '(?s).', 0)"
+    cased = "array_join(zip_with(slice(x.plain, x.k + 1, length(g)), regexp_extract_all(g, '(?s).', 0), (p, c) -> case when c <> lower(c) then upper(p) else p end), '')"
+    put = rf"case when g rlike '^[\\p{{L}}\\p{{N}}]' then named_struct('out', concat(x.out, {cased}), 'k', x.k + length(g), 'plain', x.plain) else named_struct('out', concat(x.out, g), 'k', x.k, 'plain', x.plain) end"
+    shaped = f"aggregate({runs}, named_struct('out', '', 'k', 0, 'plain', {plain}), (x, g) -> {put}, x -> x.out)"
     named = "case when body = upper(body) and length(body) > 1 then upper(surrogate) else initcap(surrogate) end"
     return f"case when kind like 'given%' or kind = 'surname' then {named} else {shaped} end"
 
 
+def _bare(gaps: str) -> str:
+    """SQL over names__: the texts between entities with their capitalised words that are known names
+    replaced, and the number of those. A word of several parts is looked up whole, then by its parts."""
+    norm = r"lower(regexp_replace({w}, '[^\\p{{L}}\\p{{N}}]', ''))"
+    name = "case when {w} = upper({w}) and length({w}) > 1 then upper(names__[{n}]) else initcap(names__[{n}]) end"
+    hit = "{w} rlike '^\\\\p{{Lu}}' and names__[{n}] is not null"
+
+    def looked(w: str, other: str) -> str:
+        n = norm.format(w=w)
+        return f"case when {hit.format(w=w, n=n)} then named_struct('text', {name.format(w=w, n=n)}, 'n', 1) else {other} end"
+
+    parts = f"transform(regexp_extract_all(w, '\\\\p{{L}}+|[^\\\\p{{L}}]+', 0), p -> {looked('p', "named_struct('text', p, 'n', 0)")})"
+    joined = "named_struct('text', array_join(transform({a}, y -> y.text), ''), 'n', aggregate({a}, 0, (s, y) -> s + y.n))"
+    single = "named_struct('text', w, 'n', 0)"
+    word = looked("w", f"case when w rlike '^\\\\p{{L}}' and w rlike '[^\\\\p{{L}}]' then {joined.format(a=parts)} else {single} end")
+    pattern = (_WORD + r"|[^\p{L}]++").replace("\\", "\\\\")
+    pieces = f'transform(regexp_extract_all(g, "{pattern}", 0), w -> {word})'
+    return f"transform({gaps}, g -> {joined.format(a=pieces)})"
+
+
 def replace(docs: DataFrame, key: str = "set a key of your own", text: str = "text") -> DataFrame:
     """docs with the entities in column `text` replaced, and n_replaced, their number."""
     found = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
@@ -188,15 +214,23 @@ def replace(docs: DataFrame, key: str = "set a key of your own", text: str = "te
     lists = common.written(lists, "entity-lists")
     parts = common.written(_parts(lists.select(F.explode("entities__").alias("surface")).distinct()), "entity-parts")
     chosen = assign(parts.select("kind", "norm").distinct(), key)
-    words = parts.join(chosen, ["kind", "norm"]).select("surface", "prefix", "place", F.expr(_filled()).alias("made"))
+    words = parts.join(chosen, ["kind", "norm"])
+    named = words.filter("kind = 'surname' or kind like 'given%'").select("surface", "kind", "norm", "surrogate")
+    words = words.select("surface", "prefix", "place", F.expr(_filled()).alias("made"))
     made = words.groupBy("surface", "prefix").agg(F.array_sort(F.collect_list(F.struct("place", "made"))).alias("made"))
     made = common.written(made.select("surface", F.concat("prefix", F.array_join(F.expr("made.made"), " ")).alias("made")), "entity-surrogates")
     at = lists.select("list__", F.posexplode("entities__").alias("place", "surface")).join(made, "surface")
     rows = at.groupBy("list__").agg(F.expr("transform(array_sort(collect_list(struct(place, made))), x -> x.made)").alias("made__"))
+    # names of a text by normal form, a surname before a given name of the same form
+    known = lists.select("list__", F.explode("entities__").alias("surface")).distinct().join(named, "surface")
+    known = known.groupBy("list__", "norm").agg(F.max(F.struct("kind", "surrogate")).alias("best"))
+    known = known.groupBy("list__").agg(F.map_from_entries(F.collect_list(F.struct("norm", "best.surrogate"))).alias("names__"))
+    rows = rows.join(known, "list__", "left")
     gaps = F.split(F.col(text), ENTITY, -1)
-    joined = F.expr("array_join(transform(sequence(0, size(made__)), i -> concat(get(gaps__, i), coalesce(get(made__, i), ''))), '')")
+    bare = F.when(F.col("names__").isNull(), F.transform("gaps__", lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))).otherwise(F.expr(_bare("gaps__")))
+    joined = F.expr("array_join(transform(sequence(0, size(made__)), i -> concat(get(gaps__, i).text, coalesce(get(made__, i), ''))), '')")
     out = [joined.alias(c) if c == text else F.col(c) for c in docs.columns if c != "n_replaced"]
-    changed = some.join(rows, "list__").withColumn("gaps__", gaps).select(*out, F.size("made__").cast("long").alias("n_replaced"))
+    changed = some.join(rows, "list__").withColumn("gaps__", gaps).withColumn("gaps__", bare).select(*out, F.expr("size(made__) + aggregate(gaps__, 0L, (n, g) -> n + g.n)").alias("n_replaced"))
     same = marked.filter("list__ is null").select(*[c for c in docs.columns if c != "n_replaced"], F.lit(0).cast("long").alias("n_replaced"))
     return changed.unionByName(same)
 

@@ -145,6 +145,20 @@ def test_names_keep_gender_and_surname(spark):
     assert m and m[2] == m[4] != "Smith" and m[1] != "John" and m[5] not in ("Weber", m[2])
 
 
+def test_long_secrets_and_bare_names(spark):
+    long = "Ab1-" * 50
+    texts = [f'token="{long}" end', "sk-" + "a1B2" * 40 + " end", "0123456789abcdef" * 8 + " end", "password=correct-horse end", "Dr Anna Weber came. Then Weber said: Anna's here, WEBER-Haus; weber Webers"]
+    rows = surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()
+    got = {r.doc_id: r for r in rows}
+    assert re.fullmatch(r'token="([A-Z][a-z][0-9]-){50}" end', got[0].text) and long[-8:] not in got[0].text
+    assert re.fullmatch(r"sk-\w{160} end", got[1].text) and "a1B2a1B2" not in got[1].text
+    assert re.fullmatch(r"[0-9a-f]{128} end", got[2].text) and "89abcdef" not in got[2].text
+    assert re.fullmatch(r"password=[a-z]{7}-[a-z]{5} end", got[3].text) and "horse" not in got[3].text
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. Then (\w+) said: (\w+)'s here, (\w+)-Haus; weber Webers", got[4].text)
+    assert m and m[2] == m[3] != "Weber" and m[1] == m[4] != "Anna" and m[5] == m[2].upper()
+    assert got[4].n_replaced == 4
+
+
 def test_quality(spark, awkward, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.train(quality.features(docs, labels))
