@@ -18,10 +18,27 @@ R = Registry()
 
 @R.add("S01_manifest", "SELECT page_id::INT AS id, (page_id % 7)::INT AS catalogue_id, url AS audio_url, left(regexp_replace(html, '[^a-zA-Z ]+', ' ', 'g'), 200) AS content FROM pages")
 def manifest(spark, d):
-    rows = table(spark, d, "pages").select(F.col("page_id").cast("int").alias("id"), (F.col("page_id") % 7).cast("int").alias("catalogue_id"), F.left(F.regexp_replace("html", "[^a-zA-Z ]+", " "), F.lit(200)).alias("content"), F.col("url").alias("audio_url"))
+    """Whole pages go through the manifest; only the rows returned are cut, as in the SQL."""
+    rows = table(spark, d, "pages").select(F.col("page_id").cast("int").alias("id"), (F.col("page_id") % 7).cast("int").alias("catalogue_id"), F.regexp_replace("html", "[^a-zA-Z ]+", " ").alias("content"), F.col("url").alias("audio_url"))
+    return _through_manifest(spark, rows).withColumn("content", F.left("content", F.lit(200)))
+
+
+def _through_manifest(spark, rows):
+    """Rows written as a manifest and read back; line ends and backslashes are escaped in the file."""
     path = scratch(spark, "manifest")
+    for old, new in (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r")):
+        rows = rows.withColumn("content", F.replace("content", F.lit(old), F.lit(new)))
     rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return readers.manifest(spark, path)
+    back = readers.manifest(spark, path)
+    for old, new in (("\\n", "\n"), ("\\r", "\r"), ("\\s", "\\")):
+        back = back.withColumn("content", F.replace("content", F.lit(old), F.lit(new)))
+    return back
+
+
+@R.add("S01_documents", "SELECT doc_id::INT AS id, (doc_id % 7)::INT AS catalogue_id, source AS audio_url, text AS content FROM documents")
+def manifest_documents(spark, d):
+    """Whole texts of all documents through the manifest."""
+    return _through_manifest(spark, table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("id"), (F.col("doc_id") % 7).cast("int").alias("catalogue_id"), F.col("text").alias("content"), F.col("source").alias("audio_url")))
 
 
 @R.add("S02_whole_texts", f"SELECT sum(length(line) + 1)::BIGINT AS chars FROM ({_LINES})")
