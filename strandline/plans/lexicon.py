@@ -30,7 +30,7 @@ _SWAPS = [("f", "ph"), ("ph", "f"), ("ei", "ie"), ("ie", "ei"), ("shun", "tion")
 
 @R.add("J02_suggest")
 def suggest(spark, d):
-    words = token_rows(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    words = token_rows(table(spark, d, "documents").select("doc_id", "text"))
     known = dictionary(spark, d)
     bad = L.unknown(words, known).select("form").distinct()
     return L.suggestions(bad, known, spark.createDataFrame(_SWAPS, "src string, dst string"))

@@ -206,6 +206,11 @@ def tokens(spark, d):
     return token_rows(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
 
 
+@R.add("T10_documents", _TOKENS.replace("SRC", "documents"))
+def document_tokens(spark, d):
+    return token_rows(_docs(spark, d).select("doc_id", "text"))
+
+
 _LINES = r"SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\r\n]+'), lambda x: trim(x) <> '') AS l FROM documents)"
 
 

@@ -81,9 +81,10 @@ def fixed(spark, d):
 
 @R.add("W07_cut_split")
 def cut_split(spark, d):
-    """Documents parted at cut points that their events' silence would give."""
+    """All documents, parted at cut points that their events' silence would give; whole without any."""
     cuts = relative_rows(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_set(F.expr("s div 60"))).alias("cuts"))
-    return S.split_at_cuts(_whole(spark, d).join(cuts, F.col("doc_id") == F.col("user_id")).drop("user_id"))
+    rows = _whole(spark, d).join(cuts, F.col("doc_id") == F.col("user_id"), "left").drop("user_id")
+    return S.split_at_cuts(rows.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>"))))
 
 
 _ACTUAL = f"SELECT *, max(e) OVER (PARTITION BY user_id) + (user_id % 5 - 2) * 400000 AS actual FROM ({_REL})"

@@ -32,3 +32,12 @@ def test_against_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_STREAMS))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_all_documents_take_part(spark, db):
+    docs = db.execute("SELECT count(*) FROM documents").fetchone()[0]
+    assert QUERIES["W07_cut_split"](spark, SF).select("doc_id").distinct().count() == docs
+    forms = {r.form for r in QUERIES["J01_unknown"](spark, SF).select("form").distinct().collect()}
+    known = {r.bad for r in QUERIES["J02_suggest"](spark, SF).select("bad").distinct().collect()}
+    talk = " ".join(r[0] or "" for r in db.execute("SELECT text FROM conversations").fetchall()).lower()
+    assert known <= forms and any(w not in talk for w in known)
