@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _LOWER = _LOWER.astype(_U) + _U(1)
 _NO_WORD = 0x5851F42D4C957F2D
 #: Bytes of text hashed at once; longer documents are taken alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 

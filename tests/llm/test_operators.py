@@ -67,8 +67,11 @@ def test_near_copies_against_brute_force(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in shingle_join.link(df).collect()) == components(docs)
 
 
-def test_every_link_of_a_group(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "CHUNK", 7)  # postings in several chunks
+@pytest.mark.parametrize(("long", "each"), [(32, 1_000_000), (4, 1_000_000), (2, 40)])
+def test_every_link_of_a_group(spark, monkeypatch, long, each):
+    monkeypatch.setattr(shingle_join, "LONG", long)  # postings from there on make crowds
+    monkeypatch.setattr(shingle_join, "CROWD_BLOCK", 7)  # crowds in several blocks
+    monkeypatch.setattr(shingle_join, "POSTINGS_EACH", each)  # hot shingles over several buckets
     base = [f"w{k}" for k in range(60)]
     docs = [(k, " ".join([*base[: 60 - k % 20], f"x{k}"])) for k in range(40)] + [(90, " ".join(base)), (91, " ".join(base))]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -82,6 +85,14 @@ def test_every_link_of_a_group(spark, monkeypatch):
     assert shingle_join.pairs(df).count() == sum(want.values()) / 2
 
 
+def test_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 90)).astype("<u8")) for _ in range(60)] + [np.arange(20, dtype="<u8")] * 3
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert (shingle_join.intersections(sets, None) == want).all()
+    assert (shingle_join.intersections(sets[:20], sets[20:]) == np.array(want)[:20, 20:]).all()
+
+
 def test_bpe_equals_tiktoken(spark, awkward, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     e = bpe.encoder(path, P.PATTERN)
