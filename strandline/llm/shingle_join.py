@@ -45,7 +45,7 @@ SKETCH_BITS = 24
 SLICES = 64
 #: Bits of the table that says which texts to hash again: 2**FILTER_BITS, whatever the input's size.
 FILTER_BITS = 26
-#: As many doc_ids are broadcast at most (16 bytes each); beyond that the bit table is.
+#: As many rows that say where a set is wanted are broadcast at most; beyond that the bit table is.
 BROADCAST_KEYS = 500_000
 #: Bins of the suffix filter's histograms.
 BINS = 128
@@ -79,7 +79,7 @@ def _short(ids: list[bytes]) -> np.ndarray:
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, sid, id, n) of every row, written, and the levels of the counts of all shingles."""
+    """(doc_id, key, sid, id, n) of every row, written, and the levels of the counts of all shingles."""
     shift, each = np.uint64(64 - SKETCH_BITS), (1 << SKETCH_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +102,12 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             if cells:
                 add()
             held, none = True, len(ids)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_short(ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(_short(ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
         if held:
             parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(SLICES, each) if p.any()]
             full = np.flatnonzero(counts.reshape(SLICES, each).any(1))
             k = len(full)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(full, pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(full, pa.int32()), pa.array(parts, pa.binary())], names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -122,13 +122,14 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             level = [np.minimum(255, 8 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for v in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["slice", "counts"])
 
-    names = ["doc_id", "sid", "id", "n", "slice", "counts"]
-    both = common.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, id binary, n int, slice int, counts binary"), "shingle-survey")
+    names = ["doc_id", "key", "sid", "id", "n", "slice", "counts"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
+    both = common.written(rows.mapInArrow(run, "doc_id long, key long, sid long, id binary, n int, slice int, counts binary"), "shingle-survey")
     sums = both.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(total, "slice int, counts binary")
     counts = np.zeros((SLICES, each), np.uint8)
     for row in sums.toLocalIterator():  # SLICES rows, of a fixed size together
         counts[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
-    members = both.filter("slice is null").select("doc_id", "sid", "id", "n")
+    members = both.filter("slice is null").select("doc_id", "key", "sid", "id", "n")
     members._scratch = both._scratch
     return members, counts.ravel()
 
@@ -267,39 +268,45 @@ def _filter_bits(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def sets_of(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of the classes in ids (sid): sid, id, hashes (ascending, 64 bits each); written.
+def sets_for(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the classes in wanted (met, sid, side), with the columns id and hashes (ascending, 64 bits each).
 
-    Texts are hashed where they are read, without a shuffle. Up to BROADCAST_KEYS doc_ids are sent out
-    to choose them; beyond, a bit table of fixed size is. What passes by chance goes by the exact join.
+    A class's set is hashed again from one of its texts, where that is read. Up to BROADCAST_KEYS rows
+    of wanted are sent out to the texts; beyond, a bit table of fixed size chooses these, and the sets
+    are joined. No set is left out by either way.
     """
-    ids = common.written(ids.distinct(), "classes")
-    keys = members.join(ids, "sid", "left_semi").groupBy("id").agg(F.coalesce(F.min("doc_id"), F.lit(-1).cast("long")).alias("key"))
-    keys = common.written(keys.select("key").distinct(), "keys")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        texts = docs.select(key.alias("key"), "text").join(F.broadcast(keys), "key", "left_semi").select(F.lit(0).cast("long").alias("cell"), "text")
-        table = np.full(1, 255, np.uint8)
-    else:
-        texts = docs.select(F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).alias("cell"), "text")
-        table = _filter_bits(keys)
-    bits = docs.sparkSession.sparkContext.broadcast(table)
+    spark = docs.sparkSession
+    keys = members.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("id").agg(F.first("sid").alias("sid"), F.min("key").alias("key"))
+    keys = common.written(keys.select("sid", "key"), "keys")
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for b in batches:
-            cell = b.column("cell").to_numpy()
-            b = b.filter(pa.array((bits.value[cell >> 3] >> (7 - (cell & 7))) & 1 == 1))
+            if bits is not None:
+                cell = b.column("cell").to_numpy()
+                b = b.filter(pa.array((bits.value[cell >> 3] >> (7 - (cell & 7))) & 1 == 1))
             for k in range(0, b.num_rows, 500):
-                sets = [s for s in shingle_sets(b.column("text").slice(k, 500)) if len(s)]
-                names = [_set_id(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(_short(names), pa.int64()), pa.array(names, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["sid", "id", "hashes"])
-
-    made = texts.mapInArrow(hashed, "sid long, id binary, hashes binary")
-    sets = common.written(made.join(ids, "sid", "left_semi").dropDuplicates(["id"]), "shingle-sets")
-    bits.destroy()
-    common.drop_written(ids)
-    common.drop_written(keys)
-    return sets
+                part = b.slice(k, 500)
+                out = []
+                for s, to in zip(shingle_sets(part.column("text")), part.column("to").to_pylist() if bits is None else [None] * 500):
+                    if len(s) and (name := _set_id(s)) not in sent:
+                        if len(sent) < 250_000:
+                            sent.add(name)
+                        sid, data = int(_short([name])[0]), s.astype("<u8").tobytes()
+                        out += [(t["met"], sid, t["side"], name, data) for t in to if t["sid"] == sid] if to is not None else [(None, sid, None, name, data)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["met", "sid", "side", "id", "hashes"])
+
+    made = "met long, sid long, side int, id binary, hashes binary"
+    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        bits = None
+        to = wanted.join(keys, "sid").groupBy("key").agg(F.collect_list(F.struct("met", "sid", "side")).alias("to"))  # a class's blocks
+        return texts.join(F.broadcast(common.written(to, "wanted")), "key").select("text", "to").mapInArrow(hashed, made)
+    bits = spark.sparkContext.broadcast(_filter_bits(keys))
+    cell = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).alias("cell")
+    return wanted.join(texts.select(cell, "text").mapInArrow(hashed, made).select("sid", "id", "hashes"), "sid")
 
 
 def _placed(pairs: DataFrame) -> DataFrame:
@@ -370,11 +377,11 @@ def verified(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, members: DataF
     alone = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("crowd_a is null or crowd_b is null or crowd_a <> crowd_b").select("a", "b")
     alone = common.written(alone, "pairs")
     placed = _placed(alone)
-    sets = sets_of(docs, members, placed.select(F.col("a").alias("sid")).union(placed.select("b")).union(crowd.select("sid")))
     wanted = placed.select("met", F.col("a").alias("sid")).union(placed.select("met", F.col("b").alias("sid"))).distinct().withColumn("side", F.lit(-1))
     met = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(F.xxhash64("crowd", F.least("block", "other"), F.greatest("block", "other")).alias("met"), "sid", (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = wanted.union(met).join(sets, "sid").select("met", F.lit(0).alias("kind"), "sid", F.lit(None).cast("long").alias("b"), "side", "id", "hashes")
+    wanted = common.written(wanted.union(met), "wanted")
+    rows = sets_for(docs, members, wanted).select("met", F.lit(0).alias("kind"), "sid", F.lit(None).cast("long").alias("b"), "side", "id", "hashes")
     rows = rows.union(placed.select("met", F.lit(1), F.col("a"), F.col("b"), F.lit(None).cast("int"), F.lit(None).cast("binary"), F.lit(None).cast("binary")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +395,7 @@ def verified(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, members: DataF
                     x = np.frombuffer(hashes.as_py(), "<u8")
                     if side >= 0:
                         sides[side][name] = x
-                    else:
+                    elif all(name != known for known, _, _ in held[a]):
                         held[a].append((name, x, np.bincount((mix(x) >> np.uint64(57)).astype(np.int64), minlength=BINS)))
                     continue
                 for first, x, p in held[a]:
@@ -440,7 +447,7 @@ def verified(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, members: DataF
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "met").sortWithinPartitions("met", "kind")
     found = common.written(dealt.mapInArrow(check, _FOUND), "links")
-    for used in (alone, placed, sets):
+    for used in (alone, placed, wanted):
         common.drop_written(used)
     return found
 
