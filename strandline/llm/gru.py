@@ -13,8 +13,23 @@ LANES, STEPS = 16, 32
 RATE = 1e-2
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
+    classes = 1 + -(-(symbols - 1) // WIDTH)
+    return {"embed": (symbols, EMBED), "inp": (EMBED, 3 * HIDDEN), "bias": (3 * HIDDEN,), "rec": (HIDDEN, 3 * HIDDEN), "cls": (HIDDEN, classes), "cls_b": (classes,), "out": (classes, HIDDEN, WIDTH), "out_b": (classes, WIDTH)}
+
+
+def unpacked(flat: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
+    """Views of the weights that lie one after another in a vector."""
+    out, at = {}, 0
+    for name, shape in shapes(symbols).items():
+        size = int(np.prod(shape))
+        out[name] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
+
+
+def packed(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in shapes(len(w["embed"]))]).astype(np.float32)
 
 
 def fresh(symbols: int, counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
@@ -36,94 +51,160 @@ def places(symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(last, 0, 1 + symbols // WIDTH), np.where(last, 0, symbols % WIDTH)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, *shape: int) -> np.ndarray:
+    """Memory for an intermediate result that is used again by the next window (a task runs one at a time)."""
+    size = int(np.prod(shape))
+    if name not in _rooms or len(_rooms[name]) < size:
+        _rooms[name] = np.empty(size, np.float32)
+    return _rooms[name][:size].reshape(shape)
+
+
+def _exp(z: np.ndarray) -> np.ndarray | float:
+    """Replaces z by its exponentials; returns what was taken off each row first, if they might overflow."""
+    top = 0.0
+    if z.size and z.max() > 60:
+        top = z.max(1, keepdims=True)
+        z -= top
+    np.exp(z, out=z)
+    return top[:, 0] if isinstance(top, np.ndarray) else top
 
 
 def states(w: dict, table: np.ndarray, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-    """Hidden states of the steps x (steps by lanes); h starts at zero where first is set."""
+    """Hidden states of the steps x (steps by lanes, rows of table); h starts at zero where first is set.
+
+    They stand in memory that the next call uses again. With keep, also the states before each step and the gates z, r, new and what r was applied to.
+    """
     steps, lanes = x.shape
-    out = np.empty((steps, lanes, HIDDEN), np.float32)
-    kept = []
-    two = 2 * HIDDEN
+    two, many = 2 * HIDDEN, steps if keep else 1
+    out = _room("out", steps, lanes, HIDDEN)
+    us, gates, news, befores = (_room(name, many, lanes, k * HIDDEN) for name, k in (("u", 3), ("zr", 2), ("n", 1), ("h", 1)))
+    starts = first.any(1)
     for t in range(steps):
-        if first[t].any():
+        u, zr, n = us[t % many], gates[t % many], news[t % many]
+        if starts[t]:
             h = np.where(first[t][:, None], np.float32(0), h)
-        a, u = table[x[t]], h @ w["rec"]
-        zr = _sigmoid(a[:, :two] + u[:, :two])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(a[:, two:] + r * u[:, two:])
         if keep:
-            kept.append((h, z, r, n, u[:, two:]))
-        h = n + z * (h - n)
-        out[t] = h
-    return (out, h, kept) if keep else (out, h)
+            befores[t] = h
+        a = table[x[t]]
+        np.matmul(h, w["rec"], out=u)
+        np.add(a[:, :two], u[:, :two], out=zr)
+        np.negative(zr, out=zr)
+        np.minimum(zr, 60, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[:, HIDDEN:], u[:, two:], out=n)
+        n += a[:, two:]
+        np.tanh(n, out=n)
+        h = np.subtract(h, n, out=out[t])
+        h *= zr[:, :HIDDEN]
+        h += n
+    kept = (befores, gates[..., :HIDDEN], gates[..., HIDDEN:], news, us[..., two:])
+    return (out, h.copy(), kept) if keep else (out, h.copy())
 
 
 def log_probs(w: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probabilities of symbols y after states h."""
-    n = len(w["embed"])
-    cls, at = places(y, n)
-    z = h @ w["cls"] + w["cls_b"]
-    top = z.max(1)
-    out = z[np.arange(len(y)), cls] - top - np.log(np.exp(z - top[:, None]).sum(1))
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(len(w["out"]) + 1))
+    cls, at = places(y, len(w["embed"]))
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    cls, at, hs = cls[order], at[order], h[order]
+    got = np.empty(len(y), np.float32)
+    for s in range(0, len(y), 2048):
+        z = np.matmul(hs[s : s + 2048], w["cls"], out=_room("d", min(2048, len(y) - s), len(w["cls_b"])))
+        z += w["cls_b"]
+        some = z[np.arange(len(z)), cls[s : s + 2048]]
+        got[s : s + 2048] = some - _exp(z) - np.log(z.sum(1))
+    cuts = np.searchsorted(cls, np.arange(len(w["out"]) + 1)).tolist()
     for c in range(1, len(w["out"])):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            z = h[rows] @ w["out"][c] + w["out_b"][c]
-            top = z.max(1)
-            out[rows] += z[np.arange(len(rows)), at[rows]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        a, b = cuts[c], cuts[c + 1]
+        if b > a:
+            z = np.matmul(hs[a:b], w["out"][c], out=_room("d", b - a, WIDTH))
+            z += w["out_b"][c]
+            some = z[np.arange(b - a), at[a:b]]
+            got[a:b] += some - _exp(z) - np.log(z.sum(1))
+    out = np.empty(len(y), np.float32)
+    out[order] = got
     return out
 
 
-def _gradients(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, use: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Of the mean log loss of one window; also the state after it."""
-    n, (steps, lanes), two = len(w["embed"]), x.shape, 2 * HIDDEN
-    emb = w["embed"][x.ravel()]
-    table = (emb @ w["inp"] + w["bias"]).reshape(steps, lanes, -1)
-    rows = np.arange(steps * lanes).reshape(steps, lanes)
-    out, last, kept = states(w, table.reshape(steps * lanes, -1), rows, first, h, True)
-    flat, target = out.reshape(-1, HIDDEN), y.ravel()
-    cls, at = places(target, n)
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    d = _softmax(flat @ w["cls"] + w["cls_b"])
-    d[np.arange(len(target)), cls] -= 1
-    d *= use.reshape(-1, 1)
-    g["cls"], g["cls_b"] = flat.T @ d, d.sum(0)
-    dh = d @ w["cls"].T
-    for c in np.unique(cls[cls > 0]):
-        r = np.flatnonzero((cls == c) & use.ravel())
-        if not len(r):
-            continue
-        d = _softmax(flat[r] @ w["out"][c] + w["out_b"][c])
-        d[np.arange(len(r)), at[r]] -= 1
-        g["out"][c], g["out_b"][c] = flat[r].T @ d, d.sum(0)
-        dh[r] += d @ w["out"][c].T
+def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Puts the gradients of the mean log loss of one window into g; returns the state after it."""
+    (steps, lanes), two = x.shape, 2 * HIDDEN
+    flat_x = x.ravel()
+    by = np.argsort(flat_x, kind="stable")
+    starts = np.flatnonzero(np.append(True, flat_x[by[1:]] != flat_x[by[:-1]]))
+    used = flat_x[by[starts]]
+    row = np.empty(len(by), np.int64)
+    row[by] = np.repeat(np.arange(len(used)), np.diff(np.append(starts, len(by))))
+    emb = w["embed"][used]
+    out, last, (before, z, r, new, un) = states(w, emb @ w["inp"] + w["bias"], row.reshape(steps, lanes), first, h, True)
+
+    places_ = np.flatnonzero(use.ravel())
+    cls, at = places(y.ravel()[places_], len(w["embed"]))
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    cls, at, places_ = cls[order], at[order], places_[order]
+    rows = len(places_)
+    hs = np.take(out.reshape(-1, HIDDEN), places_, 0, out=_room("hs", rows, HIDDEN), mode="clip")
+    size = np.float32(1 / max(1, len(places_)))
+    d = np.matmul(hs, w["cls"], out=_room("d", rows, len(w["cls_b"])))
+    d += w["cls_b"]
+    _exp(d)
+    d *= (size / d.sum(1))[:, None]
+    d[np.arange(len(cls)), cls] -= size
+    g["cls"][:], g["cls_b"][:] = hs.T @ d, d.sum(0)
+    dhs = np.matmul(d, w["cls"].T, out=_room("dhs", rows, HIDDEN))
+    cuts = np.searchsorted(cls, np.arange(len(w["out"]) + 1)).tolist()
+    g["out"][:], g["out_b"][:] = 0, 0
+    for c in range(1, len(w["out"])):
+        a, b = cuts[c], cuts[c + 1]
+        if b > a:
+            d = np.matmul(hs[a:b], w["out"][c], out=_room("d", b - a, WIDTH))
+            d += w["out_b"][c]
+            _exp(d)
+            d *= (size / d.sum(1))[:, None]
+            d[np.arange(b - a), at[a:b]] -= size
+            np.matmul(hs[a:b].T, d, out=g["out"][c])
+            g["out_b"][c] = d.sum(0)
+            dhs[a:b] += d @ w["out"][c].T
+    dh = _room("dh", steps * lanes, HIDDEN)
+    dh[:] = 0
+    dh[places_] = dhs
     dh = dh.reshape(steps, lanes, HIDDEN)
-    back, du, da = np.zeros((lanes, HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+
+    da, du, back = _room("da", steps, lanes, 3 * HIDDEN), _room("du", steps, lanes, 3 * HIDDEN), np.zeros((lanes, HIDDEN), np.float32)
+    of_z, of_n, of_r, work = (_room(f"of_{k}", lanes, HIDDEN) for k in ("z", "n", "r", "w"))
+    rec, opened = np.ascontiguousarray(w["rec"].T), first.any(1)
     for t in range(steps - 1, -1, -1):  # truncated at the window's start
-        before, z, r, new, un = kept[t]
-        e = dh[t] + back
-        dn = e * (1 - z) * (1 - new * new)
-        dz = e * (before - new) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        da[t] = np.concatenate([dz, dr, dn], 1)
-        du[t] = da[t]
-        du[t][:, two:] = dn * r
-        back = e * z + du[t] @ w["rec"].T
-        back[first[t]] = 0
-    befores = np.stack([k[0] for k in kept]).reshape(-1, HIDDEN)
-    g["rec"] = befores.T @ du.reshape(-1, 3 * HIDDEN)
+        e = np.add(dh[t], back, out=back)
+        np.subtract(1, z[t], out=work)
+        np.multiply(new[t], new[t], out=of_n)
+        np.subtract(1, of_n, out=of_n)
+        of_n *= work
+        np.subtract(before[t], new[t], out=of_z)
+        of_z *= z[t]
+        of_z *= work
+        np.subtract(1, r[t], out=of_r)
+        of_r *= r[t]
+        of_r *= un[t]
+        dn = np.multiply(e, of_n, out=da[t, :, two:])
+        np.multiply(e, of_z, out=da[t, :, :HIDDEN])
+        np.multiply(dn, of_r, out=da[t, :, HIDDEN:two])
+        du[t, :, :two] = da[t, :, :two]
+        np.multiply(dn, r[t], out=du[t, :, two:])
+        back = e * z[t]
+        back += du[t] @ rec
+        if opened[t]:
+            back[first[t]] = 0
+    g["rec"][:] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     da = da.reshape(-1, 3 * HIDDEN)
-    g["bias"], g["inp"] = da.sum(0), emb.T @ da
-    order = np.argsort(x, axis=None, kind="stable")
-    used, at = np.unique(x.ravel()[order], return_index=True)
-    g["embed"][used] = np.add.reduceat((da @ w["inp"].T)[order], at)
-    size = np.float32(max(1, use.sum()))
-    return {k: v / size for k, v in g.items()}, last
+    summed = np.add.reduceat(np.take(da, by, 0, out=_room("by", *da.shape), mode="clip"), starts)
+    g["bias"][:], g["inp"][:] = summed.sum(0), emb.T @ summed
+    g["embed"][:] = 0
+    g["embed"][used] = summed @ w["inp"].T
+    return last
 
 
 def streams(docs: list[np.ndarray], lanes: int, steps: int, shuffled: bool = False):
@@ -163,51 +244,60 @@ def streams(docs: list[np.ndarray], lanes: int, steps: int, shuffled: bool = Fal
 
 
 def begun(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights with Adam's two means of each (names with m. and v. before them) and its number of steps."""
-    means = {f"{p}.{k}": np.zeros_like(a) for p in "mv" for k, a in w.items()}
-    return {**w, **means, "steps": np.zeros(1, np.float32)}
+    """All weights in one vector, with Adam's two means of each and its number of steps."""
+    flat = packed(w)
+    return {"weights": flat, "m": np.zeros_like(flat), "v": np.zeros_like(flat), "steps": np.zeros(1, np.float32)}
 
 
 def lanes_for(tokens: int) -> int:
-    """Lanes for so many tokens: LANES, up to eight times as many where enough updates remain."""
-    return int(min(8 * LANES, max(LANES, tokens // 16_384)))
+    """Lanes for so many tokens: LANES, up to 16 times as many where enough updates remain."""
+    return int(min(16 * LANES, max(LANES, tokens // 8192)))
 
 
-def learn(state: dict[str, np.ndarray], chunks, tokens: int, lanes: int, begin: float = 0.0, end: float = 1.0) -> None:
+def learn(state: dict[str, np.ndarray], symbols: int, chunks, tokens: int, lanes: int, begin: float = 0.0, end: float = 1.0) -> None:
     """Truncated backpropagation by Adam over lists of documents (symbols, with their end), changing state.
 
     The rate falls as from `begin` to `end` of a training; tokens is about their number in all chunks.
     """
-    names = [k for k in state if k[:2] not in ("m.", "v.") and k != "steps"]
-    w = {k: state[k] for k in names}
+    flat, m, v = state["weights"], state["m"], state["v"]
+    w, grad = unpacked(flat, symbols), np.zeros_like(flat)
+    g, work = unpacked(grad, symbols), np.empty_like(flat)
     updates, done = max(1, tokens // (lanes * STEPS)), 0
     for docs in chunks:
         h = None
         for x, y, first, of in streams(docs, lanes, STEPS, True):
             h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
-            g, h = _gradients(w, x, y, first, h, of >= 0)
+            h = _gradients(w, g, x, y, first, h, of >= 0)
             done += 1
             state["steps"] += 1
             step = float(state["steps"][0])
-            norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
-            scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            rate = np.float32(RATE * max(0.1, 1 - begin - (end - begin) * min(1.0, done / updates)))
-            for k in names:
-                a, m, v = g[k] * scale, state["m." + k], state["v." + k]
-                m += np.float32(0.1) * (a - m)
-                v += np.float32(0.01) * (a * a - v)
-                w[k] -= rate * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+            norm = float(np.sqrt(np.vdot(grad, grad)))
+            grad *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            rate = RATE * max(0.1, 1 - begin - (end - begin) * min(1.0, done / updates))
+            m *= np.float32(0.9)
+            m += np.multiply(grad, np.float32(0.1), out=work)
+            np.multiply(grad, grad, out=work)
+            work *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += work
+            np.sqrt(v, out=work)
+            work *= np.float32(1 / np.sqrt(1 - 0.99**step))
+            work += np.float32(1e-6)
+            np.divide(m, work, out=work)
+            work *= np.float32(rate / (1 - 0.9**step))
+            flat -= work
 
 
 def train(docs: list[np.ndarray], symbols: int, counts: np.ndarray, epochs: int = 1) -> dict[str, np.ndarray]:
     """Weights after truncated backpropagation over the documents, in one task."""
     w = fresh(symbols, counts)
+    state = begun(w)
     if docs:
-        learn(begun(w), [docs] * epochs, epochs * sum(map(len, docs)), LANES)
-    return w
+        learn(state, symbols, [docs] * epochs, epochs * sum(map(len, docs)), LANES)
+    return unpacked(state["weights"], symbols)
 
 
-def score(w: dict, docs: list[np.ndarray], lanes: int = 256, steps: int = 64) -> np.ndarray:
+def score(w: dict, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log probability of each whole document; the state is carried across windows."""
     total = np.zeros(len(docs))
     if not docs:

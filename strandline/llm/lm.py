@@ -9,8 +9,8 @@ numbers travel as packed arrays.
 The model's symbols are the most frequent words (head_size(), which grows with the tokens), the end, and
 one for all other words. Its softmax is factored by classes of frequency; within the class of all other words a word has its share of the
 base probability, so the model gives every token a probability, and these sum to one. It is trained by
-truncated backpropagation, once over every token of every training document: their symbols are written
-as a table that is dealt over rounds; in a round each task goes over its documents from the common weights,
+truncated backpropagation, once over every token of every training document: all documents are written as
+symbols, those for training dealt over rounds; in a round each task goes over its documents from the common weights,
 and the tasks' weights are averaged by tokens. Scoring runs over every token of every document; the state is
 carried across windows.
 
@@ -44,7 +44,10 @@ _END = b""
 
 _BLOCKS = "block long, bucket int, doc_id long, held boolean, ids binary, words binary, counts binary"
 _TOTALS = "block long, ids binary, counts binary, words binary, totals binary, levels binary, ends long, tokens long, distinct long"
+_CODED = "doc_id long, held boolean, n_tokens long, n_known long, base double, tail double, ids binary, round int"
 _LEVELS = 512
+#: Rows of the documents for each bucket of words, at least.
+ROWS_A_BUCKET = 500
 
 
 def head_size(tokens: int) -> int:
@@ -67,7 +70,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def _batch(schema: str, /, **columns) -> pa.RecordBatch:
     """A batch of the columns given; the others are null."""
-    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
     n = len(next(iter(columns.values())))
     fields = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in fields], [c for c, _ in fields])
@@ -179,38 +182,93 @@ def most_frequent(counted: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["total"]) for r in top.orderBy(F.desc("total"), "word").limit(size).collect()]
 
 
-def coded(docs: DataFrame, head: dict[bytes, int], symbols: int, rounds: int) -> DataFrame:
-    """All training documents as symbols, dealt over rounds; written by round."""
-    spark = docs.sparkSession
-    known, kind = spark.sparkContext.broadcast(head), "<u2" if symbols <= 65_536 else "<u4"
+def coded(made: DataFrame, counted: DataFrame, head: dict[bytes, int], rounds: int, of_all: float, rest: float) -> DataFrame:
+    """Every document as symbols, with what its words' counts give: _CODED; written by round (-1: held out).
+
+    base is the base score, tail what the words that share a symbol add to the model's score of it.
+    """
+    spark = made.sparkSession
+    shared, other = spark.sparkContext.broadcast(head | {_END: 0}), len(head) + 1
+    kind = symbol_type(other + 1)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which of a block's words are frequent ones."""
+        known = shared.value
+        for b in batches:
+            for r in b.to_pylist():
+                pairs = [(i, known[w]) for i, w in zip(np.frombuffer(r["ids"], "<u4").tolist(), r["words"].split(b" ")) if w in known]
+                if pairs:
+                    a, s = zip(*pairs)
+                    yield _batch(kinds, block=[r["block"]], kind=[1], ids=[np.array(a, "<u4").tobytes()], counts=[np.array(s, "<i8").tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, turn = known.value.get, count()
+        now, lut, turn, out = None, None, 0, []
+        numbers, symbol = [], []
+
+        def done() -> pa.RecordBatch:
+            names = [c.split()[0] for c in _CODED.split(", ")]
+            return _batch(_CODED, **dict(zip(names, map(list, zip(*out)))))
+
         for b in batches:
-            ids = [np.array([get(w, symbols - 1) for w in words_of(t.as_py())] + [0], kind).tobytes() for d, t in zip(b.column("doc_id").to_pylist(), b.column("raw")) if not held_out(d)]
-            yield pa.RecordBatch.from_arrays([pa.array([next(turn) % rounds for _ in ids], pa.int32()), pa.array(ids, pa.binary())], ["round", "ids"])
+            for r in b.to_pylist():
+                if r["block"] != now:
+                    now, numbers, symbol, lut = r["block"], [], [], None
+                ids = np.frombuffer(r["ids"], "<u4")
+                if r["kind"] == 0:
+                    numbers.append((ids, np.frombuffer(r["counts"], "<i8")))
+                elif r["kind"] == 1:
+                    symbol.append((ids, np.frombuffer(r["counts"], "<i8")))
+                else:
+                    if lut is None:  # the block's words come first
+                        cnt = np.zeros(sum(len(i) for i, _ in numbers), np.int64)
+                        sym = np.full(len(cnt), other, kind)
+                        for i, c in numbers:
+                            cnt[i] = c
+                        for i, c in symbol:
+                            sym[i] = c
+                        lut = np.log10((cnt + 0.5) / of_all)
+                        tail, known = np.where(sym == other, lut - np.log10(rest), 0.0), cnt > 0
+                    turn += not r["held"]
+                    out.append((r["doc_id"], r["held"], len(ids), int(known[ids].sum()), float(lut[ids].sum()), float(tail[ids].sum()), sym[ids].tobytes(), -1 if r["held"] else turn % rounds))
+                    if len(out) >= 500:
+                        yield done()
+                        out = []
+        if out:
+            yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("raw"))
-    path = common.scratch_path(spark, "lm-ids")
-    rows.mapInArrow(run, "round int, ids binary").write.option("compression", "zstd").partitionBy("round").parquet(path)
-    out = spark.read.schema("ids binary, round int").parquet(path)
+    kinds = "block long, kind int, doc_id long, held boolean, ids binary, counts binary"
+    word_rows = made.filter("bucket is not null").select("block", "ids", "words").mapInArrow(named, kinds)
+    count_rows = counted.filter("block is not null").selectExpr("block", "0 as kind", "cast(null as long) as doc_id", "cast(null as boolean) as held", "ids", "counts")
+    doc_rows = made.filter("bucket is null").selectExpr("block", "2 as kind", "doc_id", "held", "ids", "cast(null as binary) as counts")
+    every = count_rows.unionByName(word_rows).unionByName(doc_rows)
+    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = common.scratch_path(spark, "lm-coded")
+    rows = every.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(run, _CODED)
+    rows.write.option("compression", "zstd").partitionBy("round").parquet(path)
+    shared.destroy()
+    out = spark.read.schema(_CODED).parquet(path)
     out._scratch = path
     return out
 
 
-def fit(docs: DataFrame, head: dict[bytes, int], symbols: int, counts: np.ndarray, tokens: int) -> tuple[dict[str, np.ndarray], int]:
-    """The model after one pass over all training documents, and the number of tokens it learned from."""
-    spark = docs.sparkSession
-    weights, learned = gru.fresh(symbols, counts), 0
-    if not tokens:
-        return weights, learned
-    tasks = int(min(spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)))
-    rounds = 1 if tasks == 1 else int(min(max(-(-tokens // (tasks * ROUND_TOKENS)), ROUNDS[0]), ROUNDS[1]))
-    table, kind = coded(docs, head, symbols, rounds), "<u2" if symbols <= 65_536 else "<u4"
-    state = gru.begun(weights)
+def symbol_type(symbols: int) -> str:
+    return "<u2" if symbols <= 65_536 else "<u4"
+
+
+def _tasks(spark: SparkSession, tokens: int) -> tuple[int, int]:
+    """Tasks and rounds of training on so many tokens."""
+    tasks = int(min(spark.sparkContext.defaultParallelism, max(1, -(-tokens // TASK_TOKENS))))
+    return tasks, 1 if tasks == 1 else int(min(max(-(-tokens // (tasks * ROUND_TOKENS)), ROUNDS[0]), ROUNDS[1]))
+
+
+def fit(table: DataFrame, symbols: int, counts: np.ndarray, tokens: int) -> tuple[dict[str, np.ndarray], int]:
+    """The model after one pass over all training documents of a coded table, and the number of tokens it learned from."""
+    spark = table.sparkSession
+    state, learned = gru.begun(gru.fresh(symbols, counts)), 0
+    (tasks, rounds), kind = _tasks(spark, tokens), symbol_type(symbols)
     each = tokens // (tasks * rounds)  # of a task in a round, about
 
-    for turn in range(rounds):
+    for turn in range(rounds if tokens else 0):
         shared = spark.sparkContext.broadcast(state)
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
@@ -231,7 +289,7 @@ def fit(docs: DataFrame, head: dict[bytes, int], symbols: int, counts: np.ndarra
                     total += size
                     yield texts
 
-            gru.learn(own, chunks(), each, gru.lanes_for(each), turn / rounds, (turn + 1) / rounds)
+            gru.learn(own, symbols, chunks(), each, gru.lanes_for(each), turn / rounds, (turn + 1) / rounds)
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([total] * len(own), pa.int64()), pa.array([v.tobytes() for v in own.values()], pa.binary())], ["name", "tokens", "data"])
 
@@ -248,95 +306,52 @@ def fit(docs: DataFrame, head: dict[bytes, int], symbols: int, counts: np.ndarra
         got = part.mapInArrow(learn, "name string, tokens long, data binary").repartition(8, "name").mapInArrow(mean, "name string, tokens long, data binary").collect()
         if got:  # one model
             learned += got[0]["tokens"]
-            state = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(state[r["name"]].shape) for r in got}
-        shared.unpersist()
-    common.drop_written(table)
-    return {k: state[k] for k in weights}, learned
+            state = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32) for r in got}
+        shared.destroy()
+    return gru.unpacked(state["weights"], symbols), learned
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(max(8, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_A_BUCKET)))
     made = blocks(docs, buckets)
     counted = totals(made, buckets)
-    row = counted.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    n, v = row.n or 0, row.v or 0
+    row = counted.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum("ends").alias("e")).first()
+    n, v, end = row.n or 0, row.v or 0, row.e or 0
     top = most_frequent(counted, head_size(n))
-    end = counted.agg(F.sum("ends")).first()[0] or 0
     head = {w: k for k, (w, _) in enumerate(top, 1)}
     symbols = len(head) + 2
     frequent = np.array([end] + [c for _, c in top], float)
     of_all = n + 0.5 * (v + 1)
     rest = max(1.0 - float(((frequent + 0.5) / of_all).sum()), 1e-12) if n else 1.0
-    counts = np.append(frequent, max(n - frequent.sum(), 0.5))
-    weights, learned = fit(docs, head, symbols, counts, n)
+    table = coded(made, counted, head, _tasks(spark, n)[1], of_all, rest)
+    common.drop_written(made)
+    common.drop_written(counted)
+    weights, learned = fit(table, symbols, np.append(frequent, max(n - frequent.sum(), 0.5)), n)
     if learned != n:
         raise RuntimeError(f"the model learned from {learned} of {n} training tokens")
-    shared = spark.sparkContext.broadcast((weights, head | {_END: 0}))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Which of a block's words are frequent ones."""
-        known = shared.value[1]
-        for b in batches:
-            for r in b.to_pylist():
-                pairs = [(i, known[w]) for i, w in zip(np.frombuffer(r["ids"], "<u4").tolist(), r["words"].split(b" ")) if w in known]
-                if pairs:
-                    a, s = zip(*pairs)
-                    yield _batch(kinds, block=[r["block"]], kind=[1], ids=[np.array(a, "<u4").tobytes()], counts=[np.array(s, "<i8").tobytes()])
-
-    kinds = "block long, kind int, doc_id long, held boolean, ids binary, counts binary"
+    shared, kind = spark.sparkContext.broadcast(weights), symbol_type(symbols)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights_ = shared.value[0]
-        now, numbers, symbol, texts, size = None, [], [], [], 0
-        lut = sym = cnt = None
-
-        def done() -> pa.RecordBatch:
-            ids = [t[2] for t in texts]
-            tail = [float((lut[i][sym[i] == symbols - 1] - np.log10(rest)).sum()) for i in ids]
-            model = gru.score(weights_, [sym[i] for i in ids]) / np.log(10) if n else np.zeros(len(ids))
-            base = np.array([float(lut[i].sum()) for i in ids])
-            total = model + np.array(tail) if n else base
-            known = [int((cnt[i] > 0).sum()) for i in ids]
-            cols = [pa.array([t[0] for t in texts], pa.int64()), pa.array([t[1] for t in texts], pa.bool_()), pa.array([len(i) for i in ids], pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())]
-            return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in out.split(", ")])
-
+        names = [c.split()[0] for c in out.split(", ")]
+        for b in pieces(batches):
+            base = b.column("base").to_numpy()
+            model = gru.score(shared.value, [np.frombuffer(x.as_py(), kind) for x in b.column("ids")]) / np.log(10) + b.column("tail").to_numpy() if n else base
+            cols = [b.column(c) for c in ("doc_id", "held", "n_tokens", "n_known")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(b.num_rows, n)), b.column("base"), pa.array(model, pa.float64())], names)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of about BLOCK_TOKENS tokens."""
         for b in batches:
-            for r in b.to_pylist():
-                if r["block"] != now:
-                    if texts:
-                        yield done()
-                    now, numbers, symbol, texts, size, lut = r["block"], [], [], [], 0, None
-                ids = np.frombuffer(r["ids"], "<u4")
-                if r["kind"] == 0:
-                    numbers.append((ids, np.frombuffer(r["counts"], "<i8")))
-                elif r["kind"] == 1:
-                    symbol.append((ids, np.frombuffer(r["counts"], "<i8")))
-                else:
-                    if lut is None:  # the block's words come first
-                        cnt = np.zeros(sum(len(i) for i, _ in numbers), np.int64)
-                        sym = np.full(len(cnt), symbols - 1, np.int32)
-                        for i, c in numbers:
-                            cnt[i] = c
-                        for i, c in symbol:
-                            sym[i] = c
-                        lut = np.log10((cnt + 0.5) / of_all)
-                    texts.append((r["doc_id"], r["held"], ids))
-                    size += len(ids)
-                    if size >= BLOCK_TOKENS:
-                        yield done()
-                        texts, size = [], 0
-        if texts:
-            yield done()
+            ends, k = np.cumsum(b.column("n_tokens").to_numpy()), 0
+            while k < b.num_rows:
+                e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BLOCK_TOKENS, "right")))
+                yield b.slice(k, e - k)
+                k = e
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    word_rows = made.filter("bucket is not null").select("block", "ids", "words").mapInArrow(named, kinds)
-    count_rows = counted.filter("block is not null").selectExpr("block", "0 as kind", "cast(null as long) as doc_id", "cast(null as boolean) as held", "ids", "counts")
-    doc_rows = made.filter("bucket is null").selectExpr("block", "2 as kind", "doc_id", "held", "ids", "cast(null as binary) as counts")
-    every = count_rows.unionByName(word_rows).unionByName(doc_rows)
-    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(scored, out)
+    return table.mapInArrow(scored, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,68 @@ def test_gru_probabilities_sum_to_one():
     assert abs(np.exp(gru.log_probs(w, np.repeat(h, n, 0), np.arange(n))).sum() - 1) < 1e-4
 
 
+def plain_gru(w, doc):
+    """Natural log probability of a document, symbol by symbol in double precision."""
+    w = {k: v.astype(float) for k, v in w.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, size, h, x, total = len(w["embed"]), gru.HIDDEN, np.zeros(gru.HIDDEN), 0, 0.0
+    for y in doc:
+        a, u = w["embed"][x] @ w["inp"] + w["bias"], h @ w["rec"]
+        z, r = sig(a[:size] + u[:size]), sig(a[size : 2 * size] + u[size : 2 * size])
+        new = np.tanh(a[2 * size :] + r * u[2 * size :])
+        h = (1 - z) * new + z * h
+        c, k = (0, 0) if y == n - 1 else (1 + y // gru.WIDTH, y % gru.WIDTH)
+        parts = [(h @ w["cls"] + w["cls_b"], c)] + ([(h @ w["out"][c] + w["out_b"][c], k)] if c else [])
+        total += sum(q[j] - np.log(np.exp(q).sum()) for q, j in parts)
+        x = y
+    return total
+
+
+def test_gru_against_a_plain_one():
+    rng, n = np.random.default_rng(2), 150
+    docs = [np.append(rng.integers(1, n, k), 0).astype("<i4") for k in (0, 1, 5, 40, 200)]
+    w = gru.train(docs, n, np.ones(n), 3)
+    assert np.allclose(gru.score(w, docs, 3, 16), [plain_gru(w, d) for d in docs], rtol=1e-4)
+
+
+def test_gru_gradient():
+    rng, n = np.random.default_rng(3), 90
+    w = gru.fresh(n, np.ones(n))
+    w = {k: (v * 2 if k in ("cls", "out", "rec") else v) for k, v in w.items()}
+    docs = [np.append(rng.integers(1, n, k), 0).astype("<i4") for k in (6, 9)]
+    (x, y, first, of), *more = gru.streams(docs, 2, 32)
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    gru._gradients(w, g, x, y, first, np.zeros((2, gru.HIDDEN), np.float32), of >= 0)
+    assert not more
+    loss = lambda v: -sum(plain_gru(v, d) for d in docs) / sum(map(len, docs))
+    for name, value in w.items():
+        for at in rng.choice(np.flatnonzero(np.abs(g[name]).ravel() > 1e-4), 5):
+            shifted = []
+            for step in (1e-4, -1e-4):
+                v = {k: a.astype(float) for k, a in w.items()}
+                v[name].ravel()[at] += step
+                shifted.append(loss(v))
+            assert abs((shifted[0] - shifted[1]) / 2e-4 - g[name].ravel()[at]) < 1e-3 * max(0.05, np.abs(g[name]).max()), name
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    import random
+
+    r = random.Random(8)
+    follow = {k: [r.randrange(300) for _ in range(3)] for k in range(300)}
+
+    def text():
+        k, out = r.randrange(300), []
+        for _ in range(120):
+            out.append(f"w{k}")
+            k = r.choice(follow[k])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(k, text()) for k in range(700)], "doc_id long, text string")
+    rows = [x for x in lm.score(docs).collect() if x.held_out]
+    assert sum(x.score for x in rows) > sum(x.base_score for x in rows) * 0.9
+
+
 def test_gru_state_is_carried():
     docs = [np.array([3, 5, 7, 9, 0] * 40), np.array([2, 0])]
     w = gru.train(docs, 20, np.ones(20))
