@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import common
-from strandline.llm.pretokens import WHITE, PieceCache, cut
+from strandline.llm.pretokens import WHITE, PieceCache, encoded
 
 #: Entries of each of a worker's caches; a full cache is emptied.
 CACHE = 300_000
@@ -100,13 +100,20 @@ class RankEncoder:
     def encode_pieces(self, text: str) -> bytes:
         return np.array([i for p in self.split(text) for i in self.encode_piece(p.encode())], "<u4").tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.first.__getitem__, self.split(text)))
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        get = self.later.__getitem__
+        parts = [pa.array([], pa.large_binary())]
+        for ids, sizes in encoded(texts, self.first.__getitem__, lambda words: list(map(get, words)), self.whole, "<u4"):
+            offsets = 4 * np.append(0, np.cumsum(sizes)).astype("<i8")
+            parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+        return pa.concat_arrays(parts).cast(pa.binary())
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = cut(text)
-        if words is None:
-            return b"".join(map(self.first.__getitem__, self.split(text)))
-        later = self.later
-        return self.first[words[0]] + b"".join([later[w] for w in words[1:]])
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -125,7 +132,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(make(batch.column(source)))
+            made = make(batch.column(source))
             kept = [(f.name, batch.column(f.name)) for f in batch.schema if f.name != name]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [made], [n for n, _ in kept] + [name])
 
@@ -135,9 +142,8 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> Data
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds column `ids`: the token ids as little-endian unsigned 32-bit integers."""
 
-    def make(column: pa.Array) -> list[bytes]:
-        one = encoder(path, pattern).encode
-        return [one(t.as_py() or "") for t in column]
+    def make(column: pa.Array) -> pa.Array:
+        return encoder(path, pattern).encode_all(column)
 
     return _with(df, ids, T.BinaryType(), text, make)
 
@@ -145,9 +151,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds column `decoded`: the bytes that the ids stand for (null ids: no bytes)."""
 
-    def make(column: pa.Array) -> list[bytes]:
+    def make(column: pa.Array) -> pa.Array:
         one = encoder(path, pattern).decode
-        return [one(t.as_py() or b"") for t in column]
+        return pa.array([one(t.as_py() or b"") for t in column], pa.binary())
 
     return _with(df, decoded, T.BinaryType(), ids, make)
 

@@ -1,18 +1,19 @@
 """Operator 2: token ids as flat binary files with 64-bit document offsets, read by memory map.
 
 Documents are dealt by ranges of doc_id and sorted, so that shard after shard holds them in
-ascending order. Each task encodes its range and writes one shard of three flat files:
+ascending order. Each task encodes its range and writes one shard of four flat files, as it goes:
 
     <shard>.ids      token ids, unsigned 16-bit where the vocabulary allows it, else 32-bit
     <shard>.offsets  n + 1 unsigned 64-bit positions of the documents' first ids, within the shard
-    <shard>.docs     n signed 64-bit doc_ids, then n bytes: 1 where the doc_id is null
+    <shard>.docs     n signed 64-bit doc_ids
+    <shard>.nulls    n bytes: 1 where the doc_id is null
 
 A manifest row for each shard goes through Spark's own commit, so that only files of tasks that
 succeeded count; a lost task writes new files under another name. Each shard's base, the number of
 ids before it, is a prefix sum over the manifest. Reading maps the files and adds the base.
 
 Defined results: null text counts as empty and has just the end id; null doc_ids come first;
-repeated doc_ids stay separate rows, ordered by text; an empty table has no rows; further columns
+repeated doc_ids stay separate rows, ordered by a hash of the text; an empty table has no rows; further columns
 of the input are not stored.
 """
 
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import common
-from strandline.llm.pretokens import PieceCache, cut
+from strandline.llm.pretokens import PieceCache, encoded
 
 CACHE = 1_200_000
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 16 << 20
 _SPACE = re.compile(r"\s")
 _MANIFEST = "part int, path string, docs long, ids long, width int"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
@@ -93,29 +96,28 @@ class FileEncoder:
             out[p] = out[p[:at]] + line + self.first[p[at + 1 :]]
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The texts' ids. Pieces that are not in the cache go to the library together."""
-        get, old = self.later.get, self.later.old
-        rows, gaps = [], {}
-        for t in texts:
-            words = cut(t)
-            if words is None:
-                rows.append([self.one(t)])
-                continue
-            parts = list(map(get, words))
-            parts[0] = self.first[words[0]]
-            if None in parts:
-                for k, part in enumerate(parts):
-                    if part is None:
-                        gaps.setdefault(words[k], []).append((parts, k))
-            rows.append(parts)
-        known = {p: old[p] for p in gaps if p in old}
-        known |= self.pieces([p for p in gaps if p not in known])
-        for p, ids in known.items():
-            self.later.keep(p, ids)
-            for parts, k in gaps.get(p, ()):
-                parts[k] = ids
-        return [b"".join(parts) for parts in rows]
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space; those that are not in the cache go to the library together."""
+        get, old = self.later.get, self.later.old.get
+        out = list(map(get, words))
+        new = []
+        for k, ids in enumerate(out):
+            if ids is None:
+                ids = out[k] = old(words[k])
+                if ids is None:
+                    new.append(k)
+                else:
+                    self.later.keep(words[k], ids)
+        if new:
+            made = self.pieces([words[k] for k in new])
+            for k in new:
+                out[k] = made[words[k]]
+                self.later.keep(words[k], out[k])
+        return out
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of runs of texts their ids one after another, and the number of each text's."""
+        return encoded(texts, self.first.__getitem__, self.known, self.one, f"<u{self.width}")
 
 
 @lru_cache(maxsize=2)
@@ -127,35 +129,39 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards:
     """Writes doc_id and text of docs as shards into `folder`; returns the manifest with bases."""
     spark = docs.sparkSession
     local = common.posix(folder)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not shards:  # of about SHARD_BYTES, and one for each core at least
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = common.partitions_for(spark, size, SHARD_BYTES)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         one, name, part = encoder(tokenizer), None, TaskContext.get().partitionId()
-        end, offsets, docs_, nulls = one.raw([end_id]), [0], [], []
-        out = None
-        for batch in batches:
-            if out is None:
-                os.makedirs(local, exist_ok=True)
-                name = f"{local}/shard-{part:06d}-{uuid.uuid4().hex}"
-                out = open(f"{name}.ids", "wb")  # noqa: SIM115
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, len(keys), 256):
-                for ids in one.encode_all([t.as_py() or "" for t in texts[k : k + 256]]):
-                    out.write(ids)
-                    out.write(end)
-                    offsets.append(offsets[-1] + (len(ids) + len(end)) // one.width)
-            docs_ += [d or 0 for d in keys]
-            nulls += [d is None for d in keys]
-        if out is not None:
-            out.close()
-            np.array(offsets, "<u8").tofile(f"{name}.offsets")
-            with open(f"{name}.docs", "wb") as f:
-                f.write(np.array(docs_, "<i8").tobytes() + np.array(nulls, "u1").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "docs": [len(docs_)], "ids": [offsets[-1]], "width": pa.array([one.width], pa.int32())})
-
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+        files, n, ids_ = [], 0, 0
+        try:
+            for batch in batches:
+                if not files:
+                    os.makedirs(local, exist_ok=True)
+                    name = f"{local}/shard-{part:06d}-{uuid.uuid4().hex}"
+                    files = [open(f"{name}.{kind}", "wb") for kind in ("ids", "offsets", "docs", "nulls")]  # noqa: SIM115
+                    np.zeros(1, "<u8").tofile(files[1])
+                for ids, sizes in one.encode_all(batch.column("text")):
+                    ends = np.cumsum(sizes)
+                    np.insert(ids, ends, end_id).tofile(files[0])
+                    (ids_ + ends + np.arange(1, len(ends) + 1)).astype("<u8").tofile(files[1])
+                    ids_ += int(ends[-1]) + len(ends)
+                keys = batch.column("doc_id")
+                keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tofile(files[2])
+                keys.is_null().to_numpy(zero_copy_only=False).astype("u1").tofile(files[3])
+                n += batch.num_rows
+        finally:
+            for f in files:
+                f.close()
+        if files:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "docs": [n], "ids": [ids_], "width": pa.array([one.width], pa.int32())})
+
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     manifest = common.written(dealt.mapInArrow(shard, _MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -170,13 +176,12 @@ def read(manifest: DataFrame) -> DataFrame:
                 ids = np.memmap(f"{s['path']}.ids", f"<u{s['width']}", "r")
                 offsets = np.memmap(f"{s['path']}.offsets", "<u8", "r")
                 n = s["docs"]
-                keys = np.memmap(f"{s['path']}.docs", "u1", "r")
-                null, keys = keys[8 * n :].astype(bool), keys[: 8 * n].view("<i8")
+                keys, null = np.memmap(f"{s['path']}.docs", "<i8", "r"), np.memmap(f"{s['path']}.nulls", "u1", "r")
                 for k in range(0, n, 512):
                     cuts = offsets[k : k + 513].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.asarray(keys[k : k + 512]), pa.int64(), mask=np.asarray(null[k : k + 512])),
+                            pa.array(np.asarray(keys[k : k + 512]), pa.int64(), mask=null[k : k + 512] == 1),
                             pa.array(cuts[:-1] + s["base"], pa.int64()),
                             pa.array(np.diff(cuts), pa.int64()),
                             pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
