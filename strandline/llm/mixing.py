@@ -64,7 +64,12 @@ def _uniform(doc_id: Column, seed: int) -> Column:
 
 
 def mix(rows: DataFrame, seed: int = 7, **shares) -> DataFrame:
-    """rows as sized() leaves them, with source_size, target, times (whole copies) and taken (words)."""
+    """rows as sized() leaves them, with source_size, target, times (whole copies) and taken (words).
+
+    The other columns travel in one of their own, so none clashes with those that are made on the way.
+    """
+    kept = F.struct(*[c for c in rows.columns if c not in ("source_size", "target", "times", "taken")]).alias("kept")
+    rows = rows.select("doc_id", "source", "size", "level", kept)
     rows = rows.withColumn("key", -F.log(_uniform(F.col("doc_id"), seed)) * LEVELS / F.col("level"))
     by = targets(rows, **shares).withColumnRenamed("source", "s")
     rows = rows.join(by, F.col("source").eqNullSafe(F.col("s")))
@@ -82,7 +87,7 @@ def mix(rows: DataFrame, seed: int = 7, **shares) -> DataFrame:
     rest = F.col("target") - epochs * F.col("source_size")
     times = epochs + F.when((middle <= rest) & (rest > 0), 1).otherwise(0)
     rows = rows.withColumn("times", times.cast("long")).withColumn("taken", F.col("times") * F.col("size"))
-    return rows.drop("s", "b", "base", "bucket", "key")
+    return rows.select("kept.*", "source_size", "target", "times", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def cut(text: str) -> list[str] | None:
 
 
 #: Bytes of text that are cut and looked up at once; longer texts are taken alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def encoded(texts: pa.Array, first: Callable[[str], bytes], later: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -8,14 +8,18 @@ from a keyed digest of that, so that all its spellings and mentions agree (coref
 * digits become digits and letters letters of the same script and case; separators stay;
 * octets keep their number of digits and stay valid; a card that passes the Luhn test passes it again;
   top-level domains, country codes and key prefixes stay; hexadecimal stays hexadecimal;
-* a name keeps its title; given names and surnames get invented ones of the title's gender and script.
+* a name keeps its title; given names and surnames get invented ones of that gender and script.
 
 Secrets, keys and hexadecimal strings reach to the end of their token, however long. Names found with a
 title are replaced in the rest of the same text too, where a capitalised word is one of their parts.
 
 Collision checks: two entities of a kind never share a surrogate, and no surrogate is itself an entity
-of the tables; whoever fails takes the next attempt, until none fails (or ATTEMPTS are used up, which
-only a kind whose whole format space is taken can do: that raises an error).
+of the tables; whoever fails takes the next attempt. Who fails ATTEMPTS times has a format with few free
+values or none: these take the entity that comes next among those of their format, in a keyed order. No
+one else has that as a surrogate, so surrogates stay distinct however full a format is.
+
+A given name's gender is that of the titles it stands after anywhere; with none or with both it is
+neutral. So a name has one surrogate, whatever its title. Names are found by titles alone.
 
 The join back goes over the list of entities of a text, not over documents: texts without entities do
 not move, and equal lists are looked up once. Defined results: null and empty texts stay as they are;
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common
 
-ATTEMPTS = 40
+ATTEMPTS = 12
 
 _SECRET = r"""(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}["']?"""
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -111,7 +115,9 @@ def _invented(script: str, ending: str) -> str:
     p = _PARTS[script]
     pick = [f"element_at({_sql_list(w)}, pmod({_byte(str(k))}, {len(w)}) + 1)" for k, w in enumerate((p["head"], p["middle"], p["head"], p["middle"], p[ending]))]
     long = f"case when attempt > 2 or pmod({_byte('9')}, 2) = 0 then concat({pick[2]}, {pick[3]}) else '' end"
-    return f"concat({pick[0]}, {pick[1]}, {long}, {pick[4]})"
+    # the more attempts, the more syllables: names never run out
+    more = f"case when attempt > 4 then array_join(transform(sequence(1, attempt - 4), i -> element_at({_sql_list([a + b for a in p['head'][:6] for b in p['middle'][:6]])}, pmod({_byte('(10 + i)')}, 36) + 1)), '') else '' end"
+    return f"concat({pick[0]}, {pick[1]}, {long}, {more}, {pick[4]})"
 
 
 def _surrogate() -> str:
@@ -151,6 +157,14 @@ def _parts(surfaces: DataFrame) -> DataFrame:
     return rows.select("surface", "prefix", "place", "body", kind.alias("kind"), norm.alias("norm"))
 
 
+def _settled(parts: DataFrame) -> DataFrame:
+    """Parts whose given names have one gender each."""
+    given = parts.filter("kind like 'given%'").groupBy("norm").agg(F.min(F.when(F.col("kind") != "given_n", F.col("kind"))).alias("low"), F.max(F.when(F.col("kind") != "given_n", F.col("kind"))).alias("high"))
+    one = given.select("norm", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("given_n").alias("settled"))
+    others, names = parts.filter("kind not like 'given%'"), parts.filter("kind like 'given%'").join(one, "norm")
+    return others.unionByName(names.select("surface", "prefix", "place", "body", F.col("settled").alias("kind"), "norm"))
+
+
 def _streamed(rows: DataFrame, key: str) -> DataFrame:
     seed = F.concat_ws("\x1f", F.lit(key), "kind", "norm", F.col("attempt").cast("string"))
     stream = F.concat(*[F.sha2(F.concat_ws("\x1f", seed, F.lit(str(k))), 256) for k in range(4)])
@@ -170,7 +184,15 @@ def assign(norms: DataFrame, key: str) -> DataFrame:
             return judged.drop("bad")
         again = _streamed(judged.filter("bad").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), key)
         now = common.written(judged.filter("not bad").select("kind", "norm", "attempt", "surrogate").unionByName(again), "surrogates")
-    raise ValueError(f"no free surrogates are left after {ATTEMPTS} attempts")
+    # a full format: these take the next entity of their format (if there is another one)
+    turned = F.regexp_replace(F.regexp_replace("norm", r"\p{Nd}", "0"), r"\p{L}", "a")
+    shaped = judged.withColumn("shape", F.when(F.col("kind") == "email", F.concat(turned, F.substring_index("norm", ".", -1))).when(F.col("kind").isin("phone", "iban", "key"), F.concat(F.substring("norm", 1, 4), turned)).otherwise(turned))
+    full = shaped.filter("bad").select("kind", "shape").distinct()
+    order = Window.partitionBy("kind", "shape").orderBy(F.sha2(F.concat_ws("\x1f", F.lit(key), "norm"), 256), "norm")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = shaped.join(full, ["kind", "shape"]).select("kind", "norm", F.coalesce(F.lead("norm").over(order), F.first("norm").over(every)).alias("next"))
+    ended = judged.join(after, ["kind", "norm"], "left").select("kind", "norm", "attempt", F.when(F.col("bad"), F.col("next")).otherwise(F.col("surrogate")).alias("surrogate"))
+    return common.written(ended, "surrogates")
 
 
 def _filled() -> str:
@@ -181,7 +203,8 @@ def _filled() -> str:
     put = rf"case when g rlike '^[\\p{{L}}\\p{{N}}]' then named_struct('out', concat(x.out, {cased}), 'k', x.k + length(g), 'plain', x.plain) else named_struct('out', concat(x.out, g), 'k', x.k, 'plain', x.plain) end"
     shaped = f"aggregate({runs}, named_struct('out', '', 'k', 0, 'plain', {plain}), (x, g) -> {put}, x -> x.out)"
     named = "case when body = upper(body) and length(body) > 1 then upper(surrogate) else initcap(surrogate) end"
-    return f"case when kind like 'given%' or kind = 'surname' then {named} else {shaped} end"
+    # without a letter or digit there is nothing to fill in
+    return f"case when kind like 'given%' or kind = 'surname' then {named} when norm = '' then repeat('x', length(body)) else {shaped} end"
 
 
 def _bare(gaps: str) -> str:
@@ -212,7 +235,7 @@ def replace(docs: DataFrame, key: str = "set a key of your own", text: str = "te
     some = marked.filter("list__ is not null")
     lists = some.select("list__", "entities__").groupBy("list__").agg(F.any_value("entities__").alias("entities__"))
     lists = common.written(lists, "entity-lists")
-    parts = common.written(_parts(lists.select(F.explode("entities__").alias("surface")).distinct()), "entity-parts")
+    parts = common.written(_settled(_parts(lists.select(F.explode("entities__").alias("surface")).distinct())), "entity-parts")
     chosen = assign(parts.select("kind", "norm").distinct(), key)
     words = parts.join(chosen, ["kind", "norm"])
     named = words.filter("kind = 'surname' or kind like 'given%'").select("surface", "kind", "norm", "surrogate")

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from strandline.llm import audio, bpe, common, gru, hnsw, lm, mixing, quality, shingle_join, surrogates, tokenfiles, warc
 
@@ -126,6 +127,11 @@ def test_mix(spark, awkward, empty):
     targets = {r.source: (r.target, r.source_size) for r in rows}
     assert abs(sum(t for t, _ in targets.values()) - sum(r.size for r in rows)) < 1e-6 and all(t <= 3 * s for t, s in targets.values())
     assert mixing.mix(mixing.sized(empty)).count() == 0
+    clash = {c: F.lit(f"{c}!") for c in ("base", "key", "bucket", "b", "s", "source_rows", "n1", "n10", "kept", "weight", "fill")}
+    wide = mixing.mix(mixing.sized(awkward.withColumns(clash)))
+    assert wide.columns == [*awkward.columns, *[c for c in clash if c not in awkward.columns], "size", "level", "source_size", "target", "times", "taken"]
+    assert {tuple(r[c] for c in clash) for r in wide.collect()} == {tuple(f"{c}!" for c in clash)}
+    assert sorted((r.doc_id, r.taken) for r in wide.collect()) == sorted((r.doc_id, r.taken) for r in rows)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     near = mixing.mix(mixing.sized(docs)).groupBy("source", "target").sum("taken").collect()
     most = max(r.size for r in mixing.sized(docs).collect())
@@ -149,6 +155,20 @@ def test_surrogates_stay_distinct(spark):
     assert not {f[0] for f in found} & {f"1.1.1.{k}" for k in range(10)}
 
 
+def test_a_full_format_keeps_surrogates_distinct(spark):
+    ips = [(k, "host {}.{}.{}.{}".format(*f"{k:04d}")) for k in range(6000)] + [(7000, "password=!!!!!!!! end")]
+    rows = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(ips, "doc_id long, text string"), key="k").collect()}
+    assert rows.pop(7000) == "password=xxxxxxxx end"
+    assert len(set(rows.values())) == 6000 and all(re.fullmatch(r"host \d\.\d\.\d\.\d", t) for t in rows.values())
+    assert all(rows[k] != t for k, t in ips[:6000])
+
+
+def test_a_name_has_one_surrogate_whatever_its_title(spark):
+    df = spark.createDataFrame([(1, "Dr. Anna Smith came, Mrs. Anna Smith spoke, Anna Smith and Smith stayed")], "doc_id long, text string")
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came, Mrs\. (\w+) (\w+) spoke, (\w+) (\w+) and (\w+) stayed", surrogates.replace(df, key="k").first().text)
+    assert m and m[1] == m[3] == m[5] != "Anna" and m[2] == m[4] == m[6] == m[7] != "Smith"
+
+
 def test_names_keep_gender_and_surname(spark):
     df = spark.createDataFrame([(1, "Mr. John Smith met Mrs. Anna Smith and Frau Weber.")], "doc_id long, text string")
     t = surrogates.replace(df, key="k").first().text
@@ -343,6 +363,20 @@ def test_pipeline(spark, awkward):
     assert last.count() == docs.count()
 
 
+def test_pipeline_keeps_columns_and_takes_empty_tables(spark, awkward):
+    import corpus_pipeline as c
+
+    extra = {k: F.lit(f"{k}!") for k in ("base", "key", "size", "level", "times", "taken", "target", "n_replaced", "row", "id", "sid", "component_id", "score", "keep", "view", "y")}
+    null = awkward.limit(1).select(*[F.lit(None).cast(t).alias(n) for n, t in awkward.dtypes])
+    for docs in (awkward.unionByName(null).select("doc_id", "text", "lang", "source", "n_chars").withColumns(extra), awkward.limit(0).withColumns(extra)):
+        columns = docs.columns
+        for name, stage in c.STAGES[:-1]:
+            docs = common.written(stage(spark, docs, "/root/testdata/sf0.01"), name)
+            assert docs.columns == columns, name
+            assert all(r[k] == f"{k}!" for r in docs.collect() for k in extra), name
+        assert c.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_near_duplicates_are_decided_by_row(spark):
     import corpus_pipeline as c
 
