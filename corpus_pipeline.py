@@ -13,7 +13,10 @@ from strandline.llm import bpe, common, mixing, quality, shingle_join, surrogate
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts."""
+    """Documents that the co-trained classifier accepts; a row is judged by its own columns, null ones too.
+
+    Equal rows are judged alike, an empty table stays empty, and without labels all are kept.
+    """
     table = quality.features(docs, common.table(spark, sf_dir, "labels"))
     return quality.screen(docs, quality.train(table))
 
@@ -35,22 +38,38 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(gone, "row__", "left_anti").select(*docs.columns)
 
 
+def _packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns a stage needs, and whole rows in row__, so that no further column clashes with a stage's own."""
+    return docs.select(*needed, F.struct(*docs.columns).alias("row__"))
+
+
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data and secrets."""
-    made = surrogates.replace(docs, key="strandline")
+    """All documents, with surrogates for personal data and secrets; n_chars follows the text.
+
+    Null and empty texts stay as they are, equal texts stay equal, repeated rows are all kept.
+    """
+    made = surrogates.replace(_packed(docs, "text"), key="strandline")
+    row = F.col("row__").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return made.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row__.n_chars")))
+    return made.select(row.alias("row__")).select("row__.*").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    rows = mixing.mix(mixing.sized(docs)).filter("times > 0")
-    return rows.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it.
+
+    Texts without words have nothing to take and count as often as their source's other documents do;
+    null is a source of its own; an empty table stays empty.
+    """
+    rows = mixing.mix(mixing.sized(_packed(docs, "doc_id", "source", "text"))).filter("times > 0")
+    return rows.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row__.*").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids (little-endian, 32 bits) and their number."""
+    """Every document with its token ids (little-endian, 32 bits) and their number.
+
+    Null and empty texts have none. Columns of docs that are called ids or n_tokens are replaced.
+    """
     import public_tokenizers as P
 
     coded = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
