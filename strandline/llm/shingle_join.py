@@ -303,7 +303,7 @@ def sets_for(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFram
     if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         bits = None
         to = wanted.join(keys, "sid").groupBy("key").agg(F.collect_list(F.struct("met", "sid", "side")).alias("to"))  # a class's blocks
-        return texts.join(F.broadcast(common.written(to, "wanted")), "key").select("text", "to").mapInArrow(hashed, made)
+        return texts.join(F.broadcast(to), "key").select("text", "to").mapInArrow(hashed, made)
     bits = spark.sparkContext.broadcast(_filter_bits(keys))
     cell = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS)).alias("cell")
     return wanted.join(texts.select(cell, "text").mapInArrow(hashed, made).select("sid", "id", "hashes"), "sid")
@@ -480,7 +480,7 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     one = F.lit(1).cast("long").alias("n")
     ends = found.filter("kind = 0").select(F.col("a").alias("id"), one).union(found.filter("kind = 0").select("b", one)).union(found.filter("kind = 2").select("a", "shared"))
     ends = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
-    some = common.written(whole.withColumnRenamed("node", "id").join(ends, "id", "left"), "linked-classes")
+    some = whole.withColumnRenamed("node", "id").join(ends, "id", "left")
     lows = members.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("low")).join(some, "id", "left")
     lows = common.written(lows.select("id", F.coalesce("component", "id").alias("part"), "low", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
     best = lows.groupBy("part").agg(F.min("low").alias("component_id"))
