@@ -31,19 +31,26 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(text.normalise(c), " "), lambda w: F.length(w) > 0)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value evaluated once a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replace_text(groups: DataFrame, trusted: str, n: str) -> DataFrame:
     """(.., seg_no, text): the trusted text's words over each group's n segments."""
-    return groups.select("*", F.explode(redistributed(words_of(F.col(trusted)), F.col(n))).alias("r")).select(*groups.columns, "r.seg_no", "r.text")
+    return groups.select("*", F.explode(_once(words_of(F.col(trusted)), lambda w: redistributed(w, F.col(n)))).alias("r")).select(*groups.columns, "r.seg_no", "r.text")
 
 
 def merged(sentences: DataFrame, segments: DataFrame, trusted: DataFrame, group: str) -> DataFrame:
     """Sentences (group, seg_no, text) onto segments (group, seg_no) one by one where there are not more
-    sentences than segments; otherwise the words of trusted (group, text) over the segments."""
-    sizes = sentences.groupBy(group).agg(F.count("*").alias("n_text")).join(segments.groupBy(group).agg(F.count("*").cast("int").alias("n_seg")), group)
-    fits = sizes.filter("n_text <= n_seg").select(group)
-    one = sentences.join(segments, [group, "seg_no"]).join(fits, group, "left_semi").select(group, F.col("seg_no").cast("int").alias("seg_no"), "text")
-    more = trusted.join(sizes.filter("n_text > n_seg"), group).select(group, F.col("text").alias("whole"), "n_seg")
-    return one.unionByName(replace_text(more, "whole", "n_seg").select(group, "seg_no", "text"))
+    sentences than segments; otherwise the words of trusted (a row a group: group, text) over the segments."""
+    said = sentences.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("seg_no").cast("long").alias("seg_no"), "text"))).alias("said"))
+    places = segments.groupBy(group).agg(F.collect_set(F.col("seg_no").cast("long")).alias("places"), F.count("*").cast("int").alias("n_seg"))
+    both = said.join(places, group).join(trusted.select(group, F.col("text").alias("whole")), group, "left")
+    fit = F.filter("said", lambda x: F.array_contains("places", x["seg_no"]))
+    one = F.transform(fit, lambda x: F.struct(x["seg_no"].cast("int").alias("seg_no"), x["text"].alias("text")))
+    spread = _once(words_of(F.col("whole")), lambda w: redistributed(w, F.col("n_seg")))
+    return both.select(group, F.explode(F.when(F.size("said") <= F.col("n_seg"), one).otherwise(spread)).alias("r")).select(group, "r.seg_no", "r.text")
 
 
 def gated(groups: DataFrame, original: str, trusted: str, least: float = 0.02) -> Column:

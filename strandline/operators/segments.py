@@ -66,24 +66,25 @@ def split_at_cuts(df: DataFrame, least_us: int = 1_000_000) -> DataFrame:
     A cut counts only least_us after the current start. A part takes a half-even share of the words,
     one at least; the last takes the rest. One part or none keeps the row.
     """
-    words = F.filter(F.split(F.col("text"), " "), lambda w: F.length(w) > 0)
     kind = "array<struct<s:bigint,e:bigint,text:string>>"
     start = F.struct(F.array().cast(kind).alias("out"), F.col("s").alias("at"), F.lit(0).alias("used"))
-    n = F.size(words)
 
-    def add(state: Column, cut: Column) -> Column:
+    def add(words: Column, state: Column, cut: Column) -> Column:
+        n = F.size(words)
         ok = (cut - state["at"] >= least_us) & (cut < F.col("e")) & (state["used"] < n)
         share = F.least(n - state["used"], F.greatest(F.lit(1), F.bround(n * (cut - state["at"]) / (F.col("e") - F.col("s")), 0).cast("int")))
         one = F.struct(state["at"].alias("s"), cut.alias("e"), F.array_join(F.slice(words, state["used"] + 1, share), " ").alias("text"))
         return F.struct(F.when(ok, F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"), F.when(ok, cut).otherwise(state["at"]).alias("at"), F.when(ok, state["used"] + share).otherwise(state["used"]).cast("int").alias("used"))
 
-    def finish(state: Column) -> Column:
+    def finish(words: Column, state: Column) -> Column:
+        n = F.size(words)
         last = F.struct(state["at"].alias("s"), F.col("e").alias("e"), F.array_join(F.slice(words, state["used"] + 1, F.greatest(n - state["used"], F.lit(1))), " ").alias("text"))
         every = F.when(n > state["used"], F.concat(state["out"], F.array(last))).otherwise(state["out"])
         whole = F.array(F.struct(F.col("s").alias("s"), F.col("e").alias("e"), F.col("text").alias("text"))).cast(kind)
         return F.when(F.size(every) > 1, every).otherwise(whole)
 
-    parts = F.aggregate("cuts", start, add, finish)
+    split = F.filter(F.split(F.col("text"), " "), lambda w: F.length(w) > 0)  # once a row, not once a cut
+    parts = F.get(F.transform(F.array(split), lambda w: F.aggregate("cuts", start, lambda x, c: add(w, x, c), lambda x: finish(w, x))), F.lit(0))
     kept = [c for c in df.columns if c not in ("s", "e", "text", "cuts")]
     return df.select(*kept, F.posexplode(parts).alias("part", "p")).select(*kept, "part", "p.s", "p.e", "p.text")
 
@@ -119,3 +120,9 @@ def best_variant(variants: DataFrame, group: str) -> DataFrame:
     n = variants.groupBy(group, "variant").agg(F.count("*").alias("n"))
     best = n.groupBy(group).agg(F.max(F.struct(F.col("n"), -F.col("variant"))).alias("b")).select(group, (-F.col("b.col2")).alias("variant"))
     return variants.join(best, [group, "variant"])
+
+
+def longer_split(first: Column, second: Column) -> Column:
+    """struct(variant, parts): of two arrays of texts the one with more; the first on a tie. No rows are moved."""
+    pick = lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), F.struct(F.lit(2).alias("variant"), x["b"].alias("parts"))).otherwise(F.struct(F.lit(1).alias("variant"), x["a"].alias("parts")))
+    return F.get(F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), pick), F.lit(0))

@@ -147,9 +147,11 @@ _BEST = f"SELECT v.* FROM ({_VARIANTS}) v JOIN (SELECT doc_id, variant FROM (SEL
 
 
 def variants(spark, d):
-    clauses = table(spark, d, "documents").select("doc_id", F.posexplode(text.clauses(F.col("text"))).alias("seg_no", "text"))
-    both = sentence_rows(spark, d).withColumn("variant", F.lit(1)).unionByName(clauses.withColumn("seg_no", F.col("seg_no").cast("long")).withColumn("variant", F.lit(2)))
-    return S.best_variant(both, "doc_id")
+    """Documents' sentences or clauses, whichever are more."""
+    best = S.longer_split(text.sentences(F.col("text")), text.clauses(F.col("text")))
+    rows = table(spark, d, "documents").select("doc_id", best.alias("best"))
+    rows = rows.select("doc_id", F.col("best.variant").alias("variant"), F.posexplode("best.parts").alias("seg_no", "text"))
+    return rows.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "text", "variant")
 
 
 @R.add("A14_best_variant", f"SELECT doc_id, variant, count(*) AS n FROM ({_BEST}) GROUP BY doc_id, variant")
