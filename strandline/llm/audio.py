@@ -8,8 +8,9 @@ of unsigned 8-bit samples, one channel, RATE per second. Features come from the
 * segments by hysteresis: one opens when a frame's energy reaches the upper threshold and closes when
   it falls under the lower one; both are ranks of the file's own energies.
 
-Log-mel tensors are stored with a fixed shape: TILE frames by MELS bands, as Arrow fixed-shape tensors
-(padded with the energy floor), each with its time span. Everything depends on the payload only, so equal
+Log-mel energies are stored in steps of STEP as Arrow fixed-shape tensors of TILE frames by MELS bands
+(padded with the lowest step), each with its time span, in an Arrow stream for each file. The query
+derives its feature from these streams, read back. Everything depends on the payload only, so equal
 texts have equal values. Memory is bounded by one payload, as its frames are made in blocks.
 
 Defined results: null counts as empty, whose payload is 64 zeros; silence has one energy, no segment
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16_000, 3, 4, 16
 FRAME, HOP, FFT, MELS = 200, 80, 256, 32
 UPPER, LOWER = 0.8, 0.5
 TILE = 64
 _FLOOR = 1e-6
+#: Steps in which log-mel energies are stored, and the lowest.
+STEP, LOWEST = 0.1, -14.0
 _BLOCK = 4096
 
-SPANS = "doc_id long, place int, start_s double, end_s double, frames int, logmel array<float>"
-
 
 def payload(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 or (0 if text else 64))
@@ -99,21 +100,21 @@ def _mel() -> np.ndarray:
 
 
 def logmel(x: np.ndarray) -> np.ndarray:
-    """Frames by MELS, rounded to thousandths."""
+    """Frames by MELS, in steps of STEP above LOWEST (0 to 255)."""
     n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
     x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - min(len(x), (n - 1) * HOP + FRAME), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
-    window, out = np.hanning(FRAME).astype(np.float32), np.empty((n, MELS), np.float32)
+    window, out = np.hanning(FRAME).astype(np.float32), np.empty((n, MELS), np.uint8)
     for s in range(0, n, _BLOCK):
         spectrum = np.fft.rfft(frames[s : s + _BLOCK] * window, FFT)
         power = spectrum.real.astype(np.float32) ** 2 + spectrum.imag.astype(np.float32) ** 2
-        out[s : s + _BLOCK] = np.log(power @ _mel() + _FLOOR)
-    return np.round(out, 3)
+        out[s : s + _BLOCK] = np.clip(np.round((np.log(power @ _mel() + _FLOOR) - LOWEST) / STEP), 0, 255)
+    return out
 
 
 def segments(mels: np.ndarray) -> list[tuple[int, int]]:
     """Frame ranges [start, end) by hysteresis over the frames' mean energy."""
-    energy = mels.mean(1)
+    energy = mels.sum(1, dtype=np.int64)
     ranked = np.sort(energy)
     high, low = (ranked[min(len(ranked) - 1, int(p * len(ranked)))] for p in (UPPER, LOWER))
     if high <= ranked[0]:
@@ -126,12 +127,33 @@ def segments(mels: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def analysed(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
-    """Payload, log-mel energies and segments of a stored file."""
-    data = samples_of(media)
-    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    mels = logmel(resampled(x))
-    return data, mels, segments(mels)
+def spans(n: int) -> list[tuple[float, float, int]]:
+    """Start, end and frames of the tiles of n frames."""
+    step = HOP * DOWN / (RATE * UP)
+    return [(k * step, min(n, k + TILE) * step, min(n, k + TILE) - k) for k in range(0, n, TILE)]
+
+
+def tensors(mels: np.ndarray) -> bytes:
+    """An Arrow stream of start_s, end_s, frames and logmel, a fixed-shape tensor, a row a tile."""
+    rows = spans(len(mels))
+    full = np.zeros((len(rows) * TILE, MELS), np.uint8)
+    full[: len(mels)] = mels
+    batch = pa.RecordBatch.from_arrays([*[pa.array(c) for c in zip(*rows)], pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(-1, TILE, MELS))], ["start_s", "end_s", "frames", "logmel"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(stream: bytes) -> tuple[np.ndarray, list[tuple[float, float, int]]]:
+    """Log-mel energies and tiles of such a stream; raises where shape or spans are not as they should be."""
+    batch = pa.ipc.open_stream(stream).read_next_batch()
+    column = batch.column("logmel")
+    rows = list(zip(*(batch.column(c).to_pylist() for c in ("start_s", "end_s", "frames"))))
+    n = sum(f for _, _, f in rows)
+    if list(column.type.shape) != [TILE, MELS] or rows != spans(n):
+        raise ValueError("not the tensors of one file")
+    return column.to_numpy_ndarray().reshape(-1, MELS)[:n], rows
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -147,56 +169,51 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return common.written(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def tiles(media: DataFrame) -> DataFrame:
-    """The log-mel tensors of TILE frames, with their time spans: SPANS, arrays of fixed length."""
+_STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary"
+_DIGEST = _STORED.replace("tensors binary", "feature string")
+
+
+def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
+    """A row of schema for each row, by make(row as a dict)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = HOP * DOWN / (RATE * UP)
         for b in batches:
-            for key, file in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()):
-                mels = analysed(file)[1]
-                n = -(-len(mels) // TILE)
-                full = np.concatenate([mels, np.full((n * TILE - len(mels), MELS), np.log(_FLOOR), np.float32)])
-                tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, TILE, MELS))
-                size = [min(TILE, len(mels) - k * TILE) for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([k * TILE * step for k in range(n)]), pa.array([(k * TILE + s) * step for k, s in enumerate(size)]), pa.array(size, pa.int32()), tensor.storage.cast(pa.list_(pa.float32()))],
-                    ["doc_id", "place", "start_s", "end_s", "frames", "logmel"],
-                )
-
-    return media.select("doc_id", "media").mapInArrow(run, SPANS)
-
-
-def summary(mels: np.ndarray, found: list[tuple[int, int]]) -> str:
-    """frames; mean band energies; segments and seconds in them; a digest of all energies and spans."""
-    step = HOP * DOWN / (RATE * UP)
-    spans = ",".join(f"{a * step:.3f}-{b * step:.3f}" for a, b in found)
-    digest = hashlib.sha256(mels.astype("<f4").tobytes() + spans.encode()).hexdigest()[:16]
-    means = ",".join(f"{v:.2f}" for v in mels.astype(float).mean(0))
-    return f"frames={len(mels)};mel={means};segments={len(found)};active={sum(b - a for a, b in found) * step:.3f};digest={digest}"
+            for k in range(0, b.num_rows, 500):
+                cols = list(zip(*map(make, b.slice(k, 500).to_pylist())))
+                if cols:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
+    return rows.mapInArrow(run, schema)
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+def analysed(media: DataFrame) -> DataFrame:
+    """Of each stored file what was read back of it and its log-mel tensors: _STORED; written."""
 
-def digests(media: DataFrame) -> DataFrame:
-    """A row for each stored file: what was read back, and its features."""
+    def make(r: dict) -> tuple:
+        file = r["media"]
+        data = samples_of(file)
+        mels = logmel(resampled((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128))
+        return r["doc_id"], r["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(file), hashlib.sha256(file).hexdigest(), tensors(mels)
+
+    return common.written(_mapped(media, _STORED, make), "tensors")
+
+
+def summary(mels: np.ndarray, tiles: list[tuple[float, float, int]]) -> str:
+    """frames and tiles; mean band energies; segments and seconds in them; a digest of all energies and spans."""
+    step, found = HOP * DOWN / (RATE * UP), segments(mels)
+    times = ",".join(f"{a * step:.4f}-{b * step:.4f}" for a, b in found)
+    digest = hashlib.sha256(mels.tobytes() + times.encode()).hexdigest()[:16]
+    means = ",".join(f"{v * STEP + LOWEST:.2f}" for v in mels.mean(0))
+    return f"frames={len(mels)};tiles={len(tiles)};end={tiles[-1][1]:.4f};mel={means};segments={len(found)};active={sum(b - a for a, b in found) * step:.4f};digest={digest}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _DIGEST.split(", ")]
-        for b in batches:
-            rows = []
-            for key, n, file in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media")):
-                file = file.as_py()
-                data, mels, found = analysed(file)
-                rows.append((key, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(file), hashlib.sha256(file).hexdigest(), summary(mels, found)))
-            cols = list(zip(*rows)) or [()] * len(names)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return media.mapInArrow(run, _DIGEST)
+def digests(stored: DataFrame) -> DataFrame:
+    """A row for each stored file: what was read back, and the features that its tensors give."""
+    return _mapped(stored, _DIGEST, lambda r: (*list(r.values())[:-1], summary(*opened(r["tensors"]))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: every text as a stored payload, read back, with its features."""
-    return digests(store(common.table(spark, sf_dir, "documents")))
+    """op8: every text as a stored payload and its stored tensors, read back, with its features."""
+    return digests(analysed(store(common.table(spark, sf_dir, "documents"))))

@@ -322,16 +322,50 @@ def test_nearest_against_brute_force(spark):
 
 def test_audio(spark, awkward, empty):
     media = audio.store(awkward)
-    got = {r.doc_id: r for r in audio.digests(media).collect()}
+    stored = audio.analysed(media)
+    got = {r.doc_id: r for r in audio.digests(stored).collect()}
     for r in awkward.collect():
         raw = (r.text or "").encode()
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         g = got[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert got[6].feature == got[7].feature and len(got) == 12
-    tiles = audio.tiles(media).collect()
-    assert all(len(t.logmel) == audio.TILE * audio.MELS and t.end_s > t.start_s for t in tiles)
-    assert audio.digests(audio.store(empty)).count() == 0
+    for r in stored.collect():
+        mels, tiles = audio.opened(bytes(r.tensors))
+        assert mels.shape == (sum(f for *_, f in tiles), audio.MELS) and got[r.doc_id].feature == audio.summary(mels, tiles)
+    assert audio.digests(audio.analysed(audio.store(empty))).count() == 0
+
+
+def test_audio_against_plain_versions():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.3, 3001).astype(np.float32)
+    n, h = audio.UP * audio.TAPS, audio._phases().T.ravel().astype(float)
+    up = np.zeros(len(x) * audio.UP)
+    up[:: audio.UP] = x
+    direct = np.convolve(up, h)[:: audio.DOWN][: -(-len(x) * audio.UP // audio.DOWN)]
+    assert len(h) == n and audio.UP > 1 and np.allclose(audio.resampled(x), direct, atol=1e-5)
+
+    got, rate = audio.logmel(x), audio.RATE * audio.UP / audio.DOWN
+    at = np.arange(audio.FFT // 2 + 1) * rate / audio.FFT
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + rate / 1400), audio.MELS + 2) / 2595) - 1)
+    for k in (0, 7, len(got) - 2):
+        frame = x[k * audio.HOP :][: audio.FRAME] * np.hanning(audio.FRAME)
+        power = np.abs(np.array([np.sum(frame * np.exp(-2j * np.pi * f * np.arange(audio.FRAME) / audio.FFT)) for f in range(len(at))])) ** 2
+        bands = [np.sum(power * np.interp(at, edges[m : m + 3], [0, 1, 0])) for m in range(audio.MELS)]
+        want = (np.log(np.array(bands) + 1e-6) - audio.LOWEST) / audio.STEP
+        assert np.abs(got[k] - want).max() <= 0.51
+
+    mels = rng.integers(0, 200, (400, audio.MELS)).astype(np.uint8)
+    energy = mels.sum(1, dtype=int)
+    ranked, open_, found = np.sort(energy), None, []
+    high, low = ranked[int(audio.UPPER * 400)], ranked[int(audio.LOWER * 400)]
+    for k, e in enumerate(energy):
+        if open_ is None and e >= high:
+            open_ = k
+        elif open_ is not None and e < low:
+            found.append((open_, k))
+            open_ = None
+    assert audio.segments(mels) == found + ([(open_, 400)] if open_ is not None else [])
 
 
 def test_warc(spark):
