@@ -40,17 +40,48 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(
 _LINE = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|li|tr|table|article|section|header|footer|nav|blockquote|pre|title|head|body|main|aside)|br|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _BLANKS, _LINES = re.compile(r"[ \t\r\f\v]+"), re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title[^>]*>", re.I), re.compile(r"</title", re.I)
+_HTML, _LANG = re.compile(r"<html[^>]*>", re.I), re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_ANCHOR, _HREF, _VALUE = re.compile(r"<a\b[^>]*>", re.I), re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)")
+
+# Patterns of whole tags only see a page up to its last ">": a tag that begins there ends there too, so
+# every page is read in linear time, tags that are never closed as well.
 
 
 def plain(page: str) -> str:
     """The visible text of a page, a line for each block element."""
-    page = _TAG.sub("", _LINE.sub("\n", _HIDDEN.sub(" ", page)))
+    page = _HIDDEN.sub(" ", page)
+    last = page.rfind(">") + 1
+    page = _TAG.sub("", _LINE.sub("\n", page[:last])) + page[last:]
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(page))).strip()
 
 
+def title(page: str) -> str:
+    start = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = _TITLE_END.search(page, start.end()) if start else None
+    inner = page[start.end() : end.start()] if end else ""
+    last = inner.rfind(">") + 1
+    return html.unescape(_TAG.sub("", inner[:last]) + inner[last:])
+
+
+def language(page: str) -> str:
+    for tag in _HTML.finditer(page, 0, page.rfind(">") + 1):
+        if found := _LANG.search(page, tag.start(), tag.end()):
+            return found[1]
+    return ""
+
+
+def links(page: str) -> list[str]:
+    """The targets of a page's anchors; of several in one, the last."""
+    out = []
+    for tag in _ANCHOR.finditer(page, 0, page.rfind(">") + 1):
+        for at in reversed(list(_HREF.finditer(page, tag.start(), tag.end()))):
+            if value := _VALUE.match(page, at.end()):
+                out.append(html.unescape(value[1] or value[2] or value[3] or ""))
+                break
+    return out
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -81,9 +112,7 @@ def derived(head: dict[str, str], block: bytes) -> list[tuple[dict[str, str], by
     page = body.decode("utf-8", "replace")
     source, uri = head["WARC-Record-ID"], head.get("WARC-Target-URI")
     names = {t: _id(t, source, head["WARC-Block-Digest"]) for t in ("metadata", "conversion")}
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [("title", html.unescape(_TAG.sub("", title[1])) if title else ""), ("language", lang[1] if lang else "")]
-    fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(page)]
+    fields = [("title", title(page)), ("language", language(page)), *[("outlink", x) for x in links(page)]]
     fields += [("http-status", http.split(b"\r\n")[0].decode("latin-1"))]
     for row in http.decode("latin-1").split("\r\n")[1:]:
         name, _, value = row.partition(":")

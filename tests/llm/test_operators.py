@@ -383,6 +383,42 @@ def test_warc(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_reads_any_page_in_linear_time():
+    import time
+
+    page = '<HTML lang="de"><title>A <b>b</b> &amp; c</title><a class=x href="/one">1</a><a href=\'/t>wo\' x>2</a><p>Hi <br>there <a'
+    assert (warc.title(page), warc.language(page), warc.links(page)) == ("A b & c", "de", ["/one", "/t>wo"])
+    assert warc.plain(page).splitlines()[-1].strip() == "there <a"
+    began = time.time()
+    for piece in ("<a", "<title>", "<html ", "<a href=", "<p", "<script", "<!-", "<a href=' ", "<title", "</title"):
+        big = piece * (2_000_000 // len(piece))
+        for text in (big, big + ">"):
+            warc.plain(text), warc.title(text), warc.language(text), warc.links(text)
+    assert time.time() - began < 60
+
+
+def test_warc_files_by_a_plain_parser(spark):
+    import gzip
+
+    rows = [(1, "http://a.org/x", "<title>T</title>Text"), (2, None, None), (3, "http://b.org", "&#x110000; &bad; \ud7ff <a href=/l>l</a>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("headers", F.lit("h")).withColumn("block", F.lit("b"))
+    files = warc.write(warc.derive(warc.responses(pages)), common.scratch_path(spark, "warc-test")).collect()
+    seen = []
+    for f in files:
+        with gzip.open(f.path) as z:
+            data = z.read()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            size = int(fields[b"Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+            seen.append((fields[b"X-Page-ID"], fields[b"WARC-Type"], fields.get(b"WARC-Target-URI"), rest[:size]))
+            data = rest[size + 4 :]
+    assert sorted((p, t) for p, t, _, _ in seen) == sorted((str(k).encode(), t) for k in (1, 2, 3) for t in (b"conversion", b"metadata"))
+    assert (b"1", b"conversion", b"http://a.org/x", b"T\nText") in seen or (b"1", b"conversion", b"http://a.org/x", b"TText") in seen
+    assert any(p == b"3" and b"outlink: /l\r\n" in x for p, _, _, x in seen)
+
+
 def test_pipeline(spark, awkward):
     import corpus_pipeline as c
 
