@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 ENDINGS = ".!?;。！？；"
 CLAUSES = "," + ENDINGS
 INTONED = "!?！？"
-SUPPORTED = (".mp3", ".wav", ".m4a", ".flac", ".aac", ".ogg", ".wma", ".mp4")
+SUPPORTED = (".wav", ".mp3", ".m4a", ".wma", ".aac", ".flac", ".ogg", ".mp4")
 
 _BLANKS = r"[ \t\r\n\f]+"
 
