@@ -107,6 +107,14 @@ def preview(df: DataFrame, group: str, most: int = 8, ends: int = 3) -> DataFram
     return df.withColumn("n", n).filter((F.col("n") <= most) | (F.col("seg_no") < ends) | (F.col("seg_no") >= F.col("n") - ends))
 
 
+def listed(df: DataFrame, group: str, name: str, most: int = 5, first: int = 3) -> DataFrame:
+    """Names in order of seg_no: all of groups of at most `most`, else the first ones and a line "n more"."""
+    n = F.count("*").over(Window.partitionBy(group))
+    rows = df.select(group, "seg_no", F.col(name).cast("string").alias("line"), n.alias("n")).filter((F.col("n") <= most) | (F.col("seg_no") <= first))
+    line = F.when((F.col("n") > most) & (F.col("seg_no") == first), F.concat((F.col("n") - first).cast("string"), F.lit(" more"))).otherwise(F.col("line"))
+    return rows.select(group, "seg_no", line.alias("line"))
+
+
 def summary(df: DataFrame, group: str) -> DataFrame:
     """Number, last end and durations of each group, and whether it needs more splitting."""
     d = F.col("e") - F.col("s")

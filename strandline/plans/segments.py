@@ -109,6 +109,14 @@ def preview(spark, d):
     return S.preview(segment_rows(spark, d), "user_id").select("user_id", "seg_no", "n")
 
 
+@R.add("W12_listed", """SELECT brand, seg_no, CASE WHEN n > 5 AND seg_no = 3 THEN (n - 3) || ' more' ELSE name END AS line FROM (
+    SELECT p_brand AS brand, p_name AS name, row_number() OVER w - 1 AS seg_no, count(*) OVER (PARTITION BY p_brand) AS n FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_name, p_partkey)) WHERE n <= 5 OR seg_no <= 3""")
+def listed(spark, d):
+    """Names of each brand's parts, long lists cut short."""
+    place = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")) - 1).cast("long")
+    return S.listed(table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_name", place.alias("seg_no")), "brand", "p_name")
+
+
 _SUM = f"SELECT user_id, count(*) AS n, max(e) AS end_us, avg(e - s) AS mean_us, min(e - s) AS least_us, max(e - s) AS most_us FROM ({_SEG}) GROUP BY user_id"
 
 

@@ -107,8 +107,19 @@ def counter(spark, d):
     return rows.withColumn("start_at", F.col("start_at").cast("timestamp_ntz")).select(F.expr(_US).alias("start_us"), "chunks", F.col("bytes").cast("long").alias("bytes"))
 
 
-@R.add("X11_sessions", """SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g""")
+_SESSIONS = """SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g"""
+
+
+@R.add("X11_sessions", _SESSIONS)
 def sessions(spark, d):
     rows = Z.session_windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
     return rows.withColumn("start_at", F.col("start_at").cast("timestamp_ntz")).select("user_id", F.expr(_US).alias("start_us"), "n")
+
+
+@R.add("X11_repeated", _SESSIONS)
+def repeated(spark, d):
+    """Sessions of events that all arrive twice."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = Z.session_windows(rows.unionByName(rows), "user_id", "ts", key="event_id")
+    return found.withColumn("start_at", F.col("start_at").cast("timestamp_ntz")).select("user_id", F.expr(_US).alias("start_us"), "n")

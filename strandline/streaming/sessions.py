@@ -66,9 +66,12 @@ def counted(df: DataFrame, ts: str, size: str, width: str = "10 minutes", slide:
     return out.select(F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "chunks", "bytes")
 
 
-def session_windows(df: DataFrame, group: str, ts: str, idle: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions by idle time, without rows repeated within the watermark."""
-    out = df.withWatermark(ts, late).groupBy(F.session_window(ts, idle).alias("w"), group).agg(F.count("*").alias("n"))
+def session_windows(df: DataFrame, group: str, ts: str, idle: str = "30 minutes", late: str = "1 hour", key: str | None = None) -> DataFrame:
+    """Sessions by idle time. With key, rows that repeat one count once: in a stream within the watermark."""
+    rows = df.withWatermark(ts, late)
+    if key:
+        rows = rows.dropDuplicatesWithinWatermark([key]) if df.isStreaming else rows.dropDuplicates([key])
+    out = rows.groupBy(F.session_window(ts, idle).alias("w"), group).agg(F.count("*").alias("n"))
     return out.select(group, F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "n")
 
 
