@@ -58,6 +58,28 @@ def gated(groups: DataFrame, original: str, trusted: str, least: float = 0.02) -
     return F.when(text.punctuation_ratio(F.col(original)) < least, F.col(trusted)).otherwise(F.col(original))
 
 
+def gated_segments(segments: DataFrame, trusted: DataFrame, group: str, least: float = 0.02) -> DataFrame:
+    """Segments (group, seg_no, text): where a group's joined text has too little punctuation, the words of
+    trusted (a row a group: group, text) over its segments, else as they are. Groups without trusted text stay."""
+    said = segments.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("seg_no").cast("int").alias("seg_no"), "text"))).alias("said"))
+    both = said.join(trusted.select(group, F.col("text").alias("whole")), group, "left")
+    low = (text.punctuation_ratio(F.array_join(F.col("said.text"), " ")) < least) & F.col("whole").isNotNull()
+    spread = _once(words_of(F.col("whole")), lambda w: redistributed(w, F.size("said")))
+    return both.select(group, F.explode(F.when(low, spread).otherwise(F.col("said"))).alias("r")).select(group, "r.seg_no", "r.text")
+
+
+def dispatched(mode: str, sentences: DataFrame, segments: DataFrame, trusted: DataFrame, group: str) -> DataFrame:
+    """Texts of segments (group, seg_no, text) under a mode: replaced, merged with sentences, or replaced
+    only where the gate finds too little punctuation."""
+    name = mode_of(mode)
+    if name == "merge":
+        return merged(sentences, segments, trusted, group)
+    if name == "fallback":
+        return gated_segments(segments, trusted, group)
+    sized = segments.groupBy(group).agg(F.count("*").cast("int").alias("n"))
+    return replace_text(trusted.select(group, F.col("text").alias("whole")).join(sized, group), "whole", "n").select(group, "seg_no", "text")
+
+
 MODES = {"replace": "replace", "merge": "merge", "fallback": "fallback"}
 
 

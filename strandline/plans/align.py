@@ -82,6 +82,36 @@ def modes(spark, d):
     return run("unknown").withColumn("mode", F.lit("replace")).unionByName(run("fallback").withColumn("mode", F.lit("fallback")))
 
 
+_LINED = f"SELECT doc_id, string_agg(line, ' ' ORDER BY line_no) AS text, count(*)::INT AS n FROM ({_LINES}) GROUP BY doc_id"
+_LOW = f"SELECT doc_id, n FROM ({_LINED}) WHERE {_RATIO} < 0.02"
+_OVER_LINES = _spread(f"SELECT doc_id, {_WORDS} AS w, n FROM documents JOIN (SELECT doc_id, n FROM ({_LINED})) USING (doc_id)", "doc_id", "n")
+_FALLBACK = f"""SELECT doc_id, line_no::INT AS seg_no, line AS text FROM ({_LINES}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_LOW}))
+    UNION ALL SELECT * FROM ({_OVER_LINES}) WHERE doc_id IN (SELECT doc_id FROM ({_LOW}))"""
+_LINE_MERGE = f"""SELECT s.doc_id, s.seg_no::INT AS seg_no, s.text FROM ({_SENTENCES}) s JOIN ({_LINES}) g ON g.doc_id = s.doc_id AND g.line_no = s.seg_no
+    JOIN (SELECT doc_id, count(*) AS k FROM ({_SENTENCES}) GROUP BY 1) c ON c.doc_id = s.doc_id JOIN ({_LINED}) l ON l.doc_id = s.doc_id WHERE k <= n
+    UNION ALL SELECT * FROM ({_OVER_LINES}) WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, count(*) AS k FROM ({_SENTENCES}) GROUP BY 1) JOIN ({_LINED}) USING (doc_id) WHERE k > n)"""
+
+
+def _lines(spark, d):
+    return line_rows(spark, d).select("doc_id", F.col("line_no").alias("seg_no"), F.col("line").alias("text"))
+
+
+@R.add("J08_grouped", _FALLBACK)
+def gated_lines(spark, d):
+    """Documents' lines, with the whole text's words over them where they have too little punctuation."""
+    return A.gated_segments(_lines(spark, d), table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+@R.add("J09_dispatch", f"SELECT 'merge' AS mode, * FROM ({_LINE_MERGE}) UNION ALL SELECT 'fallback', * FROM ({_FALLBACK}) UNION ALL SELECT 'no such mode', * FROM ({_OVER_LINES})")
+def dispatched(spark, d):
+    """The same lines under each mode; one without a meaning replaces."""
+    docs, out = table(spark, d, "documents").select("doc_id", "text"), None
+    for name in ("merge", "fallback", "no such mode"):
+        rows = A.dispatched(name, sentence_rows(spark, d), _lines(spark, d), docs, "doc_id").select(F.lit(name).alias("mode"), "doc_id", "seg_no", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @R.add("J12_compare", f"""SELECT doc_id, seg_no, coalesce(a.text, 'none') AS was, coalesce(b.text, 'none') AS now FROM (SELECT doc_id, line_no AS seg_no, line AS text FROM ({_LINES})) a
     FULL JOIN ({_TURNS}) b USING (doc_id, seg_no)""")
 def compared(spark, d):
