@@ -300,13 +300,17 @@ def test_gru_state_is_carried():
     assert np.allclose(gru.score(w, docs, 1, 7), gru.score(w, docs, 2, 500), rtol=1e-4)
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize(("each", "spread"), [(4096, 1.0), (300, 1.0), (300, 0.05)])
+def test_nearest_against_brute_force(spark, monkeypatch, each, spread):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", each)  # 300: at least ten shards
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 8)).astype("<f4")
+    x = (rng.normal(size=(6, 8))[rng.integers(0, 6, 3000)] * 3 + spread * rng.normal(size=(3000, 8))).astype("<f4")
     x[5:40] = x[4]
     rows = [(k, x[k].tolist()) for k in range(len(x))] + [(9000, None), (9100, [0.0] * 8), (9200, [float("nan")] * 8), (9300, [1.0, None] * 4), (0, x[0].tolist())]
     v = hnsw.valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = hnsw.nearest(hnsw.build(v, 10), v.filter("vec_id % 100 = 0 or vec_id = 7"), 10).collect()
+    index = hnsw.build(v, 10)
+    assert (index[0].count() >= 10) == (each == 300) and index[0].agg({"rows": "sum"}).first()[0] == 2965
+    got = hnsw.nearest(index, v.filter("vec_id % 100 = 0 or vec_id = 7"), 10).collect()
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -320,6 +324,13 @@ def test_nearest_against_brute_force(spark):
     assert hnsw.nearest(hnsw.build(v.limit(0), 10), v.limit(0), 10).count() == 0
 
 
+def test_nearest_among_vectors_of_several_lengths(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(30)] + [(100 + k, [1.0] * (3 + k)) for k in range(3)] + [(200, [1.0] * 3), (201, [2.0] * 3)]
+    v = hnsw.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("c")).withColumn("ids", F.lit("i")))
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in hnsw.nearest(hnsw.build(v, 2), v.filter("vec_id in (0, 100, 101)"), 2).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 2.0), (100, 1, 200, 0.0), (100, 2, 201, round(3**0.5, 6))]
+
+
 def test_audio(spark, awkward, empty):
     media = audio.store(awkward)
     stored = audio.analysed(media)
