@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.order import numbered
+
 
 def grouped(items: DataFrame, group: str) -> DataFrame:
     """Groups with their size and their ordinal by key."""
     sizes = items.groupBy(group).agg(F.count("*").alias("n"))
-    return sizes.withColumn("ordinal", F.row_number().over(Window.orderBy(group)).cast("long"))  # a row a group
+    return numbered(sizes, "ordinal", group)
 
 
 def outcomes(items: DataFrame, group: str, status: Column, started: str) -> DataFrame:

@@ -32,12 +32,21 @@ def _deletions(c):
     return F.array_distinct(F.concat(F.array(c), drop))
 
 
-def suggestions(forms: DataFrame, dictionary: DataFrame, swaps: DataFrame, most: int = 5) -> DataFrame:
+def _deleted(c, reach: int):
+    """A word, and it without up to `reach` of its characters."""
+    for step in range(reach):
+        c = F.array_distinct(F.flatten(F.transform(c, _deletions))) if step else _deletions(c)
+    return c
+
+
+def suggestions(forms: DataFrame, dictionary: DataFrame, swaps: DataFrame, most: int = 5, reach: int = 1) -> DataFrame:
     """For each form, up to `most` dictionary forms: those that a swap (src, dst) gives first, then those
-    at edit distance 1, by form. Words meet by shared deletions, so no pair is tried without a key."""
-    left = forms.select(F.col("form").alias("bad"), F.explode(_deletions(F.col("form"))).alias("key"))
-    right = dictionary.select("form", F.explode(_deletions(F.col("form"))).alias("key"))
-    near = left.join(right, "key").filter(F.levenshtein("bad", "form", 1) == 1).select("bad", "form", F.lit(1).alias("class")).distinct()
+    at edit distances up to `reach`, nearer first, then by form. Words meet by shared deletions of as many
+    characters, so no pair is tried without a key."""
+    left = forms.select(F.col("form").alias("bad"), F.explode(_deleted(F.col("form"), reach)).alias("key"))
+    right = dictionary.select("form", F.explode(_deleted(F.col("form"), reach)).alias("key"))
+    met = left.join(right, "key").select("bad", "form").distinct().withColumn("class", F.levenshtein("bad", "form", reach))
+    near = met.filter(F.col("class").between(1, reach))
     pairs = [(r["src"], r["dst"]) for r in swaps.collect()]  # a table of rules, as small as its language
     tried = F.array(*[F.when(F.contains("form", F.lit(a)), F.replace("form", F.lit(a), F.lit(b))) for a, b in pairs])
     swapped = forms.select(F.col("form").alias("bad"), F.explode(F.array_distinct(F.array_compact(tried))).alias("form"))

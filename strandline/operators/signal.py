@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.order import running
+
 
 def samples(df: DataFrame, series: str, array: str) -> DataFrame:
     return df.select(F.col(series).alias("series"), F.posexplode(array).alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
@@ -93,6 +95,11 @@ def timeline(items: DataFrame, group: str, length: str, *order: str, gap: int =
     return items.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
+def concatenated(items: DataFrame, length: str, *order: str, gap: int = 1) -> DataFrame:
+    """Adds start, as timeline() does, over all items as one group."""
+    return running(items, (F.col(length) + gap).cast("long"), "start", *order)
+
+
 def contained(rows: DataFrame, spans: DataFrame, bucket: int = 16) -> DataFrame:
     """Samples within spans (series, span, a, b), a <= idx < b: an equi-join on coarse time, then exact."""
     wide = spans.filter("b > a").withColumn("slot", F.explode(F.sequence(F.expr(f"a div {bucket}"), F.expr(f"(b - 1) div {bucket}"))))

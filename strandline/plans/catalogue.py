@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.operators import catalogue as C
+from strandline.operators.order import numbered
 from strandline.plans.base import Registry, table
 from strandline.plans.segments import _SPLITTABLE
 
@@ -76,7 +78,7 @@ def attach(spark, d):
 
 @R.add("O01_sorted", "SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part")
 def ordered(spark, d):
-    return table(spark, d, "part").select("p_name", "p_partkey", F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("long").alias("place"))
+    return numbered(table(spark, d, "part").select("p_name", "p_partkey"), "place", "p_name", "p_partkey")
 
 
 @R.add("O02_top_keys", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 30")

@@ -33,7 +33,7 @@ def suggest(spark, d):
     words = token_rows(table(spark, d, "documents").select("doc_id", "text"))
     known = dictionary(spark, d)
     bad = L.unknown(words, known).select("form").distinct()
-    return L.suggestions(bad, known, spark.createDataFrame(_SWAPS, "src string, dst string"))
+    return L.suggestions(bad, known, spark.createDataFrame(_SWAPS, "src string, dst string"), reach=2)
 
 
 _RULES = [

@@ -122,6 +122,16 @@ def formats(spark, d):
     return a.join(b, [*same, F.col("a.p_partkey") < F.col("b.p_partkey")]).select("a.p_partkey", F.col("b.p_partkey").alias("other"))
 
 
+@R.add("P12_classes", "SELECT p_partkey, min(p_partkey) OVER w AS class, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size)")
+def format_classes(spark, d):
+    """Parts of equal formats by their class, whose name is its smallest key: no pairs, and a hot class
+    is summed up before it is shuffled."""
+    rows, formats = table(spark, d, "part"), ("p_brand", "p_type", "p_size")
+    classes = rows.groupBy(*formats).agg(F.min("p_partkey").alias("class"), F.count("*").alias("n")).alias("c")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in formats]
+    return rows.alias("r").join(classes, same).select("r.p_partkey", "c.class", "c.n")
+
+
 @R.add("P13_short", "SELECT vec_id, CASE WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) / 640.0 < 0.1 THEN 'too short' WHEN embedding[1] < -0.1 THEN 'quiet' ELSE 'ok' END AS verdict FROM embeddings")
 def short(spark, d):
     n = F.size("embedding")

@@ -106,4 +106,4 @@ def padding(spark, d):
 def concat(spark, d):
     lengths = table(spark, d, "embeddings").select(F.col("vec_id").alias("series"), F.size("embedding").alias("n"))
     both = lengths.filter("series % 2 = 0").withColumn("source", F.lit(0)).unionByName(lengths.filter("series % 2 <> 0").withColumn("source", F.lit(1)))
-    return G.timeline(both.withColumn("one", F.lit(1)), "one", "n", "source", "series", gap=64).select("series", "source", "start")
+    return G.concatenated(both, "n", "source", "series", gap=64).select("series", "source", "start")

@@ -35,21 +35,48 @@ def gated(df: DataFrame, group: str, order: list[str], size: str, chunks: int =
     return df.withColumn("released", open_ | (F.lit(False) if complete is None else complete))
 
 
-def buffered(df: DataFrame, group: str, order: list[str], size: str, room: int, drained: int) -> DataFrame:
+def buffered(df: DataFrame, group: str, order: list[str], size: str, room: int, drained: int, policy: str = "drop", piece: int = 4096) -> DataFrame:
     """A bounded buffer for each session, drained by `drained` bytes before every chunk: rows with the
-    fill after them and `dropped` where a chunk did not fit."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("size")))).alias("chunks"))
-    kind = "array<struct<fill:bigint,dropped:boolean>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("long").alias("fill"))
-
-    def add(s: Column, c: Column) -> Column:
-        free = F.greatest(F.lit(0).cast("long"), s["fill"] - drained)
-        fits = free + c["size"] <= room
-        fill = F.when(fits, free + c["size"]).otherwise(free).cast("long")
-        return F.struct(F.concat(s["out"], F.array(F.struct(fill.alias("fill"), (~fits).alias("dropped")))).alias("out"), fill.alias("fill"))
-
-    both = F.arrays_zip(F.col("chunks").alias("c"), F.aggregate("chunks", start, add, lambda s: s["out"]).alias("r"))
-    return rows.select(group, F.explode(both).alias("z")).select(group, *[F.col(f"z.c.{o}") for o in order], F.col("z.c.size").alias(size), "z.r.fill", "z.r.dropped")
+    fill after them, the bytes taken, `dropped` where some were not, and the further drains waited for.
+
+    A chunk that does not fit is dropped ("drop"), waits until it fits or the buffer is empty ("wait"), or
+    goes in by pieces of `piece` bytes up to the first that does not fit ("pieces"). A null size takes
+    nothing. Sorted rows pass through with one fill held, so no session is ever in memory as a whole.
+    """
+    if policy not in ("drop", "wait", "pieces"):
+        raise ValueError(f"no such policy: {policy}")
+    if policy == "wait" and drained < 1:
+        raise ValueError("nothing drains, so a wait would not end")
+    rows = df.select(group, *order, size).repartition(group).sortWithinPartitions(group, *order, size)
+    nothing = object()
+
+    def put(fill: int, n: int) -> tuple[int, int, int]:
+        """Fill, bytes taken, waits."""
+        if policy == "wait":
+            over = fill + n - room
+            waits = min(-(-over // drained), -(-fill // drained)) if over > 0 else 0
+            return max(0, fill - waits * drained) + n, n, waits
+        if fill + n <= room:
+            return fill + n, n, 0
+        taken = (room - fill) // piece * piece if policy == "pieces" else 0
+        return fill + taken, taken, 0
+
+    def pour(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, fill = nothing, 0
+        for b in batches:
+            out = []
+            for session, n in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                now, fill = session, max(0, fill - drained) if now is not nothing and session == now else 0
+                fill, taken, waits = (fill, 0, 0) if n is None else put(fill, n)
+                out.append((fill, taken, None if n is None else taken < n, waits))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, columns, kinds)], [*b.schema.names, "fill", "taken", "dropped", "waits"])
+
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(pour, f"{given}, fill long, taken long, dropped boolean, waits long")
 
 
 def spoken(df: DataFrame, group: str, order: list[str], code: str, at: str) -> DataFrame:

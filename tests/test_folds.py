@@ -2,11 +2,13 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import binary, text
-from strandline.operators import lexicon, segments
+from strandline.operators import lexicon, order, segments
 from strandline.plans import segments as P
+from strandline.sources import readers
 from strandline.streaming import frames, sessions
 SF = "/root/testdata/sf0.001"
 
@@ -85,6 +87,87 @@ def test_suggestions_against_brute_force(spark):
     assert got == {(b, w) for b in bad for w in words if near(b, w) or (b.replace("f", "ph") == w and b != w)}
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_suggestions_at_distance_two_against_brute_force(spark):
+    words = ["cat", "cart", "coat", "über", "phone", "fone", "tan", "a", "ab", "abcd", "bacd", "plum"]
+    bad = ["cut", "fon", "uber", "fhone", "xyzzy", "b", "abdc", "lump", "dcba"]
+    forms, known = spark.createDataFrame([(b,) for b in bad], "form string"), spark.createDataFrame([(w,) for w in words], "form string")
+    got = {(r.bad, r.form, r["class"]) for r in lexicon.suggestions(forms, known, spark.createDataFrame([("f", "ph")], "src string, dst string"), most=99, reach=2).collect()}
+    want = {(b, w): plain_distance(b, w) for b in bad for w in words if 1 <= plain_distance(b, w) <= 2}
+    want |= {(b, w): 0 for b in bad for w in words if b != w and b.replace("f", "ph") == w}
+    assert got == {(*k, n) for k, n in want.items()}
+
+
+@pytest.mark.parametrize("policy", ["drop", "wait", "pieces"])
+def test_buffers_against_a_plain_one(spark, policy):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None]), k, r.choice([0, 1, 5, 9, 30, None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "session string, seq long, size long").repartition(5)
+    room, drained, piece, want = 20, 3, 4, []
+    for s in ("a", "b", None):
+        fill, first = 0, True
+        for _, k, n in [x for x in rows if x[0] == s]:
+            fill, first, waits, taken = 0 if first else max(0, fill - drained), False, 0, 0
+            if n is not None and policy == "wait":
+                while fill and fill + n > room:
+                    fill, waits = max(0, fill - drained), waits + 1
+                taken = n
+            elif n is not None and fill + n <= room:
+                taken = n
+            elif n is not None and policy == "pieces":
+                while taken + piece <= n and fill + taken + piece <= room:
+                    taken += piece
+            fill += taken
+            want.append((s, k, n, fill, taken, None if n is None else taken < n, waits))
+    got = sessions.buffered(df, "session", ["seq"], "size", room, drained, policy, piece).collect()
+    assert sorted(map(tuple, got), key=lambda x: x[1]) == sorted(want, key=lambda x: x[1])
+    assert sessions.buffered(df.limit(0), "session", ["seq"], "size", room, drained, policy).count() == 0
+
+
+def test_numbers_over_a_whole_table(spark):
+    rows = [(k % 7, k, k % 3) for k in range(500)] + [(None, 500, 1)]
+    df = spark.createDataFrame(rows, "a long, id long, n long").repartition(6)
+    got, at = order.running(order.numbered(df, "place", "a", "id"), F.col("n"), "before", "a", "id").orderBy("place").collect(), 0
+    assert [(r.a, r.id) for r in got] == sorted([(a, k) for a, k, _ in rows], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for place, r in enumerate(got, 1):
+        assert (r.place, r.before) == (place, at)
+        at += r.n
+    assert order.numbered(df.limit(0), "place", "a", "id").count() == 0
+
+
+def test_cipher_known_answers(spark):
+    # AES-256-CBC with PKCS padding, made by another implementation.
+    known = {
+        "": "38ae83a3edd22a71ecf296539ddf7320",
+        "The quick brown ": "3fb71aa5df5cb45088bb79102524e2aba148ab1bd0921a36bed90c3cdae98768",
+        "The quick brown fox": "3fb71aa5df5cb45088bb79102524e2abc7078c035faedf007eb212d98060f5f8",
+    }
+    key, df = "0123456789abcdef0123456789abcdef", spark.createDataFrame([(t,) for t in known], "t string")
+    c = F.encode("t", "UTF-8")
+    made = df.select("t", F.lower(F.hex(binary.encrypt(c, key, True))).alias("code"), binary.encrypt(c, key).alias("free"), binary.encrypt_head(c, key).alias("head"))
+    rows = made.withColumn("back", F.decode(binary.decrypt(F.col("free"), key), "UTF-8")).collect()
+    assert {r.t: r.code for r in rows} == known and all(r.back == r.t and r.t.encode() not in bytes(r.free)[16:] or not r.t for r in rows)
+    heads = {r.t: r.head and bytes(r.head) for r in rows}
+    assert heads == {"": None, "The quick brown ": bytes.fromhex(known["The quick brown "]), "The quick brown fox": bytes.fromhex(known["The quick brown "]) + b"fox"}
+
+
+def test_listed_files(spark, tmp_path):
+    for name, size in (("a.txt", 3), ("b.TXT", 5), ("c.mp3", 7), ("d", 1), (".hidden.txt", 2)):
+        (tmp_path / name).write_bytes(bytes(size))
+    found = readers.files(spark, str(tmp_path), extensions=(".txt",)).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in found) == [("a.txt", 3), ("b.TXT", 5)]
+
+
 def test_frames_cut_short(spark):
     whole = binary.frame(0xB, 4, 1, F.lit(352), F.encode(F.lit("ab"), "UTF-8"), F.encode(F.lit("xyz"), "UTF-8"))
     df = spark.range(20).select(F.col("id").alias("k"), F.substring(whole, F.lit(1), F.col("id").cast("int")).alias("value"))
