@@ -70,16 +70,25 @@ def split(df: DataFrame, column: str, config: Config = PRESETS["default"]) -> Da
     return df.select("*", F.posexplode(pieces).alias("seg_no", "piece"))
 
 
-def register_table_function(spark: SparkSession, name: str = "split_sentences") -> None:
-    """The splitter for SQL: SELECT * FROM t, LATERAL split_sentences(text)."""
-    import re
-
-    from pyspark.sql.functions import udtf
+def split_batch(df: DataFrame, column: str, named: str) -> DataFrame:
+    """split(), each row by the preset that column `named` names, in any case; null and unknown names mean
+    the default. `parted` tells whether the preset parts the text. One plan for all presets."""
+    c, name = F.col(column), F.lower(F.col(named))
+    parted, pieces = F.lit(None).cast("boolean"), F.lit(None).cast("array<string>")
+    for preset_name, config in sorted(PRESETS.items(), key=lambda x: x[0] == "default"):
+        s = chosen(config.strategy)
+        mine = F.lit(True) if preset_name == "default" else F.coalesce(name == preset_name, F.lit(False))
+        yes = F.coalesce(s.should_split(c, config), F.lit(False))
+        parted = F.coalesce(parted, F.when(mine, yes))
+        pieces = F.coalesce(pieces, F.when(mine, F.when(yes, s.split(c, config)).otherwise(F.array(c))))
+    return df.select("*", parted.alias("parted"), F.posexplode(pieces).alias("seg_no", "piece"))
 
-    class Split:
-        def eval(self, value: str):
-            whole = re.sub(r"[ \t\r\n\f]+", " ", value or "").strip(" ")
-            pieces = [p.strip() for p in re.findall(r"(?s).+?(?:[.!?]+|$)", whole)]
-            yield from enumerate(p for p in pieces if p)
 
-    spark.udtf.register(name, udtf(Split, returnType="seg_no int, piece string"))
+def register_table_function(spark: SparkSession, name: str = "split_sentences") -> None:
+    """The splitter for SQL: SELECT * FROM t, LATERAL split_sentences(text). Its body is SQL, so it stays in the plan."""
+    spark.sql(
+        rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS TABLE (seg_no INT, piece STRING)
+        RETURN SELECT pos, col FROM posexplode(filter(transform(
+            regexp_extract_all(trim(regexp_replace(value, r'[ \t\r\n\f]+', ' ')), r'(?s).+?(?:[.!?]+|$)', 0),
+            p -> regexp_replace(p, r'^[ \t\r\n\f]+|[ \t\r\n\f]+$', '')), p -> length(p) > 0))"""
+    )

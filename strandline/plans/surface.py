@@ -23,6 +23,16 @@ def presets(spark, d):
     return table(spark, d, "documents").agg(F.count_if(s.should_split(c, G.preset("unknown"))).alias("by_default"), F.count_if(s.should_split(c, G.preset("default").with_changes(least_chars=16))).alias("strict"))
 
 
+_BY_PRESET = f"CASE doc_id % 4 WHEN 0 THEN {_SPLITTABLE.replace('>= 16', '>= 32')} WHEN 1 THEN {_SPLITTABLE.replace('>= 16', '>= 8')} ELSE {_SPLITTABLE} END"
+
+
+@R.add("F03_presets", f"SELECT doc_id, parted, unnest(range(len(l)))::INT AS seg_no, unnest(l) AS piece FROM (SELECT doc_id, coalesce({_BY_PRESET}, false) AS parted, CASE WHEN {_BY_PRESET} THEN {_SENT} ELSE [text] END AS l FROM documents)")
+def batch_of_presets(spark, d):
+    k = F.col("doc_id") % 4
+    named = F.when(k == 0, "Strict").when(k == 1, "loose").when(k == 2, "no such preset")
+    return G.split_batch(table(spark, d, "documents").select("doc_id", "text", named.alias("named")), "text", "named").select("doc_id", "parted", "seg_no", "piece")
+
+
 @R.add("F04_table_function", f"SELECT doc_id, seg_no::INT AS seg_no, text AS piece FROM ({_SENTENCES})")
 def table_function(spark, d):
     G.register_table_function(spark)
