@@ -83,6 +83,13 @@ def pieces(spark, d):
     return Z.buffered(coded(spark, d).filter("code = 352"), "user_id", ["ts", "event_id"], "size", 24, 6, "pieces", 4)
 
 
+@R.add("X09_ending")
+def ending(spark, d):
+    rows = coded(spark, d)
+    filled = Z.buffered(rows.filter("code = 352"), "user_id", ["ts", "event_id"], "size", 24, 6)
+    return Z.ending(filled, "user_id", ["ts", "event_id"], rows.filter("code = 152").select("user_id"), 4, 6)
+
+
 @R.add("X07_flush", f"""SELECT event_id, count(*) OVER w >= 30 OR user_id IN (SELECT user_id FROM ({_EV}) WHERE code = 152) AS released FROM ({_EV}) WHERE code = 352 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def flush(spark, d):
     rows = coded(spark, d)

@@ -79,6 +79,16 @@ def buffered(df: DataFrame, group: str, order: list[str], size: str, room: int,
     return rows.mapInArrow(pour, f"{given}, fill long, taken long, dropped boolean, waits long")
 
 
+def ending(filled: DataFrame, group: str, order: list[str], complete: DataFrame, least: int, drained: int) -> DataFrame:
+    """Of buffered() rows, each session's last fill, whether it is low (under `least` bytes), and, if the
+    session is in `complete` (null-safe), after how many further drains it stops: once it is low."""
+    last = filled.groupBy(group).agg(F.max_by("fill", F.struct(*order)).alias("fill")).alias("f")
+    done = complete.select(F.col(group).alias("done_"), F.lit(True).alias("complete")).distinct()
+    over = F.greatest(F.lit(0), F.ceil((F.col("fill") - least + 1) / drained)).cast("long")
+    met = last.join(done, F.col(f"f.{group}").eqNullSafe(F.col("done_")), "left")
+    return met.select(group, "fill", (F.col("fill") < least).alias("low"), F.when(F.col("complete"), over).alias("stops_after"))
+
+
 def spoken(df: DataFrame, group: str, order: list[str], code: str, at: str) -> DataFrame:
     """Sentence starts (350) with the next end (351) of their session: start, end, length."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -134,6 +134,19 @@ def test_buffers_against_a_plain_one(spark, policy):
     assert sessions.buffered(df.limit(0), "session", ["seq"], "size", room, drained, policy).count() == 0
 
 
+def test_a_complete_session_stops_when_it_is_low(spark):
+    rows = [(s, k, fill) for s, fills in (("a", [9, 20]), ("b", [20, 3]), ("c", [17]), (None, [4])) for k, fill in enumerate(fills)]
+    filled = spark.createDataFrame(rows, "session string, seq long, fill long")
+    done = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "session string")
+    want = set()
+    for s, fill, complete in (("a", 20, True), ("b", 3, True), ("c", 17, False), (None, 4, True)):
+        left, drains = fill, 0
+        while left >= 4:
+            left, drains = left - 6, drains + 1
+        want.add((s, fill, fill < 4, drains if complete else None))
+    assert set(map(tuple, sessions.ending(filled, "session", ["seq"], done, 4, 6).collect())) == want
+
+
 def test_numbers_over_a_whole_table(spark):
     rows = [(k % 7, k, k % 3) for k in range(500)] + [(None, 500, 1)]
     df = spark.createDataFrame(rows, "a long, id long, n long").repartition(6)
