@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that end a sentence, and those that end a clause.
+# Characters that end a sentence, and those that end a clause; kinds of files.
 ENDINGS = ".!?;。！？；"
 CLAUSES = "," + ENDINGS
 INTONED = "!?！？"
 SUPPORTED = (".wav", ".mp3", ".m4a", ".wma", ".aac", ".flac", ".ogg", ".mp4")
 
 _BLANKS = r"[ \t\r\n\f]+"
+#: One character at least, up to the next run of . ! ? or the end, in one pass over each.
+SENTENCE = r"(?s).[^.!?]*(?:[.!?]+|$)"
 
 
 def normalise(c: Column) -> Column:
@@ -39,7 +41,7 @@ def _pieces(c: Column, pattern: str) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces of the normalised text, each up to a run of . ! ? or the end."""
-    return _pieces(normalise(c), r"(?s).+?(?:[.!?]+|$)")
+    return _pieces(normalise(c), SENTENCE)
 
 
 def clauses(c: Column) -> Column:

@@ -89,6 +89,6 @@ def register_table_function(spark: SparkSession, name: str = "split_sentences")
     spark.sql(
         rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(value STRING) RETURNS TABLE (seg_no INT, piece STRING)
         RETURN SELECT pos, col FROM posexplode(filter(transform(
-            regexp_extract_all(trim(regexp_replace(value, r'[ \t\r\n\f]+', ' ')), r'(?s).+?(?:[.!?]+|$)', 0),
+            regexp_extract_all(trim(regexp_replace(value, r'[ \t\r\n\f]+', ' ')), r'{text.SENTENCE}', 0),
             p -> regexp_replace(p, r'^[ \t\r\n\f]+|[ \t\r\n\f]+$', '')), p -> length(p) > 0))"""
     )

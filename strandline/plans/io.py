@@ -7,22 +7,16 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.plans.base import Registry, table
 from strandline.plans.scalars import _LINES, _SENTENCES, line_rows, sentence_rows
-from strandline.plans.streams import _EV, framed
+from strandline.plans.streams import _EV, frame_rows
 from strandline.sources import readers, writers
 from strandline.sources.folders import scratch
 from strandline.streaming import frames as X
+from strandline.streaming import live as V
 from strandline.streaming import sessions as Z
 
 R = Registry()
 
 
-@R.add("S01_manifest", "SELECT page_id::INT AS id, (page_id % 7)::INT AS catalogue_id, url AS audio_url, left(regexp_replace(html, '[^a-zA-Z ]+', ' ', 'g'), 200) AS content FROM pages")
-def manifest(spark, d):
-    """Whole pages go through the manifest; only the rows returned are cut, as in the SQL."""
-    rows = table(spark, d, "pages").select(F.col("page_id").cast("int").alias("id"), (F.col("page_id") % 7).cast("int").alias("catalogue_id"), F.regexp_replace("html", "[^a-zA-Z ]+", " ").alias("content"), F.col("url").alias("audio_url"))
-    return _through_manifest(spark, rows).withColumn("content", F.left("content", F.lit(200)))
-
-
 def _through_manifest(spark, rows):
     """Rows written as a manifest and read back; line ends and backslashes are escaped in the file."""
     path = scratch(spark, "manifest")
@@ -86,8 +80,7 @@ def silence_log(spark, d):
 
 def _frames(spark, d):
     path = scratch(spark, "frames")
-    rows = framed(spark, d).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    frame_rows(spark, d).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
     return X.frame_stream(spark, path)
 
 
@@ -100,13 +93,22 @@ def frame_stream(spark, d):
     return spark.read.parquet(path).groupBy("event").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("whole"))
 
 
-@R.add("S12_assembly_stream")
+_ENDED = f"""WITH f AS (SELECT user_id::VARCHAR AS session, event_id, ts, code, props, event_id % 50 = 0 AS cut FROM ({_EV})),
+    e AS (SELECT session, min(struct_pack(ts, event_id)) AS at, arg_min(code, struct_pack(ts, event_id)) AS code FROM f WHERE code IN (152, 52, 51, 153) GROUP BY session)
+    SELECT e.session, CASE WHEN e.code IN (152, 52) THEN 'ended' ELSE 'failed' END AS state, count(props) AS chunks, coalesce(sum(octet_length(encode(props))), 0)::BIGINT AS bytes, md5(coalesce(string_agg(props, '' ORDER BY event_id), '')) AS digest
+    FROM e LEFT JOIN f ON f.session = e.session AND f.code = 352 AND NOT f.cut AND (f.ts, f.event_id) < (e.at.ts, e.at.event_id) GROUP BY e.session, e.code"""
+
+
+@R.add("S12_assembly_stream", _ENDED)
 def assembly_stream(spark, d):
-    """Sessions assembled by the stream until their end event."""
-    path = scratch(spark, "sessions")
-    rows = X.decoded(_frames(spark, d)).select("session", "seq", "ts", "event", "payload")
-    writers.append_each_batch(Z.assembly_stream(rows), path, scratch(spark, "stream")).awaitTermination()
-    return spark.read.parquet(path).select("session", "state", "chunks", "bytes", F.md5("payload").alias("digest"))
+    """Sessions until their end event: chunks leave the stream's state, parts are made of them in order."""
+    path = scratch(spark, "chunks")
+    V.replayed(frame_rows(spark, d), "ts", lambda rows, c: V.to_table(path)(V.pieces(X.decoded(rows).select("session", "seq", "ts", "event", "payload")), c))
+    rows = spark.read.parquet(path)
+    ended = rows.filter("seq is null").select("session", "state")
+    made = Z.digested(Z.parts(rows.filter("seq is not null"), "session", ["seq"], "payload"), "session")
+    met = ended.join(made.withColumnRenamed("session", "s"), F.col("session").eqNullSafe(F.col("s")), "left")
+    return met.select("session", "state", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
 
 
 @R.add("S09_manifest_json", f"SELECT doc_id, count(*) AS n, min(seg_no + 1) AS first, max(seg_no + 1) AS last, sum(length(text))::BIGINT AS chars FROM ({_SENTENCES}) GROUP BY doc_id")

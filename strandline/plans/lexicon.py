@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strandline.operators import lexicon as L
 from strandline.plans.base import Registry, table
 from strandline.plans.scalars import _TOKENS, token_rows
+from strandline.sources import readers
+from strandline.sources.folders import scratch
 
 R = Registry()
 _BENCH = _TOKENS.replace("SRC", "(SELECT item_id AS doc_id, text FROM benchmark)")
@@ -25,15 +27,109 @@ def unknown(spark, d):
     return bad.groupBy("doc_id", "form").agg(F.count("*").alias("n"), F.min("start_pos").alias("first"))
 
 
-_SWAPS = [("f", "ph"), ("ph", "f"), ("ei", "ie"), ("ie", "ei"), ("shun", "tion"), ("k", "ch"), ("er", "or"), ("or", "er"), ("an", "en")]
+# Replacement rules of English spelling, as an affix file has them.
+_SWAPS = """REP 90
+REP a ei
+REP ei a
+REP a ey
+REP ey a
+REP ai ie
+REP ie ai
+REP alot a_lot
+REP are air
+REP are ear
+REP are eir
+REP air are
+REP air ere
+REP ere air
+REP ere ear
+REP ere eir
+REP ear are
+REP ear air
+REP ear ere
+REP eir are
+REP eir ere
+REP ch te
+REP te ch
+REP ch ti
+REP ti ch
+REP ch tu
+REP tu ch
+REP ch s
+REP s ch
+REP ch k
+REP k ch
+REP f ph
+REP ph f
+REP gh f
+REP f gh
+REP i igh
+REP igh i
+REP i uy
+REP uy i
+REP i ee
+REP ee i
+REP j di
+REP di j
+REP j gg
+REP gg j
+REP j ge
+REP ge j
+REP s ti
+REP ti s
+REP s ci
+REP ci s
+REP k cc
+REP cc k
+REP k qu
+REP qu k
+REP kw qu
+REP o eau
+REP eau o
+REP o ew
+REP ew o
+REP oo ew
+REP ew oo
+REP ew ui
+REP ui ew
+REP oo ui
+REP ui oo
+REP ew u
+REP u ew
+REP oo u
+REP u oo
+REP u oe
+REP oe u
+REP u ieu
+REP ieu u
+REP ue ew
+REP ew ue
+REP uff ough
+REP oo ieu
+REP ieu oo
+REP ier ear
+REP ear ier
+REP ear air
+REP air ear
+REP w qu
+REP qu w
+REP z ss
+REP ss z
+REP shun tion
+REP shun sion
+REP shun cion
+REP size cise
+"""
 
 
 @R.add("J02_suggest")
 def suggest(spark, d):
     words = token_rows(table(spark, d, "documents").select("doc_id", "text"))
     known = dictionary(spark, d)
+    path = scratch(spark, "rules")
+    spark.range(1).select(F.lit(_SWAPS.strip()).alias("value")).write.text(path)
     bad = L.unknown(words, known).select("form").distinct()
-    return L.suggestions(bad, known, spark.createDataFrame(_SWAPS, "src string, dst string"), reach=2)
+    return L.suggestions(bad, known, readers.replacements(spark, path), reach=2)
 
 
 _RULES = [

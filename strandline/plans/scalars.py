@@ -114,14 +114,6 @@ def previews(spark, d):
     return _docs(spark, d).select("doc_id", text.preview(F.col("text")).alias("preview"), F.concat(F.left(F.col("text"), F.lit(40)), F.lit("...")).alias("always"))
 
 
-@R.add("P12_formats", """SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand IS NOT DISTINCT FROM b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type
-    AND a.p_size IS NOT DISTINCT FROM b.p_size AND a.p_partkey < b.p_partkey""")
-def formats(spark, d):
-    a, b = table(spark, d, "part").alias("a"), table(spark, d, "part").alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("p_brand", "p_type", "p_size")]
-    return a.join(b, [*same, F.col("a.p_partkey") < F.col("b.p_partkey")]).select("a.p_partkey", F.col("b.p_partkey").alias("other"))
-
-
 @R.add("P12_classes", "SELECT p_partkey, min(p_partkey) OVER w AS class, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size)")
 def format_classes(spark, d):
     """Parts of equal formats by their class, whose name is its smallest key: no pairs, and a hot class

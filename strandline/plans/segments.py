@@ -154,17 +154,21 @@ _VARIANTS = f"SELECT doc_id, seg_no, text, 1 AS variant FROM ({_SENTENCES}) UNIO
 _BEST = f"SELECT v.* FROM ({_VARIANTS}) v JOIN (SELECT doc_id, variant FROM (SELECT doc_id, variant, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, variant) AS r FROM ({_VARIANTS}) GROUP BY doc_id, variant) WHERE r = 1) b USING (doc_id, variant)"
 
 
-def variants(spark, d):
-    """Documents' sentences or clauses, whichever are more."""
+def _longer(spark, d):
+    """Documents' sentences or clauses, whichever are more: doc_id, best (variant, parts)."""
     best = S.longer_split(text.sentences(F.col("text")), text.clauses(F.col("text")))
-    rows = table(spark, d, "documents").select("doc_id", best.alias("best"))
-    rows = rows.select("doc_id", F.col("best.variant").alias("variant"), F.posexplode("best.parts").alias("seg_no", "text"))
+    return table(spark, d, "documents").select("doc_id", best.alias("best"))
+
+
+def variants(spark, d):
+    rows = _longer(spark, d).select("doc_id", F.col("best.variant").alias("variant"), F.posexplode("best.parts").alias("seg_no", "text"))
     return rows.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "text", "variant")
 
 
 @R.add("A14_best_variant", f"SELECT doc_id, variant, count(*) AS n FROM ({_BEST}) GROUP BY doc_id, variant")
 def best(spark, d):
-    return variants(spark, d).groupBy("doc_id", "variant").agg(F.count("*").alias("n"))
+    """Counted where they are made: a document is a row."""
+    return _longer(spark, d).select("doc_id", "best.variant", F.size("best.parts").cast("long").alias("n")).filter("n > 0")
 
 
 _CASCADE = f"""SELECT doc_id, seg_no, text, (e * done) // total AS s, (e * (done + length(text))) // total AS e FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import strategies as G
 from strandline.plans.base import Registry, table
-from strandline.plans.scalars import _SENT, _SENTENCES
+from strandline.plans.scalars import _SENT, _SENTENCES, _STRIP
 from strandline.plans.segments import _SPLITTABLE
 
 R = Registry()
@@ -17,6 +17,16 @@ def strategies(spark, d):
     return G.split(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "seg_no", "piece")
 
 
+_CUT = f"list_filter(list_transform(regexp_extract_all(text, '(?s)[^,.!?;。！？；]*[,.!?;。！？；]|[^,.!?;。！？；]+$'), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 0)"
+
+
+@R.add("F01_auto", f"SELECT doc_id, unnest(range(len(l)))::INT AS seg_no, unnest(l) AS piece FROM (SELECT doc_id, CASE WHEN {_SPLITTABLE} THEN {_SENT} WHEN regexp_matches(text, '[,.!?;。！？；]') THEN {_CUT} ELSE [text] END AS l FROM documents)")
+def automatic(spark, d):
+    """Row by row the first strategy that would split: sentences, else clauses, else the whole text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return G.split(docs, "text", G.preset("default").with_changes(strategy="auto")).select("doc_id", "seg_no", "piece")
+
+
 @R.add("F02_presets", f"SELECT count(*) FILTER ({_SPLITTABLE}) AS by_default, count(*) FILTER ({_SPLITTABLE.replace('>= 16', '>= 32')}) AS strict FROM documents")
 def presets(spark, d):
     c, s = F.col("text"), G.chosen("sentence")
@@ -36,5 +46,5 @@ def batch_of_presets(spark, d):
 @R.add("F04_table_function", f"SELECT doc_id, seg_no::INT AS seg_no, text AS piece FROM ({_SENTENCES})")
 def table_function(spark, d):
     G.register_table_function(spark)
-    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("split_input")
-    return spark.sql("SELECT doc_id, s.seg_no, s.piece FROM split_input, LATERAL split_sentences(text) s")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, s.seg_no, s.piece FROM {docs}, LATERAL split_sentences(text) s", docs=docs)

@@ -11,6 +11,19 @@ MANIFEST = "id int, catalogue_id int, content string, audio_url string"
 _ALIGNMENT = "id long, fragments array<struct<begin:string,end:string,lines:array<string>>>"
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whichever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def replacements(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of an affix file's lines REP src dst, _ for a space; the line with their number is none."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).filter(F.col("value").startswith("REP")).select(parts.alias("p")).filter("size(p) = 3 and p[0] = 'REP'")
+    return rows.select(*[F.replace(F.get("p", F.lit(k)), F.lit("_"), F.lit(" ")).alias(name) for k, name in ((1, "src"), (2, "dst"))])
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A CSV manifest with a header row and a fixed schema."""
     return spark.read.schema(MANIFEST).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -28,7 +41,12 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, recurse: bool = True, extensions: tuple[str, ...] = SUPPORTED) -> DataFrame:
-    """path and length of the files with these extensions (any case); their content is not read."""
+    """path and length of the files with these extensions (any case); their content is not read.
+
+    A folder that isn't there has none.
+    """
+    if not there(spark, folder):
+        return spark.createDataFrame([], "path string, length long")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", recurse).load(folder).select("path", "length")
     return rows.filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*extensions))
 

@@ -1,4 +1,4 @@
-"""Sessions of events: lifecycle, ordered assembly, gates and buffers, as streams and in batch."""
+"""Sessions of events in tables: lifecycle, assembly by parts, gates, windows. live.py has them as streams."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STATE = "session string, state string, chunks long, bytes long, payload binary"
-
+from strandline.operators.order import scanned
 
 def lifecycle(df: DataFrame, group: str, place: list[str], code: str, size: Column) -> DataFrame:
     """Final state, chunks and bytes of each session: connected 50, started 150, data 352, ended 152,
@@ -20,73 +19,68 @@ def lifecycle(df: DataFrame, group: str, place: list[str], code: str, size: Colu
     return df.groupBy(group).agg(state.alias("state"), F.count_if(data).alias("chunks"), F.coalesce(F.sum(F.when(data, size)), F.lit(0)).cast("long").alias("bytes"))
 
 
-def assembled(df: DataFrame, group: str, order: str, payload: str) -> DataFrame:
-    """A session's payloads (bytes) in order, with their number and size."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(payload).alias("v")))), lambda x: F.hex(x["v"]))
-    out = df.groupBy(group).agg(F.unhex(F.array_join(parts, "")).alias("whole"), F.count("*").alias("chunks"))
-    return out.withColumn("bytes", F.length("whole").cast("long"))
+#: Bytes of a part of a session, about: a chunk belongs to the part that it starts in.
+PART = 8 << 20
 
 
-def gated(df: DataFrame, group: str, order: list[str], size: str, chunks: int = 3, volume: int = 32_768, complete: Column | None = None) -> DataFrame:
-    """Rows with `released`: from the row on at which enough chunks or bytes are held, or all if the
-    session's input is complete."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    open_ = (F.count("*").over(w) >= chunks) | (F.sum(size).over(w) >= volume)
-    return df.withColumn("released", open_ | (F.lit(False) if complete is None else complete))
+def parts(df: DataFrame, group: str, order: list[str], payload: str, size: int = PART) -> DataFrame:
+    """A session's payloads (bytes) in order, as parts: group, part, start (bytes before it), chunks, bytes, whole.
 
+    Chunks are placed by sums of the sizes before them, so a session of any length is as many rows as it
+    has parts. A null payload is a chunk without bytes.
+    """
+    rows = df.select(group, *order, F.coalesce(payload, F.lit(b"")).alias("payload_"))
+    rows = scanned(rows, [group], order, start_=("sum", F.length("payload_").cast("long")))
+    rows = rows.withColumns({"part": F.expr(f"start_ div {size}"), "place_": F.struct(*order)})
+    whole = F.expr("listagg(payload_) WITHIN GROUP (ORDER BY place_)")
+    return rows.groupBy(group, "part").agg(F.min("start_").alias("start"), F.count("*").alias("chunks"), F.sum(F.length("payload_")).alias("bytes"), whole.alias("whole"))
 
-def buffered(df: DataFrame, group: str, order: list[str], size: str, room: int, drained: int, policy: str = "drop", piece: int = 4096) -> DataFrame:
-    """A bounded buffer for each session, drained by `drained` bytes before every chunk: rows with the
-    fill after them, the bytes taken, `dropped` where some were not, and the further drains waited for.
 
-    A chunk that does not fit is dropped ("drop"), waits until it fits or the buffer is empty ("wait"), or
-    goes in by pieces of `piece` bytes up to the first that does not fit ("pieces"). A null size takes
-    nothing. Sorted rows pass through with one fill held, so no session is ever in memory as a whole.
-    """
-    if policy not in ("drop", "wait", "pieces"):
-        raise ValueError(f"no such policy: {policy}")
-    if policy == "wait" and drained < 1:
-        raise ValueError("nothing drains, so a wait would not end")
-    rows = df.select(group, *order, size).repartition(group).sortWithinPartitions(group, *order, size)
-    nothing = object()
-
-    def put(fill: int, n: int) -> tuple[int, int, int]:
-        """Fill, bytes taken, waits."""
-        if policy == "wait":
-            over = fill + n - room
-            waits = min(-(-over // drained), -(-fill // drained)) if over > 0 else 0
-            return max(0, fill - waits * drained) + n, n, waits
-        if fill + n <= room:
-            return fill + n, n, 0
-        taken = (room - fill) // piece * piece if policy == "pieces" else 0
-        return fill + taken, taken, 0
-
-    def pour(batches: Iterator) -> Iterator:
+def digested(made: DataFrame, group: str) -> DataFrame:
+    """Of parts(): each session's md5, chunks and bytes. Its parts go through one digest in order, one at a time."""
+    rows = made.select(group, "part", "chunks", "bytes", "whole").repartition(group).sortWithinPartitions(group, "part")
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
         import pyarrow as pa
 
-        now, fill = nothing, 0
-        for b in batches:
-            out = []
-            for session, n in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                now, fill = session, max(0, fill - drained) if now is not nothing and session == now else 0
-                fill, taken, waits = (fill, 0, 0) if n is None else put(fill, n)
-                out.append((fill, taken, None if n is None else taken < n, waits))
-            columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, columns, kinds)], [*b.schema.names, "fill", "taken", "dropped", "waits"])
+        held: list | None = None
+
+        def row():
+            columns = [pa.array([held[0]], schema.field(0).type), pa.array([held[1].hexdigest()]), pa.array([held[2]], pa.int64()), pa.array([held[3]], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, [group, "digest", "chunks", "bytes"])
 
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(pour, f"{given}, fill long, taken long, dropped boolean, waits long")
+        for b in batches:
+            schema = b.schema
+            for session, chunks, size, whole in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+                if held is None or held[0] != session:
+                    if held is not None:
+                        yield row()
+                    held = [session, hashlib.md5(), 0, 0]
+                held[1].update(whole.as_buffer())
+                held[2] += chunks
+                held[3] += size
+        if held is not None:
+            yield row()
+
+    return rows.mapInArrow(run, f"`{group}` {kind}, digest string, chunks long, bytes long")
+
+
+def assembled(df: DataFrame, group: str, order: list[str], payload: str) -> DataFrame:
+    """A session's payloads (bytes) in order as one value, with their number and size, where a row can hold it."""
+    rows = df.select(group, F.struct(*order).alias("place_"), F.col(payload).alias("payload_"))
+    out = rows.groupBy(group).agg(F.expr("listagg(payload_) WITHIN GROUP (ORDER BY place_)").alias("whole"), F.count("*").alias("chunks"))
+    return out.withColumn("bytes", F.length("whole").cast("long"))
 
 
-def ending(filled: DataFrame, group: str, order: list[str], complete: DataFrame, least: int, drained: int) -> DataFrame:
-    """Of buffered() rows, each session's last fill, whether it is low (under `least` bytes), and, if the
-    session is in `complete` (null-safe), after how many further drains it stops: once it is low."""
-    last = filled.groupBy(group).agg(F.max_by("fill", F.struct(*order)).alias("fill")).alias("f")
-    done = complete.select(F.col(group).alias("done_"), F.lit(True).alias("complete")).distinct()
-    over = F.greatest(F.lit(0), F.ceil((F.col("fill") - least + 1) / drained)).cast("long")
-    met = last.join(done, F.col(f"f.{group}").eqNullSafe(F.col("done_")), "left")
-    return met.select(group, "fill", (F.col("fill") < least).alias("low"), F.when(F.col("complete"), over).alias("stops_after"))
+def gated(df: DataFrame, group: str, order: list[str], size: str, chunks: int = 3, volume: int = 32_768, complete: Column | None = None) -> DataFrame:
+    """Rows with `released`: from the row on at which enough chunks or bytes are held, or all if the
+    session's input is complete."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    open_ = (F.count("*").over(w) >= chunks) | (F.sum(size).over(w) >= volume)
+    return df.withColumn("released", open_ | (F.lit(False) if complete is None else complete))
 
 
 def spoken(df: DataFrame, group: str, order: list[str], code: str, at: str) -> DataFrame:
@@ -103,6 +97,20 @@ def counted(df: DataFrame, ts: str, size: str, width: str = "10 minutes", slide:
     return out.select(F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "chunks", "bytes")
 
 
+def deltas(df: DataFrame, ts: str, came: Column, went: Column, size: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """What comes in and goes out by time window (start_at, came, went); also as a stream."""
+    taken = lambda c: F.coalesce(F.sum(F.when(c, F.col(size))), F.lit(0)).cast("long")
+    out = df.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(taken(came).alias("came"), taken(went).alias("went"))
+    return out.select(F.col("w.start").alias("start_at"), "came", "went")
+
+
+def balanced(windows: DataFrame, least: int) -> DataFrame:
+    """deltas() with the balance after each window, carried from window to window, and whether it is low (under `least`)."""
+    rows = scanned(windows, [], ["start_at"], before_=("sum", F.col("came") - F.col("went")))
+    rows = rows.withColumn("balance", F.col("before_") + F.col("came") - F.col("went")).drop("before_")
+    return rows.withColumn("low", F.col("balance") < least)
+
+
 def session_windows(df: DataFrame, group: str, ts: str, idle: str = "30 minutes", late: str = "1 hour", key: str | None = None) -> DataFrame:
     """Sessions by idle time. With key, rows that repeat one count once: in a stream within the watermark."""
     rows = df.withWatermark(ts, late)
@@ -110,50 +118,3 @@ def session_windows(df: DataFrame, group: str, ts: str, idle: str = "30 minutes"
         rows = rows.dropDuplicatesWithinWatermark([key]) if df.isStreaming else rows.dropDuplicates([key])
     out = rows.groupBy(F.session_window(ts, idle).alias("w"), group).agg(F.count("*").alias("n"))
     return out.select(group, F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "n")
-
-
-def assembly_stream(frames: DataFrame, idle_minutes: int | None = None):
-    """Decoded frames (session, seq, ts, event, payload) as a stream of finished sessions.
-
-    Chunks wait in keyed state. A session is given once: at its end event (152, 52), at a failure, or
-    when nothing came for idle_minutes, if that is set (a stream that runs on); what comes for a session that
-    was given is dropped.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        held, done = state.get if state.exists else ([], False)
-        held = [tuple(h) for h in held]
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield _row(pd, key[0], "idle", held)
-            return
-        final = None
-        for pdf in batches:
-            for seq, event, payload in zip(pdf["seq"], pdf["event"], pdf["payload"]):
-                if done:
-                    continue
-                if event == 352 and payload is not None:
-                    held.append((int(seq), bytes(payload)))
-                elif event in (152, 52):
-                    final = final or "ended"
-                elif event in (51, 153):
-                    final = "failed"
-        if final and not done:
-            yield _row(pd, key[0], final, held)
-            held, done = [], True
-        state.update((held, done))
-        if idle_minutes is not None:
-            state.setTimeoutDuration(idle_minutes * 60_000)
-
-    kind = "held array<struct<seq:long,payload:binary>>, done boolean"
-    timeout = GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
-    return frames.groupBy("session").applyInPandasWithState(step, _STATE, kind, "append", timeout)
-
-
-def _row(pd, session: str, state: str, held: list[tuple[int, bytes]]):
-    payload = b"".join(p for _, p in sorted(held))
-    return pd.DataFrame({"session": [session], "state": [state], "chunks": [len(held)], "bytes": [len(payload)], "payload": [payload]})

@@ -8,7 +8,6 @@ from strandline import plans
 SF = "/root/testdata/sf0.001"
 
 QUERIES, SQL = plans.collected()
-SLOW_STREAMS = {"S12_assembly_stream"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +28,7 @@ def test_against_sql(spark, db, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
