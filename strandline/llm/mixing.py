@@ -11,8 +11,8 @@ It deals a source into buckets of about ROWS_EACH rows in key order: prefix sums
 within each, so that no task has to hold a large source.
 
 Defined results: null text has size 0 and is taken 0 times its words; null sources are one source,
-the last; ties of keys (repeated doc_ids) are ordered by doc_id and size; if all sizes are 0, all
-targets are 0; further columns are kept, those named like an output column are replaced.
+the last; null or repeated doc_ids have keys of their own by their texts, and only equal rows tie, of
+which either may be taken; if all sizes are 0, all targets are 0; further columns are kept, those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ ROWS_EACH = 4000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Adds size (words) and level, the quality weight in tenths from 1 to 10.
+    """Adds size (words), level, the quality weight in tenths from 1 to 10, and mark, a digest of the text.
 
     The weight falls as the mean length of words departs from six characters.
     """
     text = common.text_or_empty()
     out = docs.withColumn("size", F.regexp_count(text, F.lit(common.WORD)).cast("long"))
     far = F.abs(F.length(text) / F.greatest(F.col("size"), F.lit(1)) - F.lit(7.0)) / F.lit(14.0)
-    return out.withColumn("level", F.greatest(F.lit(1), LEVELS - F.floor(F.least(F.lit(1.0), far) * LEVELS)).cast("int"))
+    return out.withColumn("level", F.greatest(F.lit(1), LEVELS - F.floor(F.least(F.lit(1.0), far) * LEVELS)).cast("int")).withColumn("mark", F.md5(text.cast("binary")))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -57,9 +57,9 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float
     return by.withColumn("target", F.least("cap", F.col("fill") * F.col("weight"))).drop("weight", "cap", "fill")
 
 
-def _uniform(doc_id: Column, seed: int) -> Column:
-    """A number in (0, 1) from a document's id: 52 bits of a digest."""
-    hexed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def _uniform(doc_id: Column, mark: Column, seed: int) -> Column:
+    """A number in (0, 1) from a document's id and text: 52 bits of a digest. Null or repeated ids part by their texts."""
+    hexed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), mark).cast("binary"))
     return (F.conv(F.substring(hexed, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -68,9 +68,9 @@ def mix(rows: DataFrame, seed: int = 7, **shares) -> DataFrame:
 
     The other columns travel in one of their own, so none clashes with those that are made on the way.
     """
-    kept = F.struct(*[c for c in rows.columns if c not in ("source_size", "target", "times", "taken")]).alias("kept")
-    rows = rows.select("doc_id", "source", "size", "level", kept)
-    rows = rows.withColumn("key", -F.log(_uniform(F.col("doc_id"), seed)) * LEVELS / F.col("level"))
+    kept = F.struct(*[c for c in rows.columns if c not in ("source_size", "target", "times", "taken", "mark")]).alias("kept")
+    rows = rows.select("doc_id", "source", "size", "level", "mark", kept)
+    rows = rows.withColumn("key", -F.log(_uniform(F.col("doc_id"), F.col("mark"), seed)) * LEVELS / F.col("level"))
     by = targets(rows, **shares).withColumnRenamed("source", "s")
     rows = rows.join(by, F.col("source").eqNullSafe(F.col("s")))
     above = sum((F.col(f"n{k}") * F.exp(-F.col("key") * (k / LEVELS)) for k in range(2, LEVELS + 1)), F.col("n1") * F.exp(-F.col("key") / LEVELS))
@@ -81,7 +81,7 @@ def mix(rows: DataFrame, seed: int = 7, **shares) -> DataFrame:
     base = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), base.alias("base"))
     rows = rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
     middle = F.col("base") + running - F.col("size") / 2
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
@@ -93,21 +93,21 @@ def mix(rows: DataFrame, seed: int = 7, **shares) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: how many words the mix takes of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = common.written(sized(docs).select("doc_id", "source", "size", "level"), "sizes")
+    rows = common.written(sized(docs).select("doc_id", "source", "size", "level", "mark"), "sizes")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
 SQL = r"""
 WITH a AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS mark
   FROM documents),
 b AS (
-  SELECT doc_id, source, size,
+  SELECT doc_id, source, size, mark,
          greatest(1, 10 - floor(least(1.0::DOUBLE, abs(length(t)::DOUBLE / greatest(size, 1) - 7.0::DOUBLE) / 14.0::DOUBLE) * 10))::INT AS level
   FROM a),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) * 10 / level AS key
+  SELECT *, -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || mark), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) * 10 / level AS key
   FROM b),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -120,7 +120,7 @@ f AS (
 g AS (SELECT source, source_size, least(cap, (SELECT max(fill) FROM f) * weight) AS target FROM f),
 m AS (
   SELECT k.doc_id, k.size, g.source_size, g.target,
-         (sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - k.size::DOUBLE / 2 AS middle,
+         (sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - k.size::DOUBLE / 2 AS middle,
          CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs
   FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source),
 r AS (

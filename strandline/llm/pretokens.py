@@ -51,25 +51,25 @@ def cut(text: str) -> list[str] | None:
 CHUNK = 2 << 20
 
 
-def encoded(texts: pa.Array, first: Callable[[str], bytes], later: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, first: Callable[[str], bytes], later: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], kind: str, uncut: re.Pattern | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of runs of texts (null: empty) their ids one after another, and the number of each text's.
 
     Texts are cut at spaces by Arrow, and each distinct word of a run is looked up once: `first` gives
     the ids of a text's first word, `later` those of words after a space, `whole` those of a text that
-    must not be cut.
+    must not be cut: where a cut could part a pre-token, or where `uncut` is found.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
     k = 0
     while k < len(texts):
         e = max(k + 1, int(np.searchsorted(offsets, offsets[k] + CHUNK, "right")) - 1)
-        yield _run(texts.slice(k, e - k), first, later, whole, kind)
+        yield _run(texts.slice(k, e - k), first, later, whole, kind, uncut)
         k = e
 
 
-def _run(texts: pa.Array, first: Callable, later: Callable, whole: Callable, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def _run(texts: pa.Array, first: Callable, later: Callable, whole: Callable, kind: str, uncut: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
     given = texts.to_pylist()
-    odd = {k: whole(t) for k, t in enumerate(given) if _INNER_SPACE.search(t)}
+    odd = {k: whole(t) for k, t in enumerate(given) if _INNER_SPACE.search(t) or (uncut and uncut.search(t))}
     if odd:
         texts = pa.array(["" if k in odd else t for k, t in enumerate(given)], pa.large_string())
     words = pc.split_pattern(texts, " ")

@@ -1,7 +1,8 @@
 r"""Operator 6: personal data and secrets replaced by surrogates, with DataFrame functions only.
 
-Entities are found by one pattern: secrets given by name, e-mail addresses, IPv4 addresses, phone
-and social security numbers, card numbers, IBANs, access keys, long hexadecimal strings, and names
+Entities are found by one pattern: secrets given by name (a quoted one to its closing quote), e-mail
+addresses, IPv4 and IPv6 addresses, phone numbers (international, American, and national ones that start
+with 0) and social security numbers, card numbers, IBANs, access keys, long hexadecimal strings, and names
 after a title. Each entity has a normal form (lower case, letters and digits); its surrogate is made
 from a keyed digest of that, so that all its spellings and mentions agree (coreference):
 
@@ -32,25 +33,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import common
+from strandline.operators.order import scanned
 
 ATTEMPTS = 12
 
 _SECRET = r"""(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}["']?"""
+#: What a secret's name is followed by: a quoted text to its closing quote; else a token to its end, which
+#: after a colon has six characters or a digit, so that prose stays.
+_QUOTED = r"""(?<=")[^"\r\n]++(?=")|(?<=')[^'\r\n]++(?=')"""
+_BARE_SECRET = r"""(?:(?<==)|(?<==\s)|(?<==\s\s)|(?=[^\s"']{6}|[^\s"'0-9]*[0-9]))[^\s"']++"""
+_HEX4 = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLES = {
     "m": "Mr|Herr|Monsieur|Señor|Sr|Господин",
     "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа",
     "n": "Dr|Prof",
 }
-_NAME = r"\p{Lu}(?=[\p{L}'-])\p{L}*+(?:['-](?!s(?!\p{L}))\p{L}++)*+"
+_NAME = r"\p{Lu}(?=[\p{L}'’-])\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 #: Words in which names are looked up that were found with a title elsewhere in the text.
-_WORD = r"\p{L}++(?:['-]\p{L}++)*+"
+_WORD = r"\p{L}++(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 #: Kinds in the order in which they are tried; each pattern starts where no letter or digit precedes.
 KINDS = {
-    "secret": _SECRET + r"""[^\s"']{6,}+""",
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,4}\.\p{L}{2,24}",
+    "secret": _SECRET + f"(?:{_QUOTED}|{_BARE_SECRET})",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
+    "ipv6": rf"(?<!:)(?:(?:{_HEX4}:){{7}}{_HEX4}|(?=[a-fA-F:]*+[0-9])(?:{_HEX4}(?::{_HEX4}){{0,6}}::(?:{_HEX4}(?::{_HEX4}){{0,6}})?|::{_HEX4}(?::{_HEX4}){{0,6}}))(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\(0\) ?)?\(?[0-9]{2,4}\)?(?:[ ./-]?[0-9]{2,4}){2,4}(?![0-9])|(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?=0(?:[ ./-]?[0-9]){8,14}(?![0-9]))0[0-9]{1,5}(?:[ ./-][0-9]{2,9})+(?![0-9])|0[0-9]{9,11}(?![0-9])|\(0[0-9]{1,5}\)[ -]?[0-9]{2,9}(?:[ -][0-9]{2,9})*(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -94,7 +102,7 @@ def _each(text: str, first: str) -> str:
     old = f"transform(regexp_extract_all({text}, '(?s).', 0), (c, k) -> struct(c as c, {_byte('(k + 1)')} as b, k + 1 as i))"
     new = """case when length(x.c) = 0 or x.i < {first} then x.c
         when x.c rlike '[0-9]' then cast(pmod(x.b, 10) as string)
-        when kind in ('hex', 'hexsecret') and x.c rlike '[a-f]' then substring('abcdef', pmod(x.b, 6) + 1, 1)
+        when kind in ('hex', 'hexsecret', 'ipv6') and x.c rlike '[a-f]' then substring('abcdef', pmod(x.b, 6) + 1, 1)
         when x.c rlike '[a-z]' then chr(97 + pmod(x.b, 26))
         when x.c rlike '\\\\p{{IsLatin}}' then substring('àáâäçèéêëìíîïñòóôöùúûü', pmod(x.b, 22) + 1, 1)
         when x.c rlike '\\\\p{{IsCyrillic}}' then substring('абвгдежзиклмнопрстуфхцчшыэюя', pmod(x.b, 28) + 1, 1)
@@ -138,7 +146,8 @@ def _surrogate() -> str:
 
 def _parts(surfaces: DataFrame) -> DataFrame:
     """surface -> rows (surface, prefix, body, place, kind, norm); a name has a row a word."""
-    first = F.coalesce(*[F.when(F.col("surface").rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items()])
+    tests = KINDS | {"secret": _SECRET + "(?s:.+)"}  # a quoted one is without its closing quote here
+    first = F.coalesce(*[F.when(F.col("surface").rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in tests.items()])
     prefix = (
         F.when(F.col("kind") == "secret", F.regexp_extract("surface", "^" + _SECRET, 0))
         .when(F.col("kind") == "name", F.regexp_extract("surface", rf"^(?:{'|'.join(_TITLES.values())})\.? ", 0))
@@ -153,7 +162,8 @@ def _parts(surfaces: DataFrame) -> DataFrame:
         .when((F.col("kind") == "secret") & F.col("body").rlike("^[0-9a-fA-F]+[^0-9a-zA-Z]*$"), F.lit("hexsecret"))
         .otherwise(F.col("kind"))
     )
-    norm = F.when(F.col("kind").isin("email", "ip"), F.lower("body")).otherwise(F.lower(F.regexp_replace("body", r"[^\p{L}\p{N}]", "")))
+    plain = F.lower(F.regexp_replace("body", r"^[^\p{L}\p{N}:]+", ""))
+    norm = F.when(F.col("kind").isin("email", "ip", "ipv6"), plain).otherwise(F.lower(F.regexp_replace("body", r"[^\p{L}\p{N}]", "")))
     return rows.select("surface", "prefix", "place", "body", kind.alias("kind"), norm.alias("norm"))
 
 
@@ -188,9 +198,10 @@ def assign(norms: DataFrame, key: str) -> DataFrame:
     turned = F.regexp_replace(F.regexp_replace("norm", r"\p{Nd}", "0"), r"\p{L}", "a")
     shaped = judged.withColumn("shape", F.when(F.col("kind") == "email", F.concat(turned, F.substring_index("norm", ".", -1))).when(F.col("kind").isin("phone", "iban", "key"), F.concat(F.substring("norm", 1, 4), turned)).otherwise(turned))
     full = shaped.filter("bad").select("kind", "shape").distinct()
-    order = Window.partitionBy("kind", "shape").orderBy(F.sha2(F.concat_ws("\x1f", F.lit(key), "norm"), 256), "norm")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = shaped.join(full, ["kind", "shape"]).select("kind", "norm", F.coalesce(F.lead("norm").over(order), F.first("norm").over(every)).alias("next"))
+    ring = shaped.join(full, ["kind", "shape"]).select("kind", "shape", "norm", F.sha2(F.concat_ws("\x1f", F.lit(key), "norm"), 256).alias("place"))
+    first = ring.groupBy("kind", "shape").agg(F.min_by("norm", F.struct("place", "norm")).alias("first"))
+    after = scanned(ring, ["kind", "shape"], ["place", "norm"], next=("after", F.col("norm"))).join(first, ["kind", "shape"])
+    after = after.select("kind", "norm", F.coalesce("next", "first").alias("next"))
     ended = judged.join(after, ["kind", "norm"], "left").select("kind", "norm", "attempt", F.when(F.col("bad"), F.col("next")).otherwise(F.col("surrogate")).alias("surrogate"))
     return common.written(ended, "surrogates")
 
@@ -229,7 +240,10 @@ def _bare(gaps: str) -> str:
 
 def replace(docs: DataFrame, key: str = "set a key of your own", text: str = "text") -> DataFrame:
     """docs with the entities in column `text` replaced, and n_replaced, their number."""
-    found = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
+    given = docs.columns
+    others = F.struct(*[F.col(f"`{c}`") for c in given if c not in (text, "n_replaced")] or [F.lit(0).alias("none")]).alias("row__")
+    docs = docs.select(others, F.col(f"`{text}`").alias("text__"))  # no column of docs clashes with those made here
+    found = F.coalesce(F.regexp_extract_all(F.col("text__"), F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
     marked = docs.withColumn("entities__", found)
     marked = common.written(marked.withColumn("list__", F.when(F.size("entities__") > 0, F.sha2(F.array_join("entities__", "\x1f"), 256))), "entities")
     some = marked.filter("list__ is not null")
@@ -249,12 +263,12 @@ def replace(docs: DataFrame, key: str = "set a key of your own", text: str = "te
     known = known.groupBy("list__", "norm").agg(F.max(F.struct("kind", "surrogate")).alias("best"))
     known = known.groupBy("list__").agg(F.map_from_entries(F.collect_list(F.struct("norm", "best.surrogate"))).alias("names__"))
     rows = rows.join(known, "list__", "left")
-    gaps = F.split(F.col(text), ENTITY, -1)
+    gaps = F.split(F.col("text__"), ENTITY, -1)
     bare = F.when(F.col("names__").isNull(), F.transform("gaps__", lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))).otherwise(F.expr(_bare("gaps__")))
     joined = F.expr("array_join(transform(sequence(0, size(made__)), i -> concat(get(gaps__, i).text, coalesce(get(made__, i), ''))), '')")
-    out = [joined.alias(c) if c == text else F.col(c) for c in docs.columns if c != "n_replaced"]
-    changed = some.join(rows, "list__").withColumn("gaps__", gaps).withColumn("gaps__", bare).select(*out, F.expr("size(made__) + aggregate(gaps__, 0L, (n, g) -> n + g.n)").alias("n_replaced"))
-    same = marked.filter("list__ is null").select(*[c for c in docs.columns if c != "n_replaced"], F.lit(0).cast("long").alias("n_replaced"))
+    out = lambda t: [t.alias(c) if c == text else F.col("row__")[c].alias(c) for c in given if c != "n_replaced"]
+    changed = some.join(rows, "list__").withColumn("gaps__", gaps).withColumn("gaps__", bare).select(*out(joined), F.expr("size(made__) + aggregate(gaps__, 0L, (n, g) -> n + g.n)").alias("n_replaced"))
+    same = marked.filter("list__ is null").select(*out(F.col("text__")), F.lit(0).cast("long").alias("n_replaced"))
     return changed.unionByName(same)
 
 

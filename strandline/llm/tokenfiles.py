@@ -14,7 +14,8 @@ ids before it, is a prefix sum over the manifest. Reading maps the files and add
 
 Defined results: null text counts as empty and has just the end id; null doc_ids come first;
 repeated doc_ids stay separate rows, ordered by a hash of the text; an empty table has no rows; further columns
-of the input are not stored.
+of the input are not stored. Strings of the tokenizer's own special tokens become those tokens, as the
+library has it by default.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class FileEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.first = PieceCache(self.one, "", CACHE // 8)
         self.later = PieceCache(self.one, " ", CACHE)
@@ -117,7 +119,7 @@ class FileEncoder:
 
     def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of runs of texts their ids one after another, and the number of each text's."""
-        return encoded(texts, self.first.__getitem__, self.known, self.one, f"<u{self.width}")
+        return encoded(texts, self.first.__getitem__, self.known, self.one, f"<u{self.width}", self.added)
 
 
 @lru_cache(maxsize=2)

@@ -466,3 +466,64 @@ def test_near_duplicates_are_decided_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted(((r.doc_id, r.text) for r in c.drop_near_duplicates(spark, docs, SF).collect()), key=str)
     assert kept == sorted([(3, a), (7, b + " more"), (None, d), (7, e), (8, None), (8, None)], key=str)
+
+
+def test_personal_data_to_the_end_of_its_token(spark):
+    from strandline.llm import surrogates
+
+    gone = {
+        'password="correct horse battery staple" x': ["correct", "horse", "battery", "staple"],
+        "pwd: 'a b7' end": ["b7"], "password=abc12": ["abc12"], "token: ab1": ["ab1"],
+        "x" * 70 + "@example.com": ["x" * 70, "example"], "see a@b.c.d.e.f.gg.hh.com now": ["gg.hh.com", "a@b"],
+        "addr 2001:0db8:85a3:0000:0000:8a2e:0370:7334, fe80::1ff:fe23:4567:890a": ["2001:0db8", "8a2e", "fe23"],
+        "call 030 1234567 or 0171-2345678, 01 23 45 67 89": ["1234567", "2345678", "23 45"], "(030) 1234567": ["1234567"], "+49 (0)30 1234567": ["1234567"],
+        "Mr O'Neil's dog. O'Neil's cat, O’Neil ran": ["O'Neil"],
+    }
+    same = ["on 01.02.2020 12:30 we met", "the secret: love is", "12:34:56 std::vector a::b", "a." * 100_000 + " end"]
+    rows = [(k, t, "x", "y") for k, t in enumerate([*gone, *same])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, entities__ string, row__ string")
+    got = surrogates.replace(df, "k")
+    assert got.columns == ["doc_id", "text", "entities__", "row__", "n_replaced"]
+    for r in got.collect():
+        old = rows[r.doc_id][1]
+        assert (r.entities__, r.row__) == ("x", "y")
+        if old in gone:
+            assert r.n_replaced and len(r.text) >= 5 and not any(x in r.text for x in gone[old]), r
+        else:
+            assert (r.text, r.n_replaced) == (old, 0)
+    name = next(r.text for r in got.collect() if "dog" in r.text)
+    assert name.split(" ")[1] == name.split(" ")[3] + "'s" or name.split(" ")[1] == name.split(" ")[3]
+
+
+def test_a_full_format_goes_round(spark):
+    """All ten two-letter, one-digit secrets of a shape: each takes another's value, none its own, none twice."""
+    from strandline.llm import surrogates
+
+    norms = spark.createDataFrame([("secret", str(k)) for k in range(10)] + [("secret", "ab1")], "kind string, norm string")
+    got = {r.norm: r.surrogate for r in surrogates.assign(norms, "k").collect()}
+    assert len(set(got.values())) == 11 and {got[str(k)] for k in range(10)} == {str(k) for k in range(10)} and all(a != b for a, b in got.items())
+
+
+def test_special_token_strings_as_the_library_has_them():
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from strandline.llm import tokenfiles
+
+    plain, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokenfiles.encoder(P.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|>b c", "<|endoftext|> <|endoftext|>", "plain text", "x" * 50 + "<|endoftext|>\n", ""]
+    got = [list(map(int, x)) for ids, n in own.encode_all(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_without_ids_have_keys_of_their_own(spark):
+    from strandline.llm import mixing
+
+    rows = [(None if k % 2 else 7, f"word{k} " * (1 + k % 5), "s") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sized(df)
+    keys = sized.select(mixing._uniform(F.col("doc_id"), F.col("mark"), 7).alias("u")).distinct().count()
+    got = [mixing.mix(sized, share=0.4).select("text", "taken").collect() for _ in range(2)]
+    assert keys == 300 and sorted(got[0]) == sorted(got[1])
+    assert abs(sum(r.taken for r in got[0]) - 0.4 * sum(1 + k % 5 for k in range(300))) <= 5
