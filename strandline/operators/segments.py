@@ -134,3 +134,36 @@ def longer_split(first: Column, second: Column) -> Column:
     """struct(variant, parts): of two arrays of texts the one with more; the first on a tie. No rows are moved."""
     pick = lambda x: F.when(F.size(x["b"]) > F.size(x["a"]), F.struct(F.lit(2).alias("variant"), x["b"].alias("parts"))).otherwise(F.struct(F.lit(1).alias("variant"), x["a"].alias("parts")))
     return F.get(F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), pick), F.lit(0))
+
+
+def cascade(df: DataFrame, group: str, longest_us: int = 30_000_000) -> DataFrame:
+    """Groups of segments (group, seg_no, s, e, text, cuts, actual) refined as far as they need it: group,
+    seg_no, s, e, d, text.
+
+    A group that needs more splitting (summary()) has each text parted at sentences or clauses, whichever
+    are more, timed by characters; what is longer than longest_us is parted at its cuts (silences,
+    ascending; null: none) where they give more than one part, and evenly if still too long. Other groups
+    keep their rows. Then all are fitted to the group's actual end (null: as they are), and neighbours meet.
+    """
+    more = summary(df, group).select(F.col(group).alias("g_"), F.coalesce("split_more", F.lit(False)).alias("more_"))
+    rows = df.select(group, "seg_no", "s", "e", "text", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"), "actual")
+    rows = rows.join(more, F.col(group).eqNullSafe(F.col("g_"))).drop("g_")
+    kept = rows.filter("not more_").select(group, "actual", "seg_no", *[F.lit(0).alias(k) for k in ("k1", "k2", "k3")], "s", "e", "text")
+    parts = longer_split(text.sentences(F.col("text")), text.clauses(F.col("text")))["parts"]
+    split = rows.filter("more_").withColumn("parts", parts)
+    split = split.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.coalesce("text", F.lit("")))))
+    split = split.withColumn("total", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p)))
+    split = split.select(group, "actual", "seg_no", "s", "e", "cuts", "total", F.posexplode("parts").alias("k1", "text"))
+    w = Window.partitionBy(group, "seg_no").orderBy("k1").rowsBetween(Window.unboundedPreceding, -1)  # within one row's text
+    split = split.withColumn("done", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    at = lambda done: F.when(F.col("total") > 0, F.col("s") + F.expr(f"((e - s) * {done}) div total")).otherwise(F.col("s"))
+    split = split.withColumns({"a": at("done"), "b": F.when(F.col("total") > 0, at("(done + length(text))")).otherwise(F.col("e"))})
+    split = split.select(group, "actual", "seg_no", "k1", F.col("a").alias("s"), F.col("b").alias("e"), "text", "cuts")
+    long = F.col("e") - F.col("s") > longest_us
+    inside = F.filter("cuts", lambda c: (c > F.col("s")) & (c < F.col("e")))
+    quiet = split_at_cuts(split.withColumn("cuts", F.when(long, inside).otherwise(F.array().cast("array<bigint>")))).withColumnRenamed("part", "k2")
+    even = fixed_split(quiet, longest_us).withColumnRenamed("part", "k3")
+    every = even.select(*kept.columns).unionByName(kept)
+    every = numbered(every, group, "seg_no", "k1", "k2", "k3").drop("k1", "k2", "k3", "is_last")
+    fitted = corrected(every.withColumn("actual", F.coalesce("actual", F.max("e").over(Window.partitionBy(group)))), group, "actual")
+    return repair(fitted, group).select(group, "seg_no", "s", "e", "d", "text")

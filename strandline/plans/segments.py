@@ -186,3 +186,35 @@ def cascade(spark, d):
     rows = rows.select("doc_id", "seg_no", "text", F.expr("(e * done) div total").alias("s"), F.expr("(e * (done + length(text))) div total").alias("e"))
     short = one.filter("e <= 3000000").select("doc_id", F.lit(0).cast("long").alias("seg_no"), F.lit(0).alias("part"), "s", "e", "text")
     return S.fixed_split(rows).select("doc_id", "seg_no", "part", "s", "e", "text").unionByName(short)
+
+
+_FITTED = """SELECT doc_id, seg_no, text, CASE WHEN abs(diff) > 100000 AND NOT grown THEN round(s * (actual / mx))::BIGINT ELSE s END AS s,
+    CASE WHEN grown AND seg_no = last THEN e + least(diff, 500000) WHEN abs(diff) > 100000 AND NOT grown THEN round(e * (actual / mx))::BIGINT ELSE e END AS e
+    FROM (SELECT *, actual - mx AS diff, actual - mx > 100000 AND actual - mx - 500000 <= 100000 AS grown FROM (
+    SELECT *, max(e) OVER g AS mx, max(seg_no) OVER g AS last, max(whole) OVER g + (doc_id % 5 - 2) * 400000 AS actual FROM ({src}) WINDOW g AS (PARTITION BY doc_id)))"""
+_REFINED = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no, part) - 1 AS seg_no, s, e, text, whole FROM (
+    SELECT f.*, o.e AS whole FROM (SELECT * FROM ({_fixed(_CASCADE, 'doc_id, seg_no')}) UNION ALL BY NAME SELECT doc_id, 0::BIGINT AS seg_no, 0 AS part, s, e, text FROM ({_ONE}) WHERE e <= 3000000) f JOIN ({_ONE}) o USING (doc_id))"""
+
+
+def _timed(spark, d, cuts=None):
+    """Every document as one segment, its cuts, and the end that it is to have."""
+    rows = _whole(spark, d).select("doc_id", F.lit(0).cast("long").alias("seg_no"), "s", "e", "text", (F.col("e") + (F.col("doc_id") % 5 - 2) * 400_000).alias("actual"))
+    if cuts is None:
+        return rows.withColumn("cuts", F.lit(None).cast("array<bigint>"))
+    return rows.join(cuts, F.col("doc_id") == F.col("user_id"), "left").drop("user_id")
+
+
+_NORMAL = f"SELECT doc_id, {_NORM} AS text, n_chars FROM documents"
+
+
+@R.add("W14_refined", f"WITH nd AS ({_NORMAL}), n AS (SELECT * FROM ({_FITTED.format(src=_REFINED).replace('FROM documents', 'FROM nd')})) SELECT r.*, n.text FROM (" + _REPAIR.format(g="doc_id", src="SELECT doc_id, seg_no, s, e FROM n") + ") r JOIN n USING (doc_id, seg_no)")
+def refined(spark, d):
+    """The whole cascade over documents without silences: gate, variant, even split, correction, repair."""
+    return S.cascade(_timed(spark, d), "doc_id")
+
+
+@R.add("W14_silence")
+def refined_at_silence(spark, d):
+    """The whole cascade, long rows parted first at the silences that the documents' events would give."""
+    cuts = relative_rows(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_set(F.expr("s div 60"))).alias("cuts"))
+    return S.cascade(_timed(spark, d, cuts), "doc_id")

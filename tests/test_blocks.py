@@ -177,3 +177,30 @@ def test_balance_goes_on_from_window_to_window(spark, many_parts):
         total += n
         want.append((k, total, total < 20))
     assert [(x.start_at, x.balance, x.low) for x in sessions.balanced(df, 20).orderBy("start_at").collect()] == want
+
+
+def test_cascade_goes_as_far_as_it_must(spark):
+    """Words stay in order, rows fit the actual end and meet, silences part long rows, short groups stay."""
+    from strandline.operators import segments
+
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [
+        ("one", 0, 0, 100_000_000, long, [20_000_000, 45_000_000, 70_000_000], 100_300_000),  # no sentence ends: silences
+        ("even", 0, 0, 100_000_000, long, None, 99_000_000),  # no silences: even parts, scaled
+        ("said", 0, 0, 9_000_000, "First one. Second, longer one! And a third?", [1_000_000], None),
+        ("kept", 0, 0, 2_000_000, "Too short. To split.", [1_000_000], 2_000_000),
+        ("two", 0, 0, 5_000_000, "a. b.", None, None), ("two", 1, 4_000_000, 9_000_000, "c. d.", None, None), ("two", 2, 9_500_000, 12_000_000, "e", None, None),
+        (None, 0, 0, 8_000_000, "", None, None),
+    ]
+    df = spark.createDataFrame(rows, "g string, seg_no long, s long, e long, text string, cuts array<long>, actual long").repartition(3)
+    got = {}
+    for r in sorted(segments.cascade(df, "g").collect(), key=lambda r: r.seg_no):
+        got.setdefault(r.g, []).append((r.s, r.e, r.text))
+    assert [x[:2] for x in got["one"]] == [(0, 20_000_000), (20_000_000, 45_000_000), (45_000_000, 70_000_000), (70_000_000, 100_300_000)]
+    assert len(got["even"]) == 5 and got["even"][-1][1] == 99_000_000
+    assert all(" ".join(t for *_, t in got[g]) == long for g in ("one", "even"))
+    assert [t for *_, t in got["said"]] == ["First one.", "Second,", "longer one!", "And a third?"] and got["said"][-1][1] == 9_000_000
+    assert got["kept"] == [(0, 2_000_000, "Too short. To split.")] and got[None] == [(0, 8_000_000, "")]
+    assert [(s, e) for s, e, _ in got["two"]] == [(0, 4_500_000), (4_500_000, 9_000_000), (9_000_000, 12_000_000)]
+    for rows in got.values():
+        assert all(a[1] == b[0] for a, b in zip(rows, rows[1:]))
