@@ -10,8 +10,9 @@ The model's symbols are the most frequent words (head_size(), which grows with t
 one for all other words. Its softmax is factored by classes of frequency; within the class of all other words a word has its share of the
 base probability, so the model gives every token a probability, and these sum to one. It is trained by
 truncated backpropagation, once over every token of every training document: all documents are written as
-symbols, those for training dealt over rounds; in a round each task goes over its documents from the common weights,
-and the tasks' weights are averaged by tokens. Scoring runs over every token of every document; the state is
+symbols, those for training dealt over rounds and tasks by a hash of the document; in a round each task goes
+over its documents from the common weights, and the tasks' weights are averaged by tokens, in slices. So the
+model depends on the documents, but not on files, partitions or cores. Scoring runs over every token of every document; the state is
 carried across windows.
 
 Defined results: null or blank text is just the end token; a null doc_id is hashed as an empty string;
@@ -32,19 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import common, gru
+from strandline.llm import common, gru, sums
 
 HEAD = 2046
-#: Tokens of a task from which on training is spread over several; then rounds of a task, and the tokens in one.
-TASK_TOKENS = 1_000_000
-ROUNDS = (4, 16)
+#: Tokens of a training task at most on average: a longer training has as many tasks as that makes, in
+#: ROUNDS rounds. Tokens that a task holds at once.
+TASK_TOKENS = 12_000_000
+ROUNDS = 6
 ROUND_TOKENS = 2_000_000
 BLOCK_TOKENS = 2_000_000
 _END = b""
 
 _BLOCKS = "block long, bucket int, doc_id long, held boolean, ids binary, words binary, counts binary"
 _TOTALS = "block long, ids binary, counts binary, words binary, totals binary, levels binary, ends long, tokens long, distinct long"
-_CODED = "doc_id long, held boolean, n_tokens long, n_known long, base double, tail double, ids binary, round int"
+_CODED = "doc_id long, held boolean, n_tokens long, n_known long, base double, tail double, ids binary, draw long, round int"
 _LEVELS = 512
 #: Rows of the documents for each bucket of words, at least.
 ROWS_A_BUCKET = 500
@@ -202,7 +204,7 @@ def coded(made: DataFrame, counted: DataFrame, head: dict[bytes, int], rounds: i
                     yield _batch(kinds, block=[r["block"]], kind=[1], ids=[np.array(a, "<u4").tobytes()], counts=[np.array(s, "<i8").tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lut, turn, out = None, None, 0, []
+        now, lut, out = None, None, []
         numbers, symbol = [], []
 
         def done() -> pa.RecordBatch:
@@ -228,8 +230,9 @@ def coded(made: DataFrame, counted: DataFrame, head: dict[bytes, int], rounds: i
                             sym[i] = c
                         lut = np.log10((cnt + 0.5) / of_all)
                         tail, known = np.where(sym == other, lut - np.log10(rest), 0.0), cnt > 0
-                    turn += not r["held"]
-                    out.append((r["doc_id"], r["held"], len(ids), int(known[ids].sum()), float(lut[ids].sum()), float(tail[ids].sum()), sym[ids].tobytes(), -1 if r["held"] else turn % rounds))
+                    coded_ = sym[ids].tobytes()
+                    draw = zlib.crc32(coded_, zlib.crc32(str(r["doc_id"]).encode()))  # of the document alone
+                    out.append((r["doc_id"], r["held"], len(ids), int(known[ids].sum()), float(lut[ids].sum()), float(tail[ids].sum()), coded_, draw, -1 if r["held"] else draw % rounds))
                     if len(out) >= 500:
                         yield done()
                         out = []
@@ -255,23 +258,25 @@ def symbol_type(symbols: int) -> str:
     return "<u2" if symbols <= 65_536 else "<u4"
 
 
-def _tasks(spark: SparkSession, tokens: int) -> tuple[int, int]:
-    """Tasks and rounds of training on so many tokens."""
-    tasks = int(min(spark.sparkContext.defaultParallelism, max(1, -(-tokens // TASK_TOKENS))))
-    return tasks, 1 if tasks == 1 else int(min(max(-(-tokens // (tasks * ROUND_TOKENS)), ROUNDS[0]), ROUNDS[1]))
+def _tasks(tokens: int) -> tuple[int, int]:
+    """Tasks and rounds of training on so many tokens: by the tokens alone, so that no cluster's size matters."""
+    tasks = max(1, -(-tokens // TASK_TOKENS))
+    return tasks, 1 if tasks == 1 else ROUNDS
 
 
 def fit(table: DataFrame, symbols: int, counts: np.ndarray, tokens: int) -> tuple[dict[str, np.ndarray], int]:
     """The model after one pass over all training documents of a coded table, and the number of tokens it learned from."""
     spark = table.sparkSession
     state, learned = gru.begun(gru.fresh(symbols, counts)), 0
-    (tasks, rounds), kind = _tasks(spark, tokens), symbol_type(symbols)
+    (tasks, rounds), kind = _tasks(tokens), symbol_type(symbols)
     each = tokens // (tasks * rounds)  # of a task in a round, about
 
     for turn in range(rounds if tokens else 0):
         shared = spark.sparkContext.broadcast(state)
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             own, total = {k: v.copy() for k, v in shared.value.items()}, 0
 
             def chunks() -> Iterator[list[np.ndarray]]:
@@ -291,22 +296,17 @@ def fit(table: DataFrame, symbols: int, counts: np.ndarray, tokens: int) -> tupl
 
             gru.learn(own, symbols, chunks(), each, gru.lanes_for(each), turn / rounds, (turn + 1) / rounds)
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([total] * len(own), pa.int64()), pa.array([v.tobytes() for v in own.values()], pa.binary())], ["name", "tokens", "data"])
-
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict = {}
-            for b in batches:
-                for name, n, data in zip(b.column("name").to_pylist(), b.column("tokens").to_pylist(), b.column("data").to_pylist()):
-                    part = np.frombuffer(data, np.float32) * float(n)
-                    sums[name] = (sums[name][0] + n, sums[name][1] + part) if name in sums else (n, part.astype(float))
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(s / n).astype(np.float32).tobytes() for n, s in sums.values()], pa.binary())], ["name", "tokens", "data"])
-
-        part = table.filter(F.col("round") == turn).select("ids").coalesce(tasks)
-        got = part.mapInArrow(learn, "name string, tokens long, data binary").repartition(8, "name").mapInArrow(mean, "name string, tokens long, data binary").collect()
-        if got:  # one model
-            learned += got[0]["tokens"]
-            state = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32) for r in got}
+                part = TaskContext.get().partitionId()
+                yield sums.sliced("tokens", part, np.array([float(total)]))
+                for name, v in own.items():
+                    yield sums.sliced(name, part, v.astype(float) * total)
+
+        dealt = table.filter(F.col("round") == turn).select("ids", "draw").repartition(tasks, "draw").sortWithinPartitions("draw")
+        got = sums.added(dealt.mapInArrow(learn, sums.PARTS))
+        if got:  # one model: the mean of the tasks' states by their tokens
+            n = got.pop("tokens")[0]
+            learned += round(n)
+            state = {name: (v / n).astype(np.float32) for name, v in got.items()}
         shared.destroy()
     return gru.unpacked(state["weights"], symbols), learned
 
@@ -325,7 +325,7 @@ def score(docs: DataFrame) -> DataFrame:
     frequent = np.array([end] + [c for _, c in top], float)
     of_all = n + 0.5 * (v + 1)
     rest = max(1.0 - float(((frequent + 0.5) / of_all).sum()), 1e-12) if n else 1.0
-    table = coded(made, counted, head, _tasks(spark, n)[1], of_all, rest)
+    table = coded(made, counted, head, _tasks(n)[1], of_all, rest)
     common.drop_written(made)
     common.drop_written(counted)
     weights, learned = fit(table, symbols, np.append(frequent, max(n - frequent.sum(), 0.5)), n)

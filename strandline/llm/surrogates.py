@@ -58,7 +58,7 @@ KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
     "ipv6": rf"(?<!:)(?:(?:{_HEX4}:){{7}}{_HEX4}|(?=[a-fA-F:]*+[0-9])(?:{_HEX4}(?::{_HEX4}){{0,6}}::(?:{_HEX4}(?::{_HEX4}){{0,6}})?|::{_HEX4}(?::{_HEX4}){{0,6}}))(?![\p{{L}}\p{{N}}:])",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\(0\) ?)?\(?[0-9]{2,4}\)?(?:[ ./-]?[0-9]{2,4}){2,4}(?![0-9])|(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?=0(?:[ ./-]?[0-9]){8,14}(?![0-9]))0[0-9]{1,5}(?:[ ./-][0-9]{2,9})+(?![0-9])|0[0-9]{9,11}(?![0-9])|\(0[0-9]{1,5}\)[ -]?[0-9]{2,9}(?:[ -][0-9]{2,9})*(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\(0\) ?)?\(?[0-9]{2,4}\)?(?:[ ./-]?[0-9]{2,4}){2,4}(?![0-9])|(?![0-9]{2}[./-][0-9]{2}[./-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))(?=0(?:[ ./-]?[0-9]){8,14}(?![0-9]))0[0-9]{1,5}(?:[ ./-][0-9]{2,9})+(?![\p{L}\p{N}])|0[0-9]{9,11}(?![\p{L}\p{N}])|\(0[0-9]{1,5}\)[ -]?[0-9]{2,9}(?:[ -][0-9]{2,9})*(?![\p{L}\p{N}])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",

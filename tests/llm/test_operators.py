@@ -527,3 +527,16 @@ def test_rows_without_ids_have_keys_of_their_own(spark):
     got = [mixing.mix(sized, share=0.4).select("text", "taken").collect() for _ in range(2)]
     assert keys == 300 and sorted(got[0]) == sorted(got[1])
     assert abs(sum(r.taken for r in got[0]) - 0.4 * sum(1 + k % 5 for k in range(300))) <= 5
+
+
+def test_the_model_depends_on_documents_alone(spark, monkeypatch):
+    """Other files, partitions and numbers of cores give the same scores, over several tasks and rounds."""
+    from strandline.llm import lm
+
+    monkeypatch.setattr(lm, "TASK_TOKENS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = []
+    for parts in (1, 5):
+        rows = lm.score(docs.repartition(parts)).collect()
+        got.append([(r.base_score, r.score) for r in sorted(rows, key=lambda r: r.doc_id)])
+    assert len(got[0]) == 200 and np.allclose(got[0], got[1], rtol=1e-6, atol=0)  # 32-bit sums of other batches
