@@ -128,6 +128,19 @@ def flush(spark, d):
     return Z.gated(held, "user_id", ["ts", "event_id"], "size", 30, 1 << 40, F.coalesce("done", F.lit(False))).select("event_id", "released")
 
 
+_OPENS = f"""SELECT session, CASE arg_min(why, at) WHEN 0 THEN 'end' WHEN 1 THEN 'chunks' ELSE 'bytes' END AS opened_by FROM (SELECT user_id::VARCHAR AS session, struct_pack(ts, event_id) AS at,
+    CASE WHEN code = 152 THEN 0 WHEN count(*) FILTER (code = 352) OVER w >= 4 THEN 1 WHEN sum(size) FILTER (code = 352) OVER w >= 40 THEN 2 END AS why FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE why IS NOT NULL GROUP BY session"""
+
+
+@R.add("X07_stream", f"SELECT o.session, event_id, size::BIGINT AS size, opened_by FROM ({_OPENS}) o JOIN ({_EV}) e ON o.session = e.user_id::VARCHAR WHERE code = 352")
+def gate_stream(spark, d):
+    """Chunks that a gate of four chunks or forty bytes, or the end of their session, has let through."""
+    path = scratch(spark, "released")
+    rows, _ = arrivals(spark, d)
+    V.replayed(rows, "ts", lambda r, c: V.to_table(path)(V.gates(r, 4, 40), c), 4)
+    return spark.read.parquet(path).select("session", F.col("seq").alias("event_id"), "size", "opened_by")
+
+
 @R.add("X08_spoken", f"""SELECT user_id, s AS start_at, e AS end_at, e - s AS length FROM (SELECT user_id, code, epoch_us(ts) AS s, lead(code) OVER w AS n, lead(epoch_us(ts)) OVER w AS e FROM ({_EV}) WHERE code IN (350, 351) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE code = 350 AND n = 351""")
 def spoken(spark, d):
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")

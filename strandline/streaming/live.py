@@ -220,6 +220,56 @@ def pieces(frames: DataFrame, idle_minutes: int | None = None) -> DataFrame:
     return frames.groupBy("session").transformWithStateInPandas(_Assembly(idle_minutes), _PIECES, "Append", mode)
 
 
+_RELEASED = "session string, seq long, size long, opened_by string"
+
+
+class _Gate(StatefulProcessor):
+    """A key's chunks while its gate is shut, their number and bytes, and what opened it."""
+
+    def __init__(self, chunks: int, volume: int, ends: tuple[int, ...]):
+        self.limits, self.ends = (chunks, volume), ends
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "seq long, size long")
+        self.state = handle.getValueState("gate", "chunks long, bytes long, opened_by string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        chunks, size, opened = tuple(self.state.get()) if self.state.exists() else (0, 0, None)
+        df = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        waiting, out = [], []
+        for seq, code, n in zip(df["seq"].tolist(), df["code"].tolist(), df["size"].tolist()):
+            if code == 352:
+                chunks, size = chunks + 1, size + int(n)
+                (waiting if opened is None else out).append((int(seq), int(n)))
+            if opened is None:
+                opened = "end" if code in self.ends else "chunks" if chunks >= self.limits[0] else "bytes" if size >= self.limits[1] else None
+                if opened:
+                    out = [tuple(x) for x in self.held.get()] + waiting  # fewer than the gate's chunks
+                    self.held.clear()
+                    waiting = []
+        if waiting:
+            self.held.appendList(waiting)
+        self.state.update((chunks, size, opened))
+        if out:
+            seq, n = zip(*out)
+            yield pd.DataFrame({"session": [key[0]] * len(out), "seq": seq, "size": n, "opened_by": [opened] * len(out)})
+
+    def close(self) -> None:
+        pass
+
+
+def gates(events: DataFrame, chunks: int = 3, volume: int = 32_768, ends: tuple[int, ...] = (152,)) -> DataFrame:
+    """Stream (session, seq, ts, code, size) to the chunks (352) that are released, each once, in order.
+
+    A session's chunks wait in its state until there are `chunks` of them or `volume` bytes, or until an
+    end event comes, which flushes what is there; from then on they pass. So a state holds fewer than
+    `chunks` chunks. opened_by tells which it was: chunks, bytes or end.
+    """
+    return events.groupBy("session").transformWithStateInPandas(_Gate(chunks, volume, ends), _RELEASED, "Append", "None")
+
+
 def to_sinks(rows: DataFrame, sinks: dict[str, str], checkpoint: str, route: str = "route", before: Callable[[int, str], None] | None = None) -> StreamingQuery:
     """One stream into several tables: a batch is kept once, and each route's rows go to its own folder.
 

@@ -125,3 +125,14 @@ def test_late_and_repeated_rows_of_windows(spark, tmp_path):
     assert dropped[0] == 0 and dropped[1] == 2
     twins = [s["customMetrics"].get("numDroppedDuplicateRows", 0) for p in ran[0].recentProgress for s in json.loads(p.json)["stateOperators"]]
     assert sum(twins) == 1
+
+
+def test_gates_hold_few_chunks_and_let_each_through_once(spark, tmp_path):
+    one = [("a", 1, 0, 352, 5), ("a", 2, 1, 352, 5), ("b", 3, 0, 352, 5), ("c", 4, 0, 352, 99), ("d", 5, 0, 352, 1)]
+    two = [("a", 6, 2, 352, 5), ("a", 7, 3, 352, 5), ("b", 8, 4, 152, 0), ("b", 9, 5, 352, 5), ("c", 10, 1, 352, 1), (None, 11, 0, 352, 50)]
+    three = [("a", 12, 9, 352, 5), ("d", 13, 9, 350, 7)]
+    out = f"{tmp_path}/out"
+    run(spark, tmp_path, [arriving(spark, x) for x in (one, two, three)], lambda r, c: live.to_table(out)(live.gates(r, 3, 40), c))
+    got = sorted((r.seq, r.session, r.opened_by) for r in spark.read.parquet(out).collect())
+    want = [(1, "a", "chunks"), (2, "a", "chunks"), (3, "b", "end"), (4, "c", "bytes"), (6, "a", "chunks"), (7, "a", "chunks"), (9, "b", "end"), (10, "c", "bytes"), (11, None, "bytes"), (12, "a", "chunks")]
+    assert got == want  # d still waits
