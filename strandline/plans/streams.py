@@ -128,7 +128,7 @@ def flush(spark, d):
     return Z.gated(held, "user_id", ["ts", "event_id"], "size", 30, 1 << 40, F.coalesce("done", F.lit(False))).select("event_id", "released")
 
 
-_OPENS = f"""SELECT session, CASE arg_min(why, at) WHEN 0 THEN 'end' WHEN 1 THEN 'chunks' ELSE 'bytes' END AS opened_by FROM (SELECT user_id::VARCHAR AS session, struct_pack(ts, event_id) AS at,
+_OPENS = f"""SELECT session, CASE arg_min(why, place) WHEN 0 THEN 'end' WHEN 1 THEN 'chunks' ELSE 'bytes' END AS opened_by FROM (SELECT user_id::VARCHAR AS session, struct_pack(ts, event_id) AS place,
     CASE WHEN code = 152 THEN 0 WHEN count(*) FILTER (code = 352) OVER w >= 4 THEN 1 WHEN sum(size) FILTER (code = 352) OVER w >= 40 THEN 2 END AS why FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE why IS NOT NULL GROUP BY session"""
 
 

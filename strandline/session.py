@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -18,4 +19,7 @@ def ship(spark: SparkSession) -> SparkSession:
         root = Path(__file__).resolve().parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{_NAME}", "zip", root.parent, root.name)
         context.addPyFile(archive)
+        # streams with state start a worker beside the driver, which takes no files but this path
+        paths = [p for p in (str(root.parent), context.environment.get("PYTHONPATH")) if p]
+        context.environment["PYTHONPATH"] = os.pathsep.join(paths)
     return spark
