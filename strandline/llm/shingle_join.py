@@ -8,8 +8,9 @@ their sets' Jaccard similarity reaches the threshold. Steps:
 2. A second pass orders each set rare-first (by that count, then by hash) and deals out its prefix:
    as many shingles as two linked sets cannot both miss. Each task sends a class once.
 3. A prefix shingle's classes are its posting. Of a posting of at most LONG classes, all pairs are
-   candidates that pass the length and positional filters. Classes of longer postings are not paired
-   by rows: those that such postings join directly or indirectly are one crowd.
+   candidates that pass the length and positional filters. Of longer postings, the classes stay that
+   these filters leave a partner at all, by the sizes and positions that the posting has; if they are few
+   now, they are paired as above. Else those that such postings join, directly or not, are one crowd.
 4. Candidate pairs, and pairs of blocks of a crowd, meet with their sets in tasks. Single pairs go
    through a suffix filter (histograms) and are verified by intersection. All pairs of two blocks
    are verified at once, by adding up shared shingles in a matrix. No pair is verified twice.
@@ -151,8 +152,43 @@ def _short_pairs(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent:
     return np.stack([names[code // len(names)], names[code % len(names)]], 1) if len(code) else np.empty((0, 2), np.int64)
 
 
+def _least_needed(n: np.ndarray, first: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    """Of a posting's distinct sizes n, with their first positions and whether there are several of one:
+    the smallest intersection with which a set of each size can link with one of the posting that the
+    length and positional filters leave it. A set with less behind its position has no partner here."""
+    out = np.full(len(n), 1 << 40, np.int64)
+    for s in range(0, len(n), 256):
+        x = n[s : s + 256, None]
+        need = _needed(x, n[None], percent)
+        ok = (100 * np.minimum(x, n) >= percent * np.maximum(x, n)) & (n - first >= need)
+        own = np.arange(len(x))
+        ok[own, s + own] &= many[s : s + 256]
+        out[s : s + 256] = np.where(ok, need, 1 << 40).min(1)
+    return out
+
+
+def _partnered(p: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of p have a partner in their posting, for the postings given; all others count as such."""
+    out = np.ones(len(p), bool)
+    for a, m in zip(starts.tolist(), sizes.tolist()):
+        n, of, count = np.unique(p["n"][a : a + m].astype(np.int64), return_inverse=True, return_counts=True)
+        pos = p["pos"][a : a + m].astype(np.int64)
+        first = np.full(len(n), 1 << 40, np.int64)
+        np.minimum.at(first, of, pos)
+        out[a : a + m] = n[of] - pos >= _least_needed(n, first, count > 1, percent)[of]
+    return out
+
+
+def _postings(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal tokens begin in p, and their lengths."""
+    starts = np.flatnonzero(np.append(True, p["h"][1:] != p["h"][:-1])) if len(p) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(p)))
+
+
 def candidates(docs: DataFrame, counts: np.ndarray, buckets: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of short postings, and the rows (token, sid, n) of long ones; both of one written table."""
+    """Candidate pairs (a, b) of short postings, and the rows (token, sid, n, pos) of long ones; both of one
+    written table. Classes that the filters leave no partner in a posting are not in it; those of postings that
+    are dealt over several buckets have their pos still, and are filtered by crowds()."""
     spark = docs.sparkSession
     shared, shift = spark.sparkContext.broadcast(counts), np.uint64(64 - SKETCH_BITS)
 
@@ -215,30 +251,49 @@ def candidates(docs: DataFrame, counts: np.ndarray, buckets: int, percent: int)
         new = np.ones(len(p), bool)
         new[1:] = (p["h"][1:] != p["h"][:-1]) | (p["sid"][1:] != p["sid"][:-1])
         p = p[new]  # a class once, whatever the number of tasks that sent it
-        starts = np.flatnonzero(np.append(True, p["h"][1:] != p["h"][:-1]))
-        sizes = np.diff(np.append(starts, len(p)))
+        starts, sizes = _postings(p)
+        whole = (sizes > LONG) & (np.maximum.reduceat(p["salt"], starts) == 0)
+        p = p[_partnered(p, starts[whole], sizes[whole], percent)]
+        if not len(p):
+            return
+        starts, sizes = _postings(p)
         hot = np.maximum.reduceat(p["salt"], starts) > 0
         short = (sizes > 1) & (sizes <= LONG) & ~hot
         pairs = _short_pairs(p, starts[short], sizes[short], percent)
         for k in range(0, len(pairs), 200_000):
             a, b = pairs[k : k + 200_000].T
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names)
         rows = np.flatnonzero(np.repeat((sizes > LONG) | hot, sizes))
         for k in range(0, len(rows), 200_000):
             q = p[rows[k : k + 200_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(((bucket - q["salt"].astype(np.int64)) % buckets << 32) | q["h"].astype(np.int64)), pa.array(q["sid"].astype(np.int64)), pa.nulls(len(q), pa.int64()), pa.array(q["n"].astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(((bucket - q["salt"].astype(np.int64)) % buckets << 32) | q["h"].astype(np.int64)), pa.array(q["sid"].astype(np.int64)), pa.nulls(len(q), pa.int64()), pa.array(q["n"].astype(np.int32)), pa.array(q["pos"].astype(np.int32), mask=q["salt"] == 0)], names)
 
-    names = ["token", "a", "b", "n"]
+    names = ["token", "a", "b", "n", "pos"]
     dealt = docs.select("text").mapInArrow(deal, "bucket int, data binary")
-    both = common.written(dealt.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, a long, b long, n int"), "postings")
+    both = common.written(dealt.repartition(max(8, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, a long, b long, n int, pos int"), "postings")
     shared.destroy()
-    pairs, rows = both.filter("b is not null").select("a", "b").distinct(), both.filter("token is not null").select("token", F.col("a").alias("sid"), "n")
+    pairs, rows = both.filter("b is not null").select("a", "b").distinct(), both.filter("token is not null").select("token", F.col("a").alias("sid"), "n", "pos")
     pairs._scratch = both._scratch
     return pairs, rows
 
 
-def crowds(rows: DataFrame) -> DataFrame:
+def _filtered(rows: DataFrame, percent: int) -> DataFrame:
+    """rows without the classes that have no partner in a posting of several buckets (pos is not null): each
+    such token has a row for each size, with its first position, and these tell what a size needs."""
+
+    def least(t: pa.Table) -> pa.Table:
+        n, first = t["n"].to_numpy().astype(np.int64), t["first"].to_numpy().astype(np.int64)
+        return pa.table({"token": t["token"], "n": t["n"], "need": pa.array(_least_needed(n, first, t["many"].to_numpy(), percent))})
+
+    hot = rows.filter("pos is not null").groupBy("token", "n").agg(F.min("pos").alias("first"), (F.count("*") > 1).alias("many"))
+    need = hot.groupBy("token").applyInArrow(least, "token long, n int, need long")  # no more rows than sizes
+    kept = rows.filter("pos is not null").join(need, ["token", "n"]).filter("n - pos >= need")
+    return rows.filter("pos is null").select("token", "sid", "n").union(kept.select("token", "sid", "n"))
+
+
+def crowds(rows: DataFrame, percent: int) -> DataFrame:
     """sid, crowd, block, blocks of the classes of long postings; written."""
+    rows = _filtered(rows, percent)
     token = F.concat(F.lit("t"), F.col("token").cast("string"))
     edges = rows.select(token.alias("a"), F.col("sid").cast("string").alias("b"))
     found = components(edges).filter("node not like 't%'").select(F.col("node").cast("long").alias("sid"), F.col("component").alias("crowd"))
@@ -459,7 +514,7 @@ def _linked(docs: DataFrame, percent: int, every: bool) -> tuple[DataFrame, Data
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = 8 * common.partitions_for(spark, total * (100 - percent) / 100, POSTINGS_EACH)
     pairs, rows = candidates(docs, counts, buckets, percent)
-    crowd = crowds(rows)
+    crowd = crowds(rows, percent)
     found = verified(pairs, crowd, docs, members, percent, every)
     common.drop_written(pairs)
     common.drop_written(crowd)

@@ -86,6 +86,29 @@ def test_every_link_of_a_group(spark, monkeypatch, long, each):
     assert shingle_join.pairs(df).count() == sum(want.values()) / 2
 
 
+@pytest.mark.parametrize("each", [1_000_000, 40])
+def test_short_texts_around_a_common_line(spark, monkeypatch, each):
+    """Texts that share a long line but don't link make no crowd, whether its postings are one bucket or several."""
+    monkeypatch.setattr(shingle_join, "LONG", 8)
+    monkeypatch.setattr(shingle_join, "POSTINGS_EACH", each)
+    line = [f"w{k}" for k in range(60)]
+    own = lambda d, n: [f"d{d}x{k}" for k in range(n)]
+    docs = [(k, " ".join([*line, *own(k, 15)])) for k in range(100)] + [(200 + k, " ".join([*line, *own(k, 14), "z"])) for k in range(0, 100, 7)]
+    docs += [(400 + k, " ".join([*line[: 50 + k], *own(k, 22)])) for k in range(9)] + [(500 + k, " ".join([*line, *own(500 + k, 4)])) for k in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    sets, want = {d: shingles(t) for d, t in docs}, Counter()
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if 100 * len(x & y) >= 75 * len(x | y):
+            want.update((a, b))
+    assert {r.doc_id: r.n_links for r in shingle_join.link(df).collect()} == {d: want[d] for d in sets}
+    apart = df.filter("doc_id < 100")
+    members, counts = shingle_join.survey(apart)
+    assert shingle_join.crowds(shingle_join.candidates(apart, counts, 8, 75)[1], 75).count() == 0
+    linked = df.filter("doc_id >= 500")
+    members, counts = shingle_join.survey(linked)
+    assert shingle_join.crowds(shingle_join.candidates(linked, counts, 8, 75)[1], 75).count() == 12
+
+
 def test_intersections():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 400, rng.integers(0, 90)).astype("<u8")) for _ in range(60)] + [np.arange(20, dtype="<u8")] * 3
