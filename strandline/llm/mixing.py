@@ -48,7 +48,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"), *n)
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row a source
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    by = by.withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
+    by = by.withColumn("place_", place.cast("int")).withColumn("weight", weight).withColumn("cap", F.lit(most) * F.col("source_size"))
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     every = Window.partitionBy(F.lit(1))
     left = F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -77,11 +77,11 @@ def mix(rows: DataFrame, seed: int = 7, **shares) -> DataFrame:
     buckets = F.ceil(F.col("source_rows") / ROWS_EACH)
     bucket = F.least(buckets - 1, F.floor((1 - above / F.col("source_rows")) * buckets)).cast("long")
     rows = rows.withColumn("bucket", bucket).drop("s", "source_rows", *[f"n{k}" for k in range(1, LEVELS + 1)])
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    base = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), base.alias("base"))
-    rows = rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
+    # place_ stands for the source, null too, so that the join and the window need one shuffle of the rows
+    sums = rows.groupBy("place_", "bucket").agg(F.sum("size").alias("bucket_size"))
+    base = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("place_").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sums.select("place_", "bucket", base.alias("base")), ["place_", "bucket"])
+    running = F.sum("size").over(Window.partitionBy("place_", "bucket").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
     middle = F.col("base") + running - F.col("size") / 2
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
