@@ -74,14 +74,14 @@ def split_batch(df: DataFrame, column: str, named: str) -> DataFrame:
     """split(), each row by the preset that column `named` names, in any case; null and unknown names mean
     the default. `parted` tells whether the preset parts the text. One plan for all presets."""
     c, name = F.col(column), F.lower(F.col(named))
-    parted, pieces = F.lit(None).cast("boolean"), F.lit(None).cast("array<string>")
-    for preset_name, config in sorted(PRESETS.items(), key=lambda x: x[0] == "default"):
-        s = chosen(config.strategy)
-        mine = F.lit(True) if preset_name == "default" else F.coalesce(name == preset_name, F.lit(False))
-        yes = F.coalesce(s.should_split(c, config), F.lit(False))
-        parted = F.coalesce(parted, F.when(mine, yes))
-        pieces = F.coalesce(pieces, F.when(mine, F.when(yes, s.split(c, config)).otherwise(F.array(c))))
-    return df.select("*", parted.alias("parted"), F.posexplode(pieces).alias("seg_no", "piece"))
+    known = F.when(name.isin(*PRESETS), name).otherwise("default")
+    parted, pieces = F.lit(None).cast("boolean"), F.array(c)
+    for preset_name, config in PRESETS.items():
+        s, mine = chosen(config.strategy), known == preset_name
+        parted = F.coalesce(parted, F.when(mine, F.coalesce(s.should_split(c, config), F.lit(False))))
+        pieces = F.when(F.col("parted") & mine, s.split(c, config)).otherwise(pieces)
+    # a column before the pieces: beside posexplode it would be evaluated, with the whole text, for each of them
+    return df.withColumn("parted", parted).select("*", F.posexplode(pieces).alias("seg_no", "piece"))
 
 
 def register_table_function(spark: SparkSession, name: str = "split_sentences") -> None:
