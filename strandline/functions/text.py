@@ -14,19 +14,19 @@ CLAUSES = "," + ENDINGS
 INTONED = "!?！？"
 SUPPORTED = (".wav", ".mp3", ".m4a", ".wma", ".aac", ".flac", ".ogg", ".mp4")
 
-_BLANKS = r"[ \t\r\n\f]+"
+_SPACES = " \t\r\n\f"
 #: One character at least, up to the next run of . ! ? or the end, in one pass over each.
 SENTENCE = r"(?s).[^.!?]*(?:[.!?]+|$)"
 
 
 def normalise(c: Column) -> Column:
     """Trimmed, with every run of white space as one space."""
-    return F.trim(F.regexp_replace(c, _BLANKS, " "))
+    return F.trim(F.regexp_replace(c, r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " "))  # single spaces are no matches
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"^{_BLANKS}|{_BLANKS}$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -34,19 +34,28 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(F.length(strip(c)) == 0, F.lit(True))
 
 
+def _kept(pieces: Column, clean) -> Column:
+    return F.filter(F.transform(pieces, clean), lambda p: F.length(p) > 0)
+
+
 def _pieces(c: Column, pattern: str) -> Column:
-    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), strip)
-    return F.filter(found, lambda p: F.length(p) > 0)
+    return _kept(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), strip)
+
+
+def _cut_after(c: Column, chars: str) -> Column:
+    """Parts that end with one of chars, and the rest. A class with characters beyond Latin-1 is slow to match
+    at length, so places are looked for, not what stands between them."""
+    return F.split(c, f"(?<=[{chars}])")
 
 
 def sentences(c: Column) -> Column:
     """Pieces of the normalised text, each up to a run of . ! ? or the end."""
-    return _pieces(normalise(c), SENTENCE)
+    return _kept(F.regexp_extract_all(normalise(c), F.lit(SENTENCE), F.lit(0)), lambda p: F.trim(p))
 
 
 def clauses(c: Column) -> Column:
     """Pieces up to one of nine characters, which stay; the remainder is kept."""
-    return _pieces(c, f"(?s)[^{CLAUSES}]*[{CLAUSES}]|[^{CLAUSES}]+$")
+    return _kept(_cut_after(c, CLAUSES), strip)
 
 
 def secondary(c: Column, longest: int = 80) -> Column:
@@ -61,17 +70,26 @@ def packed(c: Column, longest: int = 80) -> Column:
     A word's separator is counted before a full line is closed, so a line after the first starts with
     the word's length plus one; a word that is too long stands alone.
     """
-    words = F.filter(F.split(c, " "), lambda w: F.length(w) > 0)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(0).alias("size"))
+    words = F.trim(F.regexp_replace(c, "  +", " "))
+    line = lambda start, n: rf"{start}.{{1,{n}}}(?= |\z)|{start}[^ ]+"
+    found = F.regexp_extract_all(words, F.lit(f"(?s){line('^', longest)}|{line(' ', longest - 1)}"), F.lit(0))
+    return F.transform(found, lambda p: F.trim(p))
+
 
-    def add(state: Column, word: Column) -> Column:
-        cost = F.length(word) + F.when(state["size"] > 0, 1).otherwise(0)
-        full = (state["size"] + cost > longest) & (state["size"] > 0)
-        done = F.when(full, F.concat(state["done"], F.array(state["line"]))).otherwise(state["done"])
-        line = F.when(full | (state["line"] == ""), word).otherwise(F.concat(state["line"], F.lit(" "), word))
-        return F.struct(done.alias("done"), line.alias("line"), F.when(full, cost).otherwise(state["size"] + cost).cast("int").alias("size"))
+def once(value: Column, use) -> Column:
+    """use(value), with value evaluated once a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    return F.aggregate(words, start, add, lambda s: F.when(s["line"] != "", F.concat(s["done"], F.array(s["line"]))).otherwise(s["done"]))
+
+def running(sizes: Column) -> Column:
+    """Sums of an array of sizes up to each of them, by doubling: each pass adds the value twice as far before."""
+
+    def passes(x: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.log2(F.size(x))) - 1).cast("int")
+        reach = F.transform(F.sequence(F.lit(0), last), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(reach, x, lambda y, far: F.transform(y, lambda v, i: v + F.coalesce(F.get(y, i - far), F.lit(0))))
+
+    return once(sizes, passes)
 
 
 def positioned(c: Column, least: int = 8) -> Column:
@@ -81,28 +99,29 @@ def positioned(c: Column, least: int = 8) -> Column:
     accepted cut. A tail of `least` or more is a sentence; a shorter one is appended to the last with
     a space (even an empty one); without any sentence it is dropped.
     """
-    parts = F.regexp_extract_all(c, F.lit(f"(?s)[^{ENDINGS}]*[{ENDINGS}]|[^{ENDINGS}]+$"), F.lit(0))
+    cut = rf"[{_SPACES}]*+[^{_SPACES}].{{{least - 2},}}?[{ENDINGS}]" if least > 1 else f".*?[{ENDINGS}]"
+    found = F.regexp_extract_all(c, F.lit(f"(?s){cut}|.+"), F.lit(0))
     kind = "array<struct<text:string,start_pos:int,end_pos:int,char_len:int>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("held"), F.lit(0).alias("start"), F.lit(0).alias("at"))
 
-    def add(s: Column, p: Column) -> Column:
-        held = F.concat(s["held"], p)
-        at = s["at"] + F.length(p)
-        cut = p.rlike(f"[{ENDINGS}]$") & (F.length(strip(held)) >= least)
-        one = F.struct(strip(held).alias("text"), s["start"].alias("start_pos"), (at - 1).alias("end_pos"), F.length(strip(held)).alias("char_len"))
-        out = F.when(cut, F.concat(s["out"], F.array(one))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.when(cut, "").otherwise(held).alias("held"), F.when(cut, at).otherwise(s["start"]).alias("start"), at.alias("at"))
+    def placed(p: Column) -> Column:
+        one = lambda x: F.struct(x["t"].alias("text"), x["a"].alias("start_pos"), x["b"].alias("end_pos"), F.length(x["t"]).alias("char_len"))
+        made = lambda ends: F.transform(p, lambda x, i: once(F.struct(strip(x).alias("t"), (F.get(ends, i) - F.length(x)).alias("a"), (F.get(ends, i) - 1).alias("b")), one))
+        return once(running(F.transform(p, lambda x: F.length(x))), made)
+
+    def finish(out: Column) -> Column:
+        n, last = F.size(out), F.element_at(out, -1)
+        ended = last["text"].rlike(rf"[{ENDINGS}]\z") & (last["char_len"] >= least)  # no tail
+
+        def grown(one: Column, tail: Column, end: Column) -> Column:
+            longer = F.concat(one["text"], F.lit(" "), tail)
+            return F.array(F.struct(longer.alias("text"), one["start_pos"].alias("start_pos"), end.alias("end_pos"), F.length(longer).alias("char_len")))
 
-    def finish(s: Column) -> Column:
-        tail = strip(s["held"])
-        own = F.struct(tail.alias("text"), s["start"].alias("start_pos"), (s["at"] - 1).alias("end_pos"), F.length(tail).alias("char_len"))
-        n = F.size(s["out"])
-        last = F.element_at(s["out"], -1)
-        longer = F.concat(last["text"], F.lit(" "), tail)
-        grown = F.struct(longer.alias("text"), last["start_pos"].alias("start_pos"), (s["at"] - 1).alias("end_pos"), F.length(longer).alias("char_len"))
-        return F.when(F.length(tail) >= least, F.concat(s["out"], F.array(own))).when(n > 0, F.concat(F.slice(s["out"], F.lit(1), n - 1), F.array(grown))).otherwise(s["out"])
+        bare = F.concat(F.slice(out, F.lit(1), n - 1), grown(last, F.lit(""), last["end_pos"]))
+        short = F.concat(F.slice(out, F.lit(1), n - 2), grown(F.get(out, n - 2), last["text"], last["end_pos"]))
+        none = F.array().cast(kind)
+        return F.when(n == 0, none).when(ended, bare).when(last["char_len"] >= least, out).when(n > 1, short).otherwise(none)
 
-    return F.aggregate(parts, start, add, finish)
+    return F.when(c.isNotNull(), once(once(found, placed), finish))
 
 
 def count_of(c: Column, chars: str) -> Column:
@@ -142,14 +161,14 @@ def punctuation_ratio(c: Column) -> Column:
 _W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 
 
-def token_pieces(c: Column) -> Column:
-    """The text as alternating words and gaps, nothing left out."""
+def led_words(c: Column) -> Column:
+    """The text's words, each with the gap before it; only a gap at the end is left out."""
     word = rf"{_W}(?:[\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}']*{_W})?"
-    return F.regexp_extract_all(c, F.lit(rf"(?s){word}|[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(rf"[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}]*+{word}"), F.lit(0))
 
 
-def is_word(piece: Column) -> Column:
-    return piece.rlike(f"^{_W}")
+def without_gap(led: Column) -> Column:
+    return F.regexp_replace(led, r"^[^\p{L}\p{Mn}\p{Nd}\p{Pc}]+", "")
 
 
 def head_rest(c: Column) -> tuple[Column, Column]:
