@@ -12,11 +12,11 @@ from strandline.operators.order import scanned
 def tokens(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """(key, word, start_pos, end_pos) of every word, positions from 0, end exclusive.
 
-    Positions are running sums over the pieces of a text, words and gaps alike.
+    Positions are sums over the words before and their gaps, made within the text's row: no row is moved.
     """
-    rows = df.select(key, F.posexplode(text.token_pieces(F.col(column))).alias("n", "word"))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end_pos", F.sum(F.length("word")).over(w).cast("int")).filter(text.is_word(F.col("word")))
+    led = lambda p: F.arrays_zip(p.alias("led"), text.running(F.transform(p, lambda x: F.length(x))).alias("end_pos"))
+    rows = df.select(key, F.explode(text.once(text.led_words(F.col(column)), led)).alias("w"))
+    rows = rows.select(key, text.without_gap(F.col("w.led")).alias("word"), F.col("w.end_pos").alias("end_pos"))
     return rows.select(key, "word", (F.col("end_pos") - F.length("word")).alias("start_pos"), "end_pos")
 
 
