@@ -168,7 +168,9 @@ def variants(spark, d):
 @R.add("A14_best_variant", f"SELECT doc_id, variant, count(*) AS n FROM ({_BEST}) GROUP BY doc_id, variant")
 def best(spark, d):
     """Counted where they are made: a document is a row."""
-    return _longer(spark, d).select("doc_id", "best.variant", F.size("best.parts").cast("long").alias("n")).filter("n > 0")
+    counted = F.transform(F.array("best"), lambda b: F.struct(b["variant"].alias("variant"), F.size(b["parts"]).cast("long").alias("n")))
+    # a filter above would be pushed down and split each text again
+    return _longer(spark, d).select("doc_id", F.inline(F.filter(counted, lambda c: c["n"] > 0)))
 
 
 _CASCADE = f"""SELECT doc_id, seg_no, text, (e * done) // total AS s, (e * (done + length(text))) // total AS e FROM (

@@ -16,3 +16,43 @@ def test_presets_are_tried_once_a_text(spark):
     from strandline.plans.surface import R
 
     assert "RLIKE" not in _above_generate(R.queries["F03_presets"](spark, SF)).upper()
+
+
+def test_variants_are_split_once_a_text(spark):
+    from strandline.plans.segments import R
+
+    plan = R.queries["A14_best_variant"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # the sentences of one longer_split()
+
+
+def test_token_positions_move_no_row(spark):
+    from strandline.operators import lexicon
+
+    rows = spark.createDataFrame([(1, "It's a 'b'. " * 3000), (2, ""), (3, None)], "doc_id int, text string")
+    made = lexicon.tokens(rows, "doc_id")
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    last = made.agg(F.max("end_pos"), F.count("*")).first()
+    assert tuple(last) == (12 * 2999 + 9, 9000)
+
+
+def _operators(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_are_cut_without_folding(spark):
+    from strandline.functions import text
+
+    rows = spark.createDataFrame([("Erste Zeile hier。 " * 5000 + "ab",)], "text string")
+    packed, placed = rows.select(text.packed(F.col("text")).alias("x")), rows.select(text.positioned(F.col("text")).alias("x"))
+    assert "aggregate(" not in _operators(packed)
+    assert packed.selectExpr("size(x)", "x[0]").first()[0] == len(packed.first()[0])
+    assert max(len(line) for line in packed.first()[0]) <= 80
+    out = placed.first()[0]
+    assert len(out) == 5000 and (out[1].start_pos, out[1].end_pos) == (17, 34) and out[-1].text == "Erste Zeile hier。 ab" and out[-1].end_pos == 18 * 5000 + 1
+
+
+def test_a_line_end_of_another_kind_is_no_end_of_text(spark):
+    from strandline.functions import text
+
+    rows = spark.createDataFrame([(" a \u0085",)], "text string")
+    assert rows.select(text.strip(F.col("text"))).first()[0] == "a \u0085"
