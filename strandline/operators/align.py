@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.operators.order import unrolled
 
 
 def zipped(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
@@ -38,7 +39,7 @@ def _once(value: Column, use) -> Column:
 
 def replace_text(groups: DataFrame, trusted: str, n: str) -> DataFrame:
     """(.., seg_no, text): the trusted text's words over each group's n segments."""
-    return groups.select("*", F.explode(_once(words_of(F.col(trusted)), lambda w: redistributed(w, F.col(n)))).alias("r")).select(*groups.columns, "r.seg_no", "r.text")
+    return unrolled(groups, ["*"], _once(words_of(F.col(trusted)), lambda w: redistributed(w, F.col(n))), "at_", "r").select(*groups.columns, "r.seg_no", "r.text")
 
 
 def merged(sentences: DataFrame, segments: DataFrame, trusted: DataFrame, group: str) -> DataFrame:
@@ -47,10 +48,12 @@ def merged(sentences: DataFrame, segments: DataFrame, trusted: DataFrame, group:
     said = sentences.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("seg_no").cast("long").alias("seg_no"), "text"))).alias("said"))
     places = segments.groupBy(group).agg(F.collect_set(F.col("seg_no").cast("long")).alias("places"), F.count("*").cast("int").alias("n_seg"))
     both = said.join(places, group).join(trusted.select(group, F.col("text").alias("whole")), group, "left")
-    fit = F.filter("said", lambda x: F.array_contains("places", x["seg_no"]))
+    n = F.size("places")
+    dense = (F.array_min("places") == 0) & (F.array_max("places") == n - 1)  # from 0 without a gap: nothing to look up
+    fit = F.when(dense, F.filter("said", lambda x: x["seg_no"].between(0, n - 1))).otherwise(F.filter("said", lambda x: F.array_contains("places", x["seg_no"])))
     one = F.transform(fit, lambda x: F.struct(x["seg_no"].cast("int").alias("seg_no"), x["text"].alias("text")))
     spread = _once(words_of(F.col("whole")), lambda w: redistributed(w, F.col("n_seg")))
-    return both.select(group, F.explode(F.when(F.size("said") <= F.col("n_seg"), one).otherwise(spread)).alias("r")).select(group, "r.seg_no", "r.text")
+    return unrolled(both, [group], F.when(F.size("said") <= F.col("n_seg"), one).otherwise(spread), "at_", "r").select(group, "r.seg_no", "r.text")
 
 
 def gated(groups: DataFrame, original: str, trusted: str, least: float = 0.02) -> Column:
@@ -65,7 +68,7 @@ def gated_segments(segments: DataFrame, trusted: DataFrame, group: str, least: f
     both = said.join(trusted.select(group, F.col("text").alias("whole")), group, "left")
     low = (text.punctuation_ratio(F.array_join(F.col("said.text"), " ")) < least) & F.col("whole").isNotNull()
     spread = _once(words_of(F.col("whole")), lambda w: redistributed(w, F.size("said")))
-    return both.select(group, F.explode(F.when(low, spread).otherwise(F.col("said"))).alias("r")).select(group, "r.seg_no", "r.text")
+    return unrolled(both, [group], F.when(low, spread).otherwise(F.col("said")), "at_", "r").select(group, "r.seg_no", "r.text")
 
 
 def dispatched(mode: str, sentences: DataFrame, segments: DataFrame, trusted: DataFrame, group: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
-from strandline.operators.order import scanned
+from strandline.operators.order import scanned, unrolled
 
 
 def tokens(df: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -15,11 +15,17 @@ def tokens(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     Positions are sums over the words before and their gaps, made within the text's row: no row is moved.
     """
     led = lambda p: F.arrays_zip(p.alias("led"), text.running(F.transform(p, lambda x: F.length(x))).alias("end_pos"))
-    rows = df.select(key, F.explode(text.once(text.led_words(F.col(column)), led)).alias("w"))
+    rows = unrolled(df, [key], text.once(text.led_words(F.col(column)), led), "n", "w")
     rows = rows.select(key, text.without_gap(F.col("w.led")).alias("word"), F.col("w.end_pos").alias("end_pos"))
     return rows.select(key, "word", (F.col("end_pos") - F.length("word")).alias("start_pos"), "end_pos")
 
 
+def word_forms(df: DataFrame, column: str = "text") -> DataFrame:
+    """(form): the distinct lower-case words of all texts, without places."""
+    rows = unrolled(df, [], text.led_words(F.col(column)), "n", "led")
+    return rows.select(F.lower(text.without_gap(F.col("led"))).alias("form")).distinct()
+
+
 def unknown(tokens: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Tokens whose lower-case form (added) is not in dictionary (form)."""
     return tokens.withColumn("form", F.lower(word)).join(dictionary.select("form").distinct(), "form", "left_anti")
@@ -53,8 +59,8 @@ def near_forms(forms: DataFrame, dictionary: DataFrame, reach: int) -> DataFrame
     Words meet by a segment that the edits leave whole, so no pair is tried without a key, and keys grow
     with a word's length and no faster.
     """
-    left = forms.select("bad", F.explode(_met_segments("bad", reach)).alias("key"))
-    right = dictionary.select("form", F.explode(_own_segments("form", reach)).alias("key"))
+    left = unrolled(forms, ["bad"], _met_segments("bad", reach), "n", "key").drop("n")
+    right = unrolled(dictionary, ["form"], _own_segments("form", reach), "n", "key").drop("n")
     met = left.join(right, "key").select("bad", "form", F.levenshtein("bad", "form", reach).alias("class"))
     return met.filter(F.col("class").between(1, reach)).distinct()
 

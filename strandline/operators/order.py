@@ -63,6 +63,15 @@ def scanned(df: DataFrame, group: list[str], order: list[str], block: Column | N
     return rows.withColumns(local).join(carried, same).select(*df.columns, *out)
 
 
+def unrolled(df: DataFrame, keep: list, array: Column, place: str, name: str) -> DataFrame:
+    """A row for each element of array, with its place from 0, and the columns `keep`.
+
+    An inner explode makes Spark filter rows by the array's size first, so that the array is made twice, and
+    the first time wherever that filter can be pushed, which may be below a shuffle, where few tasks run.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(place, name)).filter(F.col(place).isNotNull())
+
+
 def running(df: DataFrame, value: Column, name: str, *order: str) -> DataFrame:
     """Adds `name`: the sum of value over all rows before a row in the order of columns `order` (0 for the first)."""
     return scanned(df, [], list(order), **{name: ("sum", value)})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.operators.order import unrolled
 
 
 def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
@@ -86,7 +87,7 @@ def split_at_cuts(df: DataFrame, least_us: int = 1_000_000) -> DataFrame:
     split = F.filter(F.split(F.col("text"), " "), lambda w: F.length(w) > 0)  # once a row, not once a cut
     parts = F.get(F.transform(F.array(split), lambda w: F.aggregate("cuts", start, lambda x, c: add(w, x, c), lambda x: finish(w, x))), F.lit(0))
     kept = [c for c in df.columns if c not in ("s", "e", "text", "cuts")]
-    return df.select(*kept, F.posexplode(parts).alias("part", "p")).select(*kept, "part", "p.s", "p.e", "p.text")
+    return unrolled(df, kept, parts, "part", "p").select(*kept, "part", "p.s", "p.e", "p.text")
 
 
 def corrected(df: DataFrame, group: str, actual: str, least_us: int = 100_000, most_us: int = 500_000) -> DataFrame:
@@ -153,7 +154,7 @@ def cascade(df: DataFrame, group: str, longest_us: int = 30_000_000) -> DataFram
     split = rows.filter("more_").withColumn("parts", parts)
     split = split.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.coalesce("text", F.lit("")))))
     split = split.withColumn("total", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p)))
-    split = split.select(group, "actual", "seg_no", "s", "e", "cuts", "total", F.posexplode("parts").alias("k1", "text"))
+    split = unrolled(split, [group, "actual", "seg_no", "s", "e", "cuts", "total"], F.col("parts"), "k1", "text")
     w = Window.partitionBy(group, "seg_no").orderBy("k1").rowsBetween(Window.unboundedPreceding, -1)  # within one row's text
     split = split.withColumn("done", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
     at = lambda done: F.when(F.col("total") > 0, F.col("s") + F.expr(f"((e - s) * {done}) div total")).otherwise(F.col("s"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.operators import align as A
-from strandline.plans.base import Registry, table
+from strandline.plans.base import Registry, documents, table
 from strandline.plans.scalars import _LINES, _NORM, _RATIO, _SENTENCES, line_rows, sentence_rows
 from strandline.plans.segments import _SEG, segment_rows
 
@@ -43,14 +43,14 @@ _SIZES = f"SELECT a.doc_id, a.n AS n_text, b.n AS n_seg FROM (SELECT doc_id, cou
     UNION ALL {_spread(f'SELECT doc_id, {_WORDS} AS w, n_seg FROM documents JOIN ({_SIZES}) USING (doc_id) WHERE n_text > n_seg', 'doc_id', 'n_seg')}""")
 def merged(spark, d):
     segs = segment_rows(spark, d).select(F.col("user_id").alias("doc_id"), "seg_no")
-    return A.merged(sentence_rows(spark, d), segs, table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return A.merged(sentence_rows(spark, d), segs, documents(spark, d).select("doc_id", "text"), "doc_id")
 
 
 _SEVEN = _spread(f"SELECT doc_id, {_WORDS} AS w FROM documents", "doc_id", "(1 + doc_id % 7)::INT")
 
 
 def _groups(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("whole"), (1 + F.col("doc_id") % 7).cast("int").alias("n"))
+    return documents(spark, d).select("doc_id", F.col("text").alias("whole"), (1 + F.col("doc_id") % 7).cast("int").alias("n"))
 
 
 @R.add("J07_redistribute", _SEVEN)
@@ -63,7 +63,7 @@ _GATED = f"SELECT doc_id, CASE WHEN {_RATIO} < 0.02 THEN 'trusted' ELSE 'kept' E
 
 @R.add("J08_gate", _GATED)
 def gated(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("trusted").alias("trusted"))
+    docs = documents(spark, d).select("doc_id", "text", F.lit("trusted").alias("trusted"))
     chosen = A.gated(docs, "text", "trusted")
     return docs.select("doc_id", F.when(chosen == F.col("trusted"), "trusted").otherwise("kept").alias("took"))
 
@@ -75,7 +75,7 @@ def modes(spark, d):
     def run(name):
         if A.mode_of(name) == "replace":
             return A.replace_text(_groups(spark, d), "whole", "n").select("doc_id", "seg_no", "text")
-        docs = table(spark, d, "documents").select("doc_id", text.normalise(F.col("text")).alias("plain"), "text", F.lit("trusted").alias("trusted"))
+        docs = documents(spark, d).select("doc_id", text.normalise(F.col("text")).alias("plain"), "text", F.lit("trusted").alias("trusted"))
         low = text.punctuation_ratio(F.col("text")) < 0.02
         return docs.select("doc_id", F.lit(0).alias("seg_no"), F.when(low, F.col("trusted")).otherwise(F.col("plain")).alias("text"))
 
@@ -99,13 +99,13 @@ def _lines(spark, d):
 @R.add("J08_grouped", _FALLBACK)
 def gated_lines(spark, d):
     """Documents' lines, with the whole text's words over them where they have too little punctuation."""
-    return A.gated_segments(_lines(spark, d), table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return A.gated_segments(_lines(spark, d), documents(spark, d).select("doc_id", "text"), "doc_id")
 
 
 @R.add("J09_dispatch", f"SELECT 'merge' AS mode, * FROM ({_LINE_MERGE}) UNION ALL SELECT 'fallback', * FROM ({_FALLBACK}) UNION ALL SELECT 'no such mode', * FROM ({_OVER_LINES})")
 def dispatched(spark, d):
     """The same lines under each mode; one without a meaning replaces."""
-    docs, out = table(spark, d, "documents").select("doc_id", "text"), None
+    docs, out = documents(spark, d).select("doc_id", "text"), None
     for name in ("merge", "fallback", "no such mode"):
         rows = A.dispatched(name, sentence_rows(spark, d), _lines(spark, d), docs, "doc_id").select(F.lit(name).alias("mode"), "doc_id", "seg_no", "text")
         out = rows if out is None else out.unionByName(rows)

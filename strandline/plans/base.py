@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt by doc_id: their file may be one row group, which only one task can read, and the
+    steps on a text's rows that follow need no other shuffle."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
+
+
 class Registry:
     """Queries by name, each with the SQL that gives the same rows, or None."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import lexicon as L
-from strandline.plans.base import Registry, table
+from strandline.plans.base import Registry, documents, table
 from strandline.plans.scalars import _TOKENS, token_rows
 from strandline.sources import readers
 from strandline.sources.folders import scratch
@@ -23,8 +23,9 @@ def dictionary(spark, d):
 
 @R.add("J01_unknown", f"SELECT doc_id, lower(word) AS form, count(*) AS n, min(start_pos) AS first FROM ({_DOC}) WHERE lower(word) NOT IN ({_DICT}) GROUP BY 1, 2")
 def unknown(spark, d):
-    bad = L.unknown(token_rows(table(spark, d, "documents").select("doc_id", "text")), dictionary(spark, d))
-    return bad.groupBy("doc_id", "form").agg(F.count("*").alias("n"), F.min("start_pos").alias("first"))
+    """Counted within each text first: a form of it is one row before words meet the dictionary."""
+    rows = token_rows(documents(spark, d).select("doc_id", "text")).groupBy("doc_id", F.lower("word").alias("form"))
+    return L.unknown(rows.agg(F.count("*").alias("n"), F.min("start_pos").alias("first")), dictionary(spark, d), "form").select("doc_id", "form", "n", "first")
 
 
 # Replacement rules of English spelling, as an affix file has them.
@@ -124,12 +125,13 @@ REP size cise
 
 @R.add("J02_suggest")
 def suggest(spark, d):
-    words = token_rows(table(spark, d, "documents").select("doc_id", "text"))
+    """Forms are written before they are looked up, since two steps read them with filters of their own, for which
+    Spark would make them from the texts again."""
     known = dictionary(spark, d)
-    path = scratch(spark, "rules")
+    path, bad = scratch(spark, "rules"), scratch(spark, "forms")
     spark.range(1).select(F.lit(_SWAPS.strip()).alias("value")).write.text(path)
-    bad = L.unknown(words, known).select("form").distinct()
-    return L.suggestions(bad, known, readers.replacements(spark, path), reach=2)
+    L.unknown(L.word_forms(documents(spark, d)), known, "form").select("form").write.parquet(bad)
+    return L.suggestions(spark.read.schema("form string").parquet(bad), known, readers.replacements(spark, path), reach=2)
 
 
 _RULES = [

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import binary, text
 from strandline.operators import lexicon
-from strandline.plans.base import Registry, table
+from strandline.operators.order import unrolled
+from strandline.plans.base import Registry, documents, table
 
 R = Registry()
 _NORM = r"trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g'))"
@@ -23,11 +24,11 @@ def _docs(spark, d):
 
 
 def _exploded(df, pieces):
-    return df.select("doc_id", F.posexplode(pieces).alias("seg_no", "text")).withColumn("seg_no", F.col("seg_no").cast("long"))
+    return unrolled(df, ["doc_id"], pieces, "seg_no", "text").withColumn("seg_no", F.col("seg_no").cast("long"))
 
 
 def sentence_rows(spark, d):
-    return _exploded(_docs(spark, d), text.sentences(F.col("text")))
+    return _exploded(documents(spark, d), text.sentences(F.col("text")))
 
 
 @R.add("P01_required", f"""SELECT lang, count(*) FILTER (coalesce({_STRIPPED}, '') <> '' AND coalesce(source, '') <> '') AS kept,
@@ -153,18 +154,18 @@ def secondary(spark, d):
 
 @R.add("T04_packed")
 def packed(spark, d):
-    return _exploded(_docs(spark, d), text.packed(text.normalise(F.col("text"))))
+    return _exploded(documents(spark, d), text.packed(text.normalise(F.col("text"))))
 
 
 @R.add("T05_clauses", rf"""SELECT doc_id, unnest(range(len(l))) AS seg_no, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(
     regexp_extract_all(text, '(?s)[^,.!?;。！？；]*[,.!?;。！？；]|[^,.!?;。！？；]+$'), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 0) AS l FROM documents)""")
 def clauses(spark, d):
-    return _exploded(_docs(spark, d), text.clauses(F.col("text")))
+    return _exploded(documents(spark, d), text.clauses(F.col("text")))
 
 
 @R.add("T06_positioned")
 def positioned(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.posexplode(text.positioned(F.col("text"))).alias("seg_no", "s"))
+    rows = unrolled(documents(spark, d), ["doc_id"], text.positioned(F.col("text")), "seg_no", "s")
     return rows.select("doc_id", "seg_no", "s.*")
 
 
@@ -210,7 +211,7 @@ def tokens(spark, d):
 
 @R.add("T10_documents", _TOKENS.replace("SRC", "documents"))
 def document_tokens(spark, d):
-    return token_rows(_docs(spark, d).select("doc_id", "text"))
+    return token_rows(documents(spark, d).select("doc_id", "text"))
 
 
 _LINES = r"SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\r\n]+'), lambda x: trim(x) <> '') AS l FROM documents)"
@@ -218,7 +219,7 @@ _LINES = r"SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FR
 
 def line_rows(spark, d):
     lines = F.filter(F.split(F.col("text"), r"[\r\n]+"), lambda x: F.trim(x) != "")
-    return _docs(spark, d).select("doc_id", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    return unrolled(documents(spark, d), ["doc_id"], lines, "line_no", "line").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 R.add("S06_lines", _LINES)(line_rows)

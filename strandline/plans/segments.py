@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.operators import segments as S
-from strandline.plans.base import Registry, table
+from strandline.operators.order import unrolled
+from strandline.plans.base import Registry, documents, table
 from strandline.plans.scalars import _EXTRA, _NORM, _SENTENCES, _STRIP, sentence_rows
 
 R = Registry()
@@ -46,8 +47,8 @@ _ALLOC = f"""WITH a AS (SELECT d.doc_id, s.seg_no, s.text, round(d.n_chars * 100
 
 
 def timed_sentences(spark, d):
-    docs = table(spark, d, "documents")
-    rows = docs.select("doc_id", F.round(F.col("n_chars") * 1_000_000 / 15).cast("long").alias("whole"), F.posexplode(text.sentences(F.col("text"))).alias("seg_no", "text"))
+    whole = F.round(F.col("n_chars") * 1_000_000 / 15).cast("long").alias("whole")
+    rows = unrolled(documents(spark, d), ["doc_id", whole], text.sentences(F.col("text")), "seg_no", "text")
     return S.allocate(rows.withColumn("seg_no", F.col("seg_no").cast("long")), "doc_id")
 
 
@@ -64,7 +65,7 @@ _ONE = f"SELECT doc_id, {_NORM} AS text, 0::BIGINT AS s, round(n_chars * 1000000
 
 
 def _whole(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalise(F.col("text")).alias("text"), F.lit(0).cast("long").alias("s"), F.round(F.col("n_chars") * 1_000_000 / 15).cast("long").alias("e"))
+    return documents(spark, d).select("doc_id", text.normalise(F.col("text")).alias("text"), F.lit(0).cast("long").alias("s"), F.round(F.col("n_chars") * 1_000_000 / 15).cast("long").alias("e"))
 
 
 def _fixed(src, keys):
@@ -157,11 +158,11 @@ _BEST = f"SELECT v.* FROM ({_VARIANTS}) v JOIN (SELECT doc_id, variant FROM (SEL
 def _longer(spark, d):
     """Documents' sentences or clauses, whichever are more: doc_id, best (variant, parts)."""
     best = S.longer_split(text.sentences(F.col("text")), text.clauses(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", best.alias("best"))
+    return documents(spark, d).select("doc_id", best.alias("best"))
 
 
 def variants(spark, d):
-    rows = _longer(spark, d).select("doc_id", F.col("best.variant").alias("variant"), F.posexplode("best.parts").alias("seg_no", "text"))
+    rows = unrolled(_longer(spark, d), ["doc_id", F.col("best.variant").alias("variant")], F.col("best.parts"), "seg_no", "text")
     return rows.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "text", "variant")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def manifest_json(segments: DataFrame, group: str) -> DataFrame:
     """One JSON array of (index from 1, text, begin, end, file) for each group."""
     one = F.struct((F.col("seg_no") + 1).alias("index"), "text", F.col("s").alias("begin"), F.col("e").alias("end"), "file")
-    return segments.groupBy(group).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("manifest"))
+    return segments.groupBy(group).agg(F.to_json(F.sort_array(F.collect_list(one))).alias("manifest"))
 
 
 def lines(df: DataFrame, column: str, path: str) -> None:

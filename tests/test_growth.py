@@ -1,5 +1,7 @@
 """Work grows with the rows: plans and results of what was slow on large tables."""
 
+import json
+
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +58,63 @@ def test_a_line_end_of_another_kind_is_no_end_of_text(spark):
 
     rows = spark.createDataFrame([(" a \u0085",)], "text string")
     assert rows.select(text.strip(F.col("text"))).first()[0] == "a \u0085"
+
+
+def _before_deal(df):
+    """What runs on the documents' own partitions, which may be a single one."""
+    parts = _operators(df).split("RepartitionByExpression")[1:]
+    assert parts
+    return [p[: p.index("Relation")] for p in parts if "Relation" in p]
+
+
+def test_texts_are_dealt_before_they_are_cut(spark):
+    from strandline.plans import collected
+
+    for name in ("T02_sentences", "S06_lines", "J01_unknown", "J09_dispatch", "W14_cascade", "W14_refined", "W14_silence"):
+        for below in _before_deal(collected()[0][name](spark, SF)):
+            assert not any(f in below for f in ("regexp", "RLIKE", "split(", "size(")), name
+
+
+def test_pieces_are_made_once(spark):
+    from strandline.operators.order import unrolled
+
+    rows = spark.createDataFrame([(1, "b,a"), (2, None), (3, "")], "k int, text string").repartition("k")
+    made = unrolled(rows, ["k"], F.filter(F.split("text", ","), lambda x: x != ""), "at", "x")
+    assert _operators(made).count("split(") == 1
+    assert sorted(map(tuple, made.collect())) == [(1, 0, "b"), (1, 1, "a")]
+
+
+def test_unknown_words_are_counted_before_they_meet_the_dictionary(spark):
+    from strandline.plans.lexicon import R
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with a dictionary that is too large for it
+    try:
+        plan = _operators(R.queries["J01_unknown"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("Join LeftAnti") < plan.index("Aggregate [doc_id")
+
+
+def test_suggestions_read_the_texts_once(spark):
+    from strandline.plans.lexicon import R
+
+    assert not any("documents" in f for f in R.queries["J02_suggest"](spark, SF).inputFiles())
+
+
+def test_manifests_are_sorted_without_a_comparator(spark):
+    from strandline.sources import writers
+
+    rows = spark.createDataFrame([(1, k, f"t{k}", k, k + 1, "f") for k in (2, 0, 1)], "doc_id int, seg_no long, text string, s long, e long, file string")
+    made = writers.manifest_json(rows, "doc_id")
+    assert "array_sort" not in _operators(made)
+    assert [m["index"] for m in json.loads(made.first().manifest)] == [1, 2, 3]
+
+
+def test_sentences_meet_places_with_and_without_gaps(spark):
+    from strandline.operators import align
+
+    said = spark.createDataFrame([(g, k, f"{g}{k}") for g in "ab" for k in range(3)], "g string, seg_no long, text string")
+    places = spark.createDataFrame([("a", k) for k in (0, 1, 2, 3)] + [("b", k) for k in (0, 2, 2, 5)], "g string, seg_no long")
+    whole = spark.createDataFrame([("a", "x y"), ("b", "x y")], "g string, text string")
+    got = sorted(map(tuple, align.merged(said, places, whole, "g").collect()))
+    assert got == [("a", 0, "a0"), ("a", 1, "a1"), ("a", 2, "a2"), ("b", 0, "b0"), ("b", 2, "b2")]
