@@ -5,6 +5,7 @@ Sessions are keyed state of transformWithStateInPandas, which needs the RocksDB
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,69 +64,103 @@ def paired(events: DataFrame, bound: str = "1 hour", late: str = "10 minutes", b
     return last.filter(F.col("m.code_") == begin).select("session", F.col("m.seq_").alias("start_seq"), F.col("m.mark_at").alias("start_at"), "end_seq", "end_at")
 
 
-_SESSION = "first long, last long, last_seq long, code int, failed boolean, chunks long, bytes long"
 _FINAL = "session string, started_at timestamp, ended_at timestamp, state string, chunks long, bytes long"
 _STATES = {52: "closed", 152: "ended", 352: "data", 150: "started"}
+#: Sessions share keyed state by a hash, so that a call of Python serves many of them and not one.
+BUCKETS = 1024
+
+
+def _bucketed(events: DataFrame):
+    return events.withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+
+
+def _in_order(rows: Iterator):
+    """A bucket's rows by session, time and seq, as arrays: sessions' names, number of each row's session (null last), us, the frame."""
+    import numpy as np
+    import pandas as pd
+
+    df = pd.concat(list(rows), ignore_index=True)
+    number, names = pd.factorize(df["session"])
+    number = np.where(number < 0, len(names), number)
+    us = df["ts"].to_numpy("datetime64[us]").astype(np.int64)
+    order = np.lexsort((df["seq"].to_numpy(), us, number))
+    return [*names.tolist(), None], number[order], us[order], df.iloc[order]
 
 
 class _Lifecycle(StatefulProcessor):
-    """One open session a key: its bounds in microseconds, last event, chunks and bytes."""
+    """A bucket's open sessions: name, then bounds in microseconds, last seq and event, failure, chunks and bytes."""
 
     def __init__(self, idle_us: int):
         self.idle = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("session", _SESSION)
+        self.handle, self.held = handle, handle.getValueState("open", "sessions string")
 
-    def _final(self, key: tuple, s: tuple):
+    def _open(self) -> dict:
+        return {name: tuple(s) for name, *s in json.loads(self.held.get()[0])} if self.held.exists() else {}
+
+    @staticmethod
+    def _final(done: list):
+        import numpy as np
         import pandas as pd
 
-        state = "failed" if s[4] else _STATES.get(s[3], "connected")
-        at = [pd.Timestamp(v, unit="us") for v in s[:2]]
-        return pd.DataFrame({"session": [key[0]], "started_at": at[:1], "ended_at": at[1:], "state": [state], "chunks": [s[5]], "bytes": [s[6]]})
+        name, first, last, _, code, failed, chunks, size = zip(*[(n, *s) for n, s in done])
+        at = [pd.Series(np.array(v, dtype="datetime64[us]")) for v in (first, last)]
+        state = ["failed" if f else _STATES.get(c, "connected") for f, c in zip(failed, code)]
+        return pd.DataFrame({"session": list(name), "started_at": at[0], "ended_at": at[1], "state": state, "chunks": list(chunks), "bytes": list(size)})
+
+    def _ends(self, s: tuple) -> int:
+        """Millisecond at which a session has been idle for long enough."""
+        return -(-(s[1] + self.idle) // 1000)
 
-    def _timer(self, last: int | None) -> None:
-        """The only timer of a key: when its session has been idle for long enough."""
+    def _keep(self, now: dict) -> None:
+        """Stores open sessions; the bucket's only timer is the one that comes first."""
         for ms in list(self.handle.listTimers()):
             self.handle.deleteTimer(ms)
-        if last is not None:
-            self.handle.registerTimer(-(-(last + self.idle) // 1000))
+        if not now:
+            self.held.clear()
+            return
+        self.held.update((json.dumps([(n, *s) for n, s in now.items()]),))
+        self.handle.registerTimer(min(self._ends(s) for s in now.values()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import numpy as np
-        import pandas as pd
 
-        df = pd.concat(list(rows))
-        us = df["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        order = np.lexsort((df["seq"].to_numpy(), us))
-        us, seq, code, size = us[order], df["seq"].to_numpy()[order], df["code"].to_numpy()[order], df["size"].to_numpy()[order]
+        names, number, us, df = _in_order(rows)
+        seq, code, size = (df[c].to_numpy() for c in ("seq", "code", "size"))
         new = np.ones(len(us), bool)
-        new[1:] = (np.diff(us) >= self.idle) | (code[:-1] == 52)
-        now = tuple(self.held.get()) if self.held.exists() else None
-        for a, b in zip(np.flatnonzero(new), [*np.flatnonzero(new)[1:], len(us)]):
-            data = code[a:b] == 352
-            s = (int(us[a]), int(us[b - 1]), int(seq[b - 1]), int(code[b - 1]), bool(np.isin(code[a:b], (51, 153)).any()), int(data.sum()), int(size[a:b][data].sum()))
+        new[1:] = (np.diff(number) != 0) | (np.diff(us) >= self.idle) | (code[:-1] == 52)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(us)) - 1
+        data = code == 352
+        sums = [np.add.reduceat(v, a).tolist() for v in (data.astype(np.int64), np.where(data, size, 0).astype(np.int64))]
+        failed = np.logical_or.reduceat(np.isin(code, (51, 153)), a).tolist()
+        runs = zip(number[a].tolist(), zip(us[a].tolist(), us[b].tolist(), seq[b].tolist(), code[b].tolist(), failed, *sums))
+        every, done = self._open(), []
+        for n, s in runs:
+            name = names[n]
+            now = every.pop(name, None)
             if now is not None and s[0] - now[1] < self.idle and now[0] - s[1] < self.idle:
                 late = (s[1], s[2]) < (now[1], now[2])
                 last = now if late else s
                 s = (min(s[0], now[0]), *last[1:4], s[4] or now[4], s[5] + now[5], s[6] + now[6])
             elif now is not None:
                 early, s = sorted((now, s))
-                yield self._final(key, early)
-            now = s
-            if now[3] == 52:
-                yield self._final(key, now)
-                now = None
-        if now is None:
-            self.held.clear()
-        else:
-            self.held.update(now)
-        self._timer(now and now[1])
+                done.append((name, early))
+            if s[3] == 52:
+                done.append((name, s))
+            else:
+                every[name] = s
+        self._keep(every)
+        if done:
+            yield self._final(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if self.held.exists():
-            yield self._final(key, tuple(self.held.get()))
-            self.held.clear()
+        every, now = self._open(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        done = [(n, s) for n, s in every.items() if self._ends(s) <= now]
+        self._keep({n: s for n, s in every.items() if self._ends(s) > now})
+        if done:
+            yield self._final(done)
 
     def close(self) -> None:
         pass
@@ -139,7 +174,7 @@ def lifecycles(events: DataFrame, idle_seconds: int, late: str = "10 minutes") -
     final. Rows may come in any order within the watermark; a gap of idle_seconds within what has come
     ends a session at once. A null session is a key like others.
     """
-    rows = events.withWatermark("ts", late).groupBy("session")
+    rows = _bucketed(events.withWatermark("ts", late).select("session", "seq", "ts", "code", "size"))
     return rows.transformWithStateInPandas(_Lifecycle(idle_seconds * 1_000_000), _FINAL, "Append", "EventTime")
 
 
@@ -224,37 +259,51 @@ _RELEASED = "session string, seq long, size long, opened_by string"
 
 
 class _Gate(StatefulProcessor):
-    """A key's chunks while its gate is shut, their number and bytes, and what opened it."""
+    """A bucket's gates: those that are open, by what opened them, and the others' bytes and chunks (seq, size)."""
 
     def __init__(self, chunks: int, volume: int, ends: tuple[int, ...]):
         self.limits, self.ends = (chunks, volume), ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "seq long, size long")
-        self.state = handle.getValueState("gate", "chunks long, bytes long, opened_by string")
+        self.held = handle.getValueState("gates", "open string, shut string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        chunks, size, opened = tuple(self.state.get()) if self.state.exists() else (0, 0, None)
-        df = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        waiting, out = [], []
-        for seq, code, n in zip(df["seq"].tolist(), df["code"].tolist(), df["size"].tolist()):
-            if code == 352:
-                chunks, size = chunks + 1, size + int(n)
-                (waiting if opened is None else out).append((int(seq), int(n)))
-            if opened is None:
-                opened = "end" if code in self.ends else "chunks" if chunks >= self.limits[0] else "bytes" if size >= self.limits[1] else None
-                if opened:
-                    out = [tuple(x) for x in self.held.get()] + waiting  # fewer than the gate's chunks
-                    self.held.clear()
-                    waiting = []
-        if waiting:
-            self.held.appendList(waiting)
-        self.state.update((chunks, size, opened))
-        if out:
-            seq, n = zip(*out)
-            yield pd.DataFrame({"session": [key[0]] * len(out), "seq": seq, "size": n, "opened_by": [opened] * len(out)})
+        opened, shut = ({n: v for n, v in json.loads(x)} for x in self.held.get()) if self.held.exists() else ({}, {})
+        names, number, _, df = _in_order(rows)
+        seq, code, size = (df[c].to_numpy().astype(np.int64) for c in ("seq", "code", "size"))
+        a = np.flatnonzero(np.append(True, np.diff(number) != 0))
+        out = ([], [], [], [])
+        for i, j in zip(a.tolist(), np.append(a[1:], len(number)).tolist()):
+            name = names[number[i]]
+            if name not in opened:
+                waiting = shut.pop(name, [])
+                volume = sum(n for _, n in waiting)
+                while i < j and name not in opened:  # fewer than the gate's chunks pass before it opens
+                    c, n = int(code[i]), int(size[i])
+                    if c == 352:
+                        waiting.append((int(seq[i]), n))
+                        volume += n
+                    why = "end" if c in self.ends else "chunks" if len(waiting) >= self.limits[0] else "bytes" if volume >= self.limits[1] else None
+                    if why:
+                        opened[name] = why
+                    i += 1
+                if name not in opened:
+                    shut[name] = waiting
+                    continue
+                self._put(out, name, opened[name], *(zip(*waiting) if waiting else ((), ())))
+            data = code[i:j] == 352
+            self._put(out, name, opened[name], seq[i:j][data].tolist(), size[i:j][data].tolist())
+        self.held.update((json.dumps(list(opened.items())), json.dumps(list(shut.items()))))
+        if out[0]:
+            yield pd.DataFrame(dict(zip(("session", "seq", "size", "opened_by"), out)))
+
+    @staticmethod
+    def _put(out: tuple, name: str | None, why: str, seq, size) -> None:
+        for held, more in zip(out, ([name] * len(seq), seq, size, [why] * len(seq))):
+            held.extend(more)
 
     def close(self) -> None:
         pass
@@ -267,7 +316,8 @@ def gates(events: DataFrame, chunks: int = 3, volume: int = 32_768, ends: tuple[
     end event comes, which flushes what is there; from then on they pass. So a state holds fewer than
     `chunks` chunks. opened_by tells which it was: chunks, bytes or end.
     """
-    return events.groupBy("session").transformWithStateInPandas(_Gate(chunks, volume, ends), _RELEASED, "Append", "None")
+    rows = events.filter(F.col("code").isin(352, *ends)).select("session", "seq", "ts", "code", "size")
+    return _bucketed(rows).transformWithStateInPandas(_Gate(chunks, volume, ends), _RELEASED, "Append", "None")
 
 
 def to_sinks(rows: DataFrame, sinks: dict[str, str], checkpoint: str, route: str = "route", before: Callable[[int, str], None] | None = None) -> StreamingQuery:

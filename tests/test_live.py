@@ -136,3 +136,18 @@ def test_gates_hold_few_chunks_and_let_each_through_once(spark, tmp_path):
     got = sorted((r.seq, r.session, r.opened_by) for r in spark.read.parquet(out).collect())
     want = [(1, "a", "chunks"), (2, "a", "chunks"), (3, "b", "end"), (4, "c", "bytes"), (6, "a", "chunks"), (7, "a", "chunks"), (9, "b", "end"), (10, "c", "bytes"), (11, None, "bytes"), (12, "a", "chunks")]
     assert got == want  # d still waits
+
+
+@pytest.mark.parametrize("kind", ["lifecycles", "gates"])
+def test_sessions_share_state(spark, tmp_path, monkeypatch, kind):
+    """300 sessions are a few rows of state, and none gets another's chunks."""
+    monkeypatch.setattr(live, "BUCKETS", 4)
+    rows = [(f"s{k % 300}", k, k // 300, 352, k % 300) for k in range(600)]
+    start = {"lifecycles": lambda r, c: live.to_table(f"{tmp_path}/out")(live.lifecycles(r, 3600), c), "gates": lambda r, c: live.to_table(f"{tmp_path}/out")(live.gates(r, 2, 1 << 30), c)}[kind]
+    batches = [arriving(spark, rows)] + ([arriving(spark, [("z", -1, 90_000, 351, 0)])] if kind == "lifecycles" else [])
+    ran = run(spark, tmp_path, batches, start)
+    held = [s["numRowsTotal"] for p in ran[0].recentProgress for s in json.loads(p.json)["stateOperators"]]
+    assert held and max(held) <= 40
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = {r[0]: tuple(r)[1:] for r in (out.groupBy("session").agg(F.sum("chunks"), F.sum("bytes")) if kind == "lifecycles" else out.groupBy("session").agg(F.count("*"), F.sum("size"))).collect()}
+    assert got == {f"s{k}": (2, 2 * k) for k in range(300)}
