@@ -150,7 +150,7 @@ def spoken(spark, d):
 @R.add("X08_stream", f"""SELECT user_id::VARCHAR AS session, s AS start_at, e AS end_at, e - s AS length FROM (SELECT user_id, code, epoch_us(ts) AS e, lag(code) OVER w AS p, lag(epoch_us(ts)) OVER w AS s FROM ({_EV}) WHERE code IN (350, 351) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     WHERE code = 351 AND p = 350 AND e - s <= 21600000000""")
 def spoken_stream(spark, d):
-    """Sentences of at most six hours, from two streams joined while they run."""
+    """Sentences of at most six hours, from windows of a stream."""
     path = scratch(spark, "sentences")
     rows, mark = arrivals(spark, d)
     V.replayed(rows, "ts", lambda r, c: V.to_table(path)(V.paired(r, "6 hours"), c), mark=mark)

@@ -1,4 +1,4 @@
-"""Streams with state: sentences paired by a stream-stream join, sessions with timers, assembly, several sinks.
+"""Streams with state: sentences paired within windows, sessions with timers, assembly, several sinks.
 
 Sessions are keyed state of transformWithStateInPandas, which needs the RocksDB state store (see stored()).
 """
@@ -46,34 +46,48 @@ def to_table(path: str) -> Callable[[DataFrame, str], StreamingQuery]:
     return lambda rows, checkpoint: rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Sessions share keyed state by a hash, so that a state of many of them is read and written at once.
+BUCKETS = 1024
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _bucketed(events: DataFrame):
+    return events.withColumn("bucket", _bucket()).groupBy("bucket")
+
+
 def paired(events: DataFrame, bound: str = "1 hour", late: str = "10 minutes", begin: int = 350, end: int = 351) -> DataFrame:
     """Stream (session, seq, ts, code) to its sentences: session, start_seq, start_at, end_seq, end_at.
 
-    Ends are joined as one stream with the marks (starts and ends) before them as another, no further back
-    than `bound`; both have watermarks, so that state is dropped with time. An end whose latest mark is a
-    start makes a sentence with it. It is given once the watermark has passed it. The watermark moves with
-    starts and ends alone: other rows are filtered before times are measured.
+    An end whose latest mark (start or end) is a start, no further back than `bound`, makes a sentence with it.
+    Marks are gathered by windows of twice the bound that begin at every multiple of it, so that each end has all
+    marks within the bound before it in the window whose second half it lies in; that one gives its sentence, once
+    the watermark has passed the window, whose state is dropped then. So a mark is kept twice and met by its
+    neighbours alone, however many there are within the bound. A late mark counts in windows that are still open.
+    The watermark moves with starts and ends alone: other rows are filtered before times are measured.
     """
     marked = events.withWatermark("ts", late).filter(F.col("code").isin(begin, end))
-    ends = marked.filter(F.col("code") == end).select("session", F.col("seq").alias("end_seq"), F.col("ts").alias("end_at"))
-    marks = marked.select(F.col("session").alias("session_"), F.col("seq").alias("seq_"), F.col("ts").alias("mark_at"), F.col("code").alias("code_"))
-    before = (F.col("mark_at") < F.col("end_at")) | ((F.col("mark_at") == F.col("end_at")) & (F.col("seq_") < F.col("end_seq")))
-    near = (F.col("mark_at") <= F.col("end_at")) & (F.col("mark_at") >= F.col("end_at") - F.expr(f"INTERVAL {bound}"))
-    met = ends.join(marks, (F.col("session") == F.col("session_")) & near & before)
-    last = met.groupBy("session", "end_at", "end_seq").agg(F.max(F.struct("mark_at", "seq_", "code_")).alias("m"))
-    return last.filter(F.col("m.code_") == begin).select("session", F.col("m.seq_").alias("start_seq"), F.col("m.mark_at").alias("start_at"), "end_seq", "end_at")
+    window = F.window("ts", f"{2 * _seconds(bound)} seconds", f"{_seconds(bound)} seconds")
+    mark = F.struct("session", F.col("ts").alias("at"), "seq", "code")
+    held = marked.groupBy(window.alias("w"), _bucket()).agg(F.sort_array(F.collect_list(mark)).alias("m"))
+    each = F.arrays_zip(F.expr("slice(m, 1, size(m) - 1)").alias("a"), F.expr("slice(m, 2, size(m) - 1)").alias("b"))
+    met = held.select("w", F.inline(each))
+    meets = F.col("a.session").eqNullSafe(F.col("b.session")) & (F.col("a.code") == begin) & (F.col("b.code") == end)
+    step = F.expr(f"INTERVAL {_seconds(bound)} SECONDS")
+    met = met.filter(meets & (F.col("b.at") >= F.col("w.start") + step) & (F.col("a.at") >= F.col("b.at") - step))
+    return met.select("b.session", F.col("a.seq").alias("start_seq"), F.col("a.at").alias("start_at"), F.col("b.seq").alias("end_seq"), F.col("b.at").alias("end_at"))
 
 
-_FINAL = "session string, started_at timestamp, ended_at timestamp, state string, chunks long, bytes long"
-_STATES = {52: "closed", 152: "ended", 352: "data", 150: "started"}
-#: Sessions share keyed state by a hash, so that a call of Python serves many of them and not one.
-BUCKETS = 1024
-
-
-def _bucketed(events: DataFrame):
-    return events.withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+def _seconds(interval: str) -> int:
+    """Whole seconds of an interval as "6 hours" (of days at most)."""
+    number, unit = interval.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.removesuffix("s")]
 
 
+_FINAL = "session string, started_at timestamp, ended_at timestamp, state string, chunks long, bytes long"
+_STATES = {52: "closed", 152: "ended", 352: "data", 150: "started"}
 def _in_order(rows: Iterator):
     """A bucket's rows by session, time and seq, as arrays: sessions' names, number of each row's session (null last), us, the frame."""
     import numpy as np

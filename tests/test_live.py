@@ -56,6 +56,16 @@ def test_a_late_sentence_is_dropped(spark, tmp_path):
     assert {(r.session, r.start_seq, r.end_seq) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", 1, 2), ("b", 3, 5)}
 
 
+def test_dense_sentences_keep_windows_not_marks(spark, tmp_path):
+    """State and work do not grow with the marks within the bound of each other; the null session is one like others."""
+    rows = [(s, 4000 * (s is None) + k, k // 50, 350 + k % 2, 0) for s in ("a", None) for k in range(4000)]
+    batches = [arriving(spark, x) for x in (rows[:2000] + rows[4000:6000], rows[2000:4000] + rows[6000:], [("z", -1, 90_000, 351, 0)])]
+    ran = run(spark, tmp_path, batches, lambda r, c: live.to_table(f"{tmp_path}/out")(live.paired(r, "6 hours"), c))
+    got = sorted((r.session or "", r.start_seq, r.end_seq) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((s or "", k - 1, k) for s, k, _, code, _ in rows if code == 351)
+    assert max(o["numRowsTotal"] for q in ran for p in q.recentProgress for o in json.loads(p.json)["stateOperators"]) <= 8
+
+
 def test_sessions_end_by_timer_or_close_and_once(spark, tmp_path):
     one = [("a", 1, 0, 50, 0), ("a", 2, 1, 352, 7), ("b", 3, 1, 352, 5), ("c", 4, 2, 50, 0), (None, 5, 2, 352, 1)]
     two = [("a", 6, 3, 352, 4), ("b", 7, 2, 153, 0), ("c", 8, 3, 52, 0), ("c", 9, 4, 150, 0), ("d", 10, 300, 352, 2), ("d", 11, 301, 352, 2), ("d", 12, 400, 152, 0)]
