@@ -6,11 +6,17 @@ has the last symbol alone; the others have WIDTH symbols each, in order of frequ
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 EMBED, HIDDEN, WIDTH = 24, 32, 64
 LANES, STEPS = 16, 32
 RATE = 1e-2
+#: Rows of a softmax at a time: what they need stays in a core's cache.
+ROWS = 768
+#: Symbols that are scored at once, at least: windows with few lanes are gathered up to that.
+AT_ONCE = 32_768
 
 
 def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
@@ -56,75 +62,100 @@ _rooms: dict[str, np.ndarray] = {}
 
 def _room(name: str, *shape: int) -> np.ndarray:
     """Memory for an intermediate result that is used again by the next window (a task runs one at a time)."""
-    size = int(np.prod(shape))
+    size = math.prod(shape)
     if name not in _rooms or len(_rooms[name]) < size:
         _rooms[name] = np.empty(size, np.float32)
     return _rooms[name][:size].reshape(shape)
 
 
-def _exp(z: np.ndarray) -> np.ndarray | float:
-    """Replaces z by its exponentials; returns what was taken off each row first, if they might overflow."""
+_ones: dict[int, np.ndarray] = {}
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Replaces z by its exponentials; returns the sum of each row, and what was taken off the row first, if they might overflow."""
     top = 0.0
     if z.size and z.max() > 60:
         top = z.max(1, keepdims=True)
         z -= top
     np.exp(z, out=z)
-    return top[:, 0] if isinstance(top, np.ndarray) else top
+    if z.shape[1] not in _ones:
+        _ones[z.shape[1]] = np.ones(z.shape[1], np.float32)
+    return z @ _ones[z.shape[1]], top[:, 0] if isinstance(top, np.ndarray) else top
+
+
+def _biased(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with their bias as a row more, for states with a one (see _sorted)."""
+    return np.concatenate([weights, bias[..., None, :]], -2)
+
+
+def _sorted(w: dict, h: np.ndarray, rows: np.ndarray | None, y: np.ndarray):
+    """Symbols y in order of their classes: that order, classes, positions, h (or some rows of it) with a one each, and where each class begins."""
+    cls, at = places(y, len(w["embed"]))
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    cls, at = cls[order], at[order]
+    hs = _room("hs", len(y), HIDDEN + 1)
+    np.take(h, order if rows is None else rows[order], 0, out=hs[:, :HIDDEN], mode="clip")
+    hs[:, HIDDEN] = 1
+    return order, cls, at, hs, np.searchsorted(cls, np.arange(len(w["out"]) + 1)).tolist()
+
+
+def _pieces(a: int, b: int):
+    return ((s, min(b, s + ROWS)) for s in range(a, b, ROWS))
+
+
+def _thirds(a: np.ndarray) -> np.ndarray:
+    """Columns of the gates z and r and of what is new, each in one piece: 3 by rows by HIDDEN."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).transpose(1, 0, 2))
 
 
 def states(w: dict, table: np.ndarray, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-    """Hidden states of the steps x (steps by lanes, rows of table); h starts at zero where first is set.
+    """Hidden states of the steps x (steps by lanes, rows of table, which is in thirds); h starts at zero where first is set.
 
     They stand in memory that the next call uses again. With keep, also the states before each step and the gates z, r, new and what r was applied to.
     """
     steps, lanes = x.shape
-    two, many = 2 * HIDDEN, steps if keep else 1
-    out = _room("out", steps, lanes, HIDDEN)
-    us, gates, news, befores = (_room(name, many, lanes, k * HIDDEN) for name, k in (("u", 3), ("zr", 2), ("n", 1), ("h", 1)))
+    many = steps if keep else 1
+    out, a, rec, x = _room("out", steps, lanes, HIDDEN), _room("a", 3, lanes, HIDDEN), _thirds(w["rec"]), x.astype(np.intp)
+    us, gates, news, befores = _room("u", 3, many, lanes, HIDDEN), _room("zr", 2, many, lanes, HIDDEN), _room("n", many, lanes, HIDDEN), _room("h", many, lanes, HIDDEN)
     starts = first.any(1)
     for t in range(steps):
-        u, zr, n = us[t % many], gates[t % many], news[t % many]
+        u, zr, n = us[:, t % many], gates[:, t % many], news[t % many]
         if starts[t]:
             h = np.where(first[t][:, None], np.float32(0), h)
         if keep:
             befores[t] = h
-        a = table[x[t]]
-        np.matmul(h, w["rec"], out=u)
-        np.add(a[:, :two], u[:, :two], out=zr)
+        np.take(table, x[t], 1, out=a, mode="clip")
+        np.matmul(h, rec, out=u)
+        np.add(a[:2], u[:2], out=zr)
         np.negative(zr, out=zr)
         np.minimum(zr, 60, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        np.multiply(zr[:, HIDDEN:], u[:, two:], out=n)
-        n += a[:, two:]
+        np.multiply(zr[1], u[2], out=n)
+        n += a[2]
         np.tanh(n, out=n)
         h = np.subtract(h, n, out=out[t])
-        h *= zr[:, :HIDDEN]
+        h *= zr[0]
         h += n
-    kept = (befores, gates[..., :HIDDEN], gates[..., HIDDEN:], news, us[..., two:])
-    return (out, h.copy(), kept) if keep else (out, h.copy())
+    return (out, h.copy(), (befores, gates[0], gates[1], news, us[2])) if keep else (out, h.copy())
 
 
 def log_probs(w: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probabilities of symbols y after states h."""
-    cls, at = places(y, len(w["embed"]))
-    order = np.argsort(cls.astype(np.uint16), kind="stable")
-    cls, at, hs = cls[order], at[order], h[order]
-    got = np.empty(len(y), np.float32)
-    for s in range(0, len(y), 2048):
-        z = np.matmul(hs[s : s + 2048], w["cls"], out=_room("d", min(2048, len(y) - s), len(w["cls_b"])))
-        z += w["cls_b"]
-        some = z[np.arange(len(z)), cls[s : s + 2048]]
-        got[s : s + 2048] = some - _exp(z) - np.log(z.sum(1))
-    cuts = np.searchsorted(cls, np.arange(len(w["out"]) + 1)).tolist()
+    order, cls, at, hs, cuts = _sorted(w, h, None, y)
+    got, head, inner, each = np.empty(len(y), np.float32), _biased(w["cls"], w["cls_b"]), _biased(w["out"], w["out_b"]), np.arange(ROWS)
+    for a, b in _pieces(0, len(y)):
+        z = np.matmul(hs[a:b], head, out=_room("d", b - a, head.shape[1]))
+        some = z[each[: b - a], cls[a:b]]
+        total, top = _exp(z)
+        got[a:b] = some - top - np.log(total)
     for c in range(1, len(w["out"])):
-        a, b = cuts[c], cuts[c + 1]
-        if b > a:
-            z = np.matmul(hs[a:b], w["out"][c], out=_room("d", b - a, WIDTH))
-            z += w["out_b"][c]
-            some = z[np.arange(b - a), at[a:b]]
-            got[a:b] += some - _exp(z) - np.log(z.sum(1))
+        for a, b in _pieces(cuts[c], cuts[c + 1]):
+            z = np.matmul(hs[a:b], inner[c], out=_room("d", b - a, WIDTH))
+            some = z[each[: b - a], at[a:b]]
+            total, top = _exp(z)
+            got[a:b] += some - top - np.log(total)
     out = np.empty(len(y), np.float32)
     out[order] = got
     return out
@@ -132,53 +163,49 @@ def log_probs(w: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Puts the gradients of the mean log loss of one window into g; returns the state after it."""
-    (steps, lanes), two = x.shape, 2 * HIDDEN
+    steps, lanes = x.shape
     flat_x = x.ravel()
-    by = np.argsort(flat_x, kind="stable")
+    by = np.argsort(flat_x.astype(np.uint16) if len(w["embed"]) <= 65_536 else flat_x, kind="stable")
     starts = np.flatnonzero(np.append(True, flat_x[by[1:]] != flat_x[by[:-1]]))
     used = flat_x[by[starts]]
     row = np.empty(len(by), np.int64)
     row[by] = np.repeat(np.arange(len(used)), np.diff(np.append(starts, len(by))))
     emb = w["embed"][used]
-    out, last, (before, z, r, new, un) = states(w, emb @ w["inp"] + w["bias"], row.reshape(steps, lanes), first, h, True)
+    out, last, (before, z, r, new, un) = states(w, _thirds(emb @ w["inp"] + w["bias"]), row.reshape(steps, lanes), first, h, True)
 
     places_ = np.flatnonzero(use.ravel())
-    cls, at = places(y.ravel()[places_], len(w["embed"]))
-    order = np.argsort(cls.astype(np.uint16), kind="stable")
-    cls, at, places_ = cls[order], at[order], places_[order]
-    rows = len(places_)
-    hs = np.take(out.reshape(-1, HIDDEN), places_, 0, out=_room("hs", rows, HIDDEN), mode="clip")
-    size = np.float32(1 / max(1, len(places_)))
-    d = np.matmul(hs, w["cls"], out=_room("d", rows, len(w["cls_b"])))
-    d += w["cls_b"]
-    _exp(d)
-    d *= (size / d.sum(1))[:, None]
-    d[np.arange(len(cls)), cls] -= size
-    g["cls"][:], g["cls_b"][:] = hs.T @ d, d.sum(0)
-    dhs = np.matmul(d, w["cls"].T, out=_room("dhs", rows, HIDDEN))
-    cuts = np.searchsorted(cls, np.arange(len(w["out"]) + 1)).tolist()
+    order, cls, at, hs, cuts = _sorted(w, out.reshape(-1, HIDDEN), places_, y.ravel()[places_])
+    places_, rows, each = places_[order], len(order), np.arange(ROWS)
+    size = np.float32(1 / max(1, rows))
+    head, inner, dhs = _biased(w["cls"], w["cls_b"]), _biased(w["out"], w["out_b"]), _room("dhs", rows, HIDDEN)
+    g_head, turned = np.zeros_like(head), np.ascontiguousarray(w["cls"].T)
+    for a, b in _pieces(0, rows):
+        d = np.matmul(hs[a:b], head, out=_room("d", b - a, head.shape[1]))
+        d *= (size / _exp(d)[0])[:, None]
+        d[each[: b - a], cls[a:b]] -= size
+        g_head += hs[a:b].T @ d
+        np.matmul(d, turned, out=dhs[a:b])
+    g["cls"][:], g["cls_b"][:] = g_head[:HIDDEN], g_head[HIDDEN]
     g["out"][:], g["out_b"][:] = 0, 0
     for c in range(1, len(w["out"])):
-        a, b = cuts[c], cuts[c + 1]
-        if b > a:
-            d = np.matmul(hs[a:b], w["out"][c], out=_room("d", b - a, WIDTH))
-            d += w["out_b"][c]
-            _exp(d)
-            d *= (size / d.sum(1))[:, None]
-            d[np.arange(b - a), at[a:b]] -= size
-            np.matmul(hs[a:b].T, d, out=g["out"][c])
-            g["out_b"][c] = d.sum(0)
+        for a, b in _pieces(cuts[c], cuts[c + 1]):
+            d = np.matmul(hs[a:b], inner[c], out=_room("d", b - a, WIDTH))
+            d *= (size / _exp(d)[0])[:, None]
+            d[each[: b - a], at[a:b]] -= size
+            got = hs[a:b].T @ d
+            g["out"][c] += got[:HIDDEN]
+            g["out_b"][c] += got[HIDDEN]
             dhs[a:b] += d @ w["out"][c].T
     dh = _room("dh", steps * lanes, HIDDEN)
     dh[:] = 0
     dh[places_] = dhs
     dh = dh.reshape(steps, lanes, HIDDEN)
 
-    da, du, back = _room("da", steps, lanes, 3 * HIDDEN), _room("du", steps, lanes, 3 * HIDDEN), np.zeros((lanes, HIDDEN), np.float32)
+    da, du, back = _room("da", 3, steps, lanes, HIDDEN), _room("du", steps, lanes, HIDDEN), np.zeros((lanes, HIDDEN), np.float32)
     of_z, of_n, of_r, work = (_room(f"of_{k}", lanes, HIDDEN) for k in ("z", "n", "r", "w"))
-    rec, opened = np.ascontiguousarray(w["rec"].T), first.any(1)
+    rec, opened = np.ascontiguousarray(_thirds(w["rec"]).transpose(0, 2, 1)), first.any(1)
     for t in range(steps - 1, -1, -1):  # truncated at the window's start
-        e = np.add(dh[t], back, out=back)
+        back += dh[t]
         np.subtract(1, z[t], out=work)
         np.multiply(new[t], new[t], out=of_n)
         np.subtract(1, of_n, out=of_n)
@@ -189,18 +216,29 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
         np.subtract(1, r[t], out=of_r)
         of_r *= r[t]
         of_r *= un[t]
-        dn = np.multiply(e, of_n, out=da[t, :, two:])
-        np.multiply(e, of_z, out=da[t, :, :HIDDEN])
-        np.multiply(dn, of_r, out=da[t, :, HIDDEN:two])
-        du[t, :, :two] = da[t, :, :two]
-        np.multiply(dn, r[t], out=du[t, :, two:])
-        back = e * z[t]
-        back += du[t] @ rec
+        dn = np.multiply(back, of_n, out=da[2, t])
+        np.multiply(back, of_z, out=da[0, t])
+        np.multiply(dn, of_r, out=da[1, t])
+        np.multiply(dn, r[t], out=du[t])
+        back *= z[t]
+        for d, turned in zip((da[0, t], da[1, t], du[t]), rec):
+            back += np.matmul(d, turned, out=work)
         if opened[t]:
             back[first[t]] = 0
-    g["rec"][:] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-    da = da.reshape(-1, 3 * HIDDEN)
-    summed = np.add.reduceat(np.take(da, by, 0, out=_room("by", *da.shape), mode="clip"), starts)
+    turned, da = before.reshape(-1, HIDDEN).T, da.reshape(3, -1, HIDDEN)
+    g["rec"][:] = np.concatenate([turned @ da[0], turned @ da[1], turned @ du.reshape(-1, HIDDEN)], 1)
+    sizes = np.diff(np.append(starts, len(by)))
+    often = sizes >= 16
+    by = np.concatenate([by[np.repeat(~often, sizes)], by[np.repeat(often, sizes)]])  # rare symbols first
+    da = np.concatenate(np.take(da, by, 1, out=_room("by", *da.shape), mode="clip"), 1, out=da.reshape(-1, 3 * HIDDEN))
+    summed, rare = np.empty((len(used), 3 * HIDDEN), np.float32), sizes[~often]
+    at, one = int(rare.sum()), np.ones(int(sizes.max()), np.float32)
+    if at:
+        summed[~often] = np.add.reduceat(da[:at], np.cumsum(rare) - rare)
+    for k in np.flatnonzero(often).tolist():
+        n = int(sizes[k])
+        np.matmul(one[:n], da[at : at + n], out=summed[k])
+        at += n
     g["bias"][:], g["inp"][:] = summed.sum(0), emb.T @ summed
     g["embed"][:] = 0
     g["embed"][used] = summed @ w["inp"].T
@@ -302,11 +340,22 @@ def score(w: dict, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) ->
     total = np.zeros(len(docs))
     if not docs:
         return total
-    table, h = w["embed"] @ w["inp"] + w["bias"], None
+    table, h = _thirds(w["embed"] @ w["inp"] + w["bias"]), None
+    held, rows = [], 0
+
+    def put() -> None:
+        out, y, of = map(np.concatenate, zip(*held))
+        total[:] += np.bincount(of, log_probs(w, out, y), minlength=len(docs))
+
     for x, y, first, of in streams(docs, lanes, steps):
         h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
         out, h = states(w, table, x, first, h)
         there = of >= 0
-        p = log_probs(w, out[there], y[there])
-        total += np.bincount(of[there], p, minlength=len(docs))
+        held.append((out[there], y[there], of[there]))
+        rows += len(held[-1][1])
+        if rows >= AT_ONCE:
+            put()
+            held, rows = [], 0
+    if held:
+        put()
     return total

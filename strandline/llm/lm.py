@@ -89,11 +89,7 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
         docs_, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(seen), np.int64)
-            for _, held, ids in docs_:
-                if not held:
-                    words, n = np.unique(ids, return_counts=True)
-                    counts[words] += n
+            counts = np.bincount(np.concatenate([np.empty(0, "<u4"), *(ids for _, held, ids in docs_ if not held)]), minlength=len(seen))
             for k in range(0, len(docs_), 500):
                 part = docs_[k : k + 500]
                 yield _batch(_BLOCKS, block=[block] * len(part), doc_id=[d for d, _, _ in part], held=[h for _, h, _ in part], ids=[i.tobytes() for _, _, i in part])
@@ -301,7 +297,9 @@ def fit(table: DataFrame, symbols: int, counts: np.ndarray, tokens: int) -> tupl
                 for name, v in own.items():
                     yield sums.sliced(name, part, v.astype(float) * total)
 
-        dealt = table.filter(F.col("round") == turn).select("ids", "draw").repartition(tasks, "draw").sortWithinPartitions("draw")
+        # a task is a partition of its own, so their number, which is that of the states to be averaged, depends on the tokens alone
+        task = F.expr(f"cast(draw div {rounds} % {tasks} as int)")
+        dealt = table.filter(F.col("round") == turn).select("ids", "draw").repartitionById(tasks, task).sortWithinPartitions("draw")
         got = sums.added(dealt.mapInArrow(learn, sums.PARTS))
         if got:  # one model: the mean of the tasks' states by their tokens
             n = got.pop("tokens")[0]

@@ -248,6 +248,19 @@ def test_lm_learns_from_every_training_token(spark, awkward, monkeypatch):
     assert lm.head_size(5_000_000_000) > 4 * lm.head_size(1_000_000)
 
 
+def test_lm_states_are_as_many_as_the_tokens_make(spark, monkeypatch):
+    """Rows that are averaged come from the tasks of the tokens, however many partitions a shuffle by a key has."""
+    monkeypatch.setattr(lm, "TASK_TOKENS", 40_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by_key = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *cols: by_key(self, max(n, 40) if cols and isinstance(n, int) else n, *cols))
+    made, added = [], lm.sums.added
+    monkeypatch.setattr(lm.sums, "added", lambda parts: made.append(parts.filter("name = 'tokens'").count()) or added(parts))
+    n = lm.score(docs).first().train_tokens
+    tasks, rounds = lm._tasks(n)
+    assert len(made) == rounds > 1 and max(made) <= tasks
+
+
 def test_gru_probabilities_sum_to_one():
     n = 150
     w = gru.fresh(n, np.arange(n, 0, -1).astype(float))
