@@ -71,10 +71,15 @@ def _room(name: str, *shape: int) -> np.ndarray:
 _ones: dict[int, np.ndarray] = {}
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
-    """Replaces z by its exponentials; returns the sum of each row, and what was taken off the row first, if they might overflow."""
+def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state, whose numbers lie between -1 and 1, has an output so large that exponentials might overflow."""
+    return bool((np.abs(weights).sum(-2) + bias).max() <= 60)
+
+
+def _exp(z: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """Replaces z by its exponentials; returns the sum of each row, and what was taken off the row first, if they might overflow (see _small)."""
     top = 0.0
-    if z.size and z.max() > 60:
+    if not small and z.size and z.max() > 60:
         top = z.max(1, keepdims=True)
         z -= top
     np.exp(z, out=z)
@@ -103,41 +108,69 @@ def _pieces(a: int, b: int):
     return ((s, min(b, s + ROWS)) for s in range(a, b, ROWS))
 
 
+def _parts(cuts: list[int]):
+    """Pieces of the rows of all classes but 0, whatever the size of a class: start, end, and of each class in it the number, start and end."""
+    a, parts = cuts[1], []
+    for c in range(1, len(cuts) - 1):
+        s = cuts[c]
+        while s < cuts[c + 1]:
+            e = min(cuts[c + 1], a + ROWS)
+            parts.append((c, s, e))
+            if e == a + ROWS:
+                yield a, e, parts
+                a, parts = e, []
+            s = e
+    if parts:
+        yield a, parts[-1][2], parts
+
+
 def _thirds(a: np.ndarray) -> np.ndarray:
     """Columns of the gates z and r and of what is new, each in one piece: 3 by rows by HIDDEN."""
     return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).transpose(1, 0, 2))
 
 
+def _powers(a: np.ndarray) -> np.ndarray:
+    """The same as powers of e in 1 / (1 + e^-z), 1 / (1 + e^-r) and tanh n = 2 / (1 + e^-2n) - 1."""
+    a = _thirds(a)
+    a *= np.array([-1, -1, -2], np.float32)[:, None, None]
+    return a
+
+
 def states(w: dict, table: np.ndarray, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool = False):
-    """Hidden states of the steps x (steps by lanes, rows of table, which is in thirds); h starts at zero where first is set.
+    """Hidden states of the steps x (steps by lanes, rows of table, which are _powers); h starts at zero where first is set.
 
-    They stand in memory that the next call uses again. With keep, also the states before each step and the gates z, r, new and what r was applied to.
+    They stand in memory that the next call uses again. With keep, also the states before each step, the gates z, r, new and -2 times what r was applied to.
     """
     steps, lanes = x.shape
     many = steps if keep else 1
-    out, a, rec, x = _room("out", steps, lanes, HIDDEN), _room("a", 3, lanes, HIDDEN), _thirds(w["rec"]), x.astype(np.intp)
+    out, a, rec, x = _room("out", steps, lanes, HIDDEN), _room("a", 3, lanes, HIDDEN), _powers(w["rec"]), x.astype(np.intp)
     us, gates, news, befores = _room("u", 3, many, lanes, HIDDEN), _room("zr", 2, many, lanes, HIDDEN), _room("n", many, lanes, HIDDEN), _room("h", many, lanes, HIDDEN)
     starts = first.any(1)
-    for t in range(steps):
-        u, zr, n = us[:, t % many], gates[:, t % many], news[t % many]
-        if starts[t]:
-            h = np.where(first[t][:, None], np.float32(0), h)
-        if keep:
-            befores[t] = h
-        np.take(table, x[t], 1, out=a, mode="clip")
-        np.matmul(h, rec, out=u)
-        np.add(a[:2], u[:2], out=zr)
-        np.negative(zr, out=zr)
-        np.minimum(zr, 60, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        np.multiply(zr[1], u[2], out=n)
-        n += a[2]
-        np.tanh(n, out=n)
-        h = np.subtract(h, n, out=out[t])
-        h *= zr[0]
-        h += n
+    with np.errstate(over="ignore"):  # a gate of 1 / (1 + inf) is 0
+        for t in range(steps):
+            u, zr, n = us[:, t % many], gates[:, t % many], news[t % many]
+            if keep or starts[t]:
+                before = befores[t % many]
+                before[:] = h
+                h = before
+            if starts[t]:
+                h[first[t]] = 0
+            np.take(table, x[t], 1, out=a, mode="clip")
+            np.matmul(h, rec, out=u)
+            np.add(a[:2], u[:2], out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[1], u[2], out=n)
+            n += a[2]
+            np.exp(n, out=n)
+            n += 1
+            np.reciprocal(n, out=n)
+            n *= 2
+            n -= 1
+            h = np.subtract(h, n, out=out[t])
+            h *= zr[0]
+            h += n
     return (out, h.copy(), (befores, gates[0], gates[1], news, us[2])) if keep else (out, h.copy())
 
 
@@ -145,17 +178,19 @@ def log_probs(w: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probabilities of symbols y after states h."""
     order, cls, at, hs, cuts = _sorted(w, h, None, y)
     got, head, inner, each = np.empty(len(y), np.float32), _biased(w["cls"], w["cls_b"]), _biased(w["out"], w["out_b"]), np.arange(ROWS)
+    small = _small(w["cls"], w["cls_b"]), _small(w["out"], w["out_b"])
     for a, b in _pieces(0, len(y)):
         z = np.matmul(hs[a:b], head, out=_room("d", b - a, head.shape[1]))
         some = z[each[: b - a], cls[a:b]]
-        total, top = _exp(z)
+        total, top = _exp(z, small[0])
         got[a:b] = some - top - np.log(total)
-    for c in range(1, len(w["out"])):
-        for a, b in _pieces(cuts[c], cuts[c + 1]):
-            z = np.matmul(hs[a:b], inner[c], out=_room("d", b - a, WIDTH))
-            some = z[each[: b - a], at[a:b]]
-            total, top = _exp(z)
-            got[a:b] += some - top - np.log(total)
+    for a, b, parts in _parts(cuts):
+        z = _room("d", b - a, WIDTH)
+        for c, s, e in parts:
+            np.matmul(hs[s:e], inner[c], out=z[s - a : e - a])
+        some = z[each[: b - a], at[a:b]]
+        total, top = _exp(z, small[1])
+        got[a:b] += some - top - np.log(total)
     out = np.empty(len(y), np.float32)
     out[order] = got
     return out
@@ -171,7 +206,7 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
     row = np.empty(len(by), np.int64)
     row[by] = np.repeat(np.arange(len(used)), np.diff(np.append(starts, len(by))))
     emb = w["embed"][used]
-    out, last, (before, z, r, new, un) = states(w, _thirds(emb @ w["inp"] + w["bias"]), row.reshape(steps, lanes), first, h, True)
+    out, last, (before, z, r, new, un) = states(w, _powers(emb @ w["inp"] + w["bias"]), row.reshape(steps, lanes), first, h, True)
 
     places_ = np.flatnonzero(use.ravel())
     order, cls, at, hs, cuts = _sorted(w, out.reshape(-1, HIDDEN), places_, y.ravel()[places_])
@@ -179,23 +214,31 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
     size = np.float32(1 / max(1, rows))
     head, inner, dhs = _biased(w["cls"], w["cls_b"]), _biased(w["out"], w["out_b"]), _room("dhs", rows, HIDDEN)
     g_head, turned = np.zeros_like(head), np.ascontiguousarray(w["cls"].T)
+    small = _small(w["cls"], w["cls_b"]), _small(w["out"], w["out_b"])
     for a, b in _pieces(0, rows):
         d = np.matmul(hs[a:b], head, out=_room("d", b - a, head.shape[1]))
-        d *= (size / _exp(d)[0])[:, None]
-        d[each[: b - a], cls[a:b]] -= size
+        d *= (size / _exp(d, small[0])[0])[:, None]
+        d.reshape(-1)[each[: b - a] * head.shape[1] + cls[a:b]] -= size
         g_head += hs[a:b].T @ d
         np.matmul(d, turned, out=dhs[a:b])
     g["cls"][:], g["cls_b"][:] = g_head[:HIDDEN], g_head[HIDDEN]
-    g["out"][:], g["out_b"][:] = 0, 0
-    for c in range(1, len(w["out"])):
-        for a, b in _pieces(cuts[c], cuts[c + 1]):
-            d = np.matmul(hs[a:b], inner[c], out=_room("d", b - a, WIDTH))
-            d *= (size / _exp(d)[0])[:, None]
-            d[each[: b - a], at[a:b]] -= size
-            got = hs[a:b].T @ d
-            g["out"][c] += got[:HIDDEN]
-            g["out_b"][c] += got[HIDDEN]
-            dhs[a:b] += d @ w["out"][c].T
+    g_inner = _room("g_inner", *inner.shape)
+    g_inner[np.diff(cuts) == 0] = g_inner[0] = 0
+    for a, b, parts in _parts(cuts):
+        d, more = _room("d", b - a, WIDTH), _room("more", b - a, HIDDEN)
+        for c, s, e in parts:
+            np.matmul(hs[s:e], inner[c], out=d[s - a : e - a])
+        d *= (size / _exp(d, small[1])[0])[:, None]
+        d.reshape(-1)[each[: b - a] * WIDTH + at[a:b]] -= size
+        for c, s, e in parts:
+            own = d[s - a : e - a]
+            if s == cuts[c]:
+                np.matmul(hs[s:e].T, own, out=g_inner[c])
+            else:
+                g_inner[c] += hs[s:e].T @ own
+            np.matmul(own, w["out"][c].T, out=more[s - a : e - a])
+        dhs[a:b] += more
+    g["out"][:], g["out_b"][:] = g_inner[:, :HIDDEN], g_inner[:, HIDDEN]
     dh = _room("dh", steps * lanes, HIDDEN)
     dh[:] = 0
     dh[places_] = dhs
@@ -204,6 +247,7 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
     da, du, back = _room("da", 3, steps, lanes, HIDDEN), _room("du", steps, lanes, HIDDEN), np.zeros((lanes, HIDDEN), np.float32)
     of_z, of_n, of_r, work = (_room(f"of_{k}", lanes, HIDDEN) for k in ("z", "n", "r", "w"))
     rec, opened = np.ascontiguousarray(_thirds(w["rec"]).transpose(0, 2, 1)), first.any(1)
+    rec[1] *= np.float32(0.5)  # da[1] is twice what it stands for until the loop is over
     for t in range(steps - 1, -1, -1):  # truncated at the window's start
         back += dh[t]
         np.subtract(1, z[t], out=work)
@@ -213,7 +257,7 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
         np.subtract(before[t], new[t], out=of_z)
         of_z *= z[t]
         of_z *= work
-        np.subtract(1, r[t], out=of_r)
+        np.subtract(r[t], 1, out=of_r)
         of_r *= r[t]
         of_r *= un[t]
         dn = np.multiply(back, of_n, out=da[2, t])
@@ -225,16 +269,21 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
             back += np.matmul(d, turned, out=work)
         if opened[t]:
             back[first[t]] = 0
+    da[1] *= np.float32(0.5)
     turned, da = before.reshape(-1, HIDDEN).T, da.reshape(3, -1, HIDDEN)
     g["rec"][:] = np.concatenate([turned @ da[0], turned @ da[1], turned @ du.reshape(-1, HIDDEN)], 1)
     sizes = np.diff(np.append(starts, len(by)))
     often = sizes >= 16
-    by = np.concatenate([by[np.repeat(~often, sizes)], by[np.repeat(often, sizes)]])  # rare symbols first
+    rare = np.flatnonzero(~often)
+    rare = rare[np.argsort(-sizes[rare], kind="stable")]
+    wide = [int((sizes[rare] > k).sum()) for k in range(int(sizes[rare].max(initial=0)))]  # the first place of each rare symbol, the second, and so on
+    by = np.concatenate([*(by[starts[rare[:n]] + k] for k, n in enumerate(wide)), by[np.repeat(often, sizes)]])
     da = np.concatenate(np.take(da, by, 1, out=_room("by", *da.shape), mode="clip"), 1, out=da.reshape(-1, 3 * HIDDEN))
-    summed, rare = np.empty((len(used), 3 * HIDDEN), np.float32), sizes[~often]
-    at, one = int(rare.sum()), np.ones(int(sizes.max()), np.float32)
-    if at:
-        summed[~often] = np.add.reduceat(da[:at], np.cumsum(rare) - rare)
+    summed, one, at = np.empty((len(used), 3 * HIDDEN), np.float32), np.ones(int(sizes.max()), np.float32), len(rare)
+    for n in wide[1:]:
+        da[:n] += da[at : at + n]
+        at += n
+    summed[rare] = da[: len(rare)]
     for k in np.flatnonzero(often).tolist():
         n = int(sizes[k])
         np.matmul(one[:n], da[at : at + n], out=summed[k])
@@ -340,7 +389,7 @@ def score(w: dict, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) ->
     total = np.zeros(len(docs))
     if not docs:
         return total
-    table, h = _thirds(w["embed"] @ w["inp"] + w["bias"]), None
+    table, h = _powers(w["embed"] @ w["inp"] + w["bias"]), None
     held, rows = [], 0
 
     def put() -> None:

@@ -26,10 +26,10 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +42,9 @@ TASK_TOKENS = 12_000_000
 ROUNDS = 6
 ROUND_TOKENS = 2_000_000
 BLOCK_TOKENS = 2_000_000
+#: Bytes of a block's words, about; rows whose texts are cut at once.
+BLOCK_BYTES = 1 << 28
+ROWS_AT_ONCE = 256
 _END = b""
 
 _BLOCKS = "block long, bucket int, doc_id long, held boolean, ids binary, words binary, counts binary"
@@ -66,6 +69,26 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of all texts in one array, and how many each has."""
+    wide = pa.types.is_large_binary(texts.type)
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if wide else pa.string())))
+    found = cut.flatten()
+    real = pc.greater(pc.binary_length(found), 0)  # a text that is empty or begins or ends with space has empty ones
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy())
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return found.filter(real).view(pa.large_binary() if wide else pa.binary()), np.diff(before[np.append(0, ends)])
+
+
+def _bytes_of(words: pa.Array) -> list[bytes]:
+    """The values of an array of bytes without nulls."""
+    wide = pa.types.is_large_binary(words.type)
+    _, at, data = words.buffers()
+    cuts = np.frombuffer(at, "<i8" if wide else "<i4")[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
@@ -85,15 +108,20 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
-        seen: defaultdict = defaultdict(count().__next__)
-        docs_, size = [], 0
+        docs_, sizes, texts, size, width = [], [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            counts = np.bincount(np.concatenate([np.empty(0, "<u4"), *(ids for _, held, ids in docs_ if not held)]), minlength=len(seen))
+            coded_ = pa.concat_arrays(texts).dictionary_encode()
+            every = [*_bytes_of(coded_.dictionary), _END]
+            held, ends = np.array([h for _, h in docs_]), np.cumsum(np.concatenate(sizes) + 1)
+            ids, last = np.empty(ends[-1], "<u4"), np.zeros(ends[-1], bool)
+            last[ends - 1] = True
+            ids[last], ids[~last] = len(every) - 1, coded_.indices.to_numpy()
+            cuts = np.append(0, ends)
+            counts = np.bincount(ids[np.repeat(~held, np.diff(cuts))], minlength=len(every))
             for k in range(0, len(docs_), 500):
                 part = docs_[k : k + 500]
-                yield _batch(_BLOCKS, block=[block] * len(part), doc_id=[d for d, _, _ in part], held=[h for _, h, _ in part], ids=[i.tobytes() for _, _, i in part])
-            every = list(seen)
+                yield _batch(_BLOCKS, block=[block] * len(part), doc_id=[d for d, _ in part], held=[h for _, h in part], ids=[ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(k, k + len(part))])
             of = np.fromiter(map(zlib.crc32, every), np.int64, len(every)) % buckets
             order = np.argsort(of, kind="stable")
             cuts = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -101,19 +129,17 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
             parts = [order[cuts[b] : cuts[b + 1]] for b in full]
             yield _batch(_BLOCKS, block=[block] * len(full), bucket=full.astype(np.int32), ids=[p.astype("<u4").tobytes() for p in parts], words=[b" ".join(every[i] for i in p.tolist()) for p in parts], counts=[counts[p].astype("<i8").tobytes() for p in parts])
 
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("raw")):
-                words = words_of(text.as_py())
-                words.append(_END)
-                ids = np.fromiter(map(seen.__getitem__, words), "<u4", len(words))
-                docs_.append((doc_id, held_out(doc_id), ids))
-                size += len(ids)
-                if size >= BLOCK_TOKENS:
-                    yield from flush()
-                    block += 1
-                    seen.clear()
-                    seen.default_factory = count().__next__
-                    docs_, size = [], 0
+        for b in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
+            docs_ += [(d, held_out(d)) for d in b.column("doc_id").to_pylist()]
+            found, n = all_words(b.column("raw"))
+            texts.append(found)
+            sizes.append(n)
+            size += int(n.sum()) + len(n)
+            width += pc.sum(pc.binary_length(found)).as_py() or 0
+            if size >= BLOCK_TOKENS or width >= BLOCK_BYTES:
+                yield from flush()
+                block += 1
+                docs_, sizes, texts, size, width = [], [], [], 0, 0
         if docs_:
             yield from flush()
 

@@ -336,6 +336,69 @@ def test_gru_state_is_carried():
     assert np.allclose(gru.score(w, docs, 1, 7), gru.score(w, docs, 2, 500), rtol=1e-4)
 
 
+def test_gru_takes_exponentials_of_many_classes_at_once(monkeypatch):
+    """A class has few rows of a window, so calls go by rows, not by classes."""
+    rng, n, calls = np.random.default_rng(5), 40 * gru.WIDTH, []
+    docs = [np.append(rng.integers(1, n, 60), 0).astype("<i4") for _ in range(30)]
+    plain = gru._exp
+    monkeypatch.setattr(gru, "_exp", lambda *a: calls.append(len(a[0])) or plain(*a))
+    w = gru.fresh(n, np.ones(n))
+    (x, y, first, of), *_ = gru.streams(docs, 16, 32)
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    gru._gradients(w, g, x, y, first, np.zeros((16, gru.HIDDEN), np.float32), of >= 0)
+    pieces = -(-y.size // gru.ROWS)
+    assert 0 < len(calls) <= 2 * pieces
+    calls.clear()
+    got = gru.score(w, docs)
+    assert 0 < len(calls) <= 2 * -(-sum(map(len, docs)) // gru.ROWS)
+    assert np.allclose(got, [plain_gru(w, d) for d in docs], rtol=1e-4)
+
+
+@pytest.mark.parametrize("rows", [7, 768])
+@pytest.mark.parametrize("scale", [1, 40])
+def test_gru_of_large_weights_and_small_pieces(monkeypatch, rows, scale):
+    """Gates that are 0 or 1, outputs whose exponentials would overflow, and classes that lie across pieces."""
+    monkeypatch.setattr(gru, "ROWS", rows)
+    rng, n = np.random.default_rng(6), 150
+    w = {k: v * np.float32(scale) for k, v in gru.fresh(n, np.ones(n)).items()}
+    w["out_b"] /= np.float32(scale)
+    docs = [np.append(rng.integers(1, n, k), 0).astype("<i4") for k in (0, 3, 90)]
+    with np.errstate(all="raise", under="ignore"):
+        got = gru.score(w, docs, 2, 16)
+    assert np.allclose(got, [plain_gru(w, d) for d in docs], rtol=1e-3)
+    (x, y, first, of), *_ = gru.streams(docs, 2, 96)
+    both = []
+    for size in (rows, 10_000):
+        monkeypatch.setattr(gru, "ROWS", size)
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        gru._gradients(w, g, x, y, first, np.zeros((2, gru.HIDDEN), np.float32), of >= 0)
+        both.append(g)
+    assert all(np.isfinite(v).all() and np.allclose(v, both[1][k], atol=1e-5 * max(1, np.abs(v).max())) for k, v in both[0].items())
+
+
+@pytest.mark.parametrize("kind", ["binary", "large_binary"])
+def test_lm_words_of_all_texts_at_once(kind):
+    """The same words as of one text after another, for bytes of every sort, without a step of Python a word."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    some = [b" ", b"\t", b"\x0b", b"\x0c", b"\r\n", b"\x1c", b"\x85", b"\xa0", b"\xc3\x89", b"\xe2\x80\x83", b"\xff", b"\x00", b"A", b"z", b"Z[@"]
+    for _ in range(100):
+        texts = [None if r.random() < 0.1 else b"".join(r.choices(some, k=r.randrange(12))) for _ in range(r.randrange(9))]
+        k = r.randrange(3)
+        found, n = lm.all_words(pa.array(texts, getattr(pa, kind)()).slice(k))
+        want = [lm.words_of(t) for t in texts[k:]]
+        assert n.tolist() == list(map(len, want)) and found.to_pylist() == sum(want, [])
+        assert lm._bytes_of(found.dictionary_encode().dictionary) == list(dict.fromkeys(sum(want, [])))
+
+
+def test_lm_of_documents_without_words(spark):
+    rows = lm.score(spark.createDataFrame([(k, t) for k, t in enumerate([None, "", " \n", "\t"] * 5)], "doc_id long, text string")).collect()
+    assert len(rows) == 20 and all(r.n_tokens == 1 and np.isfinite(r.score) for r in rows)
+
+
 @pytest.mark.parametrize(("each", "spread"), [(4096, 1.0), (300, 1.0), (300, 0.05)])
 def test_nearest_against_brute_force(spark, monkeypatch, each, spread):
     monkeypatch.setattr(hnsw, "SHARD_ROWS", each)  # 300: at least ten shards
