@@ -244,10 +244,11 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
     dh[places_] = dhs
     dh = dh.reshape(steps, lanes, HIDDEN)
 
-    da, du, back = _room("da", 3, steps, lanes, HIDDEN), _room("du", steps, lanes, HIDDEN), np.zeros((lanes, HIDDEN), np.float32)
+    # du: what comes back to the gates and to what r is applied to; dn: to what is new. The gate r's part is twice what it stands for until the end
+    du, dn, back = _room("du", steps, lanes, 3 * HIDDEN), _room("dn", steps, lanes, HIDDEN), np.zeros((lanes, HIDDEN), np.float32)
     of_z, of_n, of_r, work = (_room(f"of_{k}", lanes, HIDDEN) for k in ("z", "n", "r", "w"))
-    rec, opened = np.ascontiguousarray(_thirds(w["rec"]).transpose(0, 2, 1)), first.any(1)
-    rec[1] *= np.float32(0.5)  # da[1] is twice what it stands for until the loop is over
+    rec, opened, of_gate_r = np.ascontiguousarray(w["rec"].T), first.any(1), slice(HIDDEN, 2 * HIDDEN)
+    rec[of_gate_r] *= np.float32(0.5)
     for t in range(steps - 1, -1, -1):  # truncated at the window's start
         back += dh[t]
         np.subtract(1, z[t], out=work)
@@ -260,25 +261,25 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
         np.subtract(r[t], 1, out=of_r)
         of_r *= r[t]
         of_r *= un[t]
-        dn = np.multiply(back, of_n, out=da[2, t])
-        np.multiply(back, of_z, out=da[0, t])
-        np.multiply(dn, of_r, out=da[1, t])
-        np.multiply(dn, r[t], out=du[t])
+        np.multiply(back, of_n, out=dn[t])
+        np.multiply(back, of_z, out=du[t, :, :HIDDEN])
+        np.multiply(dn[t], of_r, out=du[t, :, of_gate_r])
+        np.multiply(dn[t], r[t], out=du[t, :, 2 * HIDDEN :])
         back *= z[t]
-        for d, turned in zip((da[0, t], da[1, t], du[t]), rec):
-            back += np.matmul(d, turned, out=work)
+        back += np.matmul(du[t], rec, out=work)
         if opened[t]:
             back[first[t]] = 0
-    da[1] *= np.float32(0.5)
-    turned, da = before.reshape(-1, HIDDEN).T, da.reshape(3, -1, HIDDEN)
-    g["rec"][:] = np.concatenate([turned @ da[0], turned @ da[1], turned @ du.reshape(-1, HIDDEN)], 1)
+    du, dn = du.reshape(-1, 3 * HIDDEN), dn.reshape(-1, HIDDEN)
+    np.matmul(before.reshape(-1, HIDDEN).T, du, out=g["rec"])
+    g["rec"][:, of_gate_r] *= np.float32(0.5)
     sizes = np.diff(np.append(starts, len(by)))
     often = sizes >= 16
     rare = np.flatnonzero(~often)
     rare = rare[np.argsort(-sizes[rare], kind="stable")]
     wide = [int((sizes[rare] > k).sum()) for k in range(int(sizes[rare].max(initial=0)))]  # the first place of each rare symbol, the second, and so on
     by = np.concatenate([*(by[starts[rare[:n]] + k] for k, n in enumerate(wide)), by[np.repeat(often, sizes)]])
-    da = np.concatenate(np.take(da, by, 1, out=_room("by", *da.shape), mode="clip"), 1, out=da.reshape(-1, 3 * HIDDEN))
+    da = np.take(du, by, 0, out=_room("by", *du.shape), mode="clip")
+    da[:, 2 * HIDDEN :] = np.take(dn, by, 0, out=_room("by_n", *dn.shape), mode="clip")
     summed, one, at = np.empty((len(used), 3 * HIDDEN), np.float32), np.ones(int(sizes.max()), np.float32), len(rare)
     for n in wide[1:]:
         da[:n] += da[at : at + n]
@@ -288,6 +289,7 @@ def _gradients(w: dict, g: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray
         n = int(sizes[k])
         np.matmul(one[:n], da[at : at + n], out=summed[k])
         at += n
+    summed[:, of_gate_r] *= np.float32(0.5)
     g["bias"][:], g["inp"][:] = summed.sum(0), emb.T @ summed
     g["embed"][:] = 0
     g["embed"][used] = summed @ w["inp"].T
