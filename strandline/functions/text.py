@@ -5,6 +5,8 @@ Lengths and positions count code points. White space means ASCII white space unl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,9 +45,13 @@ def _pieces(c: Column, pattern: str) -> Column:
 
 
 def _cut_after(c: Column, chars: str) -> Column:
-    """Parts that end with one of chars, and the rest. A class with characters beyond Latin-1 is slow to match
-    at length, so places are looked for, not what stands between them."""
-    return F.split(c, f"(?<=[{chars}])")
+    """Stripped parts that end with one of chars, and the rest. A class with characters beyond Latin-1 is slow to
+    match at length, so places are looked for, not what stands between them, and only a text that has such
+    characters is held against all of chars."""
+    plain = "".join(x for x in chars if x < "\x80")
+    wide = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in chars if x not in plain], F.lit(False))
+    cut = lambda ends: F.split(strip(c), f"(?<=[{ends}])[{_SPACES}]*+")
+    return F.filter(F.when(wide, cut(chars)).otherwise(cut(plain)), lambda p: p != "")
 
 
 def sentences(c: Column) -> Column:
@@ -55,7 +61,7 @@ def sentences(c: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Pieces up to one of nine characters, which stay; the remainder is kept."""
-    return _kept(_cut_after(c, CLAUSES), strip)
+    return _cut_after(c, CLAUSES)
 
 
 def secondary(c: Column, longest: int = 80) -> Column:

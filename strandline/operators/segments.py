@@ -18,9 +18,9 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
     return df.withColumn("seg_no", (F.row_number().over(w) - 1).cast("long")).withColumn("is_last", F.lead(F.lit(1)).over(w).isNull())
 
 
-def repair(df: DataFrame, group: str, gap_us: int = 1000) -> DataFrame:
+def repair(df: DataFrame, group: str, gap_us: int = 1000, order: tuple[str, ...] = ("seg_no",)) -> DataFrame:
     """Overlapping neighbours meet half way; after a gap of more than gap_us a segment starts at the end before it."""
-    w = Window.partitionBy(group).orderBy("seg_no")
+    w = Window.partitionBy(group).orderBy(*order)
     before, after = F.lag("e").over(w), F.lead("s").over(w)
     half = lambda a, b: F.floor((a + b) / 2).cast("long")
     s = F.when(before > F.col("s"), half(before, F.col("s"))).when(F.col("s") - before > gap_us, before).otherwise(F.col("s"))
@@ -48,54 +48,77 @@ def allocate(sentences: DataFrame, group: str, padding_us: int = 100_000) -> Dat
     return rows.select(group, "seg_no", "text", "s", "e", (F.col("e") < F.col("s")).alias("negative"))
 
 
+def even_parts(s: Column, e: Column, words_of: Column, longest_us: int = 30_000_000) -> Column:
+    """Array of (part, s, e, text): a text from s to e in equal parts if that is longer than longest_us, else as
+    it is; words by half-even shares, parts without any left out."""
+    d = e - s
+    k = F.greatest(F.lit(2), F.ceil(d / (0.8 * longest_us))).cast("int")
+    words = F.filter(F.split(words_of, " "), lambda w: F.length(w) > 0)
+
+    def parted(x: Column) -> Column:
+        share = lambda i: F.bround(F.size(x["words"]) * i / x["k"], 0).cast("int")
+        cut = lambda i: s + F.call_function("div", d * i, x["k"])
+        held = F.filter(F.sequence(F.lit(0), x["k"] - 1), lambda i: share(i + 1) > share(i))
+        said = lambda i: F.array_join(F.slice(x["words"], share(i) + 1, share(i + 1) - share(i)), " ")
+        return F.transform(held, lambda i: _part(i, cut(i), cut(i + 1), said(i)))
+
+    known = lambda c: F.when(d.isNotNull(), c)
+    return F.when(d > longest_us, text.once(F.struct(words.alias("words"), k.alias("k")), parted)).otherwise(F.array(_part(F.lit(0), known(s), known(e), words_of)))
+
+
+def _part(part: Column, s: Column, e: Column, said: Column) -> Column:
+    return F.struct(part.alias("part"), s.alias("s"), e.alias("e"), said.alias("text"))
+
+
 def fixed_split(df: DataFrame, longest_us: int = 30_000_000) -> DataFrame:
     """Rows (s, e, text) longer than longest_us in equal parts; words by half-even shares."""
-    d = F.col("e") - F.col("s")
-    k = F.when(d > longest_us, F.greatest(F.lit(2), F.ceil(d / (0.8 * longest_us)))).otherwise(1).cast("int")
-    words = F.filter(F.split(F.col("text"), " "), lambda w: F.length(w) > 0)
-    rows = df.withColumns({"k": k, "words": words}).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    share = lambda i: F.bround(F.size("words") * i / F.col("k"), 0).cast("int")
-    rows = rows.withColumns({"a": share(F.col("part")), "b": share(F.col("part") + 1)}).filter("k = 1 or b > a")
-    rows = rows.withColumn("text", F.when(F.col("k") == 1, F.col("text")).otherwise(F.array_join(F.slice("words", F.col("a") + 1, F.col("b") - F.col("a")), " ")))
-    cut = lambda i: F.col("s") + F.expr(f"((e - s) * {i}) div k")
-    return rows.withColumns({"s2": cut("part"), "e2": cut("(part + 1)")}).withColumns({"s": F.col("s2"), "e": F.col("e2")}).drop("s2", "e2", "k", "words", "a", "b")
+    kept = [c for c in df.columns if c not in ("s", "e", "text")]
+    rows = unrolled(df, kept, even_parts(F.col("s"), F.col("e"), F.col("text"), longest_us), "at_", "p")
+    return rows.select(*kept, "p.part", "p.s", "p.e", "p.text")
 
 
-def split_at_cuts(df: DataFrame, least_us: int = 1_000_000) -> DataFrame:
-    """Rows (s, e, text, cuts: ascending array of microseconds) parted at their cut points.
+def parts_at_cuts(s: Column, e: Column, said: Column, cuts: Column, least_us: int = 1_000_000) -> Column:
+    """Array of (s, e, text): a text from s to e, parted at its cut points (ascending array of microseconds).
 
     A cut counts only least_us after the current start. A part takes a half-even share of the words,
-    one at least; the last takes the rest. One part or none keeps the row.
+    one at least; the last takes the rest. One part or none keeps the text whole.
     """
     kind = "array<struct<s:bigint,e:bigint,text:string>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.col("s").alias("at"), F.lit(0).alias("used"))
+    start = F.struct(F.array().cast(kind).alias("out"), s.alias("at"), F.lit(0).alias("used"))
 
     def add(words: Column, state: Column, cut: Column) -> Column:
         n = F.size(words)
-        ok = (cut - state["at"] >= least_us) & (cut < F.col("e")) & (state["used"] < n)
-        share = F.least(n - state["used"], F.greatest(F.lit(1), F.bround(n * (cut - state["at"]) / (F.col("e") - F.col("s")), 0).cast("int")))
+        ok = (cut - state["at"] >= least_us) & (cut < e) & (state["used"] < n)
+        share = F.least(n - state["used"], F.greatest(F.lit(1), F.bround(n * (cut - state["at"]) / (e - s), 0).cast("int")))
         one = F.struct(state["at"].alias("s"), cut.alias("e"), F.array_join(F.slice(words, state["used"] + 1, share), " ").alias("text"))
         return F.struct(F.when(ok, F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"), F.when(ok, cut).otherwise(state["at"]).alias("at"), F.when(ok, state["used"] + share).otherwise(state["used"]).cast("int").alias("used"))
 
+    whole = F.array(F.struct(s.alias("s"), e.alias("e"), said.alias("text"))).cast(kind)
+
     def finish(words: Column, state: Column) -> Column:
         n = F.size(words)
-        last = F.struct(state["at"].alias("s"), F.col("e").alias("e"), F.array_join(F.slice(words, state["used"] + 1, F.greatest(n - state["used"], F.lit(1))), " ").alias("text"))
+        last = F.struct(state["at"].alias("s"), e.alias("e"), F.array_join(F.slice(words, state["used"] + 1, F.greatest(n - state["used"], F.lit(1))), " ").alias("text"))
         every = F.when(n > state["used"], F.concat(state["out"], F.array(last))).otherwise(state["out"])
-        whole = F.array(F.struct(F.col("s").alias("s"), F.col("e").alias("e"), F.col("text").alias("text"))).cast(kind)
         return F.when(F.size(every) > 1, every).otherwise(whole)
 
-    split = F.filter(F.split(F.col("text"), " "), lambda w: F.length(w) > 0)  # once a row, not once a cut
-    parts = F.get(F.transform(F.array(split), lambda w: F.aggregate("cuts", start, lambda x, c: add(w, x, c), lambda x: finish(w, x))), F.lit(0))
+    split = F.filter(F.split(said, " "), lambda w: F.length(w) > 0)  # once a text, not once a cut
+    parted = text.once(split, lambda w: F.aggregate(cuts, start, lambda x, c: add(w, x, c), lambda x: finish(w, x)))
+    return F.when(F.size(cuts) == 0, whole).otherwise(parted)
+
+
+def split_at_cuts(df: DataFrame, least_us: int = 1_000_000) -> DataFrame:
+    """Rows (s, e, text, cuts) parted at their cut points: parts_at_cuts()."""
     kept = [c for c in df.columns if c not in ("s", "e", "text", "cuts")]
+    parts = parts_at_cuts(*[F.col(c) for c in ("s", "e", "text", "cuts")], least_us)
     return unrolled(df, kept, parts, "part", "p").select(*kept, "part", "p.s", "p.e", "p.text")
 
 
 def corrected(df: DataFrame, group: str, actual: str, least_us: int = 100_000, most_us: int = 500_000) -> DataFrame:
-    """Ends fitted to an actual length: the last grows by most_us at most, else all are scaled."""
+    """Ends fitted to an actual length: the last grows by most_us at most, else all are scaled (but for a group that ends at 0)."""
     every = Window.partitionBy(group)
     rows = df.withColumns({"end_": F.max("e").over(every), "last_": F.max("seg_no").over(every)}).withColumn("diff_", F.col(actual) - F.col("end_"))
     grown = (F.col("diff_") > least_us) & (F.col("diff_") - most_us <= least_us)
-    scaled = (F.abs("diff_") > least_us) & ~grown
+    scaled = (F.abs("diff_") > least_us) & ~grown & (F.col("end_") != 0)
     ratio = F.col(actual) / F.col("end_")
     fit = lambda c: F.when(scaled, F.round(F.col(c) * ratio).cast("long")).otherwise(F.col(c))
     e = F.when(grown & (F.col("seg_no") == F.col("last_")), F.col("e") + F.least(F.col("diff_"), F.lit(most_us))).otherwise(fit("e"))
@@ -120,8 +143,12 @@ def summary(df: DataFrame, group: str) -> DataFrame:
     """Number, last end and durations of each group, and whether it needs more splitting."""
     d = F.col("e") - F.col("s")
     out = df.groupBy(group).agg(F.count("*").alias("n"), F.max("e").alias("end_us"), F.avg(d).alias("mean_us"), F.min(d).alias("least_us"), F.max(d).alias("most_us"))
-    more = ((F.col("n") == 1) & (F.col("most_us") > 3_000_000)) | ((F.col("n") < 3) & (F.col("mean_us") > 30_000_000)) | (F.col("least_us") > 30_000_000)
-    return out.withColumn("split_more", more)
+    return out.withColumn("split_more", split_more(*[F.col(c) for c in ("n", "mean_us", "least_us", "most_us")]))
+
+
+def split_more(n: Column, mean_us: Column, least_us: Column, most_us: Column) -> Column:
+    """Whether a group of n segments needs more splitting."""
+    return ((n == 1) & (most_us > 3_000_000)) | ((n < 3) & (mean_us > 30_000_000)) | (least_us > 30_000_000)
 
 
 def best_variant(variants: DataFrame, group: str) -> DataFrame:
@@ -137,34 +164,42 @@ def longer_split(first: Column, second: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), pick), F.lit(0))
 
 
+def by_characters(parts: Column, s: Column, e: Column) -> Column:
+    """Array of (part, s, e, text): texts one after another from s to e, each as long as its share of all characters."""
+
+    def placed(p: Column, ends: Column) -> Column:
+        total, known = F.element_at(ends, -1), lambda c: F.when((e - s).isNotNull(), c)
+        times = F.transform(F.concat(F.array(F.lit(0)), ends), lambda n: s + F.call_function("div", (e - s) * n, total))
+        shared = text.once(times, lambda at: F.transform(p, lambda x, i: _part(F.lit(0), F.get(at, i), F.get(at, i + 1), x)))
+        return F.when(total > 0, shared).otherwise(F.transform(p, lambda x: _part(F.lit(0), known(s), known(e), x)))
+
+    return text.once(parts, lambda p: text.once(text.running(F.transform(p, lambda x: F.length(x))), lambda ends: placed(p, ends)))
+
+
 def cascade(df: DataFrame, group: str, longest_us: int = 30_000_000) -> DataFrame:
     """Groups of segments (group, seg_no, s, e, text, cuts, actual) refined as far as they need it: group,
     seg_no, s, e, d, text.
 
-    A group that needs more splitting (summary()) has each text parted at sentences or clauses, whichever
+    A group that needs more splitting (split_more()) has each text parted at sentences or clauses, whichever
     are more, timed by characters; what is longer than longest_us is parted at its cuts (silences,
     ascending; null: none) where they give more than one part, and evenly if still too long. Other groups
     keep their rows. Then all are fitted to the group's actual end (null: as they are), and neighbours meet.
+
+    A text's pieces are made within its row, and the groups' steps are windows in one order, so that rows
+    dealt by group are not moved again.
     """
-    more = summary(df, group).select(F.col(group).alias("g_"), F.coalesce("split_more", F.lit(False)).alias("more_"))
-    rows = df.select(group, "seg_no", "s", "e", "text", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"), "actual")
-    rows = rows.join(more, F.col(group).eqNullSafe(F.col("g_"))).drop("g_")
-    kept = rows.filter("not more_").select(group, "actual", "seg_no", *[F.lit(0).alias(k) for k in ("k1", "k2", "k3")], "s", "e", "text")
-    parts = longer_split(text.sentences(F.col("text")), text.clauses(F.col("text")))["parts"]
-    split = rows.filter("more_").withColumn("parts", parts)
-    split = split.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.coalesce("text", F.lit("")))))
-    split = split.withColumn("total", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p)))
-    split = unrolled(split, [group, "actual", "seg_no", "s", "e", "cuts", "total"], F.col("parts"), "k1", "text")
-    w = Window.partitionBy(group, "seg_no").orderBy("k1").rowsBetween(Window.unboundedPreceding, -1)  # within one row's text
-    split = split.withColumn("done", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
-    at = lambda done: F.when(F.col("total") > 0, F.col("s") + F.expr(f"((e - s) * {done}) div total")).otherwise(F.col("s"))
-    split = split.withColumns({"a": at("done"), "b": F.when(F.col("total") > 0, at("(done + length(text))")).otherwise(F.col("e"))})
-    split = split.select(group, "actual", "seg_no", "k1", F.col("a").alias("s"), F.col("b").alias("e"), "text", "cuts")
-    long = F.col("e") - F.col("s") > longest_us
-    inside = F.filter("cuts", lambda c: (c > F.col("s")) & (c < F.col("e")))
-    quiet = split_at_cuts(split.withColumn("cuts", F.when(long, inside).otherwise(F.array().cast("array<bigint>")))).withColumnRenamed("part", "k2")
-    even = fixed_split(quiet, longest_us).withColumnRenamed("part", "k3")
-    every = even.select(*kept.columns).unionByName(kept)
-    every = numbered(every, group, "seg_no", "k1", "k2", "k3").drop("k1", "k2", "k3", "is_last")
-    fitted = corrected(every.withColumn("actual", F.coalesce("actual", F.max("e").over(Window.partitionBy(group)))), group, "actual")
-    return repair(fitted, group).select(group, "seg_no", "s", "e", "d", "text")
+    s, e, said, every = F.col("s"), F.col("e"), F.col("text"), Window.partitionBy(group)
+    more = split_more(*[f.over(every) for f in (F.count("*"), F.avg(e - s), F.min(e - s), F.max(e - s))])
+    rows = df.select(group, F.col("seg_no").alias("at_"), "s", "e", "text", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"), "actual", F.coalesce(more, F.lit(False)).alias("more_"))
+    parts = text.once(longer_split(text.sentences(said), text.clauses(said))["parts"], lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.coalesce(said, F.lit("")))))
+
+    def finer(x: Column) -> Column:
+        inside = F.filter("cuts", lambda c: (c > x["s"]) & (c < x["e"]))
+        return F.flatten(F.transform(parts_at_cuts(x["s"], x["e"], x["text"], inside), lambda q: even_parts(q["s"], q["e"], q["text"], longest_us)))
+
+    split = F.flatten(F.transform(by_characters(parts, s, e), lambda x: F.when(x["e"] - x["s"] > longest_us, finer(x)).otherwise(F.array(x))))
+    pieces = F.when(F.col("more_"), split).otherwise(F.array(_part(F.lit(0), s, e, said)))
+    rows = unrolled(rows, [group, "actual", "at_"], pieces, "k_", "p").select(group, "actual", "at_", "k_", "p.s", "p.e", "p.text")
+    rows = numbered(rows, group, "at_", "k_").drop("is_last")
+    fitted = corrected(rows.withColumn("actual", F.coalesce("actual", F.max("e").over(every))), group, "actual")
+    return repair(fitted, group, order=("at_", "k_")).select(group, "seg_no", "s", "e", "d", "text")

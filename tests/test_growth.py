@@ -118,3 +118,34 @@ def test_sentences_meet_places_with_and_without_gaps(spark):
     whole = spark.createDataFrame([("a", "x y"), ("b", "x y")], "g string, text string")
     got = sorted(map(tuple, align.merged(said, places, whole, "g").collect()))
     assert got == [("a", 0, "a0"), ("a", 1, "a1"), ("a", 2, "a2"), ("b", 0, "b0"), ("b", 2, "b2")]
+
+
+def _deals(df):
+    """Lines of the plan that move documents' rows."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "doc_id" in x]
+
+
+def test_the_cascade_deals_documents_once(spark):
+    from strandline.plans.segments import R
+
+    assert len(_deals(R.queries["W14_refined"](spark, SF))) == 1
+
+
+def test_groups_without_an_end_keep_their_times(spark):
+    from strandline.operators import segments
+
+    rows = [(1, 0, 0, 0, "", None, -800_000), (2, 0, 0, 1_000_000, "a", None, 2_000_000)]
+    df = spark.createDataFrame(rows, "g long, seg_no long, s long, e long, text string, cuts array<long>, actual long")
+    assert sorted(map(tuple, segments.cascade(df, "g").collect())) == [(1, 0, 0, 0, 0, ""), (2, 0, 0, 2_000_000, 2_000_000, "a")]
+
+
+def test_clauses_of_plain_and_wide_characters(spark):
+    import re
+
+    from strandline.functions import text
+
+    texts = [" a,b . c", "a;; \t!b ", "。，", "x。 y；z,", "ä！\u0085 ,", "", " \n", "no end", "。。 .", "é? ！"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", text.clauses(F.col("t")).alias("c"))
+    for t, c in df.collect():
+        parts = [p.strip(" \t\r\n\f") for p in re.split("(?<=[,.!?;。！？；])", t)] if t is not None else None
+        assert c == (parts and [p for p in parts if p]), t
