@@ -80,11 +80,15 @@ def fixed(spark, d):
     return S.fixed_split(_whole(spark, d)).select("doc_id", "part", "s", "e", "text")
 
 
+def _silences(spark, d):
+    """Cut points that users' events would give: user_id, cuts."""
+    return relative_rows(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_set(F.expr("s div 60"))).alias("cuts"))
+
+
 @R.add("W07_cut_split")
 def cut_split(spark, d):
     """All documents, parted at cut points that their events' silence would give; whole without any."""
-    cuts = relative_rows(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_set(F.expr("s div 60"))).alias("cuts"))
-    rows = _whole(spark, d).join(cuts, F.col("doc_id") == F.col("user_id"), "left").drop("user_id")
+    rows = _whole(spark, d).join(_silences(spark, d), F.col("doc_id") == F.col("user_id"), "left").drop("user_id")
     return S.split_at_cuts(rows.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>"))))
 
 
@@ -219,5 +223,4 @@ def refined(spark, d):
 @R.add("W14_silence")
 def refined_at_silence(spark, d):
     """The whole cascade, long rows parted first at the silences that the documents' events would give."""
-    cuts = relative_rows(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_set(F.expr("s div 60"))).alias("cuts"))
-    return S.cascade(_timed(spark, d, cuts), "doc_id")
+    return S.cascade(_timed(spark, d, _silences(spark, d)), "doc_id")

@@ -149,3 +149,14 @@ def test_clauses_of_plain_and_wide_characters(spark):
     for t, c in df.collect():
         parts = [p.strip(" \t\r\n\f") for p in re.split("(?<=[,.!?;。！？；])", t)] if t is not None else None
         assert c == (parts and [p for p in parts if p]), t
+
+
+def test_silences_meet_documents_where_they_lie(spark):
+    from strandline.plans.segments import R
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with more cuts than that
+    try:
+        made = R.queries["W14_silence"](spark, SF)
+        assert len(_deals(made)) == 1 and "array_sort" not in _operators(made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
